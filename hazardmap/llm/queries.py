@@ -6,21 +6,57 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .packing import pack_documents
+from pyspark.sql import functions as F
+
+from . import html, langid, packing, pii, quality, toxicity
+from .samples import held_out
 from .store import table
 from .token_counts import token_counts
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    samples = langid.learn(docs.where(~held_out()))
+    found = langid.identify(docs.select("doc_id", "text"), samples)
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"))
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels").where(~held_out()))
+    found = toxicity.score_toxicity(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_pii": op2_pii,
+    "op3_language": op3_language,
+    "op4_quality": op4_quality,
     "op6_packing": op6_packing,
+    "op7_toxicity": op7_toxicity,
     "op8_token_counts": op8_token_counts,
+    "op9_html": op9_html,
 }
 ORACLES: dict[str, str] = {}
