@@ -1,0 +1,42 @@
+"""Connected components of an edge table, by alternating large-star and small-star rounds
+(Kiveris et al., "Connected Components in MapReduce and Beyond", SoCC 2014)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .store import keep
+
+
+def _star(edges: DataFrame, small: bool) -> DataFrame:
+    """One round: each node links its neighbours (the larger ones, or the smaller ones and itself) to the least it knows."""
+    if small:
+        pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    else:
+        pairs = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    least = pairs.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    joined = pairs.join(least, "u")
+    if small:
+        out = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
+    else:
+        out = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
+    return out.where("a <> b").distinct()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, label) of every node of edges (a long, b long): label is the least node of its component.
+
+    Self-links and repeated edges change nothing; an empty table gives none.  Every round is written to the
+    shared folder, so no lineage grows and lost executors cost only their tasks.
+    """
+    edges = keep(edges.select("a", "b").where("a <> b").distinct(), "edges")
+    while True:
+        new = keep(_star(_star(edges, False), True), "edges")
+        # a forest of stars: every edge's larger end occurs once as `a`, and no `b` occurs as an `a`
+        roots = new.groupBy("a").agg(F.count("*").alias("n"))
+        left = roots.where("n > 1").limit(1).count() + new.join(roots.select(F.col("a").alias("r")), F.col("b") == F.col("r"), "left_semi").limit(1).count()
+        edges = new
+        if left == 0:
+            break
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
