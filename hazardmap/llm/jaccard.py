@@ -385,9 +385,10 @@ def query_groups(members: DataFrame, postings: DataFrame, each: int = 512) -> Da
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id that links lead to) of each document.
 
-    docs needs doc_id (unique) and text; other columns are left out.
+    docs needs doc_id and text; other columns are left out.  Rows without a doc_id are left out; rows that
+    repeat a doc_id with the same text repeat its result.
     """
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull())
     each = keep(document_sets(docs), "sets")
     classes = each.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
     hot = hot_shingles(docs)

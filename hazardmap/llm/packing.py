@@ -21,6 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .pretokens import default_path, encode
 
@@ -134,4 +135,6 @@ def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = 102
         close()
         yield pd.DataFrame(rows, columns=SCHEMA.replace(" long", "").split(", "), dtype="int64")
 
-    return docs.select("doc_id", "text").mapInPandas(run, SCHEMA)
+    none = -(1 << 63)  # stands for a null id inside the tasks
+    packed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(none)).alias("doc_id"), "text").mapInPandas(run, SCHEMA)
+    return packed.withColumn("doc_id", F.when(F.col("doc_id") != none, F.col("doc_id")))

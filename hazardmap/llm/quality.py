@@ -132,9 +132,9 @@ def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", blo
     ruled = document_rules(docs, text)
     verdicts = host_verdicts(ruled, host, block_rate, strict_rate)
     soft, hard = _soft(1), _soft(2)
-    joined = ruled.join(verdicts.select(F.col("host").alias("__host"), F.col("blocked").alias("host_blocked"), *(f"strict_{k}" for k in soft)), F.col(host).eqNullSafe(F.col("__host")))
+    joined = ruled.join(verdicts.select(F.col("host").alias("__host"), F.col("blocked").alias("__blocked"), *(F.col(f"strict_{k}").alias(f"__strict_{k}") for k in soft)), F.col(host).eqNullSafe(F.col("__host")))
     fails = F.lit(False)
     for k in soft:
-        fails = fails | (soft[k] & F.col(f"strict_{k}")) | hard[k]
-    kept = ~F.col("base_failed") & ~F.col("host_blocked") & ~fails
-    return joined.withColumn("kept", kept).drop("__host", "n_lines", "n_upper", "n_letters", *(f"strict_{k}" for k in soft))
+        fails = fails | (soft[k] & F.col(f"__strict_{k}")) | hard[k]
+    kept = ~F.col("base_failed") & ~F.col("__blocked") & ~fails
+    return joined.withColumn("kept", kept).withColumn("host_blocked", F.col("__blocked")).drop("__host", "__blocked", "n_lines", "n_upper", "n_letters", *(f"__strict_{k}" for k in soft))

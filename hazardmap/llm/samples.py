@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
-    """The fold kept from training: crc32 of the id as text, remainder 2 of 4."""
-    return F.crc32(F.col(doc_id).cast("string")) % 4 == 2
+    """The fold kept from training: crc32 of the id as text, remainder 2 of 4; rows without an id are not in it."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
 def by_label(rows: DataFrame, label: str, each: int, doc_id: str = "doc_id") -> DataFrame:
