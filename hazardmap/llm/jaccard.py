@@ -35,8 +35,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from . import text as tx
-from .components import components
 from .store import keep
 
 SHINGLE = 5

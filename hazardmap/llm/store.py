@@ -1,30 +1,13 @@
-"""Reading the tables and keeping intermediate results where every executor can read them."""
+"""Reading the tables; intermediate results are kept as in the rest of the library."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.shared import keep, shared_dir
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset (local tests), one of our own."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        import tempfile
-
-        where = "file://" + tempfile.mkdtemp(prefix="spark-llm-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+__all__ = ["keep", "shared_dir", "table"]
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: the lineage is cut, and a lost executor costs only its tasks."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
