@@ -116,7 +116,7 @@ def json_fields(spark, d):
     """Photo lists written as JSON text, some of it malformed, and read again."""
     rows = fixtures.reports(spark, d).select(
         "id",
-        F.when(F.crc32("id") % 5 == 0, F.lit("not json")).otherwise(F.concat(F.lit('["'), F.col("device_id"), F.lit('","'), F.col("source"), F.lit('"]'))).alias("photo_ids"),
+        F.when(F.substring("id", 2, 12).cast("long") % 5 == 0, F.lit("not json")).otherwise(F.concat(F.lit('["'), F.col("device_id"), F.lit('","'), F.col("source"), F.lit('"]'))).alias("photo_ids"),
         F.when(c.located(), F.lit("[[26.0,92.0],[26.5,92.5]]")).alias("polygon"),
     )
     decoded = decode_json(rows)
@@ -354,7 +354,7 @@ def radius_sweep(spark, d):
 
 
 def _scenes(spark: SparkSession, d: str) -> DataFrame:
-    """Drawn zones and their held reports by seed (the last digit of a report's number) as a table of scores."""
+    """All zones with a seed (their name's number by 7), reports and held reports: a table of scores."""
     zones = danger.all_zones(_placed(spark, d), T, with_ids=False)
     number = F.regexp_extract("cluster_id", r"(\d+)$", 1).cast("long")
     return zones.select((number % 7).alias("seed"), "held_count", "report_count", (F.col("routing") != "ignore").cast("int").alias("shown"))
