@@ -70,7 +70,7 @@ def build_edges(nodes: DataFrame, members: DataFrame) -> DataFrame:
 def with_lengths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """edges with both ends' coordinates and length_m; edges with an unknown end are dropped."""
     at = lambda e: nodes.select(F.col("node_id").alias(e), F.col("lat").alias(f"{e}lat"), F.col("lon").alias(f"{e}lon"))
-    both = edges.join(at("a"), "a").join(at("b"), "b")
+    both = edges.drop("alat", "alon", "blat", "blon", "length_m").join(at("a"), "a").join(at("b"), "b")
     return both.withColumn("length_m", haversine_m(F.col("alat"), F.col("alon"), F.col("blat"), F.col("blon")))
 
 

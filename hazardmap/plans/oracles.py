@@ -208,6 +208,7 @@ _Q = {
     "weights": f"SELECT id, round({_weight()}, 9) AS weight FROM reports",
     "held_unlocated": "SELECT id AS report_id, 'no usable location' AS reason FROM reports WHERE lat IS NULL OR lon IS NULL",
     "merge_reports": "SELECT * FROM merged",
+    "stream_merge": "SELECT * FROM merged",
     "merge_outcomes": "SELECT count(*) FILTER (outcome = 'created') AS created, count(*) FILTER (outcome = 'merged') AS merged, count(*) FILTER (outcome = 'ignored') AS ignored FROM judged",
     "edit_outcomes": "SELECT arrival_seq, id, outcome FROM judged",
     "delta_sync": "SELECT id, counter, updated_at FROM merged WHERE updated_at > 1735000500000 ORDER BY updated_at, id",

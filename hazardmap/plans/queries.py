@@ -390,3 +390,16 @@ def _forced(spark: SparkSession, d: str) -> DataFrame:
 def route_crossings(spark, d):
     """Steps of danger-aware routes that run through confirmed water: none."""
     return _forced(spark, d).agg(F.count("*").alias("wet_steps"))
+
+
+@query
+def stream_merge(spark, d):
+    """The edit log streamed into snapshots; equal to merge_reports."""
+    import uuid
+
+    from ..sources.shared import shared_dir
+    from ..streaming import ingest
+
+    where = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    ingest.start_merge(ingest.stream_fixture_log(spark, d), f"{where}/reports", f"{where}/checkpoint", FIELDS, availableNow=True).awaitTermination()
+    return ingest.snapshot(spark, f"{where}/reports")

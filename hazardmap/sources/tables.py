@@ -4,21 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-REPORT = T.StructType.fromDDL(
+REPORT = (
     "id string, device_id string, counter bigint, phone_time bigint, source string, text string, photo_ids array<string>, lat double, lon double, "
     "polygon array<array<double>>, location_confidence double, people_count int, injured int, children_elderly int, water_level string, rising int, "
     "road_passable string, extraction_confidence double, severity double, override_by string, override_reason string, status string, cluster_id string, "
     "reported_at bigint, synced_at bigint, updated_at bigint"
 )
-UPLOAD = T.StructType.fromDDL(
+UPLOAD = (
     "reports array<struct<id:string,device_id:string,counter:bigint,phone_time:bigint,source:string,text:string,photo_ids:array<string>,lat:double,lon:double,"
     "polygon:array<array<double>>,location_confidence:double,people_count:int,injured:int,children_elderly:int,water_level:string,rising:int,road_passable:string,"
     "extraction_confidence:double,changed:array<string>>>, last_cursor bigint"
 )
-OSM = T.StructType.fromDDL("elements array<struct<type:string,id:bigint,lat:double,lon:double,nodes:array<bigint>,tags:map<string,string>>>")
-SAFE_ZONE = T.StructType.fromDDL("id string, name string, lat double, lon double, capacity int, occupied int, status string")
+OSM = ("elements array<struct<type:string,id:bigint,lat:double,lon:double,nodes:array<bigint>,tags:map<string,string>>>")
+SAFE_ZONE = ("id string, name string, lat double, lon double, capacity int, occupied int, status string")
 
 #: Values of fields that an upload may leave out.
 DEFAULTS = {"counter": 0, "source": "volunteer", "text": "", "location_confidence": 1.0, "injured": 0, "children_elderly": 0, "rising": 0, "road_passable": "unknown", "extraction_confidence": 0.0}
@@ -77,6 +76,6 @@ def append_changes(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def reset(spark: SparkSession, path: str, schema: T.StructType = REPORT) -> None:
+def reset(spark: SparkSession, path: str, schema: str = REPORT) -> None:
     """An empty snapshot of the schema."""
     spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
