@@ -98,13 +98,15 @@ class Parser:
         self.start = []
         for k in self.langs:
             t = suffix_automaton(self.symbol[own[k]].tolist(), self.width)
-            root = np.where(t[0] >= 0, t[0], 0) + base
+            dead = len(t) + base  # after a symbol that the sample lacks, a phrase of its own
+            root = np.where(t[0] >= 0, t[0] + base, dead)
             full = np.where(t >= 0, t + base, root[None, :] | (1 << 30))  # the flag: a phrase ended here
-            full[0] = np.where(t[0] >= 0, root, base | (1 << 30))
-            full[:, -1] = np.arange(len(t)) + base
+            full = np.concatenate([full, (root | (1 << 30))[None, :]])
+            full[0] = root
+            full[:, -1] = np.arange(len(full)) + base
             tables.append(full.astype(np.int32))
             self.start.append(base)
-            base += len(t)
+            base += len(full)
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
         self.scale = np.array([np.log2(max(2, len(own[k]))) for k in self.langs])
 
