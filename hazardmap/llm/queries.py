@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, jaccard, langid, licenses, packing, pii, quality, toxicity
+from . import decontaminate, html, jaccard, langid, licenses, packing, pii, quality, sql, toxicity
 from .samples import held_out
 from .store import table
 from .token_counts import token_counts
@@ -75,4 +75,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html": op9_html,
     "op10_decontaminate": op10_decontaminate,
 }
-ORACLES: dict[str, str] = {}
+#: The others rest on trained models, tokenizers, tiling or packing, which SQL does not have.
+ORACLES: dict[str, str] = {"op4_quality": sql.QUALITY, "op5_jaccard": sql.JACCARD}
