@@ -9,17 +9,19 @@ A-Z lower-cased; with fewer than 5 words the whole sequence is one shingle).  Tw
    for the 65,536 most frequent; any order is right, a good one only saves work.  Linked sets share a
    shingle among the first |x| - ceil(0.75 |x|) + 1 of each (their prefixes), so only classes that share a
    prefix shingle with another class go on.
-3. These classes are sorted so that similar ones stand together and cut into groups of bounded size.  Each
-   group keeps its union of shingles and the incidence of shingles and members (the matrix).  Links inside
-   a group come from the matrix at once.
-4. A class queries each other group that shares a prefix shingle with it.  The overlap of the query with
-   the group's union bounds its overlap with every member; only groups whose bound can reach the threshold
-   for some member's size are opened, and in them only members of another component are linked.
+3. These classes are sorted so that similar ones stand together and are numbered in groups of bounded size.
+   The token-group matrix says which group holds which prefix shingle, and in members of which sizes.  With c
+   prefix shingles of a class x in group g, no member y can share more than c + max(ceil(.75 |x|), ceil(.75 |y|)) - 1
+   shingles with x; groups, the class's own included, whose bound falls short for every size are left out.
+4. Only classes with a group left bring their whole sets.  Each group gathers its members' sets, their union
+   and incidence; links inside it come from the incidence at once.  A class queries each remaining group of a
+   lower number: its overlap with the group's union bounds that with every member, and only groups that can
+   reach the threshold are opened.
 
 No candidate is capped: every pair that can reach the threshold is tested exactly.  Hot groups of copies
-collapse in step 1 within tasks before any shuffle; hot shingles skip the bucket shuffle of step 2, as they
-are known to be shared; a group of near copies spreads over many groups of step 3, and a group with many
-queries is tested in several tasks.
+collapse within tasks before any shuffle; hot shingles skip the bucket shuffle of step 2, as they are known to
+be shared; a crowd of near copies spreads over many groups, and a group with many queries is tested in several
+tasks.
 
 Null and empty texts, and texts without words, have no shingles, link with nothing and are their own component.
 """
@@ -104,16 +106,24 @@ def _frame(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
 
-def document_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n (shingles), k1 and k2 (the set's name) of each document."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64())])
+def document_sets(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """doc_id, n (shingles), k1 and k2 (the set's name), s1 (a sort key that brings similar sets together) of each document."""
+    names = ("doc_id", "n", "k1", "k2", "s1")
+    schema = pa.schema([(c, pa.int64()) for c in names])
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, grams, offs in _sets(batches):
             k1, k2 = set_keys(grams, offs)
-            yield _frame(schema, doc_id=ids, n=np.diff(offs), k1=k1, k2=k2)
+            pre, row, rank = prefixes(grams, offs, *shared.value)
+            some = np.diff(offs) > 0
+            s1 = np.zeros(len(ids), np.uint64)
+            s1[some] = grams[offs[:-1][some]]  # the least shingle
+            first = np.flatnonzero(rank > 0)[::-1]
+            s1[row[first]] = pre[first]  # the first hot shingle of the prefix, if it has one
+            yield _frame(schema, doc_id=ids, n=np.diff(offs), k1=k1, k2=k2, s1=s1.view(np.int64))
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long")
+    return docs.select("doc_id", "text").mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def hot_shingles(docs: DataFrame, most: int = HOT) -> tuple[np.ndarray, np.ndarray]:
@@ -235,13 +245,13 @@ def linked(inter: np.ndarray, n: int, m: np.ndarray) -> np.ndarray:
 class Group:
     """Members' sets, their union and the incidence of both."""
 
-    def __init__(self, reps: list[int], sets: list[np.ndarray], comps: list[int] | None = None):
+    def __init__(self, reps: list[int], sets: list[np.ndarray]):
         self.reps, self.sizes = np.array(reps, np.int64), np.array([len(s) for s in sets], np.int64)
         flat = np.concatenate([np.zeros(0, np.uint64), *sets])
         self.union, at = np.unique(flat, return_inverse=True)
         self.matrix = np.zeros((len(self.union), len(sets)), np.uint8)
         self.matrix[at, np.repeat(np.arange(len(sets)), self.sizes)] = 1
-        self.comps = np.array(reps if comps is None else comps, np.int64)
+        self.comps = self.reps
 
     def join_inside(self) -> None:
         """Sets comps to the least member of each component of links inside the group."""
@@ -262,120 +272,129 @@ class Group:
             label = least
         self.comps = label
 
-    def query(self, grams: np.ndarray, comp: int) -> list[int]:
-        """Components of members that a set links with, other than its own."""
+    def query(self, grams: np.ndarray) -> list[int]:
+        """Components of members that a set links with."""
         n = len(grams)
-        least = np.maximum(self.sizes, -(-3 * n // 4))
-        possible = (4 * self.sizes >= 3 * n) & (3 * self.sizes <= 4 * n) & (self.comps != comp)
+        possible = (4 * self.sizes >= 3 * n) & (3 * self.sizes <= 4 * n)
         if not possible.any():
             return []
         at = np.minimum(np.searchsorted(self.union, grams), len(self.union) - 1)
         at = at[self.union[at] == grams]
-        if 175 * len(at) < 75 * (n + int(least[possible].min())):  # the bound: no member can overlap more than the union does
+        if 175 * len(at) < 75 * (n + int(self.sizes[possible].min())):  # the bound: no member can overlap more than the union does
             return []
         inter = self.matrix[at].sum(0, dtype=np.int64)
         return np.unique(self.comps[possible & linked(inter, n, self.sizes)]).tolist()
 
 
-def active_sets(docs: DataFrame, reps: DataFrame, hot: tuple[np.ndarray, np.ndarray], few: int = 1_000_000) -> DataFrame:
-    """Sets of the documents in reps (rep, k1), with sort keys that bring similar ones together.
+def number_groups(active: DataFrame, members: int = 256, shingles: int = 100_000) -> DataFrame:
+    """(gid, rep, k1, n): classes in the order of their sort keys, cut into groups of bounded size."""
+    parts = max(1, int(active.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
-    With at most `few` reps their table is broadcast; else documents and reps meet by a shuffle.
-    """
-    schema = pa.schema([("rep", pa.int64()), ("k1", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("grams", pa.binary())])
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        gid, count, size = TaskContext.get().partitionId() << 32, 0, 0
+        for frame in frames:
+            gids = []
+            for n in frame["n"].tolist():
+                if count and (count >= members or size + n > shingles):
+                    gid, count, size = gid + 1, 0, 0
+                gids.append(gid)
+                count, size = count + 1, size + n
+            yield frame.assign(gid=gids)[["gid", "rep", "k1", "n"]]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, grams, offs in _sets(batches):
-            k1, _ = set_keys(grams, offs)
-            pre, row, rank = prefixes(grams, offs, *shared.value)
-            s1 = np.zeros(len(ids), np.uint64)
-            s2 = grams[offs[:-1]] if len(grams) else s1
-            s1[:] = s2
-            first = np.flatnonzero(rank > 0)[::-1]  # of each set the first hot shingle in its prefix, else its least shingle
-            s1[row[first]] = pre[first]
-            yield _frame(schema, rep=ids, k1=k1, s1=s1.view(np.int64), s2=s2.view(np.int64), grams=[grams[a:b].tobytes() for a, b in zip(offs, offs[1:])])
+    dealt = active.repartitionByRange(parts, "s1", "n", "rep").sortWithinPartitions("s1", "n", "rep")
+    return dealt.select("rep", "k1", "n").mapInPandas(run, "gid long, rep long, k1 long, n long")
 
-    own = reps.select(F.col("rep").alias("doc_id"))
-    own = F.broadcast(own) if own.count() <= few else own
-    return docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(own, "doc_id", "left_semi").mapInArrow(run, "rep long, k1 long, s1 long, s2 long, grams binary")
 
+def possible_groups(n: int, own: int, held: np.ndarray) -> list[int]:
+    """Groups that a class of n shingles in group `own` may link with.
 
-def cut_groups(sets: DataFrame, members: int = 256, shingles: int = 100_000) -> DataFrame:
-    """Members of groups of bounded size: gid, rep, k1, n, comp (by links inside the group), grams."""
-    parts = max(1, int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    held: rows (group, members, least size, largest size), one for each prefix shingle of the class and group that
+    holds it.  Each row stands for one shingle shared with the group's members of these sizes.
+    """
+    held = held[(held[:, 0] != own) | (held[:, 1] > 1)]  # in its own group the class holds them itself
+    if not len(held):
+        return []
+    held = held[np.argsort(held[:, 0], kind="stable")]
+    first = np.flatnonzero(np.concatenate([[True], held[1:, 0] != held[:-1, 0]]))
+    common = np.diff(np.append(first, len(held)))
+    low = np.maximum(np.minimum.reduceat(held[:, 2], first), -(-3 * n // 4))
+    high = np.minimum(np.maximum.reduceat(held[:, 3], first), 4 * n // 3)
+    up = lambda m: -(-3 * m // 4)
+    need = lambda m: -(-3 * (n + m) // 7) - np.maximum(up(n), up(m)) + 1  # noqa: E731  least at either end of the sizes
+    return held[first, 0][(low <= high) & (common >= np.minimum(need(low), need(high)))].tolist()
+
+
+def candidates(numbered: DataFrame, postings: DataFrame) -> DataFrame:
+    """(rep, gid, gids) of classes with a group left: their own group and the groups that may hold a link."""
+    placed = postings.join(numbered, "k1").select("gram", "gid", "rep", "n")
+    in_group = placed.groupBy("gram", "gid").agg(F.count("*").alias("c"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    matrix = in_group.groupBy("gram").agg(F.flatten(F.collect_list(F.array("gid", "c", "lo", "hi"))).alias("held"), F.sum("c").alias("all")).where(F.col("all") > 1)
+    asked = placed.join(matrix.select("gram", "held"), "gram").groupBy("rep", "gid", "n").agg(F.flatten(F.collect_list("held")).alias("held"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gid = TaskContext.get().partitionId() << 32
-        rows: list[tuple[int, int, bytes]] = []
-        size = 0
+        for frame in frames:
+            frame["gids"] = [possible_groups(n, gid, np.asarray(held, np.int64).reshape(-1, 4)) for n, gid, held in zip(frame["n"].tolist(), frame["gid"].tolist(), frame["held"])]
+            yield frame.loc[frame["gids"].map(len) > 0, ["rep", "gid", "gids"]]
 
-        def close() -> pd.DataFrame:
-            nonlocal gid, size
-            group = Group([r[0] for r in rows], [np.frombuffer(r[2], np.uint64) for r in rows])
-            group.join_inside()
-            out = pd.DataFrame({"gid": gid, "rep": group.reps, "k1": [r[1] for r in rows], "n": group.sizes, "comp": group.comps, "grams": [r[2] for r in rows]})
-            gid += 1
-            size = 0
-            rows.clear()
-            return out
+    return asked.mapInPandas(run, "rep long, gid long, gids array<long>")
 
-        for frame in frames:
-            for rep, k1, grams in zip(frame["rep"].tolist(), frame["k1"].tolist(), frame["grams"]):
-                if rows and (len(rows) >= members or size + len(grams) // 8 > shingles):
-                    yield close()
-                rows.append((rep, k1, bytes(grams)))
-                size += len(grams) // 8
-        if rows:
-            yield close()
 
-    dealt = sets.repartitionByRange(parts, "s1", "s2", "rep").sortWithinPartitions("s1", "s2", "rep")
-    return dealt.select("rep", "k1", "grams").mapInPandas(run, "gid long, rep long, k1 long, n long, comp long, grams binary")
+def sets_of(docs: DataFrame, chosen: DataFrame, few: int = 1_000_000) -> DataFrame:
+    """chosen (rep, gid, gids) with the sets of these documents.
+
+    With at most `few` rows their ids are broadcast; else documents and ids meet by a shuffle.
+    """
+    schema = pa.schema([("rep", pa.int64()), ("grams", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, grams, offs in _sets(batches):
+            yield _frame(schema, rep=ids, grams=[grams[a:b].tobytes() for a, b in zip(offs, offs[1:])])
+
+    own = chosen.select(F.col("rep").alias("doc_id"))
+    own = F.broadcast(own) if own.count() <= few else own
+    sets = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(own, "doc_id", "left_semi").mapInArrow(run, "rep long, grams binary")
+    return sets.dropDuplicates(["rep"]).join(chosen, "rep")
 
 
-def query_groups(members: DataFrame, postings: DataFrame, each: int = 512) -> DataFrame:
-    """Links (a, b) between components of different groups, by asking every group that shares a prefix shingle.
+def link_groups(members: DataFrame, each: int = 512) -> DataFrame:
+    """Links (a, b) between classes, inside groups and across: enough of them to connect whatever is linked.
 
-    Of two groups the one with the larger number asks.  A group with many queries is tested `each` queries at a time.
+    members: rep, gid, gids (groups to ask), grams.  A group with many queries is tested `each` queries at a time.
     """
     spark = members.sparkSession
-    placed = postings.join(members.select("k1", "gid", "rep"), "k1").select("gram", "gid", "rep")
-    holders = placed.groupBy("gram").agg(F.collect_set("gid").alias("gids")).where(F.size("gids") > 1)
-    asked = (
-        placed.join(holders, "gram")
-        .select("rep", F.expr("filter(gids, g -> g < gid)").alias("gids"))
-        .where(F.size("gids") > 0)
-        .groupBy("rep")
-        .agg(F.array_distinct(F.flatten(F.collect_set("gids"))).alias("gids"))
-        .select("rep", F.explode("gids").alias("gid"))
-    )
-    asked = keep(asked, "asked")
-    salts = asked.groupBy("gid").agg(F.ceil(F.count("*") / each).cast("int").alias("salts"))
-    queries = (
-        asked.join(salts, "gid")
-        .withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int"))
-        .join(members.select("rep", "comp", "grams"), "rep")
-        .select("gid", "salt", F.lit(1).alias("kind"), "rep", "comp", "grams")
+    asked = members.select("rep", "gid", "grams", F.explode(F.expr("filter(gids, g -> g < gid)")).alias("to"))
+    salts = asked.groupBy(F.col("to").alias("gid")).agg(F.ceil(F.count("*") / each).cast("int").alias("salts"))
+    queries = asked.join(salts.withColumnRenamed("gid", "to"), "to").select(
+        F.col("to").alias("gid"), F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), "rep", "grams"
     )
-    groups = members.join(salts, "gid").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("gid", "salt", F.lit(0).alias("kind"), "rep", "comp", "grams")
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))
+    groups = members.select("gid", "rep", "grams").join(salts, "gid", "left").select("gid", copies.alias("salt"), F.lit(0).alias("kind"), "rep", "grams")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, rows, group, known = None, [], None, set()
+        now, rows, group = None, [], None
+
+        def close() -> list[tuple[int, int]]:
+            nonlocal group
+            if group is not None or not rows:
+                return []
+            group = Group(*map(list, zip(*rows)))
+            group.join_inside()
+            return [(a, b) for a, b in zip(group.reps.tolist(), group.comps.tolist()) if a != b]
+
         for frame in frames:
             links = []
-            for gid, salt, kind, rep, comp, grams in zip(*(frame[c].tolist() for c in ("gid", "salt", "kind", "rep", "comp", "grams"))):
+            for gid, salt, kind, rep, grams in zip(*(frame[c].tolist() for c in ("gid", "salt", "kind", "rep", "grams"))):
                 if now != (gid, salt):
-                    now, rows, group, known = (gid, salt), [], None, set()
+                    links += close()
+                    now, rows, group = (gid, salt), [], None
                 grams = np.frombuffer(grams, np.uint64)
                 if kind == 0:
-                    rows.append((rep, grams, comp))
+                    rows.append((rep, grams))
                     continue
-                group = group or Group(*map(list, zip(*rows)))
-                for other in group.query(grams, comp):
-                    if (comp, other) not in known:
-                        known.add((comp, other))
-                        links.append((comp, other))
+                links += close()
+                links += [(rep, other) for other in group.query(grams)] if group is not None else []
             yield pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+        yield pd.DataFrame(close(), columns=["a", "b"], dtype="int64")
 
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     both = groups.unionByName(queries).repartition(parts, "gid", "salt").sortWithinPartitions("gid", "salt", "kind")
@@ -389,15 +408,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     repeat a doc_id with the same text repeat its result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull())
-    each = keep(document_sets(docs), "sets")
-    classes = each.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
     hot = hot_shingles(docs)
+    each = keep(document_sets(docs, hot), "sets")
+    classes = each.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("s1").alias("s1"))
     postings = keep(shared_prefixes(docs, hot), "postings")
-    reps = keep(classes.join(postings.select("k1").distinct(), "k1", "left_semi"), "reps")
-    members = keep(cut_groups(active_sets(docs, reps, hot)), "members")
-    links = query_groups(members, postings)
-    labels = components(links)
-    merged = members.select("rep", "comp").join(labels, F.col("comp") == F.col("node"), "left").select("rep", F.coalesce("label", "comp").alias("component"))
-    named = classes.join(merged, "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
+    numbered = keep(number_groups(classes.join(postings.select("k1").distinct(), "k1", "left_semi")), "groups")
+    chosen = keep(candidates(numbered, postings), "chosen")
+    labels = components(link_groups(keep(sets_of(docs, chosen), "members")))
+    named = classes.join(labels, F.col("rep") == F.col("node"), "left").select("k1", "k2", F.coalesce("label", "rep").alias("component"))
     found = each.where("n > 0").join(named, ["k1", "k2"]).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
     return found.unionByName(each.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
