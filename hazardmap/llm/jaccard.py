@@ -6,7 +6,7 @@ A-Z lower-cased; with fewer than 5 words the whole sequence is one shingle).  Tw
 
 1. Equal sets collapse to one class, named by its least doc_id.
 2. Shingles are ordered from rare to common.  The common ones come from counts over all documents, kept
-   for the 65,536 most frequent; any order is right, a good one only saves work.  Linked sets share a
+   for the 262,144 most frequent; any order is right, a good one only saves work.  Linked sets share a
    shingle among the first |x| - ceil(0.75 |x|) + 1 of each (their prefixes), so only classes that share a
    prefix shingle with another class go on.
 3. These classes are sorted so that similar ones stand together and are numbered in groups of bounded size.
@@ -42,7 +42,7 @@ from . import text as tx
 from .store import keep
 
 SHINGLE = 5
-HOT = 65_536
+HOT = 1 << 18
 _K1, _K2 = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 
 
@@ -339,36 +339,33 @@ def candidates(numbered: DataFrame, postings: DataFrame) -> DataFrame:
     return asked.mapInPandas(run, "rep long, gid long, gids array<long>")
 
 
-def sets_of(docs: DataFrame, chosen: DataFrame, few: int = 1_000_000) -> DataFrame:
-    """chosen (rep, gid, gids) with the sets of these documents.
-
-    With at most `few` rows their ids are broadcast; else documents and ids meet by a shuffle.
-    """
-    schema = pa.schema([("rep", pa.int64()), ("grams", pa.binary())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, grams, offs in _sets(batches):
-            yield _frame(schema, rep=ids, grams=[grams[a:b].tobytes() for a, b in zip(offs, offs[1:])])
-
-    own = chosen.select(F.col("rep").alias("doc_id"))
-    own = F.broadcast(own) if own.count() <= few else own
-    sets = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(own, "doc_id", "left_semi").mapInArrow(run, "rep long, grams binary")
-    return sets.dropDuplicates(["rep"]).join(chosen, "rep")
-
-
-def link_groups(members: DataFrame, each: int = 512) -> DataFrame:
+def link_groups(docs: DataFrame, chosen: DataFrame, each: int = 512, few: int = 1_000_000) -> DataFrame:
     """Links (a, b) between classes, inside groups and across: enough of them to connect whatever is linked.
 
-    members: rep, gid, gids (groups to ask), grams.  A group with many queries is tested `each` queries at a time.
+    chosen: rep, gid, gids.  A class's set goes to its own group as a member and to each group of a lower number
+    among gids as a query; a group with many queries is tested `each` queries at a time.  With at most `few`
+    classes their targets are broadcast to the documents; else both meet by a shuffle.
     """
-    spark = members.sparkSession
-    asked = members.select("rep", "gid", "grams", F.explode(F.expr("filter(gids, g -> g < gid)")).alias("to"))
-    salts = asked.groupBy(F.col("to").alias("gid")).agg(F.ceil(F.count("*") / each).cast("int").alias("salts"))
-    queries = asked.join(salts.withColumnRenamed("gid", "to"), "to").select(
-        F.col("to").alias("gid"), F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), "rep", "grams"
-    )
+    spark = docs.sparkSession
+    asked = chosen.select("rep", F.explode(F.expr("filter(gids, g -> g < gid)")).alias("gid"))
+    salts = asked.groupBy("gid").agg(F.ceil(F.count("*") / each).cast("int").alias("salts"))
+    asks = asked.join(salts, "gid").select("rep", F.struct(F.lit(1).alias("kind"), "gid", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int").alias("salt")).alias("to"))
     copies = F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))
-    groups = members.select("gid", "rep", "grams").join(salts, "gid", "left").select("gid", copies.alias("salt"), F.lit(0).alias("kind"), "rep", "grams")
+    homes = chosen.select("rep", "gid").join(salts, "gid", "left").select("rep", "gid", copies.alias("salt")).select("rep", F.struct(F.lit(0).alias("kind"), "gid", "salt").alias("to"))
+    targets = keep(asks.unionByName(homes).groupBy(F.col("rep").alias("doc_id")).agg(F.collect_list("to").alias("to")), "targets")
+    targets = F.broadcast(targets) if targets.count() <= few else targets
+    schema = pa.schema([("gid", pa.int64()), ("salt", pa.int32()), ("kind", pa.int32()), ("rep", pa.int64()), ("grams", pa.binary())])
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = 0
+            to = batch.column("to").to_pylist()
+            for ids, grams, offs in _sets(iter([batch])):
+                rows = [(t["gid"], t["salt"], t["kind"], int(i), grams[a:b].tobytes()) for i, a, b, ts in zip(ids, offs, offs[1:], to[done : done + len(ids)]) for t in ts]
+                done += len(ids)
+                yield _frame(schema, **dict(zip(schema.names, map(list, zip(*rows)))))
+
+    sent = docs.select("doc_id", "text").join(targets, "doc_id").mapInArrow(send, "gid long, salt int, kind int, rep long, grams binary")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, rows, group = None, [], None
@@ -389,7 +386,8 @@ def link_groups(members: DataFrame, each: int = 512) -> DataFrame:
                     now, rows, group = (gid, salt), [], None
                 grams = np.frombuffer(grams, np.uint64)
                 if kind == 0:
-                    rows.append((rep, grams))
+                    if not rows or rows[-1][0] != rep:  # a document that stands twice in the table counts once
+                        rows.append((rep, grams))
                     continue
                 links += close()
                 links += [(rep, other) for other in group.query(grams)] if group is not None else []
@@ -397,8 +395,7 @@ def link_groups(members: DataFrame, each: int = 512) -> DataFrame:
         yield pd.DataFrame(close(), columns=["a", "b"], dtype="int64")
 
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    both = groups.unionByName(queries).repartition(parts, "gid", "salt").sortWithinPartitions("gid", "salt", "kind")
-    return both.mapInPandas(run, "a long, b long")
+    return sent.repartition(parts, "gid", "salt").sortWithinPartitions("gid", "salt", "kind", "rep").mapInPandas(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -414,7 +411,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     postings = keep(shared_prefixes(docs, hot), "postings")
     numbered = keep(number_groups(classes.join(postings.select("k1").distinct(), "k1", "left_semi")), "groups")
     chosen = keep(candidates(numbered, postings), "chosen")
-    labels = components(link_groups(keep(sets_of(docs, chosen), "members")))
+    labels = components(link_groups(docs, chosen))
     named = classes.join(labels, F.col("rep") == F.col("node"), "left").select("k1", "k2", F.coalesce("label", "rep").alias("component"))
     found = each.where("n > 0").join(named, ["k1", "k2"]).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
     return found.unionByName(each.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
