@@ -138,11 +138,14 @@ def hot_shingles(docs: DataFrame, most: int = HOT) -> tuple[np.ndarray, np.ndarr
         seen: set[int] = set()
 
         def flush() -> pa.RecordBatch:
-            gram, c = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
+            x = np.concatenate([np.zeros(0, np.uint64), *held])
             held.clear()
             seen.clear()
-            top = np.flatnonzero(c >= 3)
-            return _frame(schema, gram=gram[top].view(np.int64), c=c[top])
+            x.sort()
+            third = np.flatnonzero(x[2:] == x[:-2])  # starts of runs of three equal ones
+            gram = np.unique(x[third])
+            c = np.searchsorted(x, gram, "right") - np.searchsorted(x, gram, "left")
+            return _frame(schema, gram=gram.view(np.int64), c=c)
 
         for _, grams, offs in _sets(batches):
             k1, _ = set_keys(grams, offs)
@@ -207,7 +210,7 @@ def shared_prefixes(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> Data
             keep_rows = np.repeat(new, np.diff(offs))
             g, row, r = prefixes(grams[keep_rows], np.concatenate([[0], np.cumsum(np.diff(offs)[new])]), *shared.value)
             held.append(np.stack([g, k1[new].view(np.uint64)[row], r.astype(np.uint64)], 1))
-            if sum(map(len, held)) > 4_000_000:
+            if sum(map(len, held)) > 1_000_000:
                 yield from flush()
         yield from flush()
 
@@ -404,6 +407,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs needs doc_id and text; other columns are left out.  Rows without a doc_id are left out; rows that
     repeat a doc_id with the same text repeat its result.
     """
+    # texts and sets are wide rows: small Arrow batches bound what a worker holds at once
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull())
     hot = hot_shingles(docs)
     each = keep(document_sets(docs, hot), "sets")
