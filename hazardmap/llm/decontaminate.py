@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
+from .store import small_batches
 
 START = 32
 
@@ -167,6 +168,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", lea
 
     benchmark needs item_id (integer) and text.  Columns of these names in docs are replaced.
     """
+    small_batches(docs.sparkSession)
     items = benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).groupBy("item_id").agg(F.max("text").alias("text"))
     total = items.agg(F.coalesce(F.sum(F.size(F.split("text", r"\s+"))), F.lit(0)).alias("n")).collect()[0]["n"]
     blocks = -(-total // block_words)

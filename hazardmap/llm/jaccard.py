@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import components
 from . import text as tx
-from .store import keep
+from .store import keep, small_batches
 
 SHINGLE = 5
 HOT = 1 << 18
@@ -407,8 +407,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs needs doc_id and text; other columns are left out.  Rows without a doc_id are left out; rows that
     repeat a doc_id with the same text repeat its result.
     """
-    # texts and sets are wide rows: small Arrow batches bound what a worker holds at once
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull())
     hot = hot_shingles(docs)
     each = keep(document_sets(docs, hot), "sets")

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
+from .store import small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *KINDS)
@@ -395,6 +396,7 @@ def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
 def find_pii(docs: DataFrame, text: str = "text", redacted: bool = False) -> DataFrame:
     """docs with n_email, n_ip, n_card, n_phone, base_spans and spans (kind:start:end, comma-joined), and with
     `redacted` also redacted_text.  Counts are of the patterns' spans.  Columns of these names are replaced."""
+    small_batches(docs.sparkSession)
     weights = train()
     schema = "struct<n_email:long,n_ip:long,n_card:long,n_phone:long,base_spans:string,spans:string" + (",redacted_text:string" if redacted else "") + ">"
     key = hashlib.sha256(weights[0].tobytes() + weights[1].tobytes()).digest()

@@ -6,8 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.shared import keep, shared_dir
 
-__all__ = ["keep", "shared_dir", "table"]
+__all__ = ["keep", "shared_dir", "small_batches", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lets the session hand texts to Python in small Arrow batches: texts are wide rows, and a worker holds a batch at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
