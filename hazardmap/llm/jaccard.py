@@ -155,7 +155,7 @@ def hot_shingles(docs: DataFrame, most: int = HOT) -> tuple[np.ndarray, np.ndarr
                     seen.add(k)
                     new[i] = True
             held.append(grams[np.repeat(new, np.diff(offs))])
-            if sum(map(len, held)) > 8_000_000:
+            if sum(map(len, held)) > 4_000_000:
                 yield flush()
         yield flush()
 
@@ -210,7 +210,7 @@ def shared_prefixes(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> Data
             keep_rows = np.repeat(new, np.diff(offs))
             g, row, r = prefixes(grams[keep_rows], np.concatenate([[0], np.cumsum(np.diff(offs)[new])]), *shared.value)
             held.append(np.stack([g, k1[new].view(np.uint64)[row], r.astype(np.uint64)], 1))
-            if sum(map(len, held)) > 1_000_000:
+            if sum(map(len, held)) > 300_000:
                 yield from flush()
         yield from flush()
 
@@ -289,7 +289,7 @@ class Group:
         return np.unique(self.comps[possible & linked(inter, n, self.sizes)]).tolist()
 
 
-def number_groups(active: DataFrame, members: int = 256, shingles: int = 100_000) -> DataFrame:
+def number_groups(active: DataFrame, members: int = 256, shingles: int = 50_000) -> DataFrame:
     """(gid, rep, k1, n): classes in the order of their sort keys, cut into groups of bounded size."""
     parts = max(1, int(active.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
