@@ -323,8 +323,10 @@ def possible_groups(n: int, own: int, held: np.ndarray) -> list[int]:
     low = np.maximum(np.minimum.reduceat(held[:, 2], first), -(-3 * n // 4))
     high = np.minimum(np.maximum.reduceat(held[:, 3], first), 4 * n // 3)
     up = lambda m: -(-3 * m // 4)
-    need = lambda m: -(-3 * (n + m) // 7) - np.maximum(up(n), up(m)) + 1  # noqa: E731  least at either end of the sizes
-    return held[first, 0][(low <= high) & (common >= np.minimum(need(low), need(high)))].tolist()
+    need = lambda m: -(-3 * (n + m) // 7) - np.maximum(up(n), up(m)) + 1
+    # up to n shingles need() does not fall; beyond, it falls by 9/28 a shingle but for its two ceilings, so it is least at `low` or one of the last four sizes
+    least = np.min([need(low), *(need(np.maximum(low, high - k)) for k in range(4))], axis=0)
+    return held[first, 0][(low <= high) & (common >= least)].tolist()
 
 
 def candidates(numbered: DataFrame, postings: DataFrame) -> DataFrame:

@@ -212,6 +212,29 @@ def test_jaccard_equals_brute_force(spark, small):
     assert jaccard.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_possible_groups_equals_brute_force():
+    """A group stays if and only if the bound allows a link for one of its sizes."""
+    for n in range(1, 33):
+        for low in range(n // 2, 4 * n // 3 + 2):
+            for high in range(low, 4 * n // 3 + 2):
+                sizes = [m for m in range(low, high + 1) if 4 * m >= 3 * n and 3 * m <= 4 * n]
+                least = min((-(-3 * (n + m) // 7) - max(-(-3 * n // 4), -(-3 * m // 4)) + 1 for m in sizes), default=None)
+                for c in {least - 1, least} - {0} if sizes else {n}:
+                    got = jaccard.possible_groups(n, 0, np.array([[1, 2, low, high]] * c))
+                    assert got == ([1] if sizes and c >= least else []), (n, low, high, c)
+
+
+def test_jaccard_links_sizes_inside_a_group(spark):
+    """Passages of 13 common words and 1, 2 or 3 of their own: sets of 10, 11 and 12 shingles, all in one group."""
+    rows = []
+    for k in range(20):
+        common = " ".join(f"p{k}w{i}" for i in range(13))
+        rows += [(3 * k + i, " ".join([common, *(f"o{k}x{i}y{j}" for j in range(i + 1))])) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = linked_components(rows)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(docs).collect()} == want
+
+
 def test_toxicity_on_held_out_rows(spark):
     words = ["bad", "worse", "awful"]
     rng = random.Random(6)
