@@ -6,10 +6,11 @@ filters of width 1, 2 and 3 slide over them, each filter's maximum over the text
 a logistic unit.  Everything is trained in numpy (Adam, dropout on pooled features) on a bounded sample of
 labelled rows, the features of rare classes balanced by weights.
 
-Thresholds are calibrated by language: on a part of the sample left out of training, for each language the
-raw threshold with the best F1 is found, and raw scores are moved on the logit scale so that this threshold
-becomes `threshold` (0.3).  A text's language is guessed from its words by naive Bayes learned from the
-same rows, so a row's own language column is never read when scoring.
+Thresholds are calibrated by language on all labelled rows that are not in the sample: Spark scores their whole
+texts and counts them by language, label and fine score bin.  A label's counts are scaled to its rows in the
+whole labelled table, as the sample takes another share of each label.  For each language the raw threshold with the best F1
+is found, and raw scores are moved on the logit scale so that this threshold becomes `threshold` (0.3).  A text's language is guessed from its words by naive Bayes learned from the
+sampled rows, so a row's own language column is never read when scoring.
 
 Null, empty and wordless texts get the score of a text whose filters all stay at zero.  With no labelled
 rows, or only one class, every score is 0.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 from .samples import by_label
-from .store import small_batches
+from .store import keep, small_batches
 
 WIDTHS = (1, 2, 3)
 
@@ -102,29 +103,32 @@ def guess_language(model: Model, ids: np.ndarray, offs: np.ndarray) -> np.ndarra
     return (total[offs[1:]] - total[offs[:-1]]).argmax(1)
 
 
-def scores(model: Model, column: pa.Array) -> np.ndarray:
-    """Calibrated score of each text, 0 to 1."""
-    out = np.zeros(len(column))
-    data_rows = max(1, len(column))
+def raw_and_language(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Logit before calibration and index of the likeliest language of each text."""
+    z, lang = np.zeros(len(column)), np.zeros(len(column), np.int64)
     ids, offs = word_ids(column, model.buckets)
-    for lo in range(0, data_rows, 256):  # bounded memory: some hundred texts at a time
+    for lo in range(0, len(column), 256):  # bounded memory: some hundred texts at a time
         at = offs[lo : min(lo + 256, len(column)) + 1]
-        if len(at) < 2:
-            break
         part, own = ids[at[0] : at[-1]], at - at[0]
-        z = raw_scores(model, part, own) - model.shift[guess_language(model, part, own)]
-        out[lo : lo + len(z)] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    return out
+        z[lo : lo + len(own) - 1], lang[lo : lo + len(own) - 1] = raw_scores(model, part, own), guess_language(model, part, own)
+    return z, lang
 
 
-def _best_threshold(z: np.ndarray, y: np.ndarray) -> float:
-    """Logit between the two neighbours with the best F1 (the middle of a gap)."""
-    order = np.argsort(-z, kind="stable")
-    hits = np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + max(1, y.sum()))
+def scores(model: Model, column: pa.Array) -> np.ndarray:
+    """Calibrated score of each text, 0 to 1."""
+    z, lang = raw_and_language(model, column)
+    return 1 / (1 + np.exp(-np.clip(z - model.shift[lang], -30, 30)))
+
+
+def _best_threshold(z: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> float:
+    """Logit between the two neighbours with the best F1 (the middle of a gap); toxic and clean: weights of rows at each z."""
+    z, at = np.unique(z, return_inverse=True)
+    toxic, clean = np.bincount(at, toxic)[::-1], np.bincount(at, clean)[::-1]
+    z, hits = z[::-1], np.cumsum(toxic)
+    f1 = 2 * hits / (np.cumsum(toxic + clean) + toxic.sum())
     i = int(len(f1) - 1 - f1[::-1].argmax())
-    after = z[order[i + 1]] if i + 1 < len(z) else z[order[i]] - 1
-    return float((z[order[i]] + after) / 2)
+    after = z[i + 1] if i + 1 < len(z) else z[i] - 1
+    return float((z[i] + after) / 2)
 
 
 def _word_odds(ids: np.ndarray, offs: np.ndarray, labels: np.ndarray, rows: np.ndarray, buckets: int, prior: float) -> np.ndarray:
@@ -136,19 +140,18 @@ def _word_odds(ids: np.ndarray, offs: np.ndarray, labels: np.ndarray, rows: np.n
     return np.log((count[1] + prior * share) / (count.sum(0) + prior) / share).astype(np.float32)
 
 
-def fit(ids: np.ndarray, offs: np.ndarray, labels: np.ndarray, langs: np.ndarray, buckets: int, dim: int = 12, filters: int = 8, epochs: int = 5, least_steps: int = 150, prior: float = 10.0, decay: float = 1e-3, seed: int = 5, threshold: float = 0.3) -> Model:
-    """Trains the network; langs are indexes of languages, -1 for none."""
+def fit(ids: np.ndarray, offs: np.ndarray, labels: np.ndarray, langs: np.ndarray, buckets: int, dim: int = 12, filters: int = 8, epochs: int = 5, least_steps: int = 150, prior: float = 10.0, decay: float = 1e-3, seed: int = 5) -> Model:
+    """Trains the network, without thresholds; langs are indexes of languages, -1 for none."""
     rng = np.random.default_rng(seed)
     n, f = len(labels), filters
-    calibrate = rng.random(n) < 0.25
     params = {"e": rng.normal(0, 0.05, (buckets, dim)).astype(np.float32), "o": rng.normal(0, 0.3, f * len(WIDTHS)).astype(np.float32), "c": np.zeros(1, np.float32), "b": np.zeros(f * len(WIDTHS), np.float32)}
     params |= {f"w{w}{j}": rng.normal(0, 0.4, (dim, f)).astype(np.float32) for w in WIDTHS for j in range(w)}
-    own = np.flatnonzero(~calibrate & (np.diff(offs) > 0))
+    own = np.flatnonzero(np.diff(offs) > 0)
     params["e"][:, 0] = _word_odds(ids, offs, labels, own, buckets, prior)  # the first dimension stays as counted
     params["e"][0] = 0
     first = {k: np.zeros_like(v) for k, v in params.items()}
     second = {k: np.zeros_like(v) for k, v in params.items()}
-    share = labels[~calibrate].mean()
+    share = labels.mean()
     step = 0
 
     def model() -> Model:
@@ -215,27 +218,57 @@ def fit(ids: np.ndarray, offs: np.ndarray, labels: np.ndarray, langs: np.ndarray
     if m:
         np.add.at(count, (ids[known, 0], langs[row][known]), 1)
     out.lang_words = np.log(count / count.sum(0)).astype(np.float32)
-    # thresholds by language, on the rows left out
-    z, guess = raw_scores(out, ids, offs), guess_language(out, ids, offs)
-    goal = np.log(threshold / (1 - threshold))
-    whole = _best_threshold(z[calibrate], labels[calibrate]) if calibrate.any() else goal
-    out.shift = np.full(max(m, 1), whole - goal)
-    for k in range(m):
-        own = calibrate & (guess == k)
-        if labels[own].sum() >= 20:
-            out.shift[k] = _best_threshold(z[own], labels[own]) - goal
+    out.shift = np.zeros(max(m, 1))
     return out
 
 
+BINS, WIDEST = 128, 64  # score bins a unit of the logit, and the largest logit that is told apart
+
+
+def calibrate(model: Model, docs: DataFrame, text: str, marked: DataFrame, fitted: DataFrame, threshold: float = 0.3) -> Model:
+    """Sets the shift of each language from the scores of all labelled rows (marked: doc_id, __label) that are not fitted (doc_id).
+
+    Scores meet labels, so no text is shuffled.  A language with fewer than 20 toxic rows gets the shift of all rows.
+    """
+    rows = docs.where(F.col(text).isNotNull())
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("lang int, bin int")
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            z, lang = raw_and_language(shared.value, pa.array(batch, pa.large_string(), from_pandas=True))
+            yield pd.DataFrame({"lang": lang.astype(np.int32), "bin": np.floor(np.clip(z, -WIDEST, WIDEST) * BINS).astype(np.int32)})
+
+    known = marked.join(F.broadcast(fitted.select("doc_id", F.lit(True).alias("__fitted"))), "doc_id", "left")
+    met = rows.select("doc_id", scored(text).alias("s")).join(known, "doc_id")
+    counts = met.groupBy("s.lang", "s.bin", "__label").agg(F.count_if(F.col("__fitted").isNull()).alias("c"), F.count("*").alias("all")).toPandas()  # languages x bins x labels at most
+    y, c = counts["__label"].to_numpy(np.int64), counts["c"].to_numpy(np.float64)
+    got, totals = ({k: x[y == k].sum() for k in (0, 1)} for x in (c, counts["all"]))
+    counts, y, c = counts[c > 0], y[c > 0], c[c > 0]
+    if not (got[0] and got[1]):
+        return model
+    weight = [np.where(y == k, c * totals[k] / got[k], 0.0) for k in (1, 0)]
+    z, lang = (counts["bin"].to_numpy() + 0.5) / BINS, counts["lang"].to_numpy()
+    goal = np.log(threshold / (1 - threshold))
+    model.shift[:] = _best_threshold(z, *weight) - goal
+    for k in range(len(model.shift)):
+        own = lang == k
+        if c[own & (y == 1)].sum() >= 20:
+            model.shift[k] = _best_threshold(z[own], weight[0][own], weight[1][own]) - goal
+    return model
+
+
 def learn(docs: DataFrame, labels: DataFrame, text: str = "text", lang: str = "lang", label: str = "toxic", rows_per_label: int = 2500, words_per_row: int = 3000, buckets: int = 1 << 16) -> Model | None:
-    """Fits on about `rows_per_label` rows of each label (a bounded sample chosen by a hash of the id).
+    """Fits on about `rows_per_label` rows of each label (a bounded sample chosen by a hash of the id) and calibrates on all others.
+
+    A quarter of the ids, by another hash, is never fitted on, so that small tables have rows to calibrate on too.
 
     The sampled rows are hashed to word buckets on the executors; of a longer text the words around its start
-    up to `words_per_row` are learned from (scoring always reads the whole text).
+    up to `words_per_row` are learned from (calibration and scoring always read the whole text).
     """
     small_batches(docs.sparkSession)
     marked = labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("__label"))  # repeated rows: toxic once is toxic
-    chosen = by_label(marked, "__label", rows_per_label)
+    chosen = keep(by_label(marked.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(4)) > 0), "__label", rows_per_label), "sample")
     rows = docs.select("doc_id", text, lang).where(F.col(text).isNotNull()).join(F.broadcast(chosen), "doc_id")  # bounded by rows_per_label
 
     @F.pandas_udf("binary")
@@ -249,7 +282,8 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", lang: str = "l
     names = sorted({r["lang"] for r in got if r["lang"] is not None})
     parts = [np.frombuffer(r["ids"], np.int32).reshape(-1, 2) for r in got]
     offs = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-    return fit(np.concatenate(parts), offs, np.array([r["y"] for r in got]), np.array([names.index(r["lang"]) if r["lang"] is not None else -1 for r in got]), buckets)
+    model = fit(np.concatenate(parts), offs, np.array([r["y"] for r in got]), np.array([names.index(r["lang"]) if r["lang"] is not None else -1 for r in got]), buckets)
+    return calibrate(model, docs, text, marked, chosen)
 
 
 def score_toxicity(docs: DataFrame, model: Model | None, text: str = "text", threshold: float = 0.3) -> DataFrame:

@@ -255,6 +255,27 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.score_toxicity(odd(spark), None).where("predicted = 1").count() == 0
 
 
+def test_toxicity_thresholds_follow_all_labelled_rows(spark):
+    """Overlapping labels, one toxic row in nine: a balanced sample must not move the threshold down."""
+    rng = random.Random(21)
+    rows = []
+    for i in range(5400):
+        y = int(i % 9 == 0)
+        bad = sum(rng.random() < (0.45 if y else 0.2) for _ in range(10))
+        words = [f"bad{rng.randrange(5)}" for _ in range(bad)] + [f"fine{rng.randrange(5)}" for _ in range(10 - bad)]
+        rng.shuffle(words)
+        rows.append((i, " ".join(words), "en", "h", 0, y))
+    frame = spark.createDataFrame(rows, DOCS + ", toxic int").cache()
+    model = toxicity.learn(frame, frame.select("doc_id", "toxic"), rows_per_label=200)
+    got = toxicity.score_toxicity(frame, model).select("toxic", "score", "predicted").collect()
+
+    def f1(cut):
+        hits = sum(r["toxic"] for r in got if r["score"] >= cut)
+        return 2 * hits / (sum(r["score"] >= cut for r in got) + sum(r["toxic"] for r in got))
+
+    assert f1(0.3) > max(f1(k / 100) for k in range(1, 100)) - 0.02
+
+
 def test_html():
     page = '<html><head><title>A &amp; b</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><a href="/x">One</a></nav><!-- ad --><div class="ad">Buy.</div><article><h1>A &amp; title</h1><p><b>Some  words\nof it.<br><p>More words &lt;here&gt;.</p></article><footer>&copy; site</footer>'
     assert html.main_text(page) == "A & title\n\nSome words of it.\n\nMore words <here>."
