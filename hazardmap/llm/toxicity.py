@@ -258,13 +258,12 @@ def calibrate(model: Model, docs: DataFrame, text: str, marked: DataFrame, fitte
     return model
 
 
-def learn(docs: DataFrame, labels: DataFrame, text: str = "text", lang: str = "lang", label: str = "toxic", rows_per_label: int = 2500, words_per_row: int = 3000, buckets: int = 1 << 16) -> Model | None:
+def learn(docs: DataFrame, labels: DataFrame, text: str = "text", lang: str = "lang", label: str = "toxic", rows_per_label: int = 2500, buckets: int = 1 << 16) -> Model | None:
     """Fits on about `rows_per_label` rows of each label (a bounded sample chosen by a hash of the id) and calibrates on all others.
 
     A quarter of the ids, by another hash, is never fitted on, so that small tables have rows to calibrate on too.
 
-    The sampled rows are hashed to word buckets on the executors; of a longer text the words around its start
-    up to `words_per_row` are learned from (calibration and scoring always read the whole text).
+    The sampled rows are hashed to word buckets on the executors and learned from as whole texts.
     """
     small_batches(docs.sparkSession)
     marked = labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("__label"))  # repeated rows: toxic once is toxic
@@ -274,7 +273,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", lang: str = "l
     @F.pandas_udf("binary")
     def hashed(column: pd.Series) -> pd.Series:
         ids, offs = word_ids(pa.array(column, pa.large_string(), from_pandas=True), buckets)
-        return pd.Series([ids[a : min(b, a + words_per_row)].tobytes() for a, b in zip(offs, offs[1:])])
+        return pd.Series([ids[a:b].tobytes() for a, b in zip(offs, offs[1:])])
 
     got = sorted(rows.select("doc_id", F.col("__label").alias("y"), F.col(lang).alias("lang"), hashed(text).alias("ids")).collect(), key=lambda r: (r["doc_id"], bytes(r["ids"])))
     if len({r["y"] for r in got}) < 2:

@@ -276,6 +276,21 @@ def test_toxicity_thresholds_follow_all_labelled_rows(spark):
     assert f1(0.3) > max(f1(k / 100) for k in range(1, 100)) - 0.02
 
 
+def test_toxicity_learns_from_whole_texts(spark):
+    """Passages that make a text toxic stand behind its first 3,000 words."""
+    rng = random.Random(22)
+    rows = []
+    for i in range(160):
+        words = [f"fine{rng.randrange(300)}" for _ in range(3100)]
+        if i % 2:
+            words[3050:3060] = ["vile", "slur"] * 5
+        rows.append((i, " ".join(words), "en", "h", 0, i % 2))
+    frame = spark.createDataFrame(rows, DOCS + ", toxic int").cache()
+    model = toxicity.learn(frame, frame.select("doc_id", "toxic"))
+    got = toxicity.score_toxicity(frame, model).select("toxic", "predicted").collect()
+    assert np.mean([r["toxic"] == r["predicted"] for r in got]) > 0.95
+
+
 def test_html():
     page = '<html><head><title>A &amp; b</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><a href="/x">One</a></nav><!-- ad --><div class="ad">Buy.</div><article><h1>A &amp; title</h1><p><b>Some  words\nof it.<br><p>More words &lt;here&gt;.</p></article><footer>&copy; site</footer>'
     assert html.main_text(page) == "A & title\n\nSome words of it.\n\nMore words <here>."
