@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazardmap.llm.decontaminate import decontaminate
-from hazardmap.llm.jaccard import near_duplicates
+from hazardmap.llm.jaccard import one_of_each
 from hazardmap.llm.packing import pack_documents
 from hazardmap.llm.pii import find_pii
 from hazardmap.llm.samples import held_out
@@ -26,9 +26,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the least doc_id."""
-    copies = near_duplicates(docs).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+    """Of each group of linked documents the one with the least doc_id; of repeated rows one."""
+    return one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

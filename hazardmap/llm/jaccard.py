@@ -12,18 +12,25 @@ A-Z lower-cased; with fewer than 5 words the whole sequence is one shingle).  Tw
 3. These classes are sorted so that similar ones stand together and are numbered in groups of bounded size.
    The token-group matrix says which group holds which prefix shingle, and in members of which sizes.  With c
    prefix shingles of a class x in group g, no member y can share more than c + max(ceil(.75 |x|), ceil(.75 |y|)) - 1
-   shingles with x; groups, the class's own included, whose bound falls short for every size are left out.
+   shingles with x; groups whose bound falls short for every size are left out.
 4. Only classes with a group left bring their whole sets.  Each group gathers its members' sets, their union
-   and incidence; links inside it come from the incidence at once.  A class queries each remaining group of a
-   lower number: its overlap with the group's union bounds that with every member, and only groups that can
-   reach the threshold are opened.
-
-No candidate is capped: every pair that can reach the threshold is tested exactly.  Hot groups of copies
-collapse within tasks before any shuffle; hot shingles skip the bucket shuffle of step 2, as they are known to
-be shared; a crowd of near copies spreads over many groups, and a group with many queries is tested in several
-tasks.
+   and incidence; links inside it come from the incidence at once.
+5. Links inside groups are followed first, for two and more orders of the classes.  From then on a shingle counts
+   only if classes of two components hold it, so a crowd of near copies, which soon is one component, is not
+   compared with itself over and over.
+6. At last each class queries each remaining group of a lower number that holds another component: its overlap
+   with the group's union bounds that with every member, and only groups that can reach the threshold are opened.
+
+No candidate is capped: every pair that can reach the threshold and is not yet known to be connected is tested
+exactly.  Hot groups of copies collapse within tasks before any shuffle; hot shingles skip the bucket shuffle of
+step 2, as they are known to be shared; a group with many queries is tested in several tasks.  What stays
+quadratic, in groups and not in documents, are crowds that share much of their prefixes without being linked.
 
 Null and empty texts, and texts without words, have no shingles, link with nothing and are their own component.
+Rows without a doc_id are compared like others; their component_id is null unless a link leads to a doc_id.
+Rows that repeat a doc_id are compared each by its own text; those that share a name as their class's least doc_id
+count as one document.
+doc_ids are below 2^62.
 """
 
 from __future__ import annotations
@@ -34,16 +41,17 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import components
 from . import text as tx
-from .store import keep, small_batches
+from .store import keep, release, small_batches
 
 SHINGLE = 5
 HOT = 1 << 18
-_K1, _K2 = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
+NAMELESS = 1 << 62
+_K1, _K2, _K3 = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -75,13 +83,12 @@ def set_keys(grams: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out[0], out[1]
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """doc_id, shingles and offsets of slices of batches with columns doc_id and text."""
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of batches with a text column, each with its shingles and offsets."""
     for batch in batches:
         data, offs = tx.buffers(batch.column("text"))
-        ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
         for lo, hi, part, at in tx.slices(data, offs):
-            yield (ids[lo:hi], *shingle_sets(part, at))
+            yield (batch.slice(lo, hi - lo), *shingle_sets(part, at))
 
 
 def prefix_lengths(n: np.ndarray) -> np.ndarray:
@@ -106,24 +113,33 @@ def _frame(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
 
+def named_rows(docs: DataFrame) -> DataFrame:
+    """docs with __row (doc_id, or for rows without one a number from 2^62 on by text) and __text (a hash of the text)."""
+    text = F.xxhash64("text")
+    return docs.withColumns({"__row": F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(text, 2) + F.lit(NAMELESS)), "__text": text})
+
+
 def document_sets(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, n (shingles), k1 and k2 (the set's name), s1 (a sort key that brings similar sets together) of each document."""
-    names = ("doc_id", "n", "k1", "k2", "s1")
+    """row, text (hash), n (shingles), k1 and k2 (the set's name), s1 and s2 (sort keys that bring similar sets together) of each document."""
+    names = ("row", "text", "n", "k1", "k2", "s1", "s2")
     schema = pa.schema([(c, pa.int64()) for c in names])
     shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, grams, offs in _sets(batches):
+        for part, grams, offs in _sets(batches):
             k1, k2 = set_keys(grams, offs)
             pre, row, rank = prefixes(grams, offs, *shared.value)
             some = np.diff(offs) > 0
-            s1 = np.zeros(len(ids), np.uint64)
-            s1[some] = grams[offs[:-1][some]]  # the least shingle
+            s1, s2 = np.zeros((2, part.num_rows), np.uint64)
+            if some.any():
+                s1[some] = grams[offs[:-1][some]]  # the least shingle
+                s2[some] = np.minimum.reduceat(tx.mix(grams ^ _K3), offs[:-1][some])  # the least by another hash
             first = np.flatnonzero(rank > 0)[::-1]
             s1[row[first]] = pre[first]  # the first hot shingle of the prefix, if it has one
-            yield _frame(schema, doc_id=ids, n=np.diff(offs), k1=k1, k2=k2, s1=s1.view(np.int64))
+            yield _frame(schema, row=part.column("__row"), text=part.column("__text"), n=np.diff(offs), k1=k1, k2=k2, s1=s1.view(np.int64), s2=s2.view(np.int64))
+        release()
 
-    return docs.select("doc_id", "text").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return docs.select("__row", "__text", "text").mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def hot_shingles(docs: DataFrame, most: int = HOT) -> tuple[np.ndarray, np.ndarray]:
@@ -155,11 +171,12 @@ def hot_shingles(docs: DataFrame, most: int = HOT) -> tuple[np.ndarray, np.ndarr
                     seen.add(k)
                     new[i] = True
             held.append(grams[np.repeat(new, np.diff(offs))])
-            if sum(map(len, held)) > 4_000_000:
+            if sum(map(len, held)) > 2_000_000:
                 yield flush()
         yield flush()
+        release()
 
-    counts = docs.select("doc_id", "text").mapInArrow(run, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
+    counts = docs.select("text").mapInArrow(run, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
     top = counts.orderBy(F.desc("c"), "gram").limit(most).toPandas()  # `most` rows at most
     gram = top["gram"].to_numpy(np.int64).view(np.uint64)
     rank = np.arange(len(gram), 0, -1)  # the most frequent last
@@ -173,7 +190,8 @@ def shared_prefixes(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> Data
     Shingles that are not hot meet in buckets by hash; a bucket's rows are packed, one row per task and bucket.
     """
     spark = docs.sparkSession
-    buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")) * 4)
+    parts = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = parts * 16  # a task meets one bucket at a time
     shared = spark.sparkContext.broadcast(hot)
     schema = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
     out = pa.schema([("gram", pa.int64()), ("k1", pa.int64())])
@@ -194,9 +212,9 @@ def shared_prefixes(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> Data
             ends = np.append(cuts[1:], len(bucket))
             names, blobs = [], []
             for a, z in zip(cuts, ends):
-                for lo in range(a, z, 1 << 17):
+                for lo in range(a, z, 1 << 14):
                     names.append(int(bucket[a]))
-                    blobs.append(both[lo : min(z, lo + (1 << 17))].tobytes())
+                    blobs.append(both[lo : min(z, lo + (1 << 14))].tobytes())
             if names:
                 yield _frame(schema, bucket=names, blob=blobs)
 
@@ -210,35 +228,45 @@ def shared_prefixes(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> Data
             keep_rows = np.repeat(new, np.diff(offs))
             g, row, r = prefixes(grams[keep_rows], np.concatenate([[0], np.cumsum(np.diff(offs)[new])]), *shared.value)
             held.append(np.stack([g, k1[new].view(np.uint64)[row], r.astype(np.uint64)], 1))
-            if sum(map(len, held)) > 300_000:
+            if sum(map(len, held)) > 500_000:
                 yield from flush()
         yield from flush()
+        release()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[bytes] = []
+        now, held = -1, []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            x = np.frombuffer(b"".join(held), np.uint64).reshape(-1, 2)
+            held.clear()
+            x = x[np.lexsort((x[:, 1], x[:, 0]))]
+            fresh = np.ones(len(x), bool)
+            fresh[1:] = (x[1:] != x[:-1]).any(1)
+            x = x[fresh]
+            same = x[1:, 0] == x[:-1, 0]
+            both = np.zeros(len(x), bool)
+            both[1:] |= same
+            both[:-1] |= same
+            x = x[both].view(np.int64)
+            yield _frame(out, gram=x[:, 0], k1=x[:, 1])
+
         for batch in batches:
-            for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist()):
+            for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob")):
                 if bucket < 0:  # dealt out anywhere
-                    x = np.frombuffer(blob, np.int64).reshape(-1, 2)
+                    x = np.frombuffer(blob.as_buffer(), np.int64).reshape(-1, 2)
                     yield _frame(out, gram=x[:, 0], k1=x[:, 1])
-                else:
-                    held.append(blob)
-        x = np.frombuffer(b"".join(held), np.uint64).reshape(-1, 2)
-        x = x[np.lexsort((x[:, 1], x[:, 0]))]
-        fresh = np.ones(len(x), bool)
-        fresh[1:] = (x[1:] != x[:-1]).any(1)
-        x = x[fresh]
-        same = x[1:, 0] == x[:-1, 0]
-        both = np.zeros(len(x), bool)
-        both[1:] |= same
-        both[:-1] |= same
-        x = x[both].view(np.int64)
-        yield _frame(out, gram=x[:, 0], k1=x[:, 1])
-
-    packed = docs.select("doc_id", "text").mapInArrow(pack, "bucket int, blob binary")
+                    continue
+                if bucket != now and held:
+                    yield from close()
+                now = bucket
+                held.append(blob.as_py())
+        yield from close()
+        release()
+
+    packed = docs.select("text").mapInArrow(pack, "bucket int, blob binary")
     # hot rows may go anywhere: they are spread by their content
     spread = F.when(F.col("bucket") < 0, F.hash("blob")).otherwise(F.col("bucket"))
-    return packed.repartition(buckets // 4, spread).mapInArrow(meet, "gram long, k1 long")
+    return packed.repartition(parts, spread).sortWithinPartitions("bucket").mapInArrow(meet, "gram long, k1 long").distinct()
 
 
 def linked(inter: np.ndarray, n: int, m: np.ndarray) -> np.ndarray:
@@ -249,6 +277,7 @@ class Group:
     """Members' sets, their union and the incidence of both."""
 
     def __init__(self, reps: list[int], sets: list[np.ndarray]):
+        """reps name the members; two members of one name are one document."""
         self.reps, self.sizes = np.array(reps, np.int64), np.array([len(s) for s in sets], np.int64)
         flat = np.concatenate([np.zeros(0, np.uint64), *sets])
         self.union, at = np.unique(flat, return_inverse=True)
@@ -289,8 +318,8 @@ class Group:
         return np.unique(self.comps[possible & linked(inter, n, self.sizes)]).tolist()
 
 
-def number_groups(active: DataFrame, members: int = 256, shingles: int = 50_000) -> DataFrame:
-    """(gid, rep, k1, n): classes in the order of their sort keys, cut into groups of bounded size."""
+def number_groups(active: DataFrame, order: list[Column], members: int = 256, shingles: int = 50_000) -> DataFrame:
+    """active with gid: classes in the given order, cut into groups of bounded size."""
     parts = max(1, int(active.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -302,122 +331,210 @@ def number_groups(active: DataFrame, members: int = 256, shingles: int = 50_000)
                     gid, count, size = gid + 1, 0, 0
                 gids.append(gid)
                 count, size = count + 1, size + n
-            yield frame.assign(gid=gids)[["gid", "rep", "k1", "n"]]
+            yield frame.assign(gid=gids)
 
-    dealt = active.repartitionByRange(parts, "s1", "n", "rep").sortWithinPartitions("s1", "n", "rep")
-    return dealt.select("rep", "k1", "n").mapInPandas(run, "gid long, rep long, k1 long, n long")
+    dealt = active.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    return dealt.mapInPandas(run, ", ".join(f"{c} long" for c in [*active.columns, "gid"]))
 
 
-def possible_groups(n: int, own: int, held: np.ndarray) -> list[int]:
-    """Groups that a class of n shingles in group `own` may link with.
+def may_link(n: str = "n", c: str = "c", low: str = "lo", high: str = "hi") -> Column:
+    """Can a class of n shingles link with a member of a group, between low and high shingles large, that holds c of its prefix?
 
-    held: rows (group, members, least size, largest size), one for each prefix shingle of the class and group that
-    holds it.  Each row stands for one shingle shared with the group's members of these sizes.
+    Up to n shingles the least overlap asked for does not fall with the member's size; beyond, it falls by 9/28 a
+    shingle but for its two ceilings, so it is least at `low` or at one of the last four sizes.
     """
-    held = held[(held[:, 0] != own) | (held[:, 1] > 1)]  # in its own group the class holds them itself
-    if not len(held):
-        return []
-    held = held[np.argsort(held[:, 0], kind="stable")]
-    first = np.flatnonzero(np.concatenate([[True], held[1:, 0] != held[:-1, 0]]))
-    common = np.diff(np.append(first, len(held)))
-    low = np.maximum(np.minimum.reduceat(held[:, 2], first), -(-3 * n // 4))
-    high = np.minimum(np.maximum.reduceat(held[:, 3], first), 4 * n // 3)
-    up = lambda m: -(-3 * m // 4)
-    need = lambda m: -(-3 * (n + m) // 7) - np.maximum(up(n), up(m)) + 1
-    # up to n shingles need() does not fall; beyond, it falls by 9/28 a shingle but for its two ceilings, so it is least at `low` or one of the last four sizes
-    least = np.min([need(low), *(need(np.maximum(low, high - k)) for k in range(4))], axis=0)
-    return held[first, 0][(low <= high) & (common >= least)].tolist()
-
-
-def candidates(numbered: DataFrame, postings: DataFrame) -> DataFrame:
-    """(rep, gid, gids) of classes with a group left: their own group and the groups that may hold a link."""
-    placed = postings.join(numbered, "k1").select("gram", "gid", "rep", "n")
-    in_group = placed.groupBy("gram", "gid").agg(F.count("*").alias("c"), F.min("n").alias("lo"), F.max("n").alias("hi"))
-    matrix = in_group.groupBy("gram").agg(F.flatten(F.collect_list(F.array("gid", "c", "lo", "hi"))).alias("held"), F.sum("c").alias("all")).where(F.col("all") > 1)
-    asked = placed.join(matrix.select("gram", "held"), "gram").groupBy("rep", "gid", "n").agg(F.flatten(F.collect_list("held")).alias("held"))
+    low, high = f"greatest({low}, (3 * {n} + 3) div 4)", f"least({high}, (4 * {n}) div 3)"
+    need = lambda m: f"(3 * ({n} + {m}) + 6) div 7 - greatest((3 * {n} + 3) div 4, (3 * {m} + 3) div 4) + 1"
+    least = ", ".join([need(low), *(need(f"greatest({low}, {high} - {k})") for k in range(4))])
+    return F.expr(f"{low} <= {high} and {c} >= least({least})")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            frame["gids"] = [possible_groups(n, gid, np.asarray(held, np.int64).reshape(-1, 4)) for n, gid, held in zip(frame["n"].tolist(), frame["gid"].tolist(), frame["held"])]
-            yield frame.loc[frame["gids"].map(len) > 0, ["rep", "gid", "gids"]]
 
-    return asked.mapInPandas(run, "rep long, gid long, gids array<long>")
+def inside_groups(placed: DataFrame) -> DataFrame:
+    """(rep, k1, k2, to) of classes that may link with a class of another component in their own group; placed: gram and a numbered class."""
+    group = Window.partitionBy("gram", "gid")  # at most the members of a group
+    seen = placed.select("*", F.count("*").over(group).alias("c"), F.min("n").over(group).alias("lo"), F.max("n").over(group).alias("hi"), F.min("comp").over(group).alias("ca"), F.max("comp").over(group).alias("cb"))
+    met = seen.where("c > 1 and ca < cb").groupBy("rep", "k1", "k2", "gid", "n").agg(F.count("*").alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return met.where(may_link()).select("rep", "k1", "k2", F.array(F.struct(F.lit(0).alias("kind"), "gid", F.lit(0).alias("salt"))).alias("to"))
 
 
-def link_groups(docs: DataFrame, chosen: DataFrame, each: int = 512, few: int = 1_000_000) -> DataFrame:
-    """Links (a, b) between classes, inside groups and across: enough of them to connect whatever is linked.
+def across_groups(placed: DataFrame, each: int = 256) -> DataFrame:
+    """(rep, k1, k2, to) of classes that may link with a class of another component in any group.
 
-    chosen: rep, gid, gids.  A class's set goes to its own group as a member and to each group of a lower number
-    among gids as a query; a group with many queries is tested `each` queries at a time.  With at most `few`
-    classes their targets are broadcast to the documents; else both meet by a shuffle.
+    A class is a member of its own group (kind 0) and queries the others of a lower number (kind 1); a group with
+    many queries is tested `each` queries at a time.
     """
-    spark = docs.sparkSession
-    asked = chosen.select("rep", F.explode(F.expr("filter(gids, g -> g < gid)")).alias("gid"))
+    in_group = placed.groupBy("gram", "gid").agg(F.count("*").alias("c"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("comp").alias("ca"), F.max("comp").alias("cb"))
+    held = keep(in_group, "matrix").withColumnRenamed("gid", "of").alias("g")
+    fits = "g.gram = p.gram and not (g.ca = p.comp and g.cb = p.comp) and g.hi >= (3 * p.n + 3) div 4 and g.lo <= (4 * p.n) div 3 and (g.of <> p.gid or g.c > 1)"
+    met = placed.alias("p").join(held, F.expr(fits)).groupBy("p.rep", "p.k1", "p.k2", "p.gid", "p.n", "g.of").agg(F.count("*").alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    chosen = keep(met.where(may_link()).select("rep", "k1", "k2", "gid", "of"), "chosen")
+    asked = chosen.where("of < gid").select("rep", "k1", "k2", F.col("of").alias("gid"))
     salts = asked.groupBy("gid").agg(F.ceil(F.count("*") / each).cast("int").alias("salts"))
-    asks = asked.join(salts, "gid").select("rep", F.struct(F.lit(1).alias("kind"), "gid", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int").alias("salt")).alias("to"))
+    asks = asked.join(salts, "gid").select("rep", "k1", "k2", F.lit(1).alias("kind"), "gid", F.pmod(F.xxhash64("rep", "k1"), F.col("salts")).cast("int").alias("salt"))
     copies = F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))
-    homes = chosen.select("rep", "gid").join(salts, "gid", "left").select("rep", "gid", copies.alias("salt")).select("rep", F.struct(F.lit(0).alias("kind"), "gid", "salt").alias("to"))
-    targets = keep(asks.unionByName(homes).groupBy(F.col("rep").alias("doc_id")).agg(F.collect_list("to").alias("to")), "targets")
-    targets = F.broadcast(targets) if targets.count() <= few else targets
-    schema = pa.schema([("gid", pa.int64()), ("salt", pa.int32()), ("kind", pa.int32()), ("rep", pa.int64()), ("grams", pa.binary())])
+    homes = chosen.select("rep", "k1", "k2", "gid").distinct().join(salts, "gid", "left").select("rep", "k1", "k2", F.lit(0).alias("kind"), "gid", copies.alias("salt"))
+    return asks.unionByName(homes).groupBy("rep", "k1", "k2").agg(F.collect_list(F.struct("kind", "gid", "salt")).alias("to"))
+
+
+def link_groups(docs: DataFrame, targets: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:
+    """Links (a, b) between classes, inside groups and across: enough of them to connect whatever is linked.
+
+    targets: rep, k1, k2 and to (kind, gid, salt).  A class's set goes to its own group as a member and to others as a
+    query.  Targets of at most `most_bytes` are broadcast to the documents; else both meet by a shuffle.
+    """
+    spark = docs.sparkSession
+    targets = keep(targets, "targets")
+    size = targets.agg(F.coalesce(F.sum(F.size("to") * 40 + 80), F.lit(0)).alias("b")).first()["b"]
+    targets = F.broadcast(targets) if size <= most_bytes else targets
+    schema = pa.schema([("gid", pa.int64()), ("salt", pa.int32()), ("kind", pa.int32()), ("rep", pa.int64()), ("k1", pa.int64()), ("grams", pa.binary())])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            done = 0
-            to = batch.column("to").to_pylist()
-            for ids, grams, offs in _sets(iter([batch])):
-                rows = [(t["gid"], t["salt"], t["kind"], int(i), grams[a:b].tobytes()) for i, a, b, ts in zip(ids, offs, offs[1:], to[done : done + len(ids)]) for t in ts]
-                done += len(ids)
-                yield _frame(schema, **dict(zip(schema.names, map(list, zip(*rows)))))
+        sent: set[tuple[int, int]] = set()
+        rows: list[tuple] = []
+        held = 0
 
-    sent = docs.select("doc_id", "text").join(targets, "doc_id").mapInArrow(send, "gid long, salt int, kind int, rep long, grams binary")
+        def flush() -> pa.RecordBatch:
+            nonlocal held
+            frame = _frame(schema, **dict(zip(schema.names, map(list, zip(*rows)))))
+            rows.clear()
+            held = 0
+            return frame
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, rows, group = None, [], None
+        for part, grams, offs in _sets(batches):
+            k1, k2 = set_keys(grams, offs)
+            right = (k1 == part.column("k1").to_numpy()) & (k2 == part.column("k2").to_numpy())
+            for i in np.flatnonzero(right).tolist():
+                rep, name = part.column("rep")[i].as_py(), int(k1[i])
+                if (rep, name) in sent:  # a row that stands many times in the table is sent once by a task
+                    continue
+                sent.add((rep, name))
+                own = grams[offs[i] : offs[i + 1]].tobytes()
+                for t in part.column("to")[i].as_py():
+                    rows.append((t["gid"], t["salt"], t["kind"], rep, name, own))
+                    held += len(own)
+                    if held > 4 << 20:
+                        yield flush()
+        if rows:
+            yield flush()
+        release()
+
+    texts = docs.select(F.col("__row").alias("rep"), "text")
+    sent = texts.join(targets, "rep").select("rep", "k1", "k2", "to", "text").mapInArrow(send, "gid long, salt int, kind int, rep long, k1 long, grams binary")
+    links = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, names, sets, group = None, [], [], None
+        found: list[tuple[int, int]] = []
 
-        def close() -> list[tuple[int, int]]:
+        def close() -> None:
             nonlocal group
-            if group is not None or not rows:
-                return []
-            group = Group(*map(list, zip(*rows)))
-            group.join_inside()
-            return [(a, b) for a, b in zip(group.reps.tolist(), group.comps.tolist()) if a != b]
+            if group is None and names:
+                group = Group([r for r, _ in names], sets)
+                names.clear()
+                sets.clear()
+                group.join_inside()
+                found.extend((a, b) for a, b in zip(group.reps.tolist(), group.comps.tolist()) if a != b)
 
-        for frame in frames:
-            links = []
-            for gid, salt, kind, rep, grams in zip(*(frame[c].tolist() for c in ("gid", "salt", "kind", "rep", "grams"))):
+        def flush() -> pa.RecordBatch:
+            frame = _frame(links, a=[a for a, _ in found], b=[b for _, b in found])
+            found.clear()
+            return frame
+
+        for batch in batches:
+            keys = zip(*(batch.column(c).to_pylist() for c in ("gid", "salt", "kind", "rep", "k1")))
+            for (gid, salt, kind, rep, name), grams in zip(keys, batch.column("grams")):
                 if now != (gid, salt):
-                    links += close()
-                    now, rows, group = (gid, salt), [], None
-                grams = np.frombuffer(grams, np.uint64)
+                    close()
+                    now, group = (gid, salt), None
+                    names.clear()
+                    sets.clear()
+                own = np.frombuffer(grams.as_buffer(), np.uint64)
                 if kind == 0:
-                    if not rows or rows[-1][0] != rep:  # a document that stands twice in the table counts once
-                        rows.append((rep, grams))
+                    if not names or names[-1] != (rep, name):  # a row that stands twice in the table counts once
+                        names.append((rep, name))
+                        sets.append(own.copy())
                     continue
-                links += close()
-                links += [(rep, other) for other in group.query(grams)] if group is not None else []
-            yield pd.DataFrame(links, columns=["a", "b"], dtype="int64")
-        yield pd.DataFrame(close(), columns=["a", "b"], dtype="int64")
+                close()
+                if group is not None:
+                    found.extend((rep, other) for other in group.query(own))
+            yield flush()
+        close()
+        yield flush()
+        release()
 
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return sent.repartition(parts, "gid", "salt").sortWithinPartitions("gid", "salt", "kind", "rep").mapInPandas(run, "a long, b long")
+    return sent.repartition(parts, "gid", "salt").sortWithinPartitions("gid", "salt", "kind", "rep", "k1").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id (the least doc_id that links lead to) of each document.
+def connect(docs: DataFrame, postings: DataFrame, classes: DataFrame, rounds: int = 5, wide: int = 8) -> DataFrame:
+    """(node, label) of linked classes.
 
-    docs needs doc_id and text; other columns are left out.  Rows without a doc_id are left out; rows that
-    repeat a doc_id with the same text repeat its result.
+    classes: rep, k1, k2, n, s1, s2.  Two rounds and up to `rounds` follow links inside groups only; more than two are made
+    while the last step, over all groups, would look at more than `wide` groups for each shingle of a class.
     """
+    labels = docs.sparkSession.createDataFrame([], "node long, label long")
+    orders = [["s1", "n", "rep", "k1"], ["s2", "mixed", "rep", "k1"]]
+    step = 0
+    while True:
+        named = classes.join(labels, F.col("rep") == F.col("node"), "left").select("rep", "k1", "k2", "n", "s1", "s2", F.coalesce("label", "rep").alias("comp"))
+        held = postings.join(named, "k1")
+        apart = keep(held.groupBy("gram").agg(F.min("comp").alias("ca"), F.max("comp").alias("cb")).where("ca < cb").select("gram"), "apart")
+        held = keep(held.join(apart, "gram"), "held")  # shingles that two components hold
+        order = orders[step % 2]
+        active = held.select("rep", "k1", "k2", "n", "s1", "s2", "comp").distinct()
+        numbered = number_groups(active.withColumn("mixed", F.xxhash64("rep", "k1", F.lit(step))), order)
+        placed = keep(held.select("gram", "k1", "k2", "rep").join(numbered.select("rep", "k1", "k2", "n", "comp", "gid"), ["rep", "k1", "k2"]), "placed")
+        last = step >= rounds
+        if not last and step >= 2:
+            sums = placed.groupBy("gram").agg(F.count("*").alias("h"), F.approx_count_distinct("gid").alias("g")).agg(F.sum("h").alias("h"), F.sum(F.col("h") * F.col("g")).alias("hg")).first()
+            last = (sums["hg"] or 0) <= wide * (sums["h"] or 0)
+        found = keep(link_groups(docs, across_groups(placed) if last else inside_groups(placed)), "links")
+        labels = components(found.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
+        if last:
+            return labels
+        labels = keep(labels, "labels")
+        step += 1
+
+
+def row_components(docs: DataFrame) -> DataFrame:
+    """row, text, n and comp of each row of named_rows(): comp is the least row that links lead to."""
     small_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull())
     hot = hot_shingles(docs)
     each = keep(document_sets(docs, hot), "sets")
-    classes = each.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("s1").alias("s1"))
+    classes = each.where("n > 0").groupBy("k1", "k2").agg(F.min("row").alias("rep"), *(F.min(c).alias(c) for c in ("n", "s1", "s2")))
     postings = keep(shared_prefixes(docs, hot), "postings")
-    numbered = keep(number_groups(classes.join(postings.select("k1").distinct(), "k1", "left_semi")), "groups")
-    chosen = keep(candidates(numbered, postings), "chosen")
-    labels = components(link_groups(docs, chosen))
-    named = classes.join(labels, F.col("rep") == F.col("node"), "left").select("k1", "k2", F.coalesce("label", "rep").alias("component"))
-    found = each.where("n > 0").join(named, ["k1", "k2"]).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
-    return found.unionByName(each.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    sharing = keep(classes.join(postings.select("k1").distinct(), "k1", "left_semi"), "classes")
+    labels = connect(docs, postings, sharing)
+    named = classes.select("k1", "k2", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("k1", "k2", F.coalesce("label", "rep").alias("comp"))
+    found = each.where("n > 0").join(named, ["k1", "k2"]).select("row", "text", "n", "comp")
+    return found.unionByName(each.where("n = 0").select("row", "text", "n", F.col("row").alias("comp")))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id (the least doc_id that links lead to) of each document.
+
+    docs needs doc_id and text; other columns are left out.
+    """
+    named = lambda c: F.when(F.col(c) < NAMELESS, F.col(c))
+    return row_components(named_rows(docs.select("doc_id", "text"))).select(named("row").alias("doc_id"), F.col("n").alias("n_shingles"), named("comp").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:
+    """docs without near copies: of each component one row stays (that of the least doc_id; of rows that repeat it, one).
+
+    The rows that go are broadcast if they take at most `most_bytes`, else they meet the documents by a shuffle.
+    """
+    rows = named_rows(docs)
+    found = keep(row_components(rows).groupBy(F.col("row").alias("__row"), F.col("text").alias("__text")).agg(F.max("n").alias("n"), F.max("comp").alias("comp"), F.count("*").alias("times")), "rows")
+    stays = F.col("comp") == F.col("__row")
+    # rows of one doc_id with different texts in the doc_id's own component: the least text hash stays
+    first = found.where((F.col("n") > 0) & stays).groupBy("__row").agg(F.min("__text").alias("first"), F.count("*").alias("texts")).where("texts > 1")
+    others = found.where((F.col("n") > 0) & stays).join(first, "__row").where("__text <> first")
+    gone = keep(found.where((F.col("n") > 0) & ~stays).select("__row", "__text").unionByName(others.select("__row", "__text")), "gone")
+    bounded = lambda df: F.broadcast(df) if df.count() * 40 <= most_bytes else df
+    kept = rows.join(bounded(gone), ["__row", "__text"], "left_anti")
+    again = keep(found.where((F.col("n") > 0) & stays & (F.col("times") > 1)).select("__row", "__text"), "again")
+    if not again.isEmpty():
+        again = bounded(again)
+        kept = kept.join(again, ["__row", "__text"], "left_anti").unionByName(kept.join(again, ["__row", "__text"], "left_semi").dropDuplicates(["__row", "__text"]))
+    return kept.select(docs.columns)

@@ -212,16 +212,19 @@ def test_jaccard_equals_brute_force(spark, small):
     assert jaccard.near_duplicates(docs.limit(0)).count() == 0
 
 
-def test_possible_groups_equals_brute_force():
+def test_group_bound_equals_brute_force(spark):
     """A group stays if and only if the bound allows a link for one of its sizes."""
-    for n in range(1, 33):
-        for low in range(n // 2, 4 * n // 3 + 2):
+    rows, want = [], {}
+    for n in [*range(1, 41), 97, 128, 200]:
+        for low in {*range(n // 2, 4 * n // 3 + 2)} if n < 41 else {3 * n // 4, n - 1, n, n + 7, 4 * n // 3}:
             for high in range(low, 4 * n // 3 + 2):
                 sizes = [m for m in range(low, high + 1) if 4 * m >= 3 * n and 3 * m <= 4 * n]
                 least = min((-(-3 * (n + m) // 7) - max(-(-3 * n // 4), -(-3 * m // 4)) + 1 for m in sizes), default=None)
                 for c in {least - 1, least} - {0} if sizes else {n}:
-                    got = jaccard.possible_groups(n, 0, np.array([[1, 2, low, high]] * c))
-                    assert got == ([1] if sizes and c >= least else []), (n, low, high, c)
+                    rows.append((n, c, low, high))
+                    want[rows[-1]] = bool(sizes) and c >= least
+    got = spark.createDataFrame(rows, "n long, c long, lo long, hi long").select("n", "c", "lo", "hi", jaccard.may_link()).collect()
+    assert {tuple(r[:4]): r[4] for r in got} == want
 
 
 def test_jaccard_links_sizes_inside_a_group(spark):
@@ -235,6 +238,43 @@ def test_jaccard_links_sizes_inside_a_group(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(docs).collect()} == want
 
 
+def test_jaccard_links_across_groups(spark):
+    """Small groups and no contraction first: the last step alone finds every link, for random sizes up to 200."""
+    rng = random.Random(31)
+    rows = []
+    for k in range(60):
+        base = [f"b{k % 40}w{i}" for i in range(rng.randrange(5, 204))]
+        for i in range(rng.randrange(1, 7)):
+            w = base[:]
+            for _ in range(rng.randrange(0, max(1, len(w) // 25) + 1)):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w[rng.randrange(0, len(w) // 8 + 1) :])))
+    want = {i: c for i, (_, c) in linked_components(rows).items()}
+    for parts in (1, 4, 31):
+        docs = jaccard.named_rows(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts))
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        each = jaccard.document_sets(docs, none).where("n > 0").groupBy("k1", "k2").agg(F.min("row").alias("rep"), F.min("n").alias("n"), F.min("s2").alias("s2"))
+        each = jaccard.keep(each.withColumn("comp", F.col("rep")), "each")
+        numbered = jaccard.number_groups(each, ["s2", "rep"], members=5)
+        placed = jaccard.keep(jaccard.shared_prefixes(docs, none).join(numbered.drop("k2"), "k1").join(each.select("k1", "k2"), "k1"), "placed")
+        links = jaccard.components(jaccard.link_groups(docs, jaccard.across_groups(placed, each=2)))
+        label = {r["node"]: r["label"] for r in links.collect()}
+        first = {r["rep"] for r in each.collect()}
+        assert {i: label.get(i, i) for i in first} == {i: want[i] for i in first}
+
+
+def test_jaccard_rows_without_or_with_repeated_ids(spark):
+    long = " ".join(f"t{i}" for i in range(40))
+    near = long.replace("t39", "other")
+    rows = [(5, long), (None, near), (None, near), (7, "a b c d e f g"), (7, long), (None, "only one here with no id at all"), (None, "only one here with no id at all"), (None, None), (9, ""), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text")).repartition(3)
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(docs).collect()), key=str)
+    want = [(5, 36, 5), (None, 36, 5), (None, 36, 5), (7, 3, 7), (7, 36, 5), (None, 4, None), (None, 4, None), (None, 0, None), (9, 0, 9), (9, 0, 9)]
+    assert got == sorted(want, key=str)
+    kept = sorted(((r["doc_id"], r["text"]) for r in jaccard.one_of_each(docs).collect()), key=str)
+    assert kept == sorted([(5, long), (7, "a b c d e f g"), (None, "only one here with no id at all"), (None, None), (9, ""), (9, "")], key=str)
+
+
 def test_toxicity_on_held_out_rows(spark):
     words = ["bad", "worse", "awful"]
     rng = random.Random(6)
