@@ -1,14 +1,19 @@
 """Main text of web pages by maximum-scoring subsequence.
 
-A page becomes a sequence of tokens: words and tags.  A word scores positive, a tag negative, by weights
-learned from a small table of labelled pages: the log odds of a tag (or of a word standing in the tags
-around it) inside the content against outside.  One linear scan finds the contiguous run of tokens with
-the highest sum; the blocks of text inside it, less those standing in menus, headers, footers, sidebars,
-notices, adverts, forms and reader comments, are the page's text.
+A page becomes a sequence of tokens: words and tags.  A word scores positive, a tag negative; how much depends
+on the tag, or on the block around the word and whether it is a link.  These weights are learned from a small
+table of labelled pages: whenever the best run of a page differs from its labelled content, the weights of
+tokens that it lacks are raised and those of tokens that it holds too much are lowered, by factors, so that
+signs stay.  One linear scan finds the contiguous run of tokens with the highest sum.
+
+Menus, headers, footers, sidebars, notices, adverts, forms and reader comments that say so by element, class, id
+or role are no part of the sequence, so they neither score nor cut a run.  A run that has most of its score in one
+`article` (else `main`) element takes that element whole.  The blocks of text inside the run are the page's text.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by two
 line feeds in page order.  Null, empty and tag-only pages give an empty text.  Pages without any markup
-are one block.  Broken markup (unclosed tags, a cut page) is read as far as it goes.
+are one block.  Broken markup (unclosed tags, a cut page) is read as far as it goes.  Time is linear in the
+page's length, whatever its nesting.
 """
 
 from __future__ import annotations
@@ -16,14 +21,17 @@ from __future__ import annotations
 import html as codec
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z|(?=<))", re.S)
+#: Comments, CDATA, declarations and tags; a quote opens a value only right after "=".
+_TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?>[^>=]+|=\s*(?:"[^"]*"|'[^']*'|[^\s>"'][^\s>]*)?)*+)(?:>|\Z)""", re.S)
 _MARK = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _NAME = re.compile(r"[A-Za-z]+")
 #: Elements whose content is no text at all.
@@ -43,83 +51,122 @@ LABELLED = (
     '<html><body><header><h1>Site name</h1><a href="/">Home</a></header><main><<<<h2>Title here</h2><p>First part of a long text with many words.</p><ul><li>a point that is made</li><li>another point that is made</li></ul><p>The end of it all comes here.</p>>>></main><aside>Other news <a href="#">more</a></aside><footer>Contact</footer></body></html>',
     '<body><div id="menu"><a href="a">A</a> <a href="b">B</a></div><div id="content"><<<<p>Words of a page that has no article element but many paragraphs.</p><p>They follow one another and are long enough.</p><blockquote>Someone said this at length.</blockquote>>>></div><div class="comments"><p>Nice one!</p><p>I agree.</p></div><form><input name="q"><button>Go</button></form></body>',
     '<body><div class="cookie-notice">We use cookies.</div><nav><a href="1">1</a><a href="2">2</a><a href="3">3</a></nav><article><<<<h1>News of the day</h1><p>It was <b>said</b> that <a href="q">a link</a> may stand in a text.<br>So it goes on.</p><h2>Later</h2><p>More was told on the next day by the same people.</p>>>></article><section class="related"><h3>Related</h3><a href="r">Read this too</a></section></body>',
+    '<body><ul><li><a href="1">Start</a></li><li><a href="2">News</a></li><li><a href="3">Sport</a></li><li><a href="4">About us</a></li></ul><div><<<<h1>A heading</h1><p>The text of a page without any mark stands in a plain division.</p><table><tr><td>one cell</td><td>and two</td></tr><tr><td>three of them</td><td>and four</td></tr></table><pre>some code stands here</pre><p>It ends with these words.</p>>>></div><ul><li><a href="i">Imprint</a></li><li><a href="p">Privacy</a></li><li><a href="c">Contact</a></li></ul></body>',
+    '<body><table><tr><td><a href="a">Home</a></td><td><a href="b">Shop</a></td></tr></table><<<<h1>Old page</h1><p>Pages of old have <i>no</i> elements that say what they are.<p>But they <a href="x">have links</a>, long paragraphs and <font color="red">colours</font>.<ul><li>First point of some length<li>Second point of some length</ul><p>Signed by the writer of this page.>>><hr><a href="a">Home</a> | <a href="b">Shop</a></body>',
 )
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, tuple[str, ...], bool]]:
-    """(kind, value, tags around, in a side part): kind is 'tag' (name, closing ones with /) or 'text'."""
+class Token(NamedTuple):
+    """kind: 'text' or 'tag' (closing ones with /); key: of its weight; article, main: number of the element around (0: none)."""
+
+    kind: str
+    value: str
+    key: str
+    article: int
+    main: int
+
+
+def tokens(page: str) -> Iterator[Token]:
+    """Text and tags outside side parts and outside elements that hold no text."""
     stack: list[tuple[str, bool]] = []
-    at, quiet, side = 0, 0, 0
+    blocks: list[int] = []  # places in the stack of elements that are not inline
+    count: Counter[str] = Counter()
+    at, quiet, side, serial = 0, 0, 0, 0
+    around = {"article": [0], "main": [0]}
 
     def close(upto: int) -> None:
         nonlocal quiet, side
         while len(stack) > upto:
             name, aside = stack.pop()
+            count[name] -= 1
             quiet -= name in SILENT
             side -= aside
+            if blocks and blocks[-1] == len(stack):
+                blocks.pop()
+            if name in around:
+                around[name].pop()
 
     while at < len(page):
         m = _TOKEN.search(page, at)
         end = m.start() if m else len(page)
-        if end > at and not quiet:
-            yield "text", page[at:end], tuple(n for n, _ in stack), side > 0
+        if end > at and not quiet and not side:
+            block = stack[blocks[-1]][0] if blocks else ""
+            yield Token("text", page[at:end], f"word {'a' if count['a'] else block}", around["article"][-1], around["main"][-1])
         if not m:
             return
         at = m.end()
         name = (m[2] or "").lower()
         if not name:
             continue
+        shown = not quiet and not side
+        inside = around["article"][-1], around["main"][-1]
         if m[1]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if depth is not None:
+            if count[name]:
+                depth = len(stack) - 1
+                while stack[depth][0] != name:
+                    depth -= 1
                 close(depth)
         else:
-            if name in _CLOSES_P and stack and (depth := next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] not in INLINE), None)) is not None and stack[depth][0] == "p":
-                close(depth)
+            if name in _CLOSES_P and blocks and stack[blocks[-1]][0] == "p":
+                close(blocks[-1])
             if name in ("li", "tr", "td", "th", "dt", "dd", "option") and stack and stack[-1][0] == name:
                 close(len(stack) - 1)
-            if name not in VOID and not (m[3] or "").rstrip().endswith("/"):
+            if name not in VOID:
                 marks = {w.lower() for x in _MARK.finditer(m[3] or "") for w in _NAME.findall(x[1] or x[2] or x[3] or "")}
                 aside = name in SIDE or bool(marks & SIDE_WORDS) and name not in ("html", "body", "main", "article")
+                if name not in INLINE:
+                    blocks.append(len(stack))
                 stack.append((name, aside))
+                count[name] += 1
                 quiet += name in SILENT
                 side += aside
+                if name in around:
+                    serial += 1
+                    around[name].append(around[name][-1] or serial)  # the outermost one counts
+                    inside = around["article"][-1], around["main"][-1]
                 if name in _RAW:
                     stop = re.compile(rf"</{name}\b", re.I).search(page, at)
                     at = stop.start() if stop else len(page)
-        if not quiet or name in SILENT:
-            yield "tag", ("/" if m[1] else "") + name, (), side > 0
+        if shown or not quiet and not side:
+            yield Token("tag", ("/" if m[1] else "") + name, f"tag {name}", *inside)
 
 
-def _keys(page: str) -> Iterator[tuple[str, str, str, bool]]:
-    """(kind, value, key of its weight, in a side part) of each token."""
-    for kind, value, around, side in tokens(page):
-        if kind == "tag":
-            yield kind, value, f"tag {value}{' side' if side else ''}", side
-        else:
-            block = next((n for n in reversed(around) if n not in INLINE), "")
-            yield kind, value, f"word {'side' if side else 'a' if 'a' in around else block}", side
+Weights = dict[str, float]
+
+
+def score(token: Token, weights: Weights) -> float:
+    """Of a word: its weight for each word of the text; of a tag: less its weight."""
+    if token.kind == "tag":
+        return -weights.get(token.key, weights["tag"])
+    return weights.get(token.key, weights["word"]) * len(token.value.split())
+
+
+def _labelled(page: str) -> tuple[list[Token], list[bool]]:
+    a, b = page.index("<<<"), page.index(">>>")
+    plain = page[:a] + page[a + 3 : b] + page[b + 3 :]
+    seen, gold, at = [*tokens(plain)], [], 0
+    for t in seen:  # tokens stand in page order
+        at = plain.index(t.value.lstrip("/") if t.kind == "tag" else t.value, at) if t.kind == "text" else plain.lower().index(("<" if t.value[0] != "/" else "</") + t.value.lstrip("/"), at)
+        gold.append(a <= at < b - 3)
+        at += len(t.value) if t.kind == "text" else 1
+    return seen, gold
 
 
 @lru_cache(1)
-def train() -> dict[str, float]:
-    """Weights: log odds of each key inside the content, pulled to a word's or tag's usual sign."""
-    inside: dict[str, float] = {}
-    outside: dict[str, float] = {}
-    for page in LABELLED:
-        a, b = page.index("<<<"), page.index(">>>")
-        for part, count in ((page[:a], outside), (page[a + 3 : b], inside), (page[b + 3 :], outside)):
-            for kind, value, key, _ in _keys(part):
-                count[key] = count.get(key, 0) + (len(value.split()) if kind == "text" else 1)
-    keys = {*inside, *outside}
-    return {k: math.log((inside.get(k, 0) + (1 if k.startswith("word") else 0.2)) / (outside.get(k, 0) + (0.3 if k.startswith("word") else 1))) for k in keys}
-
-
-def score(kind: str, value: str, key: str, side: bool, weights: dict[str, float]) -> float:
-    if kind == "tag":
-        return min(-0.05, max(-2.0, weights.get(key, -0.5)))
-    each = -0.25 if side else 0.5 if key == "word a" else max(0.5, min(2.0, weights.get(key, 1.0)))
-    return each * len(value.split())
+def train(rounds: int = 60, rate: float = 0.08) -> Weights:
+    """Weights by token key; "word" and "tag" are those of keys that no labelled page holds."""
+    pages = [_labelled(page) for page in LABELLED]
+    weights = {t.key: 1.0 if t.kind == "text" else 0.5 for seen, _ in pages for t in seen} | {"word": 1.0, "tag": 0.5}
+    for _ in range(rounds):
+        for seen, gold in pages:
+            lo, hi = best_run([score(t, weights) for t in seen])
+            for i, t in enumerate(seen):
+                if (lo <= i < hi) != gold[i]:
+                    weights[t.key] *= math.exp(rate if gold[i] == (t.kind == "text") else -rate)
+    for kind in ("word", "tag"):
+        own = [math.log(w) for k, w in weights.items() if k.startswith(kind)]
+        weights[kind] = math.exp(sum(own) / len(own))
+    return weights
 
 
 def best_run(scores: list[float]) -> tuple[int, int]:
@@ -134,22 +181,34 @@ def best_run(scores: list[float]) -> tuple[int, int]:
     return found
 
 
+def widened(seen: list[Token], scores: list[float], lo: int, hi: int) -> tuple[int, int]:
+    """The run, or with it the whole of the article (else main) element in which most of its score lies."""
+    for of in (lambda t: t.article, lambda t: t.main):
+        sums: Counter[int] = Counter()
+        for t, x in zip(seen[lo:hi], scores[lo:hi]):
+            sums[of(t)] += max(x, 0.0)
+        best = max(sums, key=sums.__getitem__, default=0)
+        if best and 2 * sums[best] > sum(sums.values()):
+            own = [i for i, t in enumerate(seen) if of(t) == best]
+            return min(lo, own[0]), max(hi, own[-1] + 1)
+    return lo, hi
+
+
 def main_text(page: str | None) -> str:
     if not page:
         return ""
     weights = train()
-    seen = [*_keys(page)]
-    lo, hi = best_run([score(*x, weights) for x in seen])
+    seen = [*tokens(page)]
+    scores = [score(t, weights) for t in seen]
+    lo, hi = widened(seen, scores, *best_run(scores))
     blocks: list[list[str]] = [[]]
-    for kind, value, _, side in seen[lo:hi]:
-        if kind == "tag":
-            name = value.lstrip("/")
-            if name == "br":
-                blocks[-1].append(" ")
-            elif name not in INLINE:
-                blocks.append([])
-        elif not side:
-            blocks[-1].append(codec.unescape(value))
+    for t in seen[lo:hi]:
+        if t.kind == "text":
+            blocks[-1].append(codec.unescape(t.value))
+        elif (name := t.value.lstrip("/")) == "br":
+            blocks[-1].append(" ")
+        elif name not in INLINE:
+            blocks.append([])
     return "\n\n".join(x for x in (" ".join("".join(b).split()) for b in blocks) if x)
 
 

@@ -343,6 +343,36 @@ def test_html():
         assert sum(x[lo:hi]) == max([0.0] + [sum(x[i:j]) for i in range(len(x)) for j in range(i + 1, len(x) + 1)])
 
 
+def test_html_loses_no_article_text():
+    assert html.main_text("<article><p>One two three four five.</p><p data=it's>Six seven eight nine ten.</p><p>Eleven twelve.</p></article>") == "One two three four five.\n\nSix seven eight nine ten.\n\nEleven twelve."
+    share = "".join(f"<li><a href='/{i}'>s{i}</a></li>" for i in range(30))
+    for ul in ("<ul class='share'>", "<ul>"):
+        got = html.main_text(f"<body><nav><a href=x>Menu</a></nav><article><h1>Short head</h1><p>Intro words.</p>{ul}{share}</ul><p>The main body follows after all of them.</p></article><footer>End</footer>")
+        assert got.startswith("Short head\n\nIntro words.\n\n") and got.endswith("\n\nThe main body follows after all of them.") and ("s29" in got) == (ul == "<ul>")
+    for page in html.LABELLED:  # the weights were learned: every labelled page comes back
+        want = html.main_text("<article>" + page[page.index("<<<") + 3 : page.index(">>>")] + "</article>")
+        assert html.main_text(page.replace("<<<", "", 1).replace(">>>", "", 1)) == want
+    import time
+
+    began = time.time()
+    html.main_text("<div>" * 30_000 + "text" + "</b></div>x" * 30_000)
+    html.main_text("<p a='" * 30_000)
+    html.main_text("<" * 100_000 + "<!--" * 10_000)
+    assert time.time() - began < 20
+    assert html.main_text('<p title="a > b">x &amp;amp; y</p>') == "x &amp; y"
+    assert html.main_text("<p>a<p>b<script>if (1 < 2) {'</p>'}</script><div>c") == "a\n\nb\n\nc"
+
+
+def test_html_article_blocks_come_back(spark):
+    """Every block of every article, and nothing else, by a plain reading of the pages' own simple markup."""
+    import html as codec
+
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect():
+        body = re.search(r"<article>(.*?)</article>", r["html"], re.S)[1]
+        parts = re.split(r"</?(?:p|h1|h2|h3|ul|li|blockquote|pre|div)\b[^>]*>", re.sub(r"<br>", " ", re.sub(r"</?(?:b|i|em|strong|a)\b[^>]*>", "", body)))
+        assert html.main_text(r["html"]) == "\n\n".join(x for x in (" ".join(codec.unescape(p).split()) for p in parts) if x)
+
+
 def test_html_of_pages(spark):
     pages = spark.read.parquet(f"{D}/pages.parquet")
     for r in html.extract_text(pages).collect():
