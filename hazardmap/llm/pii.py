@@ -1,21 +1,20 @@
 """Personal data: fixed patterns, and a linear-chain conditional random field over word shapes.
 
 The patterns (email, ip, card, phone) always count.  The field adds what they miss, such as
-"jo dot doe at site dot org" or "(988) 555-2485": words are seen only by their shape (digits, dots,
-dashes, brackets, case, a few cue words) and that of their neighbours, weights are learned from a small
-labelled table, and the best labelling comes from Viterbi over whole batches in numpy.  A found span
-must also be complete (an address needs a host with a dot, a phone 9 to 15 digits, a card 12 to 19
-digits passing Luhn, an ip four parts up to 255) and must not touch a pattern's span.
+"jo dot doe at site dot org", "(988) 555-2485" or an access token (kind secret): words are seen only by their
+shape (length, digits, dots, dashes, brackets, case, a few cue words) and that of their neighbours, weights are
+learned from a small labelled table, and the best labelling comes from Viterbi over whole batches in numpy.  A
+found span must also be complete (an address needs a host with a dot, a phone 9 to 15 digits, a card 12 to 19
+digits passing Luhn, an ip four parts up to 255, a secret 16 characters or more with letters and digits) and must
+not touch a pattern's span.
 
-A sequence is one line of a text.  Lines over 256 words are decoded in windows of 256 that overlap by
-32; each word takes its label from the window in which it stands farther inside.
+A sequence is one line of a text, whatever its length; what stands beside it in a batch changes nothing.
 
 Null and empty texts have no spans.  Repeated rows give repeated results; other columns stay.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,9 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .store import small_batches
+from .store import release, small_batches
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "secret")
 LABELS = ("O", *KINDS)
 _EMAIL_LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -39,9 +38,10 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
 _HAS_DIGIT = re.compile(r"[0-9]")
+_SECRET = re.compile(rb"[A-Za-z0-9+/_-]+")
 
 #: Cue words of the shapes; any other word is known by its shape alone.
-CUES = ("at", "(at)", "[at]", "dot", "(dot)", "[dot]", "phone", "tel", "call", "fax", "mobile", "card", "visa", "mail", "email", "ip", "host", "contact")
+CUES = ("at", "(at)", "[at]", "dot", "(dot)", "[dot]", "phone", "tel", "call", "fax", "mobile", "card", "visa", "mail", "email", "ip", "host", "contact", "token", "key", "secret", "password", "apikey", "api_key", "=", "commit", "version")
 
 #: The labelled table: spans are marked as kind{...}.
 LABELLED = (
@@ -52,6 +52,10 @@ LABELLED = (
     "email{kim (at) lab dot edu} wrote this",
     "send it by email to email{info at shop dot co dot uk} please",
     "email email{a.b (at) example.org} now",
+    "you can reach email{mary at example dot org} all day and they will answer",
+    "ask email{peter_p at club dot it} or the man at the door",
+    "send word to email{ops at data-hub dot io} by noon",
+    "mail email{x.lang at site dot co} when you are at home",
     "she looked at the dot on the wall and left",
     "we met at noon at the station",
     "look at that, a dot at the end",
@@ -75,13 +79,29 @@ LABELLED = (
     "from 1914-1918 to 1939-1945 and on",
     "section 4.0. of the text",
     "the code 9f8e7d6c5b4a is not one",
-    "token = 0641917ea4e9feb9cda83477b57 was set",
-    "KEY12AB34CD56EF78GH is a key",
+    "token = secret{0641917ea4e9feb9cda83477b57} was set",
+    'token = secret{"9b1c64a9a4cd9723e1f4eafc27395915e6868ffb"} and more words',
+    'the token = secret{"a7b0ede43f42c939b6405768150e0411590525cf"}.',
+    "with key secret{f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda} it opens",
+    "key secret{0b4fb7d0c1a64c09a1c8d5e37f12ab90} und mehr",
+    "use key secret{KEY12AB34CD56EF78GH} for it",
+    "secret = secret{q7Wm2ZxT9pLk4RvN8sBd} he wrote",
+    "api_key = secret{sk_live_4f9a8b7c6d5e4f3a2b1c} stands there",
+    "password secret{Tr0ub4dor3xKq9Zm7Yw} was lost",
+    "export apikey = secret{ghp_16C7e42F292c6912E7710c838347Ae178B4a}",
+    "the secret was kept and the key was lost",
+    "a token of thanks = nothing",
+    "version 20210405123456789 of the page",
+    "word### other*** more%%% and then&&& some",
+    "an unbelievablylongwordwithoutanydigits stands here",
+    "ERR_CONNECTION_REFUSED and misunderstandings everywhere",
     "build 20210405123456 passed in 3 min",
     "host ip{10.1.2.3} was down",
     "ip ip{192.168[.]10[.]4} blocked",
     "from ip{70.123.182.155} came a call",
     "the host ip{8[.]8[.]8[.]8} answers",
+    "traffic of ip{203[.]118[.]254[.]101} was seen in 2004",
+    "ip ip{172[.]16[.]200[.]17} and ip{45[.]90[.]2[.]133} are out",
     "card card{4041894974608795} was charged",
     "visa card{4041.8949.7460.8795} expired",
     "pay card{4041-8949-7460-8795} again",
@@ -108,14 +128,14 @@ def _shapes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     i = np.minimum(np.searchsorted(known, h), len(known) - 1)
     hit = known[i] == h
     cue[short[hit]] = at[i[hit]]
-    columns = (np.digitize(digits, (1, 2, 3, 4, 5, 8, 12, 20)), np.minimum(dots, 3), np.minimum(dashes, 2), ats > 0, plus > 0, brackets > 0, other > 0, case, cue)
+    columns = (np.digitize(digits, (1, 2, 3, 4, 5, 8, 12, 20)), np.minimum(dots, 3), np.minimum(dashes, 2), ats > 0, plus > 0, brackets > 0, other > 0, case, cue, np.digitize(ends - starts, (4, 8, 16, 24)))
     code = np.zeros(len(starts), np.int64)
     for x, w in zip(columns, _WIDTHS):
         code = code * w + x
     return code
 
 
-_WIDTHS = (9, 4, 3, 2, 2, 2, 2, 4, len(CUES) + 1)
+_WIDTHS = (9, 4, 3, 2, 2, 2, 2, 4, len(CUES) + 1, 5)
 _CLASS = np.full(256, 9, np.uint8)
 for _c, _set in enumerate((b"0123456789", b".", b"-", b"@", b"+", b"()[]", bytes([*range(97, 123), *range(128, 256)]), bytes(range(65, 91))), 1):
     _CLASS[list(_set)] = _c
@@ -138,21 +158,22 @@ def _cue_hashes() -> tuple[np.ndarray, np.ndarray]:
 
 
 def _features(code: np.ndarray) -> np.ndarray:
-    """Indexes of the features of each shape code: one per column and four joint ones."""
+    """Indexes of the features of each shape code: one per column and five joint ones."""
     columns, rest = [], code
     for w in _WIDTHS[::-1]:
         columns.append(rest % w)
         rest = rest // w
-    digits, dots, dashes, ats, plus, brackets, other, case, cue = columns[::-1]
-    joint = (digits * 4 + dots, (digits * 3 + dashes) * 2 + brackets, (cue * 9) + digits, (((dots * 2 + ats) * 4 + case) * 2 + plus) * 2 + other)
+    digits, dots, dashes, ats, plus, brackets, other, case, cue, size = columns[::-1]
+    joint = (digits * 4 + dots, (digits * 3 + dashes) * 2 + brackets, (cue * 9) + digits, (((dots * 2 + ats) * 4 + case) * 2 + plus) * 2 + other, (digits * 4 + case) * 5 + size)
     out, base = [], 0
-    for x, w in zip((digits, dots, dashes, ats, plus, brackets, other, case, cue, *joint), (*_WIDTHS, 36, 54, 9 * (len(CUES) + 1), 128)):
+    for x, w in zip((digits, dots, dashes, ats, plus, brackets, other, case, cue, size, *joint), (*_WIDTHS, *_JOINT)):
         out.append(x + base)
         base += w
     return np.stack(out, 1)
 
 
-_N_FEATURES = sum(_WIDTHS) + 36 + 54 + 9 * (len(CUES) + 1) + 128
+_JOINT = (36, 54, 9 * (len(CUES) + 1), 128, 180)
+_N_FEATURES = sum(_WIDTHS) + sum(_JOINT)
 
 
 def parse_labelled(lines: tuple[str, ...] = LABELLED) -> list[tuple[str, list[int]]]:
@@ -160,7 +181,7 @@ def parse_labelled(lines: tuple[str, ...] = LABELLED) -> list[tuple[str, list[in
     out = []
     for line in lines:
         plain, labels, at = "", [], 0
-        for m in [*re.finditer(r"(email|ip|card|phone)\{([^}]*)\}", line), None]:
+        for m in [*re.finditer(r"(email|ip|card|phone|secret)\{([^}]*)\}", line), None]:
             before = line[at : m.start() if m else None]
             labels += [0] * len(before.split())
             plain += before + (m[2] if m else "")
@@ -213,79 +234,53 @@ def train(steps: int = 250, l2: float = 0.02) -> tuple[np.ndarray, np.ndarray]:
     return weights.astype(np.float32), trans.astype(np.float32)
 
 
-@lru_cache(1)
-def _emissions(model_key: bytes) -> np.ndarray:
-    weights, _ = _MODELS[model_key]
-    out = np.zeros((3, int(np.prod(_WIDTHS)), len(LABELS)), np.float32)
-    for lo in range(0, out.shape[1], 1 << 15):
-        f = _features(np.arange(lo, min(lo + (1 << 15), out.shape[1])))
-        out[:, lo : lo + len(f)] = weights[:, f].sum(2)
-    return out
-
-
-_MODELS: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def remember(key: bytes, model: tuple[np.ndarray, np.ndarray]) -> None:
-    """Keeps a model for the tasks of this worker."""
-    _MODELS.setdefault(key, model)
-
-
-def viterbi(emit: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """Best labels of sequences of one length: emit has shape (steps, labels, sequences)."""
-    t, m, n = emit.shape
-    back = np.zeros((t, m, n), np.int8)
-    score = emit[0]
-    for j in range(1, t):
-        new = np.empty_like(score)
-        for y in range(m):
-            best, arg = score[0] + trans[0, y], np.zeros(n, np.int8)
-            for x in range(1, m):
-                other = score[x] + trans[x, y]
-                more = other > best
-                best = np.where(more, other, best)
-                arg[more] = x
-            new[y] = best + emit[j, y]
-            back[j, y] = arg
-        score = new
-    out = np.empty((t, n), np.int8)
-    out[-1] = score.argmax(0)
-    each = np.arange(n)
-    for j in range(t - 1, 0, -1):
-        out[j - 1] = back[j, out[j], each]
+def emissions(weights: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Scores (own, previous and next word's part; word; label) of shape codes, worked out once for each code that occurs."""
+    seen, at = np.unique(codes, return_inverse=True)
+    table = np.zeros((3, len(seen), len(LABELS)), np.float32)
+    for column in _features(seen).T:
+        table += weights[:, column]
+    return table[:, at]
+
+
+def viterbi(emit: np.ndarray, first: np.ndarray, size: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """Best labels of the words of sequences; emit has a row a word, sequence i has size[i] > 0 rows from first[i] on.
+
+    All sequences go forward together, the longest first in order, so that at each step those that still run stand in front.
+    """
+    n, m = emit.shape
+    order = np.argsort(-size, kind="stable")
+    at, left = first[order], size[order]
+    steps = int(left[0]) if len(left) else 0
+    running = np.searchsorted(-left, -np.arange(steps), "left")  # sequences longer than j
+    back = np.zeros((n, m), np.int8)
+    score = emit[at]
+    for j in range(1, steps):
+        k = running[j]
+        step = score[:k, :, None] + trans
+        back[at[:k] + j] = step.argmax(1)
+        score[:k] = step.max(1) + emit[at[:k] + j]
+    out = np.empty(n, np.int8)
+    label = score.argmax(1).astype(np.int8)
+    out[at + left - 1] = label
+    for j in range(steps - 1, 0, -1):
+        k = running[j]
+        label[:k] = back[at[:k] + j, label[:k]]
+        out[at[:k] + j - 1] = label[:k]
     return out
 
 
-WINDOW, OVERLAP = 256, 32
-
-
-def label_words(codes: np.ndarray, seq: np.ndarray, emissions: np.ndarray, trans: np.ndarray) -> np.ndarray:
+def label_words(codes: np.ndarray, seq: np.ndarray, weights: np.ndarray, trans: np.ndarray) -> np.ndarray:
     """Labels of words; seq numbers the sequence of each word, ascending."""
-    n, labels = len(codes), np.zeros(len(codes), np.int8)
+    n = len(codes)
     if n == 0:
-        return labels
-    emit = emissions[0][codes]
+        return np.zeros(0, np.int8)
+    own, before, after = emissions(weights, codes)
     same = seq[1:] == seq[:-1]
-    emit[1:] += emissions[1][codes[:-1]] * same[:, None]
-    emit[:-1] += emissions[2][codes[1:]] * same[:, None]
+    own[1:] += before[:-1] * same[:, None]
+    own[:-1] += after[1:] * same[:, None]
     first = np.flatnonzero(np.concatenate([[True], ~same]))
-    size = np.diff(np.concatenate([first, [n]]))
-    step = WINDOW - OVERLAP
-    parts = np.maximum(1, -(-(size - OVERLAP) // step))
-    owner = np.repeat(np.arange(len(first)), parts)
-    k = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
-    lo = first[owner] + k * step
-    hi = np.minimum(lo + WINDOW, first[owner] + size[owner])
-    order = np.argsort(hi - lo, kind="stable")
-    for group in np.array_split(order, max(1, len(order) // 1024)):
-        t = int((hi - lo)[group].max())
-        at = np.minimum(lo[group] + np.arange(t)[:, None], n - 1)
-        found = viterbi(np.where((at < hi[group])[:, None, :], emit[at].transpose(0, 2, 1), 0), trans)
-        inner = np.where(k[group] > 0, OVERLAP // 2, 0)
-        outer = np.where(hi[group] < (first + size)[owner[group]], hi[group] - OVERLAP // 2, hi[group])
-        use = (at >= lo[group] + inner) & (at < outer)
-        labels[at[use]] = found[use]
-    return labels
+    return viterbi(own, first, np.diff(np.append(first, n)), trans)
 
 
 def luhn(digits: str) -> bool:
@@ -339,6 +334,8 @@ def complete(kind: int, found: str) -> bool:
             return False
         host = _DOT.split(parts[1])
         return len(host) >= 2 and all(re.fullmatch(r"[A-Za-z0-9-]+", p) for p in host) and not re.search(r"\s", _DOT.sub(".", parts[0])) and ("@" in found or bool(re.search(r"\bdot\b|[\])]", found, re.I)))
+    if kind == 5:
+        return len(found) >= 16 and bool(_HAS_DIGIT.search(found)) and bool(re.search(r"[A-Za-z]", found))
     digits = _NOT_DIGIT.sub("", found)
     if kind == 2:
         parts = re.split(r"[\[(]?\.[\])]?", found)
@@ -348,9 +345,8 @@ def complete(kind: int, found: str) -> bool:
     return 9 <= len(digits) <= 15 and bool(re.search(r"[0-9][ ().-]+[0-9]", found)) and bool(re.fullmatch(r"[0-9 ().+/-]+", found)) and not re.fullmatch(r"[0-9]{4}-[0-9]{4}", found)
 
 
-def find_spans(column: pa.Array, model_key: bytes) -> tuple[list[list[tuple[int, int, int]]], list[list[tuple[int, int, int]]]]:
+def find_spans(column: pa.Array, model: tuple[np.ndarray, np.ndarray]) -> tuple[list[list[tuple[int, int, int]]], list[list[tuple[int, int, int]]]]:
     """Pattern spans and all spans, (start, kind, end) in code points, of each text."""
-    emissions, trans = _emissions(model_key), _MODELS[model_key][1]
     data, offs = tx.buffers(column)
     base: list[list] = []
     extra: list[list] = [[] for _ in range(len(column))]
@@ -359,7 +355,7 @@ def find_spans(column: pa.Array, model_key: bytes) -> tuple[list[list[tuple[int,
         lines = np.cumsum(part == 10)
         seq = row * (len(part) + 1) + (lines[starts] if len(starts) else 0)
         seq = np.cumsum(np.concatenate([[0], seq[1:] != seq[:-1]])) if len(seq) else seq
-        labels = label_words(_shapes(part, starts, ends), seq, emissions, trans)
+        labels = label_words(_shapes(part, starts, ends), seq, *model)
         hot = np.flatnonzero(labels)
         points = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)]) if len(hot) else None
         runs = np.split(hot, np.flatnonzero((np.diff(hot) > 1) | (np.diff(labels[hot]) != 0) | (np.diff(seq[hot]) != 0)) + 1) if len(hot) else []
@@ -367,6 +363,8 @@ def find_spans(column: pa.Array, model_key: bytes) -> tuple[list[list[tuple[int,
             i, j, r = int(starts[run[0]]), int(ends[run[-1]]), int(row[run[0]])
             raw = part[i:j].tobytes()
             left, right = len(raw) - len(raw.lstrip(b"\"'<,;:")), len(raw.rstrip(b"\"'>.,;:!?"))
+            if labels[run[0]] == 5 and (m := max(_SECRET.finditer(raw), key=lambda m: m.end() - m.start(), default=None)):
+                left, right = m.span()
             if left < right and complete(int(labels[run[0]]), raw[left:right].decode(errors="replace")):
                 zero = points[at[r]]
                 extra[lo + r].append((int(points[i + left] - zero), int(labels[run[0]]) - 1, int(points[i + right] - zero)))
@@ -394,24 +392,24 @@ def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def find_pii(docs: DataFrame, text: str = "text", redacted: bool = False) -> DataFrame:
-    """docs with n_email, n_ip, n_card, n_phone, base_spans and spans (kind:start:end, comma-joined), and with
-    `redacted` also redacted_text.  Counts are of the patterns' spans.  Columns of these names are replaced."""
+    """docs with n_email, n_ip, n_card, n_phone (of the patterns), n_spans (of all), base_spans and spans
+    (kind:start:end, comma-joined), and with `redacted` also redacted_text.  Columns of these names are replaced."""
     small_batches(docs.sparkSession)
-    weights = train()
-    schema = "struct<n_email:long,n_ip:long,n_card:long,n_phone:long,base_spans:string,spans:string" + (",redacted_text:string" if redacted else "") + ">"
-    key = hashlib.sha256(weights[0].tobytes() + weights[1].tobytes()).digest()
+    model = train()
+    schema = "struct<n_email:long,n_ip:long,n_card:long,n_phone:long,n_spans:long,base_spans:string,spans:string" + (",redacted_text:string" if redacted else "") + ">"
 
     @F.pandas_udf(schema)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        remember(key, weights)
         for batch in batches:
-            base, every = find_spans(pa.array(batch, pa.large_string(), from_pandas=True), key)
-            out = pd.DataFrame({f"n_{kind}": np.array([sum(s[1] == k for s in x) for x in base], np.int64) for k, kind in enumerate(KINDS)})
+            base, every = find_spans(pa.array(batch, pa.large_string(), from_pandas=True), model)
+            out = pd.DataFrame({f"n_{kind}": np.array([sum(s[1] == k for s in x) for x in base], np.int64) for k, kind in enumerate(KINDS[:4])})
+            out["n_spans"] = np.array([len(x) for x in every], np.int64)
             out["base_spans"], out["spans"] = [joined(x) for x in base], [joined(x) for x in every]
             if redacted:
                 out["redacted_text"] = [redact(t, x) if isinstance(t, str) else None for t, x in zip(batch, every)]
             yield out
+        release()
 
     found = docs.withColumn("__pii", run(F.col(text)))
-    names = ["n_email", "n_ip", "n_card", "n_phone", "base_spans", "spans"] + ["redacted_text"] * redacted
+    names = ["n_email", "n_ip", "n_card", "n_phone", "n_spans", "base_spans", "spans"] + ["redacted_text"] * redacted
     return found.withColumns({n: F.col(f"__pii.{n}") for n in names}).drop("__pii")
