@@ -7,26 +7,31 @@ with the window length falling from long to `least`).  The share of an item's wo
 its coverage; at `threshold` or more the document is contaminated.  Tiles need not stand in the item's
 order, so reordered passages count.
 
-Words are runs of letters, digits and non-ASCII characters, lower-cased.  Items with fewer than
-`least_words` words say too little and match nothing.  Null and empty texts match nothing.  Repeated items
-count once by id; repeated documents get repeated results.  The benchmark goes to the tasks in blocks of at
-most `block_words` words, so what is broadcast at once is bounded whatever its size.
+Words are runs of letters, digits and non-ASCII characters, lower-cased.  Items of fewer than `least_words`
+words must stand in a document whole, as one run; those of fewer than `least` words must be all that it says.
+Null and empty texts match nothing.  An item_id that repeats with several texts has the coverage of the best one;
+items without an id count like others.  Repeated documents get repeated results.
+
+A benchmark of up to `block_words` words is broadcast; a larger one goes over the documents block by block, one
+broadcast at a time, and what the blocks found is joined to the documents by a hash of their text.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .store import small_batches
+from .store import keep, release, small_batches
 
 START = 32
 
@@ -52,6 +57,41 @@ def _windows(words: np.ndarray, marked: np.ndarray, size: int) -> tuple[np.ndarr
     return value[free], at[free]
 
 
+def _runs(own: np.ndarray, where: np.ndarray, value: np.ndarray, at: np.ndarray, size: int, item: int, most: int = 1 << 21) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Longest runs of equal windows: (item start, doc start, length) of those of the greatest length.
+
+    own, where: sorted values and starts of the document's windows; value, at: those of the item's.  The document is
+    looked at in stretches of so many windows that about `most` pairs are held at once; a stretch sees `item` words
+    more than its own starts, as no run is longer.
+    """
+    lo, hi = np.searchsorted(own, value, "left"), np.searchsorted(own, value, "right")
+    none = np.zeros(0, np.int64)
+    best = (none, none, 0)
+    if not (hi > lo).any():
+        return none, none, none
+    pairs, span = int((hi - lo).sum()), int(where.max()) + 1
+    width = span if pairs <= most else max(1, span * most // pairs)
+    for begin in range(0, span, width):
+        end = begin + width
+        near = (where >= begin - 1) & (where < end + item)
+        o, w = own[near], where[near]
+        a, n = np.searchsorted(o, value, "left"), np.searchsorted(o, value, "right") - np.searchsorted(o, value, "left")
+        i = np.repeat(at, n)
+        j = w[np.repeat(a, n) + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)]
+        order = np.lexsort((i, j - i))
+        i, j = i[order], j[order]
+        first = np.flatnonzero(np.concatenate([[True], (j[1:] - i[1:] != j[:-1] - i[:-1]) | (i[1:] != i[:-1] + 1)])) if len(i) else none
+        length = np.diff(np.append(first, len(i))) + size - 1
+        i, j = i[first], j[first]
+        mine = (j >= begin) & (j < end)
+        i, j, length = i[mine], j[mine], length[mine]
+        if len(length) and length.max() >= best[2]:
+            top = length == length.max()
+            more = (i[top], j[top], int(length.max()))
+            best = more if more[2] > best[2] else (np.concatenate([best[0], more[0]]), np.concatenate([best[1], more[1]]), best[2])
+    return best[0], best[1], np.full(len(best[0]), best[2])
+
+
 def tiles(item: np.ndarray, doc: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """(start in item, start in doc, length) of greedy tiles of two word sequences."""
     mi, md = np.zeros(len(item), bool), np.zeros(len(doc), bool)
@@ -60,44 +100,43 @@ def tiles(item: np.ndarray, doc: np.ndarray, least: int) -> list[tuple[int, int,
     while True:
         own, where = _windows(doc, md, size)
         order = np.argsort(own, kind="stable")
-        own, where = own[order], where[order]
-        value, at = _windows(item, mi, size)
-        lo, hi = np.searchsorted(own, value, "left"), np.searchsorted(own, value, "right")
-        runs, longest = [], 0
-        done: set[tuple[int, int]] = set()
-        for i, a, b in zip(at.tolist(), lo.tolist(), hi.tolist()):
-            for j in where[a:b].tolist():
-                if (i - 1, j - 1) in done:  # inside a run that began earlier
-                    done.add((i, j))
-                    continue
-                n = 0
-                while i + n < len(item) and j + n < len(doc) and item[i + n] == doc[j + n] and not mi[i + n] and not md[j + n]:
-                    n += 1
-                if n >= size:
-                    done.add((i, j))
-                    runs.append((n, i, j))
-                    longest = max(longest, n)
+        runs = _runs(own[order], where[order], *_windows(item, mi, size), size, len(item))
+        if not len(runs[0]):
+            if size <= least:
+                return out
+            size = max(least, size // 2)
+            continue
+        longest = int(runs[2][0])
         if longest > 2 * size:
             size = longest
             continue
-        for i, j in sorted((i, j) for n, i, j in runs if n == longest):
+        for i, j in sorted(zip(runs[0].tolist(), runs[1].tolist())):
             if not mi[i : i + longest].any() and not md[j : j + longest].any():
                 mi[i : i + longest] = md[j : j + longest] = True
                 out.append((i, j, longest))
-        if runs:
-            continue  # the next longest, in what is left
-        if size <= least:
-            return out
-        size = max(least, size // 2)
+
+
+def _holds(words: np.ndarray, run: np.ndarray) -> bool:
+    """Does a word sequence hold another as one run?"""
+    at = np.flatnonzero(words[: len(words) - len(run) + 1] == run[0]) if len(words) >= len(run) else np.zeros(0, np.int64)
+    for k in range(1, len(run)):
+        at = at[words[at + k] == run[k]]
+    return len(at) > 0
 
 
 class Index:
     """Seeds of a block of items."""
 
-    def __init__(self, ids: list[int], texts: list[str], least: int, least_words: int):
+    def __init__(self, ids: list[int | None], texts: list[str], least: int, least_words: int):
         words, offs = word_hashes(pa.array(texts, pa.large_string()))
-        self.least = least
-        self.items = [(i, words[a:b]) for i, a, b in zip(ids, offs, offs[1:]) if b - a >= max(least, least_words)]
+        self.least, self.least_words = least, least_words
+        every = [(i, words[a:b]) for i, a, b in zip(ids, offs, offs[1:])]
+        self.items = [(i, w) for i, w in every if len(w) >= least]
+        self.tiny: dict[bytes, list[int | None]] = {}  # items of fewer words than a seed, by their words
+        for i, w in every:
+            if 0 < len(w) < least:
+                self.tiny.setdefault(w.tobytes(), []).append(i)
+        self.sizes = np.array([len(w) for _, w in self.items], np.int64)
         grams = [tx.word_ngrams(w, np.zeros(len(w), np.int8), least)[0] for _, w in self.items]
         seed = np.concatenate([np.zeros(0, np.uint64), *grams])
         owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
@@ -106,43 +145,69 @@ class Index:
         self.known = np.zeros(1 << 20, bool)
         self.known[(self.seed & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
 
-    def compare(self, column: pa.Array, threshold: float) -> list[list[tuple[int, float]]]:
+    def shared(self, grams: np.ndarray, at: np.ndarray, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
+        """(item, places of shared seeds) of one text for each item whose shared seeds could cover `threshold` of it."""
+        maybe = np.flatnonzero(self.known[(grams & np.uint64((1 << 20) - 1)).astype(np.int64)])
+        distinct, back = np.unique(grams[maybe], return_inverse=True)
+        lo, hi = np.searchsorted(self.seed, distinct, "left"), np.searchsorted(self.seed, distinct, "right")
+        owners = self.owner[np.repeat(lo, hi - lo) + np.arange(int((hi - lo).sum())) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo)]
+        each, count = np.unique(owners, return_counts=True)  # a seed counts for each of its places in the item
+        each = each[count * self.least >= threshold * self.sizes[each]]
+        if not len(each):
+            return
+        for o in each.tolist():
+            own = np.zeros(len(distinct), bool)
+            own[np.repeat(np.arange(len(distinct)), hi - lo)[owners == o]] = True
+            yield o, at[maybe[own[back]]]
+
+    def compare(self, column: pa.Array, threshold: float) -> list[list[tuple[int | None, float]]]:
         """(item, coverage) of items at or over the threshold, for each text."""
-        found: list[list[tuple[int, float]]] = [[] for _ in range(len(column))]
+        found: list[list[tuple[int | None, float]]] = [[] for _ in range(len(column))]
         words, offs = word_hashes(column)
-        if not len(self.seed) or not len(words):
-            return found
         row = np.repeat(np.arange(len(column)), np.diff(offs))
         grams, at = tx.word_ngrams(words, row, self.least)
-        maybe = np.flatnonzero(self.known[(grams & np.uint64((1 << 20) - 1)).astype(np.int64)])
-        lo, hi = np.searchsorted(self.seed, grams[maybe], "left"), np.searchsorted(self.seed, grams[maybe], "right")
-        hits: dict[tuple[int, int], list[int]] = {}
-        for k, a, b in zip(at[maybe].tolist(), lo.tolist(), hi.tolist()):
-            for o in set(self.owner[a:b].tolist()):
-                hits.setdefault((int(row[k]), o), []).append(k)
-        for (r, o), places in hits.items():
-            item_id, item = self.items[o]
-            # words that any tile can cover: those of shared seeds
-            near = np.unique(np.add.outer(places, np.arange(self.least)))
-            if np.isin(item, words[near]).mean() < threshold:
-                continue
-            # tiles lie in runs of seeds; a mark between runs keeps them apart
-            cut = np.flatnonzero(np.diff(near) > 1) + 1
-            doc = np.insert(words[near], cut, np.uint64(0))
-            covered = sum(n for _, _, n in tiles(item, doc, self.least)) / len(item)
-            if covered >= threshold:
-                found[r].append((item_id, covered))
-        return [sorted(x) for x in found]
+        cuts = np.searchsorted(row[at], np.arange(len(column) + 1))
+        hit = np.zeros(len(column), bool)
+        hit[row[at[self.known[(grams & np.uint64((1 << 20) - 1)).astype(np.int64)]]]] = True
+        for r in np.flatnonzero(hit).tolist():
+            text = words[offs[r] : offs[r + 1]]
+            for o, places in self.shared(grams[cuts[r] : cuts[r + 1]], at[cuts[r] : cuts[r + 1]] - offs[r], threshold):
+                item_id, item = self.items[o]
+                if len(item) < self.least_words:
+                    if _holds(text, item):
+                        found[r].append((item_id, 1.0))
+                    continue
+                # words that any tile can cover: those of shared seeds
+                near = np.unique(np.add.outer(places, np.arange(self.least)))
+                if np.isin(item, text[near]).mean() < threshold:
+                    continue
+                # tiles lie in runs of seeds; a mark between runs keeps them apart
+                cut = np.flatnonzero(np.diff(near) > 1) + 1
+                doc = np.insert(text[near], cut, np.uint64(0))
+                covered = sum(n for _, _, n in tiles(item, doc, self.least)) / len(item)
+                if covered >= threshold:
+                    found[r].append((item_id, covered))
+        if self.tiny:
+            for r in np.flatnonzero((np.diff(offs) > 0) & (np.diff(offs) < self.least)).tolist():
+                found[r] += [(i, 1.0) for i in self.tiny.get(words[offs[r] : offs[r + 1]].tobytes(), ())]
+        return [_best(x) for x in found]
+
+
+def _best(found: list[tuple[int | None, float]]) -> list[tuple[int | None, float]]:
+    """The highest coverage of each item, by id; those without an id last."""
+    out: dict[int | None, float] = {}
+    for i, c in found:
+        out[i] = max(c, out.get(i, 0.0))
+    return sorted(out.items(), key=lambda x: (x[0] is None, x[0] or 0))
 
 
 _indexes: dict[str, Index] = {}
 
 
 def _index_for(key: str, shared, least: int, least_words: int) -> Index:
-    """The index of a broadcast block, built once per worker."""
+    """The index of a broadcast block, built once per worker; only the last one is held."""
     if key not in _indexes:
-        if len(_indexes) > 4:
-            _indexes.clear()
+        _indexes.clear()
         _indexes[key] = Index(*shared.value, least, least_words)
     return _indexes[key]
 
@@ -159,6 +224,7 @@ def _comparison(key: str, shared, least: int, least_words: int, threshold: float
         for batch in batches:
             found = index.compare(pa.array(batch, pa.large_string(), from_pandas=True), threshold)
             yield pd.Series([[{"item_id": i, "coverage": c} for i, c in x] for x in found])
+        release()
 
     return run
 
@@ -169,16 +235,27 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", lea
     benchmark needs item_id (integer) and text.  Columns of these names in docs are replaced.
     """
     small_batches(docs.sparkSession)
-    items = benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).groupBy("item_id").agg(F.max("text").alias("text"))
-    total = items.agg(F.coalesce(F.sum(F.size(F.split("text", r"\s+"))), F.lit(0)).alias("n")).collect()[0]["n"]
-    blocks = -(-total // block_words)
-    spark = docs.sparkSession
-    out = docs.withColumn("items", F.array().cast(FOUND))
-    for k in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id").collect()  # about block_words words
-        key = uuid.uuid4().hex
-        shared = spark.sparkContext.broadcast(([r["item_id"] for r in rows], [r["text"] for r in rows]))
-
-        out = out.withColumn("items", F.concat("items", _comparison(key, shared, least, least_words, threshold)(F.col(text))))
+    items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+    total = items.agg(F.coalesce(F.sum(F.size(F.split("text", r"\s+"))), F.lit(0)).alias("n")).first()["n"]
+    blocks = max(1, -(-total // block_words))
+
+    def compared(k: int, texts: Column) -> tuple[Column, Broadcast]:
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()  # about block_words words
+        shared = docs.sparkSession.sparkContext.broadcast(([r["item_id"] for r in rows], [r["text"] for r in rows]))
+        return _comparison(uuid.uuid4().hex, shared, least, least_words, threshold)(texts), shared
+
+    if blocks == 1:
+        out = docs.withColumn("items", compared(0, F.col(text))[0])
+    else:
+        name = (F.xxhash64(text).alias("__h1"), F.hash(text).alias("__h2"))
+        parts = []
+        for k in range(blocks):
+            found, shared = compared(k, F.col("__t"))
+            parts.append(keep(docs.select(*name, F.col(text).alias("__t")).withColumn("__items", found).drop("__t").where(F.size("__items") > 0).distinct(), f"block{k}"))
+            shared.destroy()
+        every = reduce(DataFrame.unionByName, parts).groupBy("__h1", "__h2").agg(F.flatten(F.collect_list("__items")).alias("__items"))
+        best = F.transform(F.array_distinct(F.transform("__items", lambda x: x["item_id"])), lambda i: F.struct(i.alias("item_id"), F.array_max(F.transform(F.filter("__items", lambda x: x["item_id"].eqNullSafe(i)), lambda x: x["coverage"])).alias("coverage")))
+        every = every.withColumn("__items", F.array_sort(best, lambda a, b: F.when(a["item_id"].isNull(), 1).when(b["item_id"].isNull(), -1).when(a["item_id"] < b["item_id"], -1).otherwise(1)))
+        out = docs.withColumns({"__h1": name[0], "__h2": name[1]}).join(every, ["__h1", "__h2"], "left").withColumn("items", F.coalesce("__items", F.array().cast(FOUND))).drop("__h1", "__h2", "__items")
     best = F.coalesce(F.array_max(F.transform("items", lambda x: x["coverage"])), F.lit(0.0))
     return out.withColumn("coverage", best).withColumn("contaminated", F.size("items") > 0)
