@@ -6,9 +6,10 @@ The fewer phrases a text needs, the closer it is; each count is normalised by th
 log2(sample length), so cost = phrases * log2(sample length) / symbols, and the cheapest language wins.
 
 The automata are laid out as dense tables (state x symbol -> state, with a flag where a phrase ends), so
-one numpy step advances all texts of a batch by one symbol in all languages.  A text is parsed in blocks
-of 512 symbols and no phrase crosses a block's border; every symbol of every text is parsed.  Symbols are
-lower-case letters; anything else is one space, runs of spaces count once.
+one numpy step advances all texts of a batch by one symbol in all languages.  Blocks of 512 symbols of long
+texts are first parsed side by side, each as if it began the text; then each is parsed again from the state in
+which the block before ends, only until both parses meet, which gives the phrases of the whole text exactly.
+Symbols are lower-case letters; anything else is one space, runs of spaces count once.
 
 Null texts and texts without a letter get `und` and score 0.  With no labelled rows every text is `und`.
 Ties go to the language first by name.
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .samples import by_label
+from .store import keep, release, small_batches
 
 BLOCK = 512
 UNKNOWN = "und"
@@ -122,38 +124,78 @@ class Parser:
             at += k
         length = (blocks != self.width - 1).sum(1)
         order = np.argsort(-length, kind="stable")
-        blocks, owner, length = np.ascontiguousarray(blocks[order].T), owner[order], length[order]
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        blocks, length = np.ascontiguousarray(blocks[order].T), length[order]
         n, m = len(owner), len(self.langs)
         state = np.repeat(np.array(self.start, np.int32)[:, None], n, 1)
         count = np.zeros((m, n), np.int32)
         alive = np.searchsorted(-length, -np.arange(BLOCK), "left")  # blocks longer than step j
-        for j in range(int(length[0]) if n else 0):
+        steps = int(length[0]) if n else 0
+        seen = np.empty((steps, m, n), np.int32)  # state and flag after each symbol
+        for j in range(steps):
             k = alive[j]
             to = self.table[state[:, :k] * self.width + blocks[j, :k]]
+            seen[j, :, :k] = to
             count[:, :k] += to >> 30
-            state[:, :k] = to & ((1 << 30) - 1)
-        count += (length > 0).astype(np.int32)  # the phrase that each block's end cuts
+            state[:, :k] = to & _STATE
+        # from the state in which the block before ends, until both parses meet
+        later = np.flatnonzero(owner[1:] == owner[:-1]) + 1
+        lang, block = (x.ravel() for x in np.meshgrid(np.arange(m), later, indexing="ij"))
+        more = np.zeros((m, n), np.int32)
+        while len(block):
+            own, st = place[block], state[lang, place[block - 1]]
+            extra, changed = np.zeros(len(block), np.int32), np.zeros(len(block), bool)
+            on = np.arange(len(block))
+            for j in range(steps):
+                on = on[length[own[on]] > j]
+                if not len(on):
+                    break
+                to = self.table[st[on] * self.width + blocks[j, own[on]]]
+                was = seen[j, lang[on], own[on]]
+                extra[on] += (to >> 30) - (was >> 30)
+                st[on] = to & _STATE
+                apart = st[on] != was & _STATE
+                changed[on] = apart
+                on = on[apart]
+            more[lang, own] = extra
+            state[lang, own] = np.where(changed, st, seen[length[own] - 1, lang, own] & _STATE)
+            nxt = changed & (block + 1 < n) & (owner[np.minimum(block + 1, n - 1)] == owner[block])
+            lang, block = lang[nxt], block[nxt] + 1  # those after a block that never met its first parse
+        count += more
         out = np.zeros((len(texts), m), np.int64)
         for i in range(m):
-            out[:, i] = np.bincount(owner, count[i], len(texts))
-        return out
+            out[:, i] = np.bincount(owner[order], count[i], len(texts))
+        return out + (np.array([len(t) for t in texts]) > 0)[:, None]  # the phrase that the text's end cuts
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Language and score (share of the winner among exp(-cost)) of each text."""
         lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-        at = [i for i, t in enumerate(texts) if isinstance(t, str) and t] if self.langs else []
-        fold = [folded(texts[i]) for i in at]
-        some = [j for j, x in enumerate(fold) if (x != 32).any()]
-        for lo in range(0, len(some), 1024):
-            part = some[lo : lo + 1024]
-            cost = self.phrases([fold[j] for j in part]) * self.scale / np.array([[len(fold[j])] for j in part])
-            best = cost.argmin(1)
-            odds = np.exp(-4 * (cost - cost.min(1, keepdims=True)))
-            for j, b, s in zip(part, best, odds.max(1) / odds.sum(1)):
-                lang[at[j]], score[at[j]] = self.langs[b], float(s)
+        part: list[tuple[int, np.ndarray]] = []
+
+        def flush() -> None:
+            if part:
+                cost = self.phrases([x for _, x in part]) * self.scale / np.array([[len(x)] for _, x in part])
+                odds = np.exp(-4 * (cost - cost.min(1, keepdims=True)))
+                for (i, _), b, s in zip(part, cost.argmin(1), odds.max(1) / odds.sum(1)):
+                    lang[i], score[i] = self.langs[b], float(s)
+                part.clear()
+
+        held = 0
+        for i, t in enumerate(texts if self.langs else []):
+            x = folded(t) if isinstance(t, str) and t else _NOTHING
+            if (x != 32).any():
+                part.append((i, x))
+                held += max(BLOCK, len(x))
+                if held > 500_000:
+                    flush()
+                    held = 0
+        flush()
         return lang, score
 
 
+_STATE = (1 << 30) - 1
+_NOTHING = np.zeros(0, np.uint32)
 _parsers: dict[bytes, Parser] = {}
 
 
@@ -165,20 +207,30 @@ def parser_for(key: bytes, shared) -> Parser:
     return _parsers[key]
 
 
-def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", rows: int = 400, chars_per_row: int = 400, chars: int = 40_000) -> dict[str, str]:
-    """A sample of text by language: about `rows` rows each, up to `chars_per_row` characters of a row from a
-    place set by its id, `chars` characters in all.  The bounds hold whatever the table's size."""
+def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", rows: int = 400, chars: int = 40_000) -> dict[str, str]:
+    """A sample of whole texts by language: of about `rows` rows each, chosen by a hash of the id, as many as `chars` characters hold.
+
+    The shortest of them is always taken.  The bounds hold whatever the table's size.
+    """
     clean = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    piece = F.substring(F.col(text), (F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.length(text) - chars_per_row)) + 1).cast("int"), F.lit(chars_per_row))
-    found = by_label(clean.select("doc_id", lang, text), lang, rows).select("doc_id", lang, piece.alias("piece")).collect()
+    found = keep(by_label(clean.select("doc_id", lang, text), lang, rows).select("doc_id", F.col(lang).alias("lang"), F.xxhash64(text).alias("h"), F.length(text).alias("n"), F.col(text).alias("text")), "sample")
+    room: dict[str, int] = {}
+    chosen: list[tuple[str, int]] = []
+    listed = sorted(found.select("lang", "doc_id", "h", "n").distinct().collect(), key=lambda r: (hashlib.md5(str(r["doc_id"]).encode()).digest(), r["h"]))
+    for r in [*(min((x for x in listed if x["lang"] == k), key=lambda x: x["n"]) for k in {x["lang"] for x in listed}), *listed]:
+        if (r["lang"], r["h"]) not in chosen and (r["lang"] not in room or r["n"] < room[r["lang"]]):
+            room[r["lang"]] = room.get(r["lang"], chars) - r["n"] - 1
+            chosen.append((r["lang"], r["h"]))
+    texts = {(r["lang"], r["h"]): r["text"] for r in found.where(F.col("h").isin([h for _, h in chosen])).select("lang", "h", "text").collect()}
     out: dict[str, list[str]] = {}
-    for r in sorted(found, key=lambda r: (hashlib.md5(str(r["doc_id"]).encode()).digest(), r["doc_id"])):
-        out.setdefault(r[lang], []).append(r["piece"])
-    return {k: " ".join(v)[:chars] for k, v in out.items()}
+    for k, h in chosen:
+        out.setdefault(k, []).append(texts[k, h])
+    return {k: " ".join(v) for k, v in out.items()}
 
 
 def identify(docs: DataFrame, samples: dict[str, str], text: str = "text") -> DataFrame:
     """docs with lang_pred and score; columns of these names are replaced."""
+    small_batches(docs.sparkSession)
     key = hashlib.sha256(repr(sorted(samples.items())).encode()).digest()
     shared = docs.sparkSession.sparkContext.broadcast(samples)  # bounded by learn()
 
@@ -188,6 +240,7 @@ def identify(docs: DataFrame, samples: dict[str, str], text: str = "text") -> Da
         for batch in batches:
             lang, score = parser.predict(batch.tolist())
             yield pd.DataFrame({"lang_pred": lang, "score": score})
+        release()
 
     out = docs.withColumn("__lang", run(F.col(text)))
     return out.withColumns({"lang_pred": F.col("__lang.lang_pred"), "score": F.col("__lang.score")}).drop("__lang")

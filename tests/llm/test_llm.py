@@ -184,18 +184,23 @@ def test_language(spark, small):
     assert got[100] == ("und", 0.0) and got[0] == ("und", 0.0) and all(0 <= s <= 1 for _, s in got.values())
     assert {r["lang_pred"] for r in langid.identify(odd(spark), {}).collect()} == {"und"}
     parser = langid.Parser(samples)
-    text = rows[0]["text"][:900]
-    folded = "".join(map(chr, langid.folded(text)))
-    for k, n in zip(parser.langs, parser.phrases([langid.folded(text)])[0]):
-        sample, want = "".join(map(chr, langid.folded(samples[k]))), 0
-        for lo in range(0, len(folded), langid.BLOCK):
-            block, i = folded[lo : lo + langid.BLOCK], 0
-            while i < len(block):
-                j = i + 1
-                while j <= len(block) and block[i:j] in sample:
-                    j += 1
-                i, want = max(i + 1, j - 1), want + 1
-        assert n == want
+    long = max((r["text"] for r in rows), key=len)[:9000]
+    texts = [rows[0]["text"][:900], long, long[:512], long[:513], samples["en"][:3000], "zq" * 2000, ""]
+    got = parser.phrases([langid.folded(t) for t in texts])
+    for t, counts in zip(texts, got):
+        assert counts.tolist() == [plain_phrases(t, samples[k]) for k in parser.langs]
+    assert langid.identify(small.limit(0), samples).count() == 0
+
+
+def plain_phrases(text, sample):
+    text, sample = ("".join(map(chr, langid.folded(x))) for x in (text, sample))
+    i = n = 0
+    while i < len(text):
+        j = i + 1
+        while j <= len(text) and text[i:j] in sample:
+            j += 1
+        i, n = max(i + 1, j - 1), n + 1
+    return n
 
 
 def langid_fold():
