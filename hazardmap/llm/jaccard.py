@@ -13,17 +13,18 @@ A-Z lower-cased; with fewer than 5 words the whole sequence is one shingle).  Tw
    The token-group matrix says which group holds which prefix shingle, and in members of which sizes.  With c
    prefix shingles of a class x in group g, no member y can share more than c + max(ceil(.75 |x|), ceil(.75 |y|)) - 1
    shingles with x; groups whose bound falls short for every size are left out.
-4. Only classes with a group left bring their whole sets.  Each group gathers its members' sets, their union
-   and incidence; links inside it come from the incidence at once.
-5. Links inside groups are followed first, for two and more orders of the classes.  From then on a shingle counts
-   only if classes of two components hold it, so a crowd of near copies, which soon is one component, is not
-   compared with itself over and over.
-6. At last each class queries each remaining group of a lower number that holds another component: its overlap
-   with the group's union bounds that with every member, and only groups that can reach the threshold are opened.
+4. Shingles that many groups hold come from crowds.  As long as they would make the next step wide, their classes
+   are first linked inside groups only, in another order each time, and followed to components.  From then on a
+   shingle counts only if classes of two components hold it, so a crowd of near copies, which soon is one
+   component, is not compared with itself over and over.
+5. Only classes with a group left bring their whole sets.  Each group gathers its members' sets, their union
+   and incidence; links inside it come from the incidence at once.  A class queries each remaining group of a lower
+   number: its overlap with the group's union bounds that with every member, and only groups that can reach the
+   threshold are opened.
 
 No candidate is capped: every pair that can reach the threshold and is not yet known to be connected is tested
-exactly.  Hot groups of copies collapse within tasks before any shuffle; hot shingles skip the bucket shuffle of
-step 2, as they are known to be shared; a group with many queries is tested in several tasks.  What stays
+exactly.  Hot groups of copies collapse within tasks before any shuffle; hot shingles are spread by shingle and class in step 2, as they need not
+meet; a group with many queries is tested in several tasks.  What stays
 quadratic, in groups and not in documents, are crowds that share much of their prefixes without being linked.
 
 Null and empty texts, and texts without words, have no shingles, link with nothing and are their own component.
@@ -41,7 +42,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
@@ -204,8 +205,9 @@ def shared_prefixes(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> Data
             both = np.concatenate([np.zeros((0, 3), np.uint64), *held])
             held.clear()
             seen.clear()
-            # bucket -1: hot shingles, which need no meeting
-            bucket = np.where(both[:, 2] > 0, -1, (tx.mix(both[:, 0]) % np.uint64(buckets)).astype(np.int64))
+            # below 0: hot shingles, which need no meeting and are spread with the sets' names
+            bucket = (tx.mix(both[:, 0]) % np.uint64(buckets)).astype(np.int64)
+            bucket = np.where(both[:, 2] > 0, -1 - (tx.mix(both[:, 0] ^ both[:, 1]) % np.uint64(buckets)).astype(np.int64), bucket)
             order = np.argsort(bucket, kind="stable")
             both, bucket = both[order, :2], bucket[order]
             cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, int)
@@ -234,39 +236,34 @@ def shared_prefixes(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> Data
         release()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = -1, []
+        now, held = 0, []
 
-        def close() -> Iterator[pa.RecordBatch]:
+        def close() -> pa.RecordBatch:
             x = np.frombuffer(b"".join(held), np.uint64).reshape(-1, 2)
             held.clear()
             x = x[np.lexsort((x[:, 1], x[:, 0]))]
             fresh = np.ones(len(x), bool)
             fresh[1:] = (x[1:] != x[:-1]).any(1)
             x = x[fresh]
-            same = x[1:, 0] == x[:-1, 0]
-            both = np.zeros(len(x), bool)
-            both[1:] |= same
-            both[:-1] |= same
-            x = x[both].view(np.int64)
-            yield _frame(out, gram=x[:, 0], k1=x[:, 1])
+            if now >= 0:
+                same = x[1:, 0] == x[:-1, 0]
+                both = np.zeros(len(x), bool)
+                both[1:] |= same
+                both[:-1] |= same
+                x = x[both]
+            return _frame(out, gram=x.view(np.int64)[:, 0], k1=x.view(np.int64)[:, 1])
 
         for batch in batches:
             for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob")):
-                if bucket < 0:  # dealt out anywhere
-                    x = np.frombuffer(blob.as_buffer(), np.int64).reshape(-1, 2)
-                    yield _frame(out, gram=x[:, 0], k1=x[:, 1])
-                    continue
                 if bucket != now and held:
-                    yield from close()
+                    yield close()
                 now = bucket
                 held.append(blob.as_py())
-        yield from close()
+        yield close()
         release()
 
     packed = docs.select("text").mapInArrow(pack, "bucket int, blob binary")
-    # hot rows may go anywhere: they are spread by their content
-    spread = F.when(F.col("bucket") < 0, F.hash("blob")).otherwise(F.col("bucket"))
-    return packed.repartition(parts, spread).sortWithinPartitions("bucket").mapInArrow(meet, "gram long, k1 long").distinct()
+    return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "gram long, k1 long")
 
 
 def linked(inter: np.ndarray, n: int, m: np.ndarray) -> np.ndarray:
@@ -349,37 +346,32 @@ def may_link(n: str = "n", c: str = "c", low: str = "lo", high: str = "hi") -> C
     return F.expr(f"{low} <= {high} and {c} >= least({least})")
 
 
-def inside_groups(placed: DataFrame) -> DataFrame:
-    """(rep, k1, k2, to) of classes that may link with a class of another component in their own group; placed: gram and a numbered class."""
-    group = Window.partitionBy("gram", "gid")  # at most the members of a group
-    seen = placed.select("*", F.count("*").over(group).alias("c"), F.min("n").over(group).alias("lo"), F.max("n").over(group).alias("hi"), F.min("comp").over(group).alias("ca"), F.max("comp").over(group).alias("cb"))
-    met = seen.where("c > 1 and ca < cb").groupBy("rep", "k1", "k2", "gid", "n").agg(F.count("*").alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    return met.where(may_link()).select("rep", "k1", "k2", F.array(F.struct(F.lit(0).alias("kind"), "gid", F.lit(0).alias("salt"))).alias("to"))
+def token_groups(placed: DataFrame) -> DataFrame:
+    """The matrix: for each prefix shingle and group, its members (c), their sizes (lo, hi) and components (ca, cb)."""
+    return placed.groupBy("gram", "gid").agg(F.count("*").alias("c"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("comp").alias("ca"), F.max("comp").alias("cb"))
 
 
-def across_groups(placed: DataFrame, each: int = 256) -> DataFrame:
-    """(rep, k1, k2, to) of classes that may link with a class of another component in any group.
+def across_groups(placed: DataFrame, matrix: DataFrame, each: int = 256) -> DataFrame:
+    """(rep, k1, to) of classes that may link with a class of another component in any group.
 
-    A class is a member of its own group (kind 0) and queries the others of a lower number (kind 1); a group with
-    many queries is tested `each` queries at a time.
+    placed: gram and a numbered class (rep, k1, n, gid, comp).  A class is a member of its own group (kind 0) and queries
+    the others of a lower number (kind 1); a group with many queries is tested `each` queries at a time.
     """
-    in_group = placed.groupBy("gram", "gid").agg(F.count("*").alias("c"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("comp").alias("ca"), F.max("comp").alias("cb"))
-    held = keep(in_group, "matrix").withColumnRenamed("gid", "of").alias("g")
     fits = "g.gram = p.gram and not (g.ca = p.comp and g.cb = p.comp) and g.hi >= (3 * p.n + 3) div 4 and g.lo <= (4 * p.n) div 3 and (g.of <> p.gid or g.c > 1)"
-    met = placed.alias("p").join(held, F.expr(fits)).groupBy("p.rep", "p.k1", "p.k2", "p.gid", "p.n", "g.of").agg(F.count("*").alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    chosen = keep(met.where(may_link()).select("rep", "k1", "k2", "gid", "of"), "chosen")
-    asked = chosen.where("of < gid").select("rep", "k1", "k2", F.col("of").alias("gid"))
+    met = placed.alias("p").join(matrix.withColumnRenamed("gid", "of").alias("g"), F.expr(fits)).groupBy("p.rep", "p.k1", "p.gid", "p.n", "g.of").agg(F.count("*").alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    chosen = keep(met.where(may_link()).select("rep", "k1", "gid", "of"), "chosen")
+    asked = chosen.where("of < gid").select("rep", "k1", F.col("of").alias("gid"))
     salts = asked.groupBy("gid").agg(F.ceil(F.count("*") / each).cast("int").alias("salts"))
-    asks = asked.join(salts, "gid").select("rep", "k1", "k2", F.lit(1).alias("kind"), "gid", F.pmod(F.xxhash64("rep", "k1"), F.col("salts")).cast("int").alias("salt"))
+    asks = asked.join(salts, "gid").select("rep", "k1", F.lit(1).alias("kind"), "gid", F.pmod(F.xxhash64("rep", "k1"), F.col("salts")).cast("int").alias("salt"))
     copies = F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))
-    homes = chosen.select("rep", "k1", "k2", "gid").distinct().join(salts, "gid", "left").select("rep", "k1", "k2", F.lit(0).alias("kind"), "gid", copies.alias("salt"))
-    return asks.unionByName(homes).groupBy("rep", "k1", "k2").agg(F.collect_list(F.struct("kind", "gid", "salt")).alias("to"))
+    homes = chosen.select("rep", "k1", "gid").distinct().join(salts, "gid", "left").select("rep", "k1", F.lit(0).alias("kind"), "gid", copies.alias("salt"))
+    return asks.unionByName(homes).groupBy("rep", "k1").agg(F.collect_list(F.struct("kind", "gid", "salt")).alias("to"))
 
 
 def link_groups(docs: DataFrame, targets: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:
     """Links (a, b) between classes, inside groups and across: enough of them to connect whatever is linked.
 
-    targets: rep, k1, k2 and to (kind, gid, salt).  A class's set goes to its own group as a member and to others as a
+    targets: rep, k1 and to (kind, gid, salt).  A class's set goes to its own group as a member and to others as a
     query.  Targets of at most `most_bytes` are broadcast to the documents; else both meet by a shuffle.
     """
     spark = docs.sparkSession
@@ -401,9 +393,8 @@ def link_groups(docs: DataFrame, targets: DataFrame, most_bytes: int = 64 << 20)
             return frame
 
         for part, grams, offs in _sets(batches):
-            k1, k2 = set_keys(grams, offs)
-            right = (k1 == part.column("k1").to_numpy()) & (k2 == part.column("k2").to_numpy())
-            for i in np.flatnonzero(right).tolist():
+            k1, _ = set_keys(grams, offs)
+            for i in np.flatnonzero(k1 == part.column("k1").to_numpy()).tolist():  # a doc_id may stand for several texts
                 rep, name = part.column("rep")[i].as_py(), int(k1[i])
                 if (rep, name) in sent:  # a row that stands many times in the table is sent once by a task
                     continue
@@ -419,7 +410,7 @@ def link_groups(docs: DataFrame, targets: DataFrame, most_bytes: int = 64 << 20)
         release()
 
     texts = docs.select(F.col("__row").alias("rep"), "text")
-    sent = texts.join(targets, "rep").select("rep", "k1", "k2", "to", "text").mapInArrow(send, "gid long, salt int, kind int, rep long, k1 long, grams binary")
+    sent = texts.join(targets, "rep").select("rep", "k1", "to", "text").mapInArrow(send, "gid long, salt int, kind int, rep long, k1 long, grams binary")
     links = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -466,34 +457,29 @@ def link_groups(docs: DataFrame, targets: DataFrame, most_bytes: int = 64 << 20)
     return sent.repartition(parts, "gid", "salt").sortWithinPartitions("gid", "salt", "kind", "rep", "k1").mapInArrow(run, "a long, b long")
 
 
-def connect(docs: DataFrame, postings: DataFrame, classes: DataFrame, rounds: int = 5, wide: int = 8) -> DataFrame:
-    """(node, label) of linked classes.
+def connect(docs: DataFrame, postings: DataFrame, classes: DataFrame, rounds: int = 6, wide: int = 8) -> DataFrame:
+    """(node, label) of linked classes; classes: rep, k1, n, s1, s2.
 
-    classes: rep, k1, k2, n, s1, s2.  Two rounds and up to `rounds` follow links inside groups only; more than two are made
-    while the last step, over all groups, would look at more than `wide` groups for each shingle of a class.
+    A shingle of more than `wide` groups is wide.  While the wide ones make up most of the last step, their classes
+    are linked inside groups only, up to `rounds` times.
     """
-    labels = docs.sparkSession.createDataFrame([], "node long, label long")
-    orders = [["s1", "n", "rep", "k1"], ["s2", "mixed", "rep", "k1"]]
-    step = 0
-    while True:
-        named = classes.join(labels, F.col("rep") == F.col("node"), "left").select("rep", "k1", "k2", "n", "s1", "s2", F.coalesce("label", "rep").alias("comp"))
-        held = postings.join(named, "k1")
-        apart = keep(held.groupBy("gram").agg(F.min("comp").alias("ca"), F.max("comp").alias("cb")).where("ca < cb").select("gram"), "apart")
-        held = keep(held.join(apart, "gram"), "held")  # shingles that two components hold
-        order = orders[step % 2]
-        active = held.select("rep", "k1", "k2", "n", "s1", "s2", "comp").distinct()
-        numbered = number_groups(active.withColumn("mixed", F.xxhash64("rep", "k1", F.lit(step))), order)
-        placed = keep(held.select("gram", "k1", "k2", "rep").join(numbered.select("rep", "k1", "k2", "n", "comp", "gid"), ["rep", "k1", "k2"]), "placed")
-        last = step >= rounds
-        if not last and step >= 2:
-            sums = placed.groupBy("gram").agg(F.count("*").alias("h"), F.approx_count_distinct("gid").alias("g")).agg(F.sum("h").alias("h"), F.sum(F.col("h") * F.col("g")).alias("hg")).first()
-            last = (sums["hg"] or 0) <= wide * (sums["h"] or 0)
-        found = keep(link_groups(docs, across_groups(placed) if last else inside_groups(placed)), "links")
-        labels = components(found.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
-        if last:
-            return labels
-        labels = keep(labels, "labels")
-        step += 1
+    placed = keep(postings.join(number_groups(classes, ["s1", "n", "rep", "k1"]), "k1").select("gram", "rep", "k1", "n", "gid", F.col("rep").alias("comp")), "placed")
+    rows, links, labels = placed.count(), None, None
+    for step in range(rounds + 1):
+        matrix = keep(token_groups(placed), "matrix")
+        crowds = matrix.groupBy("gram").agg(F.count("*").alias("g"), F.sum("c").alias("h"), F.min("ca").alias("ca"), F.max("cb").alias("cb"))
+        crowds = keep(crowds.where((F.col("g") > wide) & (F.col("ca") < F.col("cb"))).select("gram", "g", "h"), "crowds")
+        if step == rounds or (crowds.agg(F.sum(F.col("g") * F.col("h")).alias("x")).first()["x"] or 0) <= rows:
+            break
+        crowd = placed.join(crowds.select("gram"), "gram").select("rep", "k1").distinct().join(classes, ["rep", "k1"])
+        mixed = crowd.withColumn("mixed", F.xxhash64("rep", "k1", F.lit(step)))
+        home = number_groups(mixed, [("s1", "s2")[step % 2], "mixed"]).select("rep", "k1", F.array(F.struct(F.lit(0).alias("kind"), "gid", F.lit(0).alias("salt"))).alias("to"))
+        found = keep(link_groups(docs, home), "links")
+        links = found if links is None else links.unionByName(found)
+        labels = keep(components(links), "labels")
+        placed = keep(placed.drop("comp").join(labels, F.col("rep") == F.col("node"), "left").select("gram", "rep", "k1", "n", "gid", F.coalesce("label", "rep").alias("comp")), "placed")
+    found = keep(link_groups(docs, across_groups(placed, matrix)), "links")
+    return components(found if labels is None else found.unionByName(labels.toDF("a", "b")))
 
 
 def row_components(docs: DataFrame) -> DataFrame:
@@ -503,7 +489,7 @@ def row_components(docs: DataFrame) -> DataFrame:
     each = keep(document_sets(docs, hot), "sets")
     classes = each.where("n > 0").groupBy("k1", "k2").agg(F.min("row").alias("rep"), *(F.min(c).alias(c) for c in ("n", "s1", "s2")))
     postings = keep(shared_prefixes(docs, hot), "postings")
-    sharing = keep(classes.join(postings.select("k1").distinct(), "k1", "left_semi"), "classes")
+    sharing = keep(classes.join(postings.select("k1").distinct(), "k1", "left_semi").drop("k2"), "classes")
     labels = connect(docs, postings, sharing)
     named = classes.select("k1", "k2", "rep").join(labels, F.col("rep") == F.col("node"), "left").select("k1", "k2", F.coalesce("label", "rep").alias("comp"))
     found = each.where("n > 0").join(named, ["k1", "k2"]).select("row", "text", "n", "comp")
