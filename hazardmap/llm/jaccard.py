@@ -461,15 +461,17 @@ def connect(docs: DataFrame, postings: DataFrame, classes: DataFrame, rounds: in
     """(node, label) of linked classes; classes: rep, k1, n, s1, s2.
 
     A shingle of more than `wide` groups is wide.  While the wide ones make up most of the last step, their classes
-    are linked inside groups only, up to `rounds` times.
+    are linked inside groups only, up to `rounds` times and as long as each time halves that step.
     """
-    placed = keep(postings.join(number_groups(classes, ["s1", "n", "rep", "k1"]), "k1").select("gram", "rep", "k1", "n", "gid", F.col("rep").alias("comp")), "placed")
-    rows, links, labels = placed.count(), None, None
+    numbered = keep(number_groups(classes, ["s1", "n", "rep", "k1"]).select("rep", "k1", "n", "gid"), "numbered")
+    comps, links, labels, pairs = numbered.withColumn("comp", F.col("rep")), None, None, float("inf")
     for step in range(rounds + 1):
+        placed = keep(postings.join(comps, "k1"), "placed")
         matrix = keep(token_groups(placed), "matrix")
         crowds = matrix.groupBy("gram").agg(F.count("*").alias("g"), F.sum("c").alias("h"), F.min("ca").alias("ca"), F.max("cb").alias("cb"))
         crowds = keep(crowds.where((F.col("g") > wide) & (F.col("ca") < F.col("cb"))).select("gram", "g", "h"), "crowds")
-        if step == rounds or (crowds.agg(F.sum(F.col("g") * F.col("h")).alias("x")).first()["x"] or 0) <= rows:
+        before, pairs = pairs, crowds.agg(F.sum(F.col("g") * F.col("h")).alias("x")).first()["x"] or 0
+        if step == rounds or pairs <= placed.count() or pairs > before / 2:
             break
         crowd = placed.join(crowds.select("gram"), "gram").select("rep", "k1").distinct().join(classes, ["rep", "k1"])
         mixed = crowd.withColumn("mixed", F.xxhash64("rep", "k1", F.lit(step)))
@@ -477,7 +479,7 @@ def connect(docs: DataFrame, postings: DataFrame, classes: DataFrame, rounds: in
         found = keep(link_groups(docs, home), "links")
         links = found if links is None else links.unionByName(found)
         labels = keep(components(links), "labels")
-        placed = keep(placed.drop("comp").join(labels, F.col("rep") == F.col("node"), "left").select("gram", "rep", "k1", "n", "gid", F.coalesce("label", "rep").alias("comp")), "placed")
+        comps = numbered.join(labels, F.col("rep") == F.col("node"), "left").select("rep", "k1", "n", "gid", F.coalesce("label", "rep").alias("comp"))
     found = keep(link_groups(docs, across_groups(placed, matrix)), "links")
     return components(found if labels is None else found.unionByName(labels.toDF("a", "b")))
 
