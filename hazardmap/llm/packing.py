@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pretokens import default_path, encode
-from .store import small_batches
+from .store import release, small_batches
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -136,6 +136,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = 102
                     rows.clear()
         close()
         yield pd.DataFrame(rows, columns=SCHEMA.replace(" long", "").split(", "), dtype="int64")
+        release()
 
     none = -(1 << 63)  # stands for a null id inside the tasks
     packed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(none)).alias("doc_id"), "text").mapInPandas(run, SCHEMA)

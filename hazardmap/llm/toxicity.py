@@ -3,8 +3,8 @@
 Words (runs of letters, digits and non-ASCII bytes, lower case) are hashed to rows of an embedding table; a
 word's vector is the sum of its own row and that of its first bytes, so unseen forms of a known stem count;
 filters of width 1, 2 and 3 slide over them, each filter's maximum over the text goes through a ReLU into
-a logistic unit.  Everything is trained in numpy (Adam, dropout on pooled features) on a bounded sample of
-labelled rows, the features of rare classes balanced by weights.
+a logistic unit.  Everything is trained in numpy (Adam, dropout of words and pooled features) on a bounded sample
+of labelled rows, rare classes balanced by weights.
 
 Thresholds are calibrated by language on all labelled rows that are not in the sample: Spark scores their whole
 texts and counts them by language, label and fine score bin.  A label's counts are scaled to its rows in the
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 from .samples import by_label
-from .store import keep, small_batches
+from .store import keep, release, small_batches
 
 WIDTHS = (1, 2, 3)
 
@@ -103,14 +103,17 @@ def guess_language(model: Model, ids: np.ndarray, offs: np.ndarray) -> np.ndarra
     return (total[offs[1:]] - total[offs[:-1]]).argmax(1)
 
 
-def raw_and_language(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Logit before calibration and index of the likeliest language of each text."""
+def raw_and_language(model: Model, column: pa.Array, most_words: int = 60_000) -> tuple[np.ndarray, np.ndarray]:
+    """Logit before calibration and index of the likeliest language of each text; about `most_words` words are worked on at once."""
     z, lang = np.zeros(len(column)), np.zeros(len(column), np.int64)
     ids, offs = word_ids(column, model.buckets)
-    for lo in range(0, len(column), 256):  # bounded memory: some hundred texts at a time
-        at = offs[lo : min(lo + 256, len(column)) + 1]
+    lo = 0
+    while lo < len(column):
+        hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + most_words, "right")) - 1)
+        at = offs[lo : hi + 1]
         part, own = ids[at[0] : at[-1]], at - at[0]
-        z[lo : lo + len(own) - 1], lang[lo : lo + len(own) - 1] = raw_scores(model, part, own), guess_language(model, part, own)
+        z[lo:hi], lang[lo:hi] = raw_scores(model, part, own), guess_language(model, part, own)
+        lo = hi
     return z, lang
 
 
@@ -131,85 +134,103 @@ def _best_threshold(z: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> floa
     return float((z[i] + after) / 2)
 
 
-def _word_odds(ids: np.ndarray, offs: np.ndarray, labels: np.ndarray, rows: np.ndarray, buckets: int, prior: float) -> np.ndarray:
-    """Log of how much likelier a row with a word is to be toxic than any row, pulled to 0 by `prior` rows."""
-    count = np.zeros((2, buckets))
-    for i in rows:
-        count[labels[i], np.unique(ids[offs[i] : offs[i + 1]])] += 1
-    share = max(labels[rows].mean(), 1e-3) if len(rows) else 0.5
-    return np.log((count[1] + prior * share) / (count.sum(0) + prior) / share).astype(np.float32)
+Params = dict[str, np.ndarray]
 
 
-def fit(ids: np.ndarray, offs: np.ndarray, labels: np.ndarray, langs: np.ndarray, buckets: int, dim: int = 12, filters: int = 8, epochs: int = 5, least_steps: int = 150, prior: float = 10.0, decay: float = 1e-3, seed: int = 5) -> Model:
+def initial(rng: np.random.Generator, buckets: int, dim: int, filters: int) -> Params:
+    """e: embeddings; w<width><position>: filters; b: their biases; o, c: the logistic unit."""
+    k = filters * len(WIDTHS)
+    params = {"e": rng.normal(0, 0.005, (buckets, dim)), "o": rng.normal(0, 0.3, k), "c": np.zeros(1), "b": np.zeros(k)}
+    params |= {f"w{w}{j}": rng.normal(0, 0.4, (dim, filters)) for w in WIDTHS for j in range(w)}
+    params["e"][0] = 0
+    return {k: v.astype(np.float32) for k, v in params.items()}
+
+
+def loss_and_gradients(params: Params, texts: list[np.ndarray], y: np.ndarray, weight: np.ndarray, drop: np.ndarray) -> tuple[float, Params, np.ndarray, np.ndarray]:
+    """Weighted mean log loss of texts (bucket pairs, at least one word each), gradients of all but e, and the rows of e touched with theirs.
+
+    drop: factors of the pooled features, a row a text.
+    """
+    dim, f = params["w10"].shape
+    wide = max(WIDTHS) - 1
+    pad = np.zeros((wide, 2), np.int32)
+    flat = np.concatenate([x for t in texts for x in (t, pad)])
+    start = np.concatenate([[0], np.cumsum([len(t) + wide for t in texts])])
+    emb = params["e"][flat].sum(1)
+    m = len(flat) - wide
+    pooled, where = np.zeros((len(texts), f * len(WIDTHS)), emb.dtype), []
+    for k, w in enumerate(WIDTHS):
+        r = emb[:m] @ params[f"w{w}0"]
+        for j in range(1, w):
+            r += emb[j : m + j] @ params[f"w{w}{j}"]
+        for i in range(len(texts)):
+            a, z = start[i], start[i + 1] - wide
+            at = r[a:z].argmax(0) + a
+            pooled[i, k * f : (k + 1) * f] = r[at, np.arange(f)]
+            where.append((i, k, w, at))
+    hidden = np.maximum(pooled + params["b"], 0)
+    z = (hidden * drop) @ params["o"] + params["c"]
+    loss = float((weight * (np.logaddexp(0, z) - y * z)).mean())
+    gap = ((1 / (1 + np.exp(-z)) - y) * weight / len(texts)).astype(emb.dtype)
+    grads = {k: np.zeros_like(v) for k, v in params.items() if k != "e"}
+    grads["o"] = (hidden * drop).T @ gap
+    grads["c"][0] = gap.sum()
+    back = gap[:, None] * params["o"] * drop * (hidden > 0)
+    grads["b"] = back.sum(0)
+    touched, touch = [np.zeros(0, np.int32)], [np.zeros((0, dim), emb.dtype)]
+    for i, k, w, at in where:
+        g = back[i, k * f : (k + 1) * f]
+        on = np.flatnonzero(g)
+        for j in range(w):
+            grads[f"w{w}{j}"][:, on] += emb[at[on] + j].T * g[on]
+            touched += [flat[at[on] + j, 0], flat[at[on] + j, 1]]
+            touch += [g[on, None] * params[f"w{w}{j}"][:, on].T] * 2
+    spots, inverse = np.unique(np.concatenate(touched), return_inverse=True)
+    own = np.zeros((len(spots), dim), emb.dtype)
+    np.add.at(own, inverse, np.concatenate(touch))
+    own[spots == 0] = 0  # the padding stays at zero
+    return loss, grads, spots, own
+
+
+def as_model(params: Params) -> Model:
+    """The network for scoring, with no languages yet."""
+    buckets = len(params["e"])
+    return Model(buckets, [[params["e"] @ params[f"w{w}{j}"] for j in range(w)] for w in WIDTHS], params["b"], params["o"], float(params["c"][0]), np.zeros((buckets, 0), np.float32), np.zeros(1))
+
+
+def thinned(text: np.ndarray, rng: np.random.Generator, share: float) -> np.ndarray:
+    """A text without a random share of its words, so that no single word carries it; at least one word stays."""
+    stays = rng.random(len(text)) >= share
+    return text[stays] if stays.any() else text
+
+
+def fit(ids: np.ndarray, offs: np.ndarray, labels: np.ndarray, langs: np.ndarray, buckets: int, dim: int = 12, filters: int = 8, epochs: int = 5, least_steps: int = 150, decay: float = 1e-3, lost: float = 0.3, seed: int = 5) -> Model:
     """Trains the network, without thresholds; langs are indexes of languages, -1 for none."""
     rng = np.random.default_rng(seed)
-    n, f = len(labels), filters
-    params = {"e": rng.normal(0, 0.05, (buckets, dim)).astype(np.float32), "o": rng.normal(0, 0.3, f * len(WIDTHS)).astype(np.float32), "c": np.zeros(1, np.float32), "b": np.zeros(f * len(WIDTHS), np.float32)}
-    params |= {f"w{w}{j}": rng.normal(0, 0.4, (dim, f)).astype(np.float32) for w in WIDTHS for j in range(w)}
+    n = len(labels)
+    params = initial(rng, buckets, dim, filters)
     own = np.flatnonzero(np.diff(offs) > 0)
-    params["e"][:, 0] = _word_odds(ids, offs, labels, own, buckets, prior)  # the first dimension stays as counted
-    params["e"][0] = 0
     first = {k: np.zeros_like(v) for k, v in params.items()}
     second = {k: np.zeros_like(v) for k, v in params.items()}
     share = labels.mean()
     step = 0
-
-    def model() -> Model:
-        return Model(buckets, [[params["e"] @ params[f"w{w}{j}"] for j in range(w)] for w in WIDTHS], params["b"], params["o"], float(params["c"][0]), np.zeros((buckets, 0), np.float32), np.zeros(1))
-
     for _ in range(max(epochs, -(-least_steps // max(1, len(own) // 64)))):
         rng.shuffle(own)
         for batch in np.array_split(own, max(1, len(own) // 64)):
             step += 1
-            grads = {k: np.zeros_like(v) for k, v in params.items() if k != "e"}
-            touched, touch = [], []
-            # forward: response of each filter at each position, its maximum and where it stands
-            pooled, where, tokens = np.zeros((len(batch), f * len(WIDTHS)), np.float32), [], []
-            flat = np.concatenate([np.concatenate([ids[offs[i] : offs[i + 1]], np.zeros((2, 2), np.int32)]) for i in batch])
-            start = np.concatenate([[0], np.cumsum(np.diff(offs)[batch] + 2)])
-            emb = params["e"][flat].sum(1)
-            for k, w in enumerate(WIDTHS):
-                m = len(flat) - 2
-                r = emb[:m] @ params[f"w{w}0"]
-                for j in range(1, w):
-                    r += emb[j : m + j] @ params[f"w{w}{j}"]
-                for i in range(len(batch)):
-                    a, z = start[i], start[i + 1] - 2
-                    at = r[a:z].argmax(0) + a
-                    pooled[i, k * f : (k + 1) * f] = r[at, np.arange(f)]
-                    where.append((i, k, w, at))
-            hidden = np.maximum(pooled + params["b"], 0)
-            drop = (rng.random(hidden.shape) > 0.2).astype(np.float32) / 0.8
-            z = (hidden * drop) @ params["o"] + params["c"]
             y = labels[batch]
             weight = np.where(y == 1, 0.5 / max(share, 1e-3), 0.5 / max(1 - share, 1e-3))
-            gap = ((1 / (1 + np.exp(-z)) - y) * weight / len(batch)).astype(np.float32)
-            grads["o"] = (hidden * drop).T @ gap
-            grads["c"][0] = gap.sum()
-            back = gap[:, None] * params["o"] * drop * (hidden > 0)
-            grads["b"] = back.sum(0)
-            for i, k, w, at in where:
-                g = back[i, k * f : (k + 1) * f]
-                on = np.flatnonzero(g)
-                for j in range(w):
-                    grads[f"w{w}{j}"][:, on] += emb[at[on] + j].T * g[on]
-                    touched += [flat[at[on] + j, 0], flat[at[on] + j, 1]]
-                    touch += [g[on, None] * params[f"w{w}{j}"][:, on].T] * 2
-            if touched:
-                spots, inverse = np.unique(np.concatenate(touched), return_inverse=True)
-                g = np.zeros((len(spots), dim), np.float32)
-                np.add.at(g, inverse, np.concatenate(touch))
-                g[spots == 0] = 0
-                g += decay * params["e"][spots]
-                g[:, 0] = 0
-                first["e"][spots] += 0.1 * (g - first["e"][spots])
-                second["e"][spots] += 0.02 * (g * g - second["e"][spots])
-                params["e"][spots] -= 0.02 * first["e"][spots] / (np.sqrt(second["e"][spots]) + 1e-6)
+            drop = (rng.random((len(batch), filters * len(WIDTHS))) > 0.2).astype(np.float32) / np.float32(0.8)
+            _, grads, spots, g = loss_and_gradients(params, [thinned(ids[offs[i] : offs[i + 1]], rng, lost) for i in batch], y, weight, drop)
+            g += decay * params["e"][spots]
+            first["e"][spots] += 0.1 * (g - first["e"][spots])
+            second["e"][spots] += 0.02 * (g * g - second["e"][spots])
+            params["e"][spots] -= 0.02 * first["e"][spots] / (np.sqrt(second["e"][spots]) + 1e-6)
             for name, g in grads.items():
                 first[name] += 0.1 * (g - first[name])
                 second[name] += 0.02 * (g * g - second[name])
                 params[name] -= 0.01 * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.98**step)) + 1e-6)
-    out = model()
+    out = as_model(params)
     # words by language, by naive Bayes
     m = int(langs.max()) + 1 if len(langs) else 0
     count = np.full((buckets, max(m, 1)), 0.5)
@@ -238,6 +259,7 @@ def calibrate(model: Model, docs: DataFrame, text: str, marked: DataFrame, fitte
         for batch in batches:
             z, lang = raw_and_language(shared.value, pa.array(batch, pa.large_string(), from_pandas=True))
             yield pd.DataFrame({"lang": lang.astype(np.int32), "bin": np.floor(np.clip(z, -WIDEST, WIDEST) * BINS).astype(np.int32)})
+        release()
 
     known = marked.join(F.broadcast(fitted.select("doc_id", F.lit(True).alias("__fitted"))), "doc_id", "left")
     met = rows.select("doc_id", scored(text).alias("s")).join(known, "doc_id")
@@ -296,6 +318,7 @@ def score_toxicity(docs: DataFrame, model: Model | None, text: str = "text", thr
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series(scores(shared.value, pa.array(batch, pa.large_string(), from_pandas=True)))
+        release()
 
     out = docs.withColumn("score", run(F.col(text)))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -305,13 +305,38 @@ def test_jaccard_links_across_groups(spark):
         each = jaccard.document_sets(docs, none).where("n > 0").groupBy("k1", "k2").agg(F.min("row").alias("rep"), F.min("n").alias("n"), F.min("s2").alias("s2"))
         each = jaccard.keep(each.withColumn("comp", F.col("rep")), "each")
         numbered = jaccard.number_groups(each, ["s2", "rep"], members=5)
-        placed = jaccard.keep(jaccard.shared_prefixes(docs, none).join(numbered.drop("k2"), "k1").join(each.select("k1", "k2"), "k1"), "placed")
-        links = jaccard.components(jaccard.link_groups(docs, jaccard.across_groups(placed, each=2)))
+        placed = jaccard.keep(jaccard.shared_prefixes(docs, none).join(numbered, "k1"), "placed")
+        links = jaccard.components(jaccard.link_groups(docs, jaccard.across_groups(placed, jaccard.token_groups(placed), each=2)))
         label = {r["node"]: r["label"] for r in links.collect()}
         first = {r["rep"] for r in each.collect()}
         assert {i: label.get(i, i) for i in first} == {i: want[i] for i in first}
 
 
+def test_jaccard_crowds_are_linked_inside_groups_first(spark):
+    """Every shingle counts as wide: crowds shrink to components first, and no link is lost."""
+    rng = random.Random(41)
+    rows = []
+    for k in range(3):
+        base = [f"c{k}w{i}" for i in range(50)]
+        for _ in range(70):
+            w = base[:]
+            for _ in range(rng.randrange(0, 4)):
+                w[rng.randrange(50)] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    docs = jaccard.named_rows(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    hot = jaccard.hot_shingles(docs)
+    each = jaccard.keep(jaccard.document_sets(docs, hot).groupBy("k1").agg(F.min("row").alias("rep"), *(F.min(c).alias(c) for c in ("n", "s1", "s2"))), "classes")
+    plain, jaccard.number_groups = jaccard.number_groups, lambda a, o: plain_groups(a, o, members=8)
+    plain_groups = plain
+    try:
+        label = {r["node"]: r["label"] for r in jaccard.connect(docs, jaccard.keep(jaccard.shared_prefixes(docs, hot), "p"), each, wide=1).collect()}
+    finally:
+        jaccard.number_groups = plain
+    want = {i: c for i, (_, c) in linked_components(rows).items()}
+    reps = {r["rep"] for r in each.collect()}
+    assert {i: label.get(i, i) for i in reps} == {i: want[i] for i in reps}
+
+
 def test_jaccard_rows_without_or_with_repeated_ids(spark):
     long = " ".join(f"t{i}" for i in range(40))
     near = long.replace("t39", "other")
@@ -324,6 +349,58 @@ def test_jaccard_rows_without_or_with_repeated_ids(spark):
     assert kept == sorted([(5, long), (7, "a b c d e f g"), (None, "only one here with no id at all"), (None, None), (9, ""), (9, "")], key=str)
 
 
+def plain_logit(params, text, drop=None):
+    """The network, word by word."""
+    wide = max(toxicity.WIDTHS) - 1
+    emb = [params["e"][a] + params["e"][b] for a, b in text] + [params["e"][0] * 2] * wide
+    z, k = float(params["c"][0]), 0
+    for w in toxicity.WIDTHS:
+        for f in range(params["w10"].shape[1]):
+            best = max(sum(float(emb[i + j] @ params[f"w{w}{j}"][:, f]) for j in range(w)) for i in range(len(text))) if len(text) else 0.0
+            z += max(best + float(params["b"][k]), 0.0) * float(params["o"][k]) * (1 if drop is None else drop[k])
+            k += 1
+    return z
+
+
+def test_toxicity_network_equals_brute_force():
+    rng = np.random.default_rng(9)
+    params = {k: v.astype(np.float64) for k, v in toxicity.initial(rng, 50, 4, 3).items()}
+    params["b"] = rng.normal(size=9) * 0.1
+    texts = [rng.integers(1, 50, (n, 2)).astype(np.int32) for n in (1, 2, 3, 17, 40)]
+    offs = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    got = toxicity.raw_scores(toxicity.as_model(params), np.concatenate(texts), offs)
+    assert np.allclose(got, [plain_logit(params, t) for t in texts], atol=1e-5)
+    y, weight, drop = np.array([0, 1, 1, 0, 1]), np.array([1.0, 2.0, 0.5, 1.0, 1.5]), rng.integers(0, 2, (5, 9)) / 0.5
+
+    def loss(p):
+        z = np.array([plain_logit(p, t, d) for t, d in zip(texts, drop)])
+        return float((weight * (np.logaddexp(0, z) - y * z)).mean())
+
+    value, grads, spots, own = toxicity.loss_and_gradients(params, texts, y, weight, drop)
+    assert abs(value - loss(params)) < 1e-9
+    grads["e"] = np.zeros_like(params["e"])
+    grads["e"][spots] = own
+    for name, g in grads.items():
+        for at in [tuple(rng.integers(0, s) for s in g.shape) for _ in range(12)]:
+            if name == "e" and at[0] == 0:
+                continue
+            high, low = ({k: v.copy() for k, v in params.items()} for _ in range(2))
+            high[name][at] += 1e-6
+            low[name][at] -= 1e-6
+            assert abs((loss(high) - loss(low)) / 2e-6 - g[at]) < 1e-5, (name, at)
+
+
+def test_toxicity_on_the_labelled_rows(spark):
+    """Rows of the fold that is never learned from: F1 of the predictions."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
+    model = toxicity.learn(docs, labels.where(~langid_fold()))
+    got = toxicity.score_toxicity(docs.select("doc_id", "text"), model).join(labels, "doc_id").where(langid_fold() & F.col("toxic").isin(0, 1)).select("toxic", "predicted").collect()
+    hits = sum(r["toxic"] * r["predicted"] for r in got)
+    f1 = 2 * hits / (sum(r["toxic"] for r in got) + sum(r["predicted"] for r in got))
+    print("held-out F1", f1, "of", len(got))
+    assert f1 > 0.7
+
+
 def test_toxicity_on_held_out_rows(spark):
     words = ["bad", "worse", "awful"]
     rng = random.Random(6)
