@@ -49,10 +49,13 @@ SELECT cast(c_custkey AS string) AS node_id,
 FROM customer
 """,
     "road_edges": """
-SELECT least(cast(a.c_custkey AS string), cast(b.c_custkey AS string)) AS a, greatest(cast(a.c_custkey AS string), cast(b.c_custkey AS string)) AS b,
-  CASE a.c_mktsegment WHEN 'AUTOMOBILE' THEN 'highway' WHEN 'BUILDING' THEN 'main' WHEN 'HOUSEHOLD' THEN 'residential' WHEN 'MACHINERY' THEN 'track' ELSE 'footpath' END AS road_type
-FROM customer a JOIN customer b
-  ON (b.c_custkey = a.c_custkey + 1 AND mod(a.c_custkey, 50) < 49) OR b.c_custkey = a.c_custkey + 50
+SELECT least(cast(a AS string), cast(b AS string)) AS a, greatest(cast(a AS string), cast(b AS string)) AS b,
+  CASE segment WHEN 'AUTOMOBILE' THEN 'highway' WHEN 'BUILDING' THEN 'main' WHEN 'HOUSEHOLD' THEN 'residential' WHEN 'MACHINERY' THEN 'track' ELSE 'footpath' END AS road_type
+FROM (
+  SELECT x.c_custkey AS a, y.c_custkey AS b, x.c_mktsegment AS segment FROM customer x JOIN customer y ON y.c_custkey = x.c_custkey + 1 WHERE mod(x.c_custkey, 50) < 49
+  UNION ALL
+  SELECT x.c_custkey AS a, y.c_custkey AS b, x.c_mktsegment AS segment FROM customer x JOIN customer y ON y.c_custkey = x.c_custkey + 50
+) e
 """,
     "safe_zones": """
 SELECT concat('sz', cast(s_suppkey AS string)) AS id, s_name AS name,
