@@ -54,4 +54,4 @@ class Tuning:
     walk_kmh: float = 4.0
     other_kmh: float = 25.0
     largest_share: float = 0.90
-    tile_deg: float = 0.2
+    tile_nodes: int = 4000

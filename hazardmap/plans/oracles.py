@@ -84,6 +84,20 @@ def _distances(name: str, edges: str, goals: str) -> str:
   WHERE r.cost IS NULL OR d.cost + e.c < r.cost GROUP BY e.b)"""
 
 
+def _hop(edges: str, cost: str) -> str:
+    """A step with the next node of every node that is no goal: the neighbour with the least cost from here, then the least id."""
+    return f"SELECT e.a AS node, arg_min(e.b, {{'c': d.cost + e.c, 'n': e.b}}) AS onward FROM {edges} e JOIN {cost} d ON d.node = e.b WHERE e.a NOT IN (SELECT node FROM goals) GROUP BY e.a"
+
+
+def _trips(name: str, edges: str) -> str:
+    """A step that finds the least cost from every node to each goal of the trips."""
+    return f"""{name}(goal, node, cost) USING KEY (goal, node) AS (
+  SELECT DISTINCT goal, goal, 0.0::DOUBLE FROM trips
+  UNION
+  SELECT d.goal, e.b, min(d.cost + e.c) FROM {name} d JOIN {edges} e ON e.a = d.node LEFT JOIN recurring.{name} r ON r.node = e.b AND r.goal = d.goal
+  WHERE r.cost IS NULL OR d.cost + e.c < r.cost GROUP BY d.goal, e.b)"""
+
+
 def _speed(road_type: str) -> str:
     return f"({_case(road_type, SPEED_KMH, '25.0')})::DOUBLE"
 
@@ -144,16 +158,26 @@ SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY CASE WHEN routing = 'blo
     "sure_two": "SELECT a, b, c FROM aware WHERE effect IS NULL UNION ALL SELECT b, a, c FROM aware WHERE effect IS NULL",
     "walk_two": "SELECT l.a, l.b, length_m / (4.0::DOUBLE * 1000.0::DOUBLE / 3600.0::DOUBLE) AS c FROM lines l LEFT JOIN effects e ON l.a = e.a AND l.b = e.b WHERE e.effect IS NULL UNION ALL SELECT l.b, l.a, length_m / (4.0::DOUBLE * 1000.0::DOUBLE / 3600.0::DOUBLE) FROM lines l LEFT JOIN effects e ON l.a = e.a AND l.b = e.b WHERE e.effect IS NULL",
     "careless_two": f"SELECT a, b, length_m / ({_speed('road_type')} * 1000.0::DOUBLE / 3600.0::DOUBLE) AS c FROM lines UNION ALL SELECT b, a, length_m / ({_speed('road_type')} * 1000.0::DOUBLE / 3600.0::DOUBLE) FROM lines",
-    "goal_30": "SELECT node_id AS node FROM road_nodes WHERE node_id = '30'",
-    "goal_77": "SELECT node_id AS node FROM road_nodes WHERE node_id = '77'",
     "aware_cost": _distances("aware_cost", "aware_two", "goals"),
     "sure_cost": _distances("sure_cost", "sure_two", "goals"),
     "walk_cost": _distances("walk_cost", "walk_two", "goals"),
-    "aware_30": _distances("aware_30", "aware_two", "goal_30"),
-    "aware_77": _distances("aware_77", "aware_two", "goal_77"),
-    "naive_30": _distances("naive_30", "careless_two", "goal_30"),
-    "naive_77": _distances("naive_77", "careless_two", "goal_77"),
-    "starts": "SELECT node_id AS start FROM road_nodes WHERE node_id::INT % 37 = 5",
+    "careless_cost": _distances("careless_cost", "careless_two", "goals"),
+    "careless_hop": _hop("careless_two", "careless_cost"),
+    "aware_hop": _hop("aware_two", "aware_cost"),
+    "careless_walk": "SELECT node AS start, node FROM careless_cost UNION ALL SELECT w.start, h.onward FROM careless_walk w JOIN careless_hop h ON h.node = w.node",
+    "aware_walk": "SELECT node AS start, node FROM aware_cost UNION ALL SELECT w.start, h.onward FROM aware_walk w JOIN aware_hop h ON h.node = w.node",
+    "careless_steps": "SELECT w.start, least(h.node, h.onward) AS a, greatest(h.node, h.onward) AS b FROM careless_walk w JOIN careless_hop h ON h.node = w.node",
+    "aware_steps": "SELECT w.start, least(h.node, h.onward) AS a, greatest(h.node, h.onward) AS b FROM aware_walk w JOIN aware_hop h ON h.node = w.node",
+    "careless_length": "SELECT s.start, sum(l.length_m) AS metres FROM careless_steps s JOIN lines l ON s.a = l.a AND s.b = l.b GROUP BY s.start",
+    "aware_length": "SELECT s.start, sum(l.length_m) AS metres FROM aware_steps s JOIN lines l ON s.a = l.a AND s.b = l.b GROUP BY s.start",
+    "aware_risk": "SELECT start, count(*) AS n, max(newest_age_hours) AS oldest FROM (SELECT DISTINCT s.start, e.cluster_id FROM aware_steps s JOIN effects e ON s.a = e.a AND s.b = e.b WHERE e.effect = 'expensive') r JOIN zones z ON z.cluster_id = r.cluster_id GROUP BY start",
+    "arrival": "SELECT w.start, g.shelter_id FROM aware_walk w JOIN goals g ON g.node = w.node",
+    "detour_starts": "SELECT DISTINCT s.start FROM careless_steps s JOIN effects e ON s.a = e.a AND s.b = e.b WHERE e.effect = 'block' AND s.start IN (SELECT a FROM effects WHERE effect = 'block' UNION SELECT b FROM effects WHERE effect = 'block')",
+    "trips": "SELECT node_id AS start, least(ceil(node_id::BIGINT / 500.0)::BIGINT * 500, (SELECT max(node_id::BIGINT) FROM road_nodes))::VARCHAR AS goal FROM road_nodes",
+    "aware_trip": _trips("aware_trip", "aware_two"),
+    "careless_trip": _trips("careless_trip", "careless_two"),
+    "entered": "SELECT DISTINCT a, b, routing FROM hits WHERE routing <> 'ignore'",
+    "crossed": "SELECT 'naive' AS scenario, s.start, e.routing, count(*) AS steps FROM careless_steps s JOIN entered e ON s.a = e.a AND s.b = e.b GROUP BY s.start, e.routing UNION ALL SELECT 'aware', s.start, e.routing, count(*) FROM aware_steps s JOIN entered e ON s.a = e.a AND s.b = e.b GROUP BY s.start, e.routing",
     "numbered": f"SELECT *, row_number() OVER (PARTITION BY id ORDER BY arrival_seq) = 1 AS is_first, ({_ANY}) AS touches FROM edit_log",
     "candidates": "SELECT *, max(CASE WHEN is_first OR touches THEN counter END) OVER (PARTITION BY id ORDER BY arrival_seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM numbered",
     "judged": "SELECT *, CASE WHEN is_first THEN 'created' WHEN touches AND counter > before THEN 'merged' ELSE 'ignored' END AS outcome FROM candidates",
@@ -167,7 +191,7 @@ SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY CASE WHEN routing = 'blo
     "inside": f"SELECT z.cluster_id, i.incident_id FROM zones z, incidents i WHERE {_metres('z.lat', 'z.lon', 'i.lat', 'i.lon')} <= z.radius_m + 50",
     "seeds": r"SELECT (regexp_extract(cluster_id, '(\d+)$', 1)::BIGINT) % 7 AS seed, held_count, report_count, CASE WHEN routing <> 'ignore' THEN 1 ELSE 0 END AS shown FROM all_zones",
 }
-_RECURSIVE_KEYED = ("aware_cost", "sure_cost", "walk_cost", "aware_30", "aware_77", "naive_30", "naive_77")
+_RECURSIVE_KEYED = ("aware_cost", "sure_cost", "walk_cost", "careless_cost", "aware_trip", "careless_trip")
 
 
 def with_steps(sql: str) -> str:
@@ -256,13 +280,24 @@ JOIN road_nodes x ON s.u = x.node_id JOIN road_nodes y ON s.v = y.node_id WHERE
     "evacuation": "SELECT n.node_id, d.cost IS NOT NULL AS found, round(d.cost, 3) AS seconds FROM road_nodes n LEFT JOIN aware_cost d ON n.node_id = d.node",
     "evacuation_strict": "SELECT n.node_id, d.cost IS NOT NULL AS found, round(d.cost, 3) AS seconds FROM road_nodes n LEFT JOIN walk_cost d ON n.node_id = d.node",
     "trapped_nodes": "SELECT n.node_id, CASE WHEN d.cost IS NULL THEN 'trapped' ELSE 'uncertain only' END AS state FROM road_nodes n LEFT JOIN aware_cost d ON n.node_id = d.node LEFT JOIN sure_cost s ON n.node_id = s.node WHERE s.cost IS NULL",
-    "routes_to_safety": f"""SELECT o.id, o.snapped_m, d.cost IS NOT NULL AS found, round(d.cost, 1) AS travel_seconds, CASE WHEN d.cost IS NULL THEN 'every route out crosses a confirmed danger zone' END AS reason FROM (
-SELECT r.id, arg_min(n.node_id, {{'m': {_metres('r.lat', 'r.lon', 'n.lat', 'n.lon')}, 'n': n.node_id}}) AS node, round(min({_metres('r.lat', 'r.lon', 'n.lat', 'n.lon')}), 1) AS snapped_m FROM located r, road_nodes n WHERE r.source = 'aerial' GROUP BY r.id) o LEFT JOIN aware_cost d ON o.node = d.node""",
-    "route_pairs": """SELECT s.start || '>30' AS query_id, d.cost IS NOT NULL AS found, round(d.cost, 1) AS travel_seconds FROM starts s CROSS JOIN goal_30 LEFT JOIN aware_30 d ON s.start = d.node
-UNION ALL SELECT s.start || '>77', d.cost IS NOT NULL, round(d.cost, 1) FROM starts s CROSS JOIN goal_77 LEFT JOIN aware_77 d ON s.start = d.node""",
-    "detour_cost": """SELECT count(*) AS routes, round(avg(100.0 * (round(a, 1) - round(n, 1)) / round(n, 1)), 1) AS extra_percent FROM (
-SELECT a.cost AS a, n.cost AS n FROM starts s JOIN aware_30 a ON s.start = a.node JOIN naive_30 n ON s.start = n.node UNION ALL
-SELECT a.cost, n.cost FROM starts s JOIN aware_77 a ON s.start = a.node JOIN naive_77 n ON s.start = n.node) WHERE round(n, 1) > 0""",
+    "routes_to_safety": f"""SELECT o.id, o.snapped_m, d.cost IS NOT NULL AS found, v.shelter_id, round(d.cost, 1) AS travel_seconds, CASE WHEN d.cost IS NOT NULL THEN round(coalesce(round(l.metres, 1), 0.0::DOUBLE), 0) END AS distance_m, coalesce(k.n, 0) AS uncertain_zones,
+CASE WHEN d.cost IS NOT NULL THEN CASE WHEN k.n > 0 THEN 'uncertain' ELSE 'clear' END END AS confidence,
+CASE WHEN d.cost IS NOT NULL THEN CASE WHEN k.n > 0 THEN 'crosses ' || k.n::VARCHAR || ' unconfirmed zone(s); newest supporting report ' || k.oldest::VARCHAR || ' h old' ELSE 'avoids every confirmed danger zone' END END AS evidence,
+CASE WHEN d.cost IS NULL THEN 'every route out crosses a confirmed danger zone' END AS reason FROM (
+SELECT r.id, arg_min(n.node_id, {{'m': {_metres('r.lat', 'r.lon', 'n.lat', 'n.lon')}, 'n': n.node_id}}) AS node, round(min({_metres('r.lat', 'r.lon', 'n.lat', 'n.lon')}), 1) AS snapped_m FROM located r, road_nodes n GROUP BY r.id) o
+LEFT JOIN aware_cost d ON o.node = d.node LEFT JOIN arrival v ON v.start = o.node LEFT JOIN aware_length l ON l.start = o.node LEFT JOIN aware_risk k ON k.start = o.node""",
+    "forced_detours": """SELECT s.start, round(n.cost, 3) AS naive_seconds, round(w.cost, 3) AS aware_seconds, round(coalesce(x.metres, 0.0::DOUBLE), 1) AS naive_distance_m, CASE WHEN w.cost IS NOT NULL THEN round(coalesce(y.metres, 0.0::DOUBLE), 1) END AS aware_distance_m
+FROM detour_starts s JOIN careless_cost n ON n.node = s.start LEFT JOIN aware_cost w ON w.node = s.start LEFT JOIN careless_length x ON x.start = s.start LEFT JOIN aware_length y ON y.start = s.start""",
+    "route_crossings": "SELECT "
+    + ", ".join(f"count(*) FILTER (scenario = '{s}' AND routing = '{r}') AS {s}_{r}_routes, coalesce(sum(steps) FILTER (scenario = '{s}' AND routing = '{r}'), 0)::BIGINT AS {s}_{r}_steps" for s in ("naive", "aware") for r in ("block", "expensive"))
+    + " FROM crossed",
+    "roads_nodes": "SELECT node_id, round(lat, 9) AS lat, round(lon, 9) AS lon FROM road_nodes",
+    "roads_penalised": "SELECT a, b, multiplier, cluster_id FROM effects WHERE effect = 'expensive'",
+    "report_by_id": f"""SELECT q.id, r.id IS NOT NULL AS found, CASE WHEN r.id IS NOT NULL THEN {_SEVERITY} END AS severity, CASE WHEN r.id IS NOT NULL THEN {_WHY} END AS because
+FROM (SELECT 'r' || event_id::VARCHAR AS id FROM events WHERE event_id % 20 = 0 UNION ALL SELECT 'none' || event_id::VARCHAR FROM events WHERE event_id % 20 = 0) q LEFT JOIN reports r ON r.id = q.id""",
+    "route_pairs": "SELECT s.start || '>' || s.goal AS query_id, d.cost IS NOT NULL AS found, round(d.cost, 1) AS travel_seconds FROM trips s LEFT JOIN aware_trip d ON s.start = d.node AND s.goal = d.goal",
+    "detour_cost": """SELECT count(*) AS routes, round(avg(100.0 * (round(a.cost, 1) - round(n.cost, 1)) / round(n.cost, 1)), 1) AS extra_percent
+FROM trips s JOIN aware_trip a ON s.start = a.node AND s.goal = a.goal JOIN careless_trip n ON s.start = n.node AND s.goal = n.goal WHERE round(n.cost, 1) > 0""",
     "score_geometry": """SELECT (SELECT count(*) FROM (SELECT incident_id FROM inside GROUP BY incident_id HAVING count(*) = 1)) AS recovered, (SELECT count(*) FROM incidents) AS total,
 (SELECT count(*) FROM (SELECT cluster_id FROM inside GROUP BY cluster_id HAVING count(*) > 1)) AS merges, (SELECT count(*) FROM (SELECT incident_id FROM inside GROUP BY incident_id HAVING count(*) > 1)) AS splits, (SELECT count(*) FROM held) AS held""",
     "score_membership": """SELECT (SELECT count(*) FROM (SELECT cluster FROM m GROUP BY cluster HAVING count(DISTINCT incident) > 1)) AS merges, (SELECT count(*) FROM (SELECT incident FROM m GROUP BY incident HAVING count(DISTINCT cluster) > 1)) AS splits,

@@ -264,11 +264,28 @@ def roads_export(spark, d):
     return _edges(spark, d).select("a", "b").distinct()
 
 
+@query
+def roads_nodes(spark, d):
+    return _nodes(spark, d).select("node_id", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"))
+
+
 @query
 def roads_blocked(spark, d):
     return _effects(spark, d)[1].where(F.col("effect") == "block").select("a", "b", "cluster_id")
 
 
+@query
+def roads_penalised(spark, d):
+    return _effects(spark, d)[1].where(F.col("effect") == "expensive").select("a", "b", "multiplier", "cluster_id")
+
+
+@query
+def report_by_id(spark, d):
+    """Every twentieth report's severity and reasons, and as many ids that no report has."""
+    ids = spark.read.parquet(f"{d}/events.parquet").where("event_id % 20 = 0").select(F.explode(F.array(F.concat(F.lit("r"), F.col("event_id")), F.concat(F.lit("none"), F.col("event_id")))).alias("id"))
+    return merge.reports_by_id(fixtures.reports(spark, d), ids, T)
+
+
 @query
 def quality_gate(spark, d):
     return effects.quality_gate(_nodes(spark, d), _edges(spark, d), _zones(spark, d), T)
@@ -284,7 +301,8 @@ def evacuation(spark, d):
 @query
 def evacuation_strict(spark, d):
     _, eff = _effects(spark, d)
-    table = paths.evacuation_table(_nodes(spark, d), _lengths(spark, d), eff, _goals(spark, d), mode="walk", allow_uncertain=False, t=T)
+    small = Tuning(tile_nodes=400)  # routes cross many tiles
+    table = paths.evacuation_table(_nodes(spark, d), _lengths(spark, d), eff, _goals(spark, d), mode="walk", allow_uncertain=False, t=small)
     return table.select("node_id", "found", F.round("cost", 3).alias("seconds"))
 
 
@@ -297,22 +315,25 @@ def trapped_nodes(spark, d):
 @query
 def routes_to_safety(spark, d):
     zones, eff = _effects(spark, d)
-    origins = fixtures.reports(spark, d).where(F.col("source") == "aerial").select("id", "lat", "lon")
+    origins = fixtures.reports(spark, d).select("id", "lat", "lon")
     r = paths.routes_to_safety(origins, _nodes(spark, d), _lengths(spark, d), zones, eff, _shelters(spark, d), t=T)
-    return r.select("id", "snapped_m", "found", F.round("travel_seconds", 1).alias("travel_seconds"), "reason")
+    uncertain = F.when(F.col("crosses_uncertain").isNull(), 0).otherwise(F.size("crosses_uncertain")).cast("long").alias("uncertain_zones")
+    return r.select("id", "snapped_m", "found", "shelter_id", F.round("travel_seconds", 1).alias("travel_seconds"), F.round("distance_m", 0).alias("distance_m"), uncertain, "confidence", "evidence", "reason")
 
 
 @query
 def forced_detours(spark, d):
     _, eff = _effects(spark, d)
     r = paths.forced_detours(_nodes(spark, d), _lengths(spark, d), eff, _goals(spark, d), t=T)
-    return r.select("start", F.round("naive_seconds", 3).alias("naive_seconds"), F.round("aware_seconds", 3).alias("aware_seconds"))
+    return r.select("start", *(F.round(f"{s}_seconds", 3).alias(f"{s}_seconds") for s in ("naive", "aware")), *(F.round(f"{s}_distance_m", 1).alias(f"{s}_distance_m") for s in ("naive", "aware")))
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    n = _nodes(spark, d).where(F.col("node_id").cast("int") % 37 == 5).select(F.col("node_id").alias("start"))
-    goals = _nodes(spark, d).where(F.col("node_id").isin("30", "77")).select(F.col("node_id").alias("goal"))
-    return n.crossJoin(goals).withColumn("query_id", F.concat_ws(">", "start", "goal"))
+    """A trip from every node to the next node whose number 500 divides (or to the last node)."""
+    nodes = _nodes(spark, d).select(F.col("node_id").cast("long").alias("n"))
+    last = F.broadcast(nodes.agg(F.max("n").alias("last")))  # one row
+    trips = nodes.crossJoin(last).select(F.col("n").cast("string").alias("start"), F.least(F.ceil(F.col("n") / 500) * 500, "last").cast("string").alias("goal"))
+    return trips.withColumn("query_id", F.concat_ws(">", "start", "goal"))
 
 
 @query
@@ -376,20 +397,13 @@ def accuracy_sweep(spark, d):
     return evaluate.accuracy_sweep(scores).withColumns({k: F.round(k, 9) for k in ("recovery", "held_rate")})
 
 
-def _forced(spark: SparkSession, d: str) -> DataFrame:
-    """Zone crossings of careless routes: how many steps of the route of every fifth node run through which verdict."""
-    _, eff = _effects(spark, d)
-    nodes, lengths, goals = _nodes(spark, d), _lengths(spark, d), _goals(spark, d)
-    labels = paths.cheapest(nodes, paths.edge_costs(lengths, eff, "aware", t=T), goals.select(F.lit("aware").alias("scenario"), F.col("node_id").alias("node")), T)
-    starts = nodes.where(F.col("node_id").cast("int") % 5 == 0).select(F.lit("aware").alias("scenario"), F.col("node_id").alias("start"))
-    used = paths.path_edges(paths.follow(nodes, labels, starts, T))
-    return used.join(eff.where(F.col("effect") == "block"), ["a", "b"], "left_semi")
-
-
 @query
 def route_crossings(spark, d):
-    """Steps of danger-aware routes that run through confirmed water: none."""
-    return _forced(spark, d).agg(F.count("*").alias("wet_steps"))
+    """Routes of all nodes to a shelter that enter danger zones, by what the route knew and by the zones' verdict."""
+    zones, eff = _effects(spark, d)
+    entered = paths.crossings(_nodes(spark, d), _lengths(spark, d), eff, zones, _goals(spark, d), t=T)
+    by = {f"{s}_{r}": (F.col("scenario") == s) & (F.col("routing") == r) for s in ("naive", "aware") for r in ("block", "expensive")}
+    return entered.agg(*(F.count_if(c).alias(f"{k}_routes") for k, c in by.items()), *(F.coalesce(F.sum(F.when(c, F.col("steps"))), F.lit(0)).alias(f"{k}_steps") for k, c in by.items()))
 
 
 @query

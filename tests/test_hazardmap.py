@@ -217,10 +217,10 @@ def test_tiles_give_the_costs_of_one_search(spark):
     goals = spark.createDataFrame([("s", "4,4"), ("s", "0,8")], "scenario string, node string")
     costs = paths.edge_costs(edges, None, "s", t=T)
     whole = {r["node"]: round(r["cost"], 6) for r in paths.cheapest(nodes, costs, goals, T).collect()}
-    tiled = {r["node"]: round(r["cost"], 6) for r in paths.cheapest(nodes, costs, goals, Tuning(tile_deg=0.006)).collect()}
+    tiled = {r["node"]: round(r["cost"], 6) for r in paths.cheapest(nodes, costs, goals, Tuning(tile_nodes=10)).collect()}
     assert whole == tiled and len(whole) == 81
-    labels = paths.cheapest(nodes, costs, goals, Tuning(tile_deg=0.006))
-    routes = paths.follow(nodes, labels, spark.createDataFrame([("s", "8,8"), ("s", "4,4")], "scenario string, start string"), Tuning(tile_deg=0.006)).collect()
+    labels = paths.cheapest(nodes, costs, goals, Tuning(tile_nodes=10))
+    routes = paths.follow(nodes, labels, spark.createDataFrame([("s", "8,8"), ("s", "4,4")], "scenario string, start string"), Tuning(tile_nodes=10)).collect()
     for r in routes:
         assert r["path"][0] == r["start"] and r["path"][-1] in ("4,4", "0,8")
         if r["start"] == "8,8":
@@ -231,7 +231,7 @@ def test_nearest_node_equals_brute_force(spark):
     nodes, _ = grid(spark)
     rng = random.Random(9)
     points = [(f"p{i}", 26 + rng.uniform(-0.05, 0.06), 92 + rng.uniform(-0.05, 0.06)) for i in range(50)] + [("away", 10.0, 50.0)]
-    got = {r["id"]: r["metres"] for r in nearest.nearest_node(spark.createDataFrame(points, "id string, lat double, lon double"), nodes, few=0).collect()}
+    got = {r["id"]: r["metres"] for r in nearest.nearest_node(spark.createDataFrame(points, "id string, lat double, lon double"), nodes).collect()}
     every = [(r["lat"], r["lon"]) for r in nodes.collect()]
     for i, lat, lon in points:
         assert abs(got[i] - min(far(lat, lon, *n) for n in every)) < 1e-3
