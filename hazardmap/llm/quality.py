@@ -25,6 +25,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import keep, release, small_batches
+
+#: The first five are columns of the result, the others serve the soft rules only.
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters")
 SYMBOLS = "#*$%&|<>"
 _SPACE = " \t\n\v\f\r"
@@ -80,8 +83,8 @@ def measure(text: str | None) -> tuple[int, ...]:
 
 
 def _soft(scale: int) -> dict[str, Column]:
-    """Soft rules at `scale` times their limits."""
-    c = F.col
+    """Soft rules at `scale` times their limits, over the struct __counts."""
+    c = lambda n: F.col(f"__counts.{n}")
     return {
         "symbols": c("n_symbols") * 10 > c("n_words") * scale,
         "dup_lines": c("n_dup_lines") * 10 > c("n_lines") * 3 * scale,
@@ -91,15 +94,16 @@ def _soft(scale: int) -> dict[str, Column]:
 
 
 def document_rules(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the counts and base_failed."""
+    """docs with __counts (a struct of COUNTS) and base_failed."""
 
     @F.pandas_udf("struct<" + ",".join(f"{n}:long" for n in COUNTS) + ">")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame([measure(t) for t in batch], columns=list(COUNTS), dtype="int64")
+        release()
 
-    found = docs.withColumn("__counts", run(F.col(text))).withColumns({n: F.col(f"__counts.{n}") for n in COUNTS}).drop("__counts")
-    return found.withColumn("base_failed", (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30))
+    c = lambda n: F.col(f"__counts.{n}")
+    return docs.withColumn("__counts", run(F.col(text))).withColumn("base_failed", (c("n_words") < 20) | (c("n_repeat_words") * 100 > c("n_words") * 30))
 
 
 def host_verdicts(ruled: DataFrame, host: str = "source", block_rate: float = 0.8, strict_rate: float = 0.25) -> DataFrame:
@@ -123,13 +127,16 @@ def host_verdicts(ruled: DataFrame, host: str = "source", block_rate: float = 0.
     )
 
 
-def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", block_rate: float = 0.8, strict_rate: float = 0.25) -> DataFrame:
-    """docs with the counts, base_failed, host_blocked and kept; columns of these names are replaced.
+def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", block_rate: float = 0.8, strict_rate: float = 0.25, with_text: bool = True) -> DataFrame:
+    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_blocked and kept; columns of these names are replaced.
 
+    Texts are read once: rows with their counts are written to the shared folder, without the text if with_text is False.
     The hosts' table is small beside the documents; Spark broadcasts it while it is under
     spark.sql.autoBroadcastJoinThreshold and otherwise joins by host, splitting skewed hosts.
     """
+    small_batches(docs.sparkSession)
     ruled = document_rules(docs, text)
+    ruled = keep(ruled if with_text else ruled.drop(text), "ruled")
     verdicts = host_verdicts(ruled, host, block_rate, strict_rate)
     soft, hard = _soft(1), _soft(2)
     joined = ruled.join(verdicts.select(F.col("host").alias("__host"), F.col("blocked").alias("__blocked"), *(F.col(f"strict_{k}").alias(f"__strict_{k}") for k in soft)), F.col(host).eqNullSafe(F.col("__host")))
@@ -137,4 +144,5 @@ def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", blo
     for k in soft:
         fails = fails | (soft[k] & F.col(f"__strict_{k}")) | hard[k]
     kept = ~F.col("base_failed") & ~F.col("__blocked") & ~fails
-    return joined.withColumn("kept", kept).withColumn("host_blocked", F.col("__blocked")).drop("__host", "__blocked", "n_lines", "n_upper", "n_letters", *(f"__strict_{k}" for k in soft))
+    out = joined.withColumns({"kept": kept, "host_blocked": F.col("__blocked"), **{n: F.col(f"__counts.{n}") for n in COUNTS[:5]}})
+    return out.drop("__host", "__blocked", "__counts", *(f"__strict_{k}" for k in soft))

@@ -31,7 +31,7 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quality.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    found = quality.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), with_text=False)
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 

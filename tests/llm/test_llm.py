@@ -218,6 +218,7 @@ def test_quality(spark, small):
         lines = [x for x in t.split("\n") if re.search(r"[^ \t\n\v\f\r]", x)]
         want = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(twice))
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want
+        assert r["n_lines"] == r["strict_symbols"] == "x"  # columns of the caller's own stay
         assert r["base_failed"] == (len(w) < 20 or 100 * len(twice) > 30 * len(w)) and not (r["kept"] and r["base_failed"])
     bad = spark.createDataFrame([(i, "good words of a text " * 1 + " ".join(f"w{i}{k}" for k in range(30)), "ok" if i < 50 else "bad") for i in range(50)] + [(100 + i, "short", "bad") for i in range(50)] + [(999, " ".join(f"v{k}" for k in range(30)), "bad")], "doc_id long, text string, source string")
     kept = {r["doc_id"]: r["kept"] for r in quality.quality_rules(bad).collect()}
