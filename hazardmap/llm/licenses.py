@@ -1,13 +1,19 @@
 """Licence scans by a trained paragraph classifier.
 
-A paragraph (a line with words) becomes a sparse vector of hashed word 1-, 2- and 3-grams; multinomial
-logistic regression, trained in numpy on variants of short templates and on prose, gives a probability for
-each licence family and for "none".  Two checks calibrate it: a temperature fitted on held-out variants, and
-the share of a paragraph's most similar template that the paragraph contains (by 2-grams).  A paragraph
-* is of a family if the family leads, its probability is at least `sure` and a template of it confirms,
-* is `unknown` if it is not "none" but no family is sure or confirmed, and speaks of a licence by word,
+A paragraph becomes a sparse vector of its distinct word 1-, 2- and 3-grams, known by 64-bit hashes; multinomial logistic regression, trained in
+numpy, gives a probability for each licence family, for `unknown` (licences of no family) and for `none` (no
+licence).  It learns from variants of short templates, of notices of other licences, and of prose.  What it has not
+learned from calibrates it: a temperature, the share `sure` of a family (which tells its wordings from other
+licences) and the share `some` of all licences together (well over that of any prose).  A paragraph
+* is of a family if that leads, has at least `sure`, and one of its templates confirms it: the paragraph holds at
+  least half of the template's 2-grams,
+* else is `unknown` if all licences together have at least `some`,
 * else is no licence.
 
+Paragraphs are single lines, three lines in a row, and blocks between empty lines of at most 400 words; line breaks
+and comment marks count as spaces, so wrapped notices are read whole.  Every line is classified; the paragraphs
+round a line are if its own share of licences reaches that which 99 in 100 variants reach somewhere when wrapped.
+
 A document's licence is that of its surest confirmed paragraph, else `unknown` if it has such a paragraph,
 else `none`.  Null, empty and wordless texts have `none`.  Repeated rows give repeated results.
 """
@@ -24,8 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
+from .store import release, small_batches
 
-BUCKETS = 1 << 17
 NONE, UNKNOWN = "none", "unknown"
 
 #: Customary notices of each family.
@@ -44,9 +50,39 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "mpl": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0.", "SPDX-License-Identifier: MPL-2.0"),
     "unlicense": ("This is free and unencumbered software released into the public domain.", "Released under the Unlicense."),
 }
+#: Notices of licences that belong to no family above.
+OTHERS = (
+    "Licensed under the Eclipse Public License, version 2.0.",
+    "This program is distributed under the Artistic License 2.0.",
+    "Distributed under the Boost Software License, Version 1.0.",
+    "Licensed under the European Union Public Licence, version 1.2.",
+    "This software is provided 'as-is', without any express or implied warranty, under the zlib license.",
+    "Do what you want to under the terms of the WTFPL license.",
+    "Copyright 2019 the authors. All rights reserved. No part may be copied without permission.",
+    "Use of this software is subject to the terms of the End User License Agreement.",
+    "This product is licensed, not sold, under a proprietary license of the company.",
+    "Permission to use this material is granted for personal, non-commercial purposes only under our license terms.",
+    "Released under the Open Font License, version 1.1.",
+    "Licensed under the Academic Free License version 3.0.",
+    "This data is made available under the Open Database License.",
+    "The content is licensed under the terms of the publisher; redistribution is prohibited.",
+    "SPDX-License-Identifier: Zlib",
+    "SPDX-License-Identifier: LicenseRef-Internal",
+    "All use is subject to the license of the owner of the work.",
+    "This code is covered by the Microsoft Public License.",
+    "You may use these files under the Python Software Foundation License.",
+    "Licensed under the PostgreSQL License, a liberal open source license.",
+    "The images may be used under the terms of the agency's standard license.",
+    "Copying and distribution of this file, with or without modification, are permitted in any medium without royalty.",
+    "This document is licensed under the terms of the GNU Free Documentation License.",
+    "This software may be used under a commercial license from the vendor.",
+)
 #: Paragraphs that are no licence, some of them about licences or with their words.
 PROSE = (
     "The driver showed his license to the officer and was free to go.",
+    "She lost her driving licence last year and had to walk.",
+    "A fishing licence costs ten pounds and is valid for a year.",
+    "The minister said that licensing laws would be reviewed in May.",
     "She has a general interest in public works and common law.",
     "The software was released in version 2 after a long delay.",
     "All members of the public may use the library free of charge.",
@@ -59,159 +95,219 @@ PROSE = (
     "In the year that followed, the source of the river was found at last.",
     "Prices rose by 4.0 percent and fell by 2.0 percent later.",
     "You can find the form at the office, or modify it as you see fit.",
+    "The museum is open to the public from nine to five without charge.",
+    "They were permitted to use the source of water under certain conditions.",
+    "The version of the story that he told was not the one in the file.",
+    "An open source of heat must not be used in this building.",
     "der die das und ist nicht von mit sich des auf im zu eine als auch an",
     "le la les de des est une que dans pour qui sur pas plus par avec au",
     "el la los de que no una por con para es del se las su como más",
+    "the of and to in is that for it was on are as with at be this have from or one had by not but what all were we when your can said there use an each which she do how their if will up other about out many then them these so some her would make like him into time has look two more write go see number no way could people my than first been call who its now find long down day did get come made may part",
 )
-FAMILIES = (NONE, *sorted(TEMPLATES))
-CUES = ("license", "licence", "licensed", "licenced", "licensing", "copyright", "spdx", "unlicense", "lizenz", "licencia")
-
-
-def _lines(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes, the line of each word (ascending numbers over all rows) and the row of each line."""
-    s, e, row = tx.words(data, offs, tx.PUNCT)
-    if not len(s):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    breaks = np.cumsum(data == 10)
-    key = row * (len(data) + 1) + breaks[s]
-    first = np.concatenate([[True], key[1:] != key[:-1]])
-    return tx.span_hash(data, s, e), np.cumsum(first) - 1, row[first]
-
+#: Short names, which the carriers below turn into notices of any family.
+NAMES: dict[str, tuple[str, ...]] = {
+    "agpl": ("the GNU Affero General Public License, version 3", "the AGPL v3"),
+    "apache-2.0": ("the Apache License, Version 2.0", "the Apache 2.0 license"),
+    "bsd": ("the 3-clause BSD license", "the BSD License"),
+    "cc-by": ("the Creative Commons Attribution 4.0 International License", "CC BY 4.0"),
+    "cc-by-nc": ("the Creative Commons Attribution-NonCommercial 4.0 International License", "CC BY-NC 4.0"),
+    "cc-by-sa": ("the Creative Commons Attribution-ShareAlike 4.0 International License", "CC BY-SA 4.0"),
+    "cc0": ("CC0 1.0 Universal", "CC0 1.0"),
+    "gpl": ("the GNU General Public License, version 3", "the GPL version 2 or later"),
+    "isc": ("the ISC License",),
+    "lgpl": ("the GNU Lesser General Public License, version 2.1", "the LGPL version 3"),
+    "mit": ("the MIT License", "the MIT license (MIT)"),
+    "mpl": ("the Mozilla Public License, version 2.0", "the MPL 2.0"),
+    "unlicense": ("the Unlicense",),
+    UNKNOWN: ("the Eclipse Public License 2.0", "the Artistic License", "the Boost Software License", "the zlib license", "a proprietary license", "the license agreement of the company", "the Open Database License", "the Fair License", "the license of the author", "the Reciprocal Public License", "the Community License 1.0", "the Sleepycat license"),
+}
+CARRIERS = ("This project is distributed under the terms of {}.", "Licensed under {}.", "Released under {}.", "This software is made available under {}.", "You may use this file under {}.", "The code is covered by {}; see the file for details.")
 
-def _grams(h: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, line and length of each 1-, 2- and 3-gram inside a line."""
-    out = [tx.word_ngrams(h, line, n) for n in (1, 2, 3)]
-    return np.concatenate([g for g, _ in out]), np.concatenate([line[at] for _, at in out]), np.repeat([1, 2, 3], [len(g) for g, _ in out])
+FAMILIES = (NONE, UNKNOWN, *sorted(TEMPLATES))
+KNOWN = 2  # families from here on
+MOST_WORDS = 400
 
 
 class Model:
-    def __init__(self, weights: np.ndarray, bias: np.ndarray, temperature: float):
-        self.weights, self.bias, self.temperature = weights, bias, temperature
-        self.used = np.abs(weights).sum(1) > 1e-6
+    """keys: ascending hashes of the n-grams that were learned from; weights: a row for each."""
+
+    def __init__(self, keys: np.ndarray, weights: np.ndarray, bias: np.ndarray, temperature: float = 1.0, sure: float = 0.5, some: float = 0.5):
+        self.keys, self.weights, self.bias, self.temperature, self.sure, self.some = keys, weights, bias, temperature, sure, some
         self.templates = []
         for k, name in enumerate(FAMILIES):
             for t in TEMPLATES.get(name, ()):
-                h, line, _ = _lines(*tx.buffers(pa.array([t])))
-                self.templates.append((k, np.unique(tx.word_ngrams(h, line * 0, 2)[0])))
-        h, _, _ = _lines(*tx.buffers(pa.array([" ".join(CUES)])))
-        self.cues = np.unique(h)
-
-    def probabilities(self, grams: np.ndarray, line: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """Rows by line; a line's features are weighted by 1 / sqrt(its words)."""
-        n, m = len(words), len(FAMILIES)
-        bucket = (grams & np.uint64(BUCKETS - 1)).astype(np.int64)
-        on = np.flatnonzero(self.used[bucket])
-        z = np.empty((n, m))
-        w = self.weights[bucket[on]]
-        for k in range(m):
-            z[:, k] = np.bincount(line[on], w[:, k], n)
-        z = (z / np.sqrt(np.maximum(words, 1))[:, None] + self.bias) / self.temperature
-        z = np.exp(z - z.max(1, keepdims=True))
-        return z / z.sum(1, keepdims=True)
-
-    def similarity(self, pairs: np.ndarray, family: int) -> float:
-        """The largest share of a template of the family that a line's 2-grams contain."""
-        return max(float(np.isin(t, pairs).mean()) for k, t in self.templates if k == family)
-
-
-def _variants(rng: np.random.Generator) -> tuple[list[str], list[int]]:
-    """Templates whole, cut, with words lost, and among other words; prose likewise."""
+                self.templates.append((k, np.unique(tx.word_ngrams(_words(t), np.zeros(len(_words(t)), np.int8), 2)[0])))
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[(keys & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+        self.least = 0.0
+
+    def known(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of grams that were learned from, and their rows in weights."""
+        at = np.flatnonzero(self.maybe[(grams & np.uint64((1 << 20) - 1)).astype(np.int64)])
+        i = np.minimum(np.searchsorted(self.keys, grams[at]), len(self.keys) - 1)
+        right = self.keys[i] == grams[at]
+        return at[right], i[right]
+
+    def probabilities(self, words: np.ndarray) -> np.ndarray:
+        """By family, of one paragraph's word hashes; features are weighted by 1 / sqrt(distinct words)."""
+        grams = np.unique(_grams(words))
+        z = (self.weights[self.known(grams)[1]].sum(0) / np.sqrt(len(np.unique(words))) + self.bias) / self.temperature
+        z = np.exp(z - z.max())
+        return z / z.sum()
+
+    def licence_shares(self, words: np.ndarray, line: np.ndarray, n: int) -> np.ndarray:
+        """1 - p(none) of each of n lines, at once; line: the line of each word, ascending."""
+        pairs = []
+        for k in (1, 2, 3):
+            gram, spot = tx.word_ngrams(words, line, k)
+            on, key = self.known(gram)
+            pairs.append(line[spot[on]] * len(self.keys) + key)
+        own, key = np.divmod(np.unique(np.concatenate(pairs)), len(self.keys))
+        scale = np.sqrt(np.maximum(1, np.bincount(line, minlength=n)))
+        z = np.stack([np.bincount(own, self.weights[key, k], n) / scale for k in range(len(FAMILIES))], 1)
+        return 1 - _soft((z + self.bias) / self.temperature)[:, 0]
+
+    def judged(self, words: np.ndarray, confirm: float) -> tuple[int, float]:
+        """(family, its share) of a paragraph: a confirmed one, UNKNOWN with the share of all licences, or NONE."""
+        p = self.probabilities(words)
+        k = KNOWN + int(p[KNOWN:].argmax())
+        if p[k] >= self.sure and p[k] > p[0]:
+            pairs = tx.word_ngrams(words, np.zeros(len(words), np.int8), 2)[0]
+            if max(float(np.isin(t, pairs).mean()) for of, t in self.templates if of == k) >= confirm:
+                return k, float(p[k])
+        return (1, float(1 - p[0])) if 1 - p[0] >= self.some else (0, float(p[0]))
+
+
+def _words(text: str) -> np.ndarray:
+    data, offs = tx.buffers(pa.array([text]))
+    s, e, _ = tx.words(data, offs, tx.PUNCT)
+    return tx.span_hash(data, s, e)
+
+
+def _grams(words: np.ndarray) -> np.ndarray:
+    """All 1-, 2- and 3-grams of one paragraph's word hashes."""
+    return np.concatenate([tx.word_ngrams(words, np.zeros(len(words), np.int8), n)[0] for n in (1, 2, 3)])
+
+
+def _variants(rng: np.random.Generator) -> tuple[list[list[str]], list[int], np.ndarray]:
+    """Word lists of templates, other notices and prose: whole, cut, with words lost, among other words; labels; which ones calibrate.
+
+    Of other notices every fourth calibrates only, as does a quarter of all variants.
+    """
     prose = [w for p in PROSE for w in p.split()]
-    texts, labels = [], []
+    made_up = lambda: "".join("aeioubdgklmnrst"[i] for i in rng.integers(0, 15, int(rng.integers(2, 9))))
+    filler = lambda n: [prose[j] if rng.random() < 0.5 else made_up() for j in rng.integers(0, len(prose), n)]
+    texts, labels, spared = [], [], []
     for k, name in enumerate(FAMILIES):
-        for t in TEMPLATES.get(name, PROSE):
+        carried = [CARRIERS[(at + i) % len(CARRIERS)].format(n) for at, n in enumerate(NAMES.get(name, ())) for i in range(3)]
+        for at, t in enumerate([*TEMPLATES.get(name, PROSE if k == 0 else OTHERS), *carried]):
             words = t.split()
-            for i in range(8 if k else 24):
-                own = [w for w in words if rng.random() > 0.08 * (i % 3)]
-                pad = [prose[j] for j in rng.integers(0, len(prose), int(rng.integers(0, 8)))] if i % 2 else []
-                if not k and i % 3 == 0:
-                    own = [prose[j] for j in rng.integers(0, len(prose), len(own))]
-                texts.append(" ".join(pad + own))
+            for i in range(24 if k == 0 else 8):
+                own = [w for w in words if rng.random() > 0.08 * (i % 3)] or words
+                if k == 0 and i % 3 == 0:
+                    own = filler(len(words))
+                pad = filler(int(rng.integers(0, 10))) if i % 2 else []
+                texts.append(pad + own if i % 4 < 2 else own + pad)
                 labels.append(k)
-    return texts, labels
+                spared.append(at % 4 == 3 if k == 1 else rng.random() < 0.25)
+    return texts, labels, np.array(spared)
+
+
+def _soft(z: np.ndarray) -> np.ndarray:
+    z = np.exp(z - z.max(1, keepdims=True))
+    return z / z.sum(1, keepdims=True)
 
 
 @lru_cache(1)
 def train(steps: int = 80, l2: float = 1e-4, seed: int = 3) -> Model:
     rng = np.random.default_rng(seed)
-    texts, labels = _variants(rng)
-    y = np.array(labels)
-    h, line, row = _lines(*tx.buffers(pa.array(texts)))
-    grams, owner, _ = _grams(h, line)
-    bucket, words = (grams & np.uint64(BUCKETS - 1)).astype(np.int64), np.bincount(line, minlength=len(y))
-    value = 1 / np.sqrt(words)[owner]
-    spots, col = np.unique(bucket, return_inverse=True)
+    texts, labels, test = _variants(rng)
+    y, m = np.array(labels), len(FAMILIES)
+    words = [_words(" ".join(t)) for t in texts]
+    features = [np.unique(_grams(w)) for w in words]
+    spots, col = np.unique(np.concatenate(features), return_inverse=True)
+    owner = np.repeat(np.arange(len(y)), [len(f) for f in features])
     x = np.zeros((len(y), len(spots)), np.float32)
-    np.add.at(x, (owner, col), value)
-    test = rng.random(len(y)) < 0.25
-    m = len(FAMILIES)
+    x[owner, col] = (1 / np.sqrt([max(1, len(np.unique(w))) for w in words]))[owner]
+    weight = (1 / np.bincount(y[~test], minlength=m))[y]  # classes count alike
     w, b = np.zeros((len(spots), m), np.float32), np.zeros(m, np.float32)
     first, second = [np.zeros_like(w), np.zeros_like(b)], [np.zeros_like(w), np.zeros_like(b)]
     gold = np.eye(m, dtype=np.float32)[y]
-
-    def soft(z: np.ndarray) -> np.ndarray:
-        z = np.exp(z - z.max(1, keepdims=True))
-        return z / z.sum(1, keepdims=True)
-
     for step in range(1, steps + 1):
-        gap = (soft(x[~test] @ w + b) - gold[~test]) / (~test).sum()
+        gap = ((_soft(x[~test] @ w + b) - gold[~test]) * (weight[~test] / weight[~test].sum())[:, None]).astype(np.float32)
         for i, (p, g) in enumerate(((w, x[~test].T @ gap + l2 * w), (b, gap.sum(0)))):
             first[i] += 0.1 * (g - first[i])
             second[i] += 0.01 * (g * g - second[i])
             p -= 0.1 * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.99**step)) + 1e-8)
-    z = x[test] @ w + b
-    heat = min(np.geomspace(0.25, 8, 30), key=lambda t: -np.log(np.maximum(soft(z / t)[np.arange(len(z)), y[test]], 1e-9)).mean())
-    whole = np.zeros((BUCKETS, m), np.float32)
-    whole[spots] = w
-    return Model(whole, b, max(1.0, float(heat)))
+    z, own = x[test] @ w + b, y[test]
+    heat = float(min(np.geomspace(0.1, 8, 40), key=lambda t: -np.log(np.maximum(_soft(z / t)[np.arange(len(z)), own], 1e-9)).mean()))
+    p = _soft(z / heat)
+    cut = lambda good, bad: float(max(np.unique(np.concatenate([good, bad])), key=lambda c: (good >= c).mean() + (bad < c).mean()))
+    sure = cut(p[own >= KNOWN, KNOWN:].max(1), p[own < KNOWN, KNOWN:].max(1))
+    some = float(1 + (1 - p[own == 0, 0]).max()) / 2  # halfway from the likeliest piece of prose to certainty
+    model = Model(spots, w, b, heat, sure, some)
+    # lines of eight words of each licence variant: the best one's share is what a line must have to be looked round
+    best = [float(model.licence_shares(t, np.arange(len(t)) // 8, -(-len(t) // 8)).max()) for t, k in zip(words, labels) if k]
+    model.least = float(np.quantile(best, 0.01))
+    return model
+
+
+Found = tuple[str, float, bool, int]
+
 
+def paragraphs(first: np.ndarray, end: np.ndarray, block: np.ndarray, i: int) -> list[tuple[int, int]]:
+    """Word ranges of the paragraphs round line i: the line, three lines in a row, the block."""
+    same = np.flatnonzero(block == block[i]) if len(block) < 4096 else np.arange(np.searchsorted(block, block[i]), np.searchsorted(block, block[i], "right"))
+    lo, hi = int(same[0]), int(same[-1])
+    around = {(int(first[i]), int(end[i])), (int(first[max(lo, i - 1)]), int(end[min(hi, i + 1)]))}
+    whole = (int(first[lo]), int(end[hi]))
+    return sorted(x for x in {*around, whole} if x[1] - x[0] <= MOST_WORDS or x == (int(first[i]), int(end[i])))
 
-def scan(model: Model, column: pa.Array, sure: float, confirm: float) -> list[tuple[str, float, bool, int]]:
-    """(licence, probability, confirmed by a template, licence paragraphs) of each text."""
-    out: list[tuple[str, float, bool, int]] = [(NONE, 0.0, False, 0)] * len(column)
+
+def scan(model: Model, column: pa.Array, confirm: float) -> list[Found]:
+    """(licence, its share, confirmed by a template, licence paragraphs) of each text."""
+    out: list[Found] = [(NONE, 0.0, False, 0)] * len(column)
     data, offs = tx.buffers(column)
     for lo, _, part, at in tx.slices(data, offs):
-        h, line, row = _lines(part, at)
-        if not len(h):
+        s, e, row = tx.words(part, at, tx.PUNCT)
+        if not len(s):
             continue
-        words = np.bincount(line)
-        grams, owner, size = _grams(h, line)
-        p = model.probabilities(grams, owner, words)
-        cue = np.bincount(line, np.isin(h, model.cues), len(words)) > 0
-        lead = p[:, 1:].argmax(1) + 1
-        # candidates: lines that are rather a licence than not, and lines that speak of one
-        for i in np.flatnonzero((p[:, 0] < 0.5) | cue & (p[:, 0] < 0.9)).tolist():
-            k = int(lead[i])
-            pairs = grams[(owner == i) & (size == 2)] if len(words) < 64 else _pairs_of(h, line, i)
-            fits = model.similarity(pairs, k) >= confirm
-            share = float(p[i, k])
-            if fits and share >= sure:
-                found = (FAMILIES[k], share, True)
-            elif cue[i] and p[i, 0] < 0.5:
-                found = (UNKNOWN, float(1 - p[i, 0]), False)
-            else:
-                continue
-            r = lo + int(row[i])
-            old = out[r]
-            best = found if (found[2], found[1]) > (old[2], old[1]) else old[:3]
-            out[r] = (*best, old[3] + 1)
+        h = tx.span_hash(part, s, e)
+        breaks = np.cumsum(part == 10)[s]
+        first = np.flatnonzero(np.concatenate([[True], (breaks[1:] != breaks[:-1]) | (row[1:] != row[:-1])]))
+        end = np.append(first[1:], len(h))
+        block = np.cumsum(np.concatenate([[True], (np.diff(breaks[first]) > 1) | (np.diff(row[first]) != 0)]))
+        line = np.repeat(np.arange(len(first)), end - first)
+        shares = model.licence_shares(h, line, len(first))
+        found: list[tuple[int, float, int, int]] = []
+        judged: dict[tuple[int, int], tuple[int, float]] = {}
+        for i in np.flatnonzero(shares >= model.least).tolist():
+            for r in paragraphs(first, end, block, i):
+                if r not in judged:
+                    judged[r] = model.judged(h[r[0] : r[1]], confirm)
+                    if judged[r][0]:
+                        found.append((*judged[r], *r))
+        taken = np.zeros(len(h), bool)  # a word counts for one paragraph: the surest confirmed ones first
+        for k, share, a, b in sorted(found, key=lambda x: (x[0] < KNOWN, -x[1], x[2], x[3])):
+            if not taken[a:b].any():
+                taken[a:b] = True
+                r = lo + int(row[a])
+                best = max((FAMILIES[k], share, k >= KNOWN), out[r][:3], key=lambda x: (x[2], x[1]))
+                out[r] = (*best, out[r][3] + 1)
     return out
 
 
-def _pairs_of(h: np.ndarray, line: np.ndarray, i: int) -> np.ndarray:
-    a, b = np.searchsorted(line, [i, i + 1])
-    return tx.word_ngrams(h[a:b], line[a:b], 2)[0]
-
-
-def scan_licenses(docs: DataFrame, text: str = "text", sure: float = 0.5, confirm: float = 0.5) -> DataFrame:
+def scan_licenses(docs: DataFrame, text: str = "text", confirm: float = 0.5) -> DataFrame:
     """docs with license (a family, `unknown` or `none`), license_score, license_confirmed and n_license_paragraphs;
     columns of these names are replaced."""
+    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(train())  # of fixed size
 
     @F.pandas_udf("struct<license:string,license_score:double,license_confirmed:boolean,n_license_paragraphs:long>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame(scan(model.value, pa.array(batch, pa.large_string(), from_pandas=True), sure, confirm), columns=["license", "license_score", "license_confirmed", "n_license_paragraphs"])
+            yield pd.DataFrame(scan(model.value, pa.array(batch, pa.large_string(), from_pandas=True), confirm), columns=["license", "license_score", "license_confirmed", "n_license_paragraphs"])
+        release()
 
     out = docs.withColumn("__license", run(F.col(text)))
     names = ("license", "license_score", "license_confirmed", "n_license_paragraphs")
