@@ -719,6 +719,47 @@ def test_pipeline_stages(spark, tmp_path):
     assert {r["doc_id"] for r in after.collect()} == {r["doc_id"] for r in before.collect()}
 
 
+def test_stages_take_odd_and_empty_tables(spark):
+    """Null ids and texts, repeated rows, very long texts and columns with the operators' own names; then no rows at all."""
+    import corpus_pipeline as p
+
+    bench = spark.read.parquet(f"{D}/benchmark.parquet").first()["text"]
+    extra = [(500, bench, "en", "h", 1), (500, bench, "en", "h", 1), (None, bench, "en", None, 1), (501, "jo.doe@example.org and +1 (988) 555-2485", "en", "h", 1), (502, "long word " * 40_000, None, "h", 1), (503, "long word " * 40_000, None, "h", 1)]
+    docs = clashing(odd(spark).unionByName(spark.createDataFrame(extra, DOCS)))
+    key = lambda rows: Counter((r["doc_id"], r["text"]) for r in rows)
+    rows = docs.collect()
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{D}/benchmark.parquet").collect()]
+    done = {}
+    for name, stage in p.STAGES:
+        out = stage(spark, docs, D)
+        assert stage(spark, docs.limit(0), D).count() == 0
+        if name != "packing":
+            assert out.columns == docs.columns
+        done[name] = out.collect()
+    assert key(done["toxicity"]) == key(rows)  # no labels for these rows: nothing is toxic
+    copies = key(done["jaccard"])
+    assert copies == Counter({k: 1 if shingles(k[1]) else n for k, n in key(rows).items() if k not in [(503, "long word " * 40_000), (None, bench)]})
+    clean = Counter({k: n for k, n in key(rows).items() if len(k[1] or "") > 5000 or not plain_decontaminate(k[1], [x for x in items if len(set(re.findall(r"\w+", x[1].lower())) & set(re.findall(r"\w+", (k[1] or "").lower()))) > 3])})
+    assert key(done["decontamination"]) == clean and (500, bench) not in clean
+    told = {r["doc_id"]: r["text"] for r in done["pii"]}
+    assert told[501] == "<email> and <phone>" and len(done["pii"]) == len(rows)
+    ids = Counter(r["doc_id"] for r in done["packing"] if r["start"] == 0)
+    assert ids == Counter(r["doc_id"] for r in rows)
+
+
+def test_operators_take_empty_tables(spark, small):
+    none = clashing(small.limit(0))
+    samples = langid.learn(small.limit(0))
+    assert samples == {} and langid.identify(none, samples).count() == 0
+    assert toxicity.learn(small.limit(0), spark.createDataFrame([], "doc_id long, toxic int")) is None
+    assert pii.find_pii(none, redacted=True).count() == 0 and quality.quality_rules(none).count() == 0
+    assert html.extract_text(spark.createDataFrame([], "page_id long, url string, html string, text int")).count() == 0
+    pages = spark.createDataFrame([(1, None, None, "x"), (2, "u", "", "y"), (2, "u", "<p>a b</p>", "z")], "page_id long, url string, html string, n_chars string")
+    assert [(r["page_id"], r["text"], r["n_chars"]) for r in html.extract_text(pages).orderBy("page_id", "text").collect()] == [(1, "", 0), (2, "", 0), (2, "a b", 3)]
+    odd_rows = langid.identify(clashing(odd(spark)), {"en": "some words of text", "xx": "a"}).collect()
+    assert len(odd_rows) == odd(spark).count() and {r["lang_pred"] for r in odd_rows} <= {"en", "xx", "und"}
+
+
 def test_queries_have_their_columns(spark):
     from hazardmap.llm.queries import QUERIES
 
