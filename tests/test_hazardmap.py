@@ -279,3 +279,48 @@ def test_queries_equal_their_sql(spark, name):
     frame = entry.queries()[name](spark, d)
     got = sorted([tuple(plain(r[k]) for k in sorted(names)) for r in frame.collect()], key=str)
     assert sorted(frame.columns) == sorted(names) and got == want
+
+
+def test_far_points_find_the_nearest_node(spark):
+    import math
+    import random
+
+    rng = random.Random(5)
+    places = [(f"n{i}", rng.uniform(-60, 70), rng.uniform(-180, 180)) for i in range(120)] + [(f"m{i}", 26 + i * 0.001, 92.0) for i in range(40)]
+    points = [(f"p{i}", rng.uniform(-80, 80), rng.uniform(-180, 180)) for i in range(60)] + [("pole", 90.0, 0.0), ("line", 0.0, 180.0), ("none", None, 1.0)]
+
+    def metres(a, b, c, d):
+        h = math.sin(math.radians(c - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(c)) * math.sin(math.radians(d - b) / 2) ** 2
+        return 2 * 6_371_000 * math.asin(math.sqrt(min(1.0, h)))
+
+    nodes = spark.createDataFrame(places, "node_id string, lat double, lon double")
+    got = {r["id"]: r["metres"] for r in nearest.nearest_node(spark.createDataFrame(points, "id string, lat double, lon double"), nodes).collect()}
+    want = {i: min(metres(a, b, c, d) for _, c, d in places) for i, a, b in points if a is not None}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-3 for i in want)
+    assert nearest.nearest_node(spark.createDataFrame(points, "id string, lat double, lon double"), nodes.limit(0)).count() == 0
+
+
+def test_tiles_hold_few_nodes(spark):
+    rows = [(f"n{i}", 26 + (i % 40) * 0.001, 92 + (i // 40) * 0.001) for i in range(800)] + [(f"f{i}", -40.0 + i, 10.0) for i in range(5)]
+    got = paths.tiles(spark.createDataFrame(rows, "node_id string, lat double, lon double"), Tuning(tile_nodes=50))
+    sizes = [r["count"] for r in got.groupBy("tile").count().collect()]
+    assert got.count() == len(rows) and max(sizes) <= 50 and len(sizes) < 80
+
+
+def test_reports_by_id(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/events.parquet").limit(1)
+    assert rows.count() == 1
+    from hazardmap.plans.queries import QUERIES
+
+    got = QUERIES["report_by_id"](spark, "/root/testdata/sf0.001").collect()
+    assert all((r["severity"] is None) == (not r["found"]) and r["found"] == r["id"].startswith("r") for r in got) and got
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    from types import SimpleNamespace
+
+    from hazardmap.sources.shared import shared_dir
+
+    conf = SimpleNamespace(get=lambda *_: None)
+    with pytest.raises(ValueError):
+        shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077", getConf=lambda: conf)))
