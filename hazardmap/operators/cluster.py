@@ -9,6 +9,7 @@ their pairs.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,14 +69,14 @@ def clusters(reports: DataFrame, radius_m: float = 150.0) -> DataFrame:
 
 
 def clusters_by_radius(reports: DataFrame, radii: list[float]) -> DataFrame:
-    """(radius_m, id, cluster) of located reports for several radii: distances once, links and labels by radius."""
+    """(radius_m, id, cluster) of located reports for several radii: crowded places are contracted for each, components are found once."""
     spark = reports.sparkSession
-    points = reports.where(located()).select("id")
-    each = F.broadcast(spark.createDataFrame([(float(r),) for r in radii], "radius_m double"))
-    pairs = near_pairs(reports, max(radii)).crossJoin(each).where(F.col("metres") <= F.col("radius_m"))
-    key = lambda c: F.concat_ws("|", F.col("radius_m").cast("string"), F.col(c))
-    labels = components(pairs.select(key("id_a").alias("a"), key("id_b").alias("b")))
-    every = points.crossJoin(each).withColumn("node", key("id"))
+    points = reports.where(located()).select("id", "lat", "lon")
+    key = lambda r, c: F.concat_ws("|", F.lit(float(r)).cast("string"), F.col(c))
+    links = reduce(DataFrame.unionByName, (_crossing_links(points, r).select(key(r, "a").alias("a"), key(r, "b").alias("b")) for r in radii))
+    labels = components(links)
+    each = F.broadcast(spark.createDataFrame([(float(r),) for r in radii], "radius_m double"))  # one row a radius
+    every = points.select("id").crossJoin(each).withColumn("node", F.concat_ws("|", F.col("radius_m").cast("string"), F.col("id")))
     name = F.substring_index(F.coalesce("label", "node"), "|", -1)
     return every.join(labels, "node", "left").select("radius_m", "id", name.alias("cluster"))
 

@@ -21,43 +21,61 @@ def weighed(reports: DataFrame, labels: DataFrame, t: Tuning, now: Column | None
     return joined.withColumns({"weight": c.report_weight(t, now), "claim": c.claimed_level(), "voter": c.voter(), "aerial": F.coalesce(F.col("source") == "aerial", F.lit(False))})
 
 
-def confidence(rows: DataFrame, t: Tuning, keys: list[str]) -> DataFrame:
-    """keys and confidence: best vote of each voter, chance that at least one is right, capped for one or two voters."""
-    votes = rows.groupBy(*keys, "voter").agg(F.max("weight").alias("vote"), F.bool_or("aerial").alias("aerial"))
-    got = votes.groupBy(*keys).agg(F.count("*").alias("voters"), (1 - F.product(1 - F.least("vote", F.lit(t.vote_cap)))).alias("sure"), F.bool_or("aerial").alias("aerial"))
+def votes(rows: DataFrame, t: Tuning, keys: list[str]) -> DataFrame:
+    """One row per keys, claim and voter: best weight (w), aerial, and rising and cut of reports that have a say.
+
+    Everything about confidence, level and backing follows from it, so the reports are grouped once.
+    """
+    scored = F.col("weight") > t.weight_floor
+    return rows.groupBy(*keys, "claim", "voter").agg(
+        F.max("weight").alias("w"),
+        F.bool_or("aerial").alias("aerial"),
+        F.bool_or(scored & (F.coalesce(F.col("rising"), F.lit(0)) != 0)).alias("rising"),
+        F.bool_or(scored & (F.coalesce(F.col("road_passable"), F.lit("")) == "no")).alias("cut"),
+        F.count("*").alias("reports"),
+    )
+
+
+def _confidence(cast: DataFrame, t: Tuning, keys: list[str]) -> DataFrame:
+    by_voter = cast.groupBy(*keys, "voter").agg(F.max("w").alias("vote"), F.bool_or("aerial").alias("aerial"), F.sum("reports").alias("reports"))
+    got = by_voter.groupBy(*keys).agg(F.count("*").alias("voters"), (1 - F.product(1 - F.least("vote", F.lit(t.vote_cap)))).alias("sure"), F.bool_or("aerial").alias("aerial"), F.sum("reports").alias("reports"))
     capped = F.when(F.col("aerial"), F.col("sure")).when(F.col("voters") == 1, F.least("sure", F.lit(t.cap_one))).when(F.col("voters") == 2, F.least("sure", F.lit(t.cap_two))).otherwise(F.col("sure"))
-    return got.select(*keys, F.round(capped, 3).alias("confidence"), "voters")
+    return got.select(*keys, F.round(capped, 3).alias("confidence"), "voters", "reports")
 
 
-def level(rows: DataFrame, t: Tuning, keys: list[str]) -> DataFrame:
-    """keys and level: the worst level with nearly the best support, one up where water rises, two at least where a road is cut."""
-    scored = rows.where(F.col("weight") > t.weight_floor)
-    best = scored.groupBy(*keys, "claim", "voter").agg(
-        F.max("weight").alias("w"), F.bool_or(F.coalesce(F.col("rising"), F.lit(0)) != 0).alias("rising"), F.bool_or(F.coalesce(F.col("road_passable"), F.lit("")) == "no").alias("cut")
-    )
-    support = best.groupBy(*keys, "claim").agg(F.sum("w").alias("s"), F.bool_or("rising").alias("rising"), F.bool_or("cut").alias("cut"))
+def _level(cast: DataFrame, t: Tuning, keys: list[str]) -> DataFrame:
+    support = cast.where(F.col("w") > t.weight_floor).groupBy(*keys, "claim").agg(F.sum("w").alias("s"), F.bool_or("rising").alias("rising"), F.bool_or("cut").alias("cut"))
     by_key = support.groupBy(*keys).agg(F.collect_list(F.struct("claim", "s")).alias("levels"), F.max("s").alias("most"), F.bool_or("rising").alias("rising"), F.bool_or("cut").alias("cut"))  # five levels at most
     base = F.array_max(F.transform(F.filter("levels", lambda x: x["s"] >= t.lean * F.col("most")), lambda x: x["claim"]))
     up = F.when(F.col("rising"), F.least(base + 1, F.lit(4))).otherwise(base)
     return by_key.select(*keys, F.when(F.col("cut"), F.greatest(up, F.lit(2))).otherwise(up).alias("level"))
 
 
-def _judged(rows: DataFrame, t: Tuning, keys: list[str]) -> DataFrame:
-    """keys, confidence and level (0 where no report has a say)."""
-    return confidence(rows, t, keys).join(level(rows, t, keys), keys, "left").withColumn("level", F.coalesce("level", F.lit(0)))
+def confidence(rows: DataFrame, t: Tuning, keys: list[str]) -> DataFrame:
+    """keys and confidence: best vote of each voter, chance that at least one is right, capped for one or two voters."""
+    return _confidence(votes(rows, t, keys), t, keys).drop("reports")
+
+
+def level(rows: DataFrame, t: Tuning, keys: list[str]) -> DataFrame:
+    """keys and level: the worst level with nearly the best support, one up where water rises, two at least where a road is cut."""
+    return _level(votes(rows, t, keys), t, keys)
+
+
+def _judged(cast: DataFrame, t: Tuning, keys: list[str]) -> DataFrame:
+    """keys, confidence, level (0 where no report has a say) and reports, from votes()."""
+    return _confidence(cast, t, keys).join(_level(cast, t, keys), keys, "left").withColumn("level", F.coalesce("level", F.lit(0)))
 
 
 def contradictions(rows: DataFrame, t: Tuning) -> DataFrame:
     """Reports that stand alone against a sure cluster: id, cluster, claim, group_level, group_confidence, group_voters."""
-    first = _judged(rows, t, ["cluster"])
-    size = rows.groupBy("cluster").agg(F.count("*").alias("reports"))
-    backing = rows.where(F.col("weight") > t.weight_floor).groupBy("cluster", "claim", "voter").count().groupBy("cluster", "claim").agg(F.count("*").alias("backers"))
-    sure = first.join(size, "cluster").where((F.col("reports") >= 2) & (F.col("confidence") >= t.confirm))
+    cast = keep(votes(rows, t, ["cluster"]), "votes")
+    backing = keep(cast.where(F.col("w") > t.weight_floor).groupBy("cluster", "claim").agg(F.count("*").alias("backers")), "backing")
+    sure = _judged(cast, t, ["cluster"]).where((F.col("reports") >= 2) & (F.col("confidence") >= t.confirm))
     majority = backing.select("cluster", F.col("claim").alias("level"), F.col("backers").alias("majority"))
     sure = sure.join(majority, ["cluster", "level"], "left").withColumn("majority", F.coalesce("majority", F.lit(0)))
     against = rows.where(~F.col("aerial")).join(sure.select("cluster", "level", "confidence", "majority"), "cluster").where(F.abs(F.col("claim") - F.col("level")) >= 2)
     against = against.join(backing, ["cluster", "claim"], "left").where(F.coalesce("backers", F.lit(0)) < F.col("majority"))
-    return against.select("id", "cluster", "claim", F.col("level").alias("group_level"), F.col("confidence").alias("group_confidence"), F.col("majority").alias("group_voters"))
+    return keep(against.select("id", "cluster", "claim", F.col("level").alias("group_level"), F.col("confidence").alias("group_confidence"), F.col("majority").alias("group_voters")), "against")
 
 
 def held_reports(rows: DataFrame, reports: DataFrame, t: Tuning) -> DataFrame:
@@ -83,12 +101,16 @@ def zone_geometry(rows: DataFrame, t: Tuning) -> DataFrame:
     return centre.join(far, "cluster").select("cluster", F.col("clat").alias("lat"), F.col("clon").alias("lon"), radius.alias("radius_m"))
 
 
-def all_zones(rows: DataFrame, t: Tuning, with_ids: bool = True) -> DataFrame:
-    """One row per cluster, drawn or not.  with_ids=False leaves the report ids to zone_members()."""
+def all_zones(rows: DataFrame, t: Tuning, with_ids: bool = False) -> DataFrame:
+    """One row per cluster, drawn or not.
+
+    with_ids gathers the report ids of each cluster in one row, for maps of clusters of a bounded size; the bridge table
+    of zone_members() has them for clusters of any size.
+    """
     out = contradictions(rows, t).select("id", F.lit(True).alias("held"))
     marked = rows.join(out, "id", "left").withColumn("held", F.coalesce("held", F.lit(False)))
     kept = marked.where(~F.col("held"))
-    judged = _judged(kept, t, ["cluster"])
+    judged = _judged(keep(votes(kept, t, ["cluster"]), "votes"), t, ["cluster"]).drop("reports")
     newest = F.coalesce(F.when(F.col("synced_at") != 0, F.col("synced_at")), F.when(F.col("reported_at") != 0, F.col("reported_at")), F.lit(0))
     device = kept.groupBy("cluster", "device_id").agg(F.count("*").alias("n"), F.max(newest).alias("newest"), F.bool_or("aerial").alias("aerial"))
     counts = device.groupBy("cluster").agg(F.sum("n").alias("report_count"), F.count("*").alias("device_count"), F.max("newest").alias("newest"), F.bool_or("aerial").alias("has_aerial"))
@@ -138,8 +160,8 @@ def placed(reports: DataFrame, t: Tuning) -> DataFrame:
 
 
 def danger_zones(reports: DataFrame, t: Tuning = Tuning()) -> DataFrame:
-    """The zones to draw, worst and surest first."""
-    return drawn(all_zones(placed(reports, t), t), t).orderBy(F.desc("danger"), F.desc("confidence"), "cluster_id")
+    """The zones to draw, worst and surest first, with the ids of their reports."""
+    return drawn(all_zones(placed(reports, t), t, with_ids=True), t).orderBy(F.desc("danger"), F.desc("confidence"), "cluster_id")
 
 
 def map_stats(reports: DataFrame, t: Tuning = Tuning()) -> DataFrame:
@@ -162,4 +184,4 @@ def decay_curve(reports: DataFrame, hours: list[float], t: Tuning = Tuning()) ->
     instants = F.broadcast(reports.sparkSession.createDataFrame([(float(h), int(t.now_ms + h * 3_600_000)) for h in hours], "hours double, now_ms long"))
     rows = weighed(here.crossJoin(instants), labels, t, F.col("now_ms"))
     keys = ["cluster", "hours"]
-    return _judged(rows, t, keys).select(*keys, "confidence", F.col("level").alias("danger"))
+    return _judged(keep(votes(rows, t, keys), "votes"), t, keys).select(*keys, "confidence", F.col("level").alias("danger"))

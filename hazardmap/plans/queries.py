@@ -156,7 +156,7 @@ def zone_geometry(spark, d):
 
 @query
 def zone_routing(spark, d):
-    return danger.all_zones(_placed(spark, d), T, with_ids=False).select("cluster_id", "danger", "confidence", "newest_age_hours", "routing")
+    return danger.all_zones(_placed(spark, d), T).select("cluster_id", "danger", "confidence", "newest_age_hours", "routing")
 
 
 @query
@@ -359,7 +359,9 @@ def score_geometry(spark, d):
 
 @query
 def score_membership(spark, d):
-    members = _zones(spark, d).select("cluster_id", F.explode("report_ids").alias("report_id"))
+    rows = _placed(spark, d)
+    drawn = danger.drawn(danger.all_zones(rows, T), T).select("cluster_id")
+    members = danger.zone_members(rows, T).join(drawn, "cluster_id", "left_semi")
     truth = fixtures.reports(spark, d).select(F.col("id").alias("report_id"), F.floor(F.substring("id", 2, 12).cast("long") / 8).cast("string").alias("incident_id"))
     return evaluate.score_membership(members, truth)
 
@@ -376,7 +378,7 @@ def radius_sweep(spark, d):
 
 def _scenes(spark: SparkSession, d: str) -> DataFrame:
     """All zones with a seed (their name's number by 7), reports and held reports: a table of scores."""
-    zones = danger.all_zones(_placed(spark, d), T, with_ids=False)
+    zones = danger.all_zones(_placed(spark, d), T)
     number = F.regexp_extract("cluster_id", r"(\d+)$", 1).cast("long")
     return zones.select((number % 7).alias("seed"), "held_count", "report_count", (F.col("routing") != "ignore").cast("int").alias("shown"))
 

@@ -1,8 +1,9 @@
 """Uploads and the live map as streams.
 
-There is no table format with MERGE here, so the merged reports are versioned snapshots: batch n writes
-path/version=n from the last version before it and its own rows.  A batch that is run again overwrites its own
-version, so nothing is counted twice.
+There is no table format with MERGE here, so the merged reports are versioned by bucket of their id: batch n reads
+the newest earlier version of the buckets that it touches and writes path/version=n/bucket=b for these only.  A
+batch that is run again overwrites its own version, so nothing is counted twice; of each bucket the version
+before the newest one stays for that, older ones are deleted.
 """
 
 from __future__ import annotations
@@ -15,23 +16,44 @@ from ..config import Tuning
 from ..functions.columns import severity
 from ..operators import danger, merge
 from ..sources.fixtures import VIEWS
+from ..sources.shared import keep
 
 
-def versions(spark: SparkSession, path: str) -> list[int]:
-    """Snapshot numbers at a path, read through Spark's own file system."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
+BUCKETS = 64  # the same for all batches of a path
+
+
+def _folders(spark: SparkSession, path: str, kind: str) -> list[int]:
+    """Numbers of the folders kind=<number> at a path, read through Spark's own file system."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(where):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(where)]
-    return sorted(int(n.split("=")[1]) for n in names if n.startswith("version=") and fs.exists(jvm.org.apache.hadoop.fs.Path(where, f"{n}/_SUCCESS")))
+    names = [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
+    return sorted(int(n.split("=")[1]) for n in names if n.startswith(f"{kind}="))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _complete(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def versions(spark: SparkSession, path: str, before: int | None = None) -> dict[int, list[int]]:
+    """The complete versions of each bucket, oldest first; only those before a number if one is given."""
+    out: dict[int, list[int]] = {}
+    for v in _folders(spark, path, "version"):
+        if (before is None or v < before) and _complete(spark, f"{path}/version={v}"):
+            for b in _folders(spark, f"{path}/version={v}", "bucket"):
+                out.setdefault(b, []).append(v)
+    return out
 
 
-def snapshot(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """The newest merged reports, or the newest before a version."""
-    there = [v for v in versions(spark, path) if before is None or v < before]
-    return spark.read.parquet(f"{path}/version={there[-1]}") if there else None
+def snapshot(spark: SparkSession, path: str, before: int | None = None, buckets: list[int] | None = None) -> DataFrame | None:
+    """The newest merged reports, or the newest before a version; only some buckets if they are named."""
+    parts = [f"{path}/version={v[-1]}/bucket={b}" for b, v in versions(spark, path, before).items() if buckets is None or b in buckets]
+    return spark.read.parquet(*parts) if parts else None
 
 
 def _state_as_log(state: DataFrame, fields: list[str]) -> DataFrame:
@@ -40,21 +62,27 @@ def _state_as_log(state: DataFrame, fields: list[str]) -> DataFrame:
 
 
 def merge_batch(spark: SparkSession, path: str, fields: list[str], batch: DataFrame, number: int) -> None:
-    """Merges one batch of uploads into a new snapshot and appends what moved to path-changes."""
-    stored = snapshot(spark, path, number)
-    log = batch.select("id", "device_id", "counter", "arrival_seq", "arrival_ms", "phone_time", *fields, "changed")
+    """Merges one batch of uploads into the buckets that it touches and writes what moved to path-changes."""
+    log = keep(batch.select("id", "device_id", "counter", "arrival_seq", "arrival_ms", "phone_time", *fields, "changed"), "batch")
+    bucket = F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).cast("int").alias("bucket")
+    touched = [r["bucket"] for r in log.select(bucket).distinct().collect()]  # BUCKETS rows at most
+    stored = snapshot(spark, path, number, touched)
     if stored is None:
         new, moved = merge.merge_reports(log, fields), None
     else:
-        own = stored.join(log.select("id").distinct(), "id", "left_semi")
+        ids = log.select("id").distinct()
+        own = stored.join(ids, "id", "left_semi")
         merged = merge.merge_reports(_state_as_log(own, fields).unionByName(log), fields)
-        new = stored.join(log.select("id").distinct(), "id", "left_anti").unionByName(merged)
+        new = stored.join(ids, "id", "left_anti").unionByName(merged)
         moved = own.select("id", F.col("updated_at").alias("was"))
-    new.write.mode("overwrite").parquet(f"{path}/version={number}")
-    now = spark.read.parquet(f"{path}/version={number}").join(log.select("id").distinct(), "id", "left_semi")
+    new.select("*", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/version={number}")
+    now = spark.read.schema(new.schema).parquet(f"{path}/version={number}").join(log.select("id").distinct(), "id", "left_semi")
     if moved is not None:
         now = now.join(moved, "id", "left").where(F.col("was").isNull() | (F.col("updated_at") > F.col("was"))).drop("was")
     now.write.mode("overwrite").parquet(f"{path}-changes/version={number}")
+    for b, old in versions(spark, path, number).items():
+        for v in old[:-1]:
+            _delete(spark, f"{path}/version={v}/bucket={b}")
 
 
 def start_merge(log: DataFrame, path: str, checkpoint: str, fields: list[str], **trigger) -> StreamingQuery:
