@@ -8,7 +8,6 @@ from functools import lru_cache
 
 import regex
 
-END = "<|endoftext|>"
 _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc\xbd\xbe", "\t-\r \x85\xa0"
 #: The public byte-level pattern, once with the classes of Latin-1 spelled out and once by Unicode property.
 _LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
@@ -40,6 +39,14 @@ def merges(path: str) -> tuple[dict[tuple[str, str], tuple[int, str]], list[str]
     return {(a, b): (i, a + b) for i, (a, b) in enumerate(pairs)}, letters
 
 
+@lru_cache(4)
+def special(path: str) -> re.Pattern[str] | None:
+    """The added tokens of a tokenizer's JSON, each one token wherever it stands in a text; None if there are none."""
+    with open(path, encoding="utf-8") as f:
+        found = [t["content"] for t in json.load(f)["added_tokens"]]
+    return re.compile("|".join(map(re.escape, sorted(found, key=len, reverse=True)))) if found else None
+
+
 @lru_cache(2)
 def encoding(path: str):
     """The vocabulary of a byte-level tokenizers JSON as a tiktoken encoding: in such files ids follow the order of merges."""
@@ -55,5 +62,5 @@ def encoding(path: str):
 
 
 def encode(text: str, path: str) -> bytes:
-    """The ids of a text, 4 bytes each; the end string inside a text is one special token, as by default in the library."""
+    """The ids of a text, 4 bytes each; added tokens inside a text are special tokens, as by default in the library."""
     return encoding(path).encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()

@@ -4,8 +4,8 @@ A pre-token starts as its bytes in a linked list; the adjacent pair of lowest ra
 equals) is popped from a heap and merged until no pair has a rank.  Its count is the number of
 bytes less the number of merges; no ids are made.  Counts of words are remembered per worker.
 
-Null texts count as empty (0 bytes, 0 tokens).  Repeated rows give repeated results.  The end string
-inside a text is one token, as the library's default has it.
+Null texts count as empty (0 bytes, 0 tokens).  Repeated rows give repeated results.  Added tokens
+(such as the end string) inside a text are one token each, as the library's default has it.
 """
 
 from __future__ import annotations
@@ -18,7 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pretokens import END, default_path, merges, pretokens
+from .pretokens import default_path, merges, pretokens, special
+from .store import release, small_batches
 
 
 def merged_length(symbols: list[str], ranks: dict[tuple[str, str], tuple[int, str]]) -> int:
@@ -69,9 +70,9 @@ def _counts(path: str) -> Counts:
 
 def count_tokens(text: str, path: str) -> int:
     look = _counts(path).__getitem__
-    if END not in text:
-        return sum(map(look, pretokens(text)))
-    return text.count(END) + sum(sum(map(look, pretokens(part))) for part in text.split(END))
+    added = special(path)
+    parts = added.split(text) if added else [text]
+    return len(parts) - 1 + sum(sum(map(look, pretokens(part))) for part in parts)
 
 
 def token_counts(docs: DataFrame, path: str | None = None, limit: int = 1024, text: str = "text") -> DataFrame:
@@ -80,11 +81,13 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = 1024, te
     path: a byte-level vocabulary in the tokenizers library's JSON, readable on every worker.
     """
     path = path or default_path()
+    small_batches(docs.sparkSession)
 
     @F.pandas_udf("long")
     def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series([0 if t is None else count_tokens(t, path) for t in batch], dtype="int64")
+        release()
 
     out = docs.withColumn("n_bytes", F.coalesce(F.octet_length(text), F.lit(0)).cast("long")).withColumn("n_tokens", tokens(F.col(text)))
     return out.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -82,6 +82,17 @@ def test_packing_keeps_every_id(spark, small):
     assert packing.pack_documents(small.limit(0)).count() == 0
 
 
+def test_ids_and_counts_of_a_whole_table_equal_the_library():
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(PATH)
+    for text in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist():
+        ids = lib.encode(text or "", add_special_tokens=False).ids
+        assert np.frombuffer(pretokens.encode(text or "", PATH), "<u4").tolist() == ids
+        assert token_counts.count_tokens(text or "", PATH) == len(ids)
+
+
 def test_differencing_balances():
     rng = random.Random(1)
     sizes = [rng.randrange(60, 257) for _ in range(300)]
