@@ -25,7 +25,8 @@ DEFAULTS = {"counter": 0, "source": "volunteer", "text": "", "location_confidenc
 
 def _typed(uploads: DataFrame) -> DataFrame:
     rows = uploads.select(F.explode("reports").alias("r")).select("r.*")
-    return rows.fillna(DEFAULTS).withColumns({"photo_ids": F.coalesce("photo_ids", F.array().cast("array<string>")), "changed": F.coalesce("changed", F.array().cast("array<string>"))})
+    blank = F.when(F.col("water_level") != "", F.col("water_level"))  # an empty choice is none
+    return rows.fillna(DEFAULTS).withColumns({"water_level": blank, "photo_ids": F.coalesce("photo_ids", F.array().cast("array<string>")), "changed": F.coalesce("changed", F.array().cast("array<string>"))})
 
 
 def read_edit_log(spark: SparkSession, path: str) -> DataFrame:
