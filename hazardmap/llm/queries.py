@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, jaccard, langid, licenses, packing, pii, quality, sql, toxicity
+from . import decontaminate, html, jaccard, langid, licenses, line_runs, negatives, orchard, packing, pii, quality, sql, toxicity
 from .samples import held_out
 from .store import table
 from .token_counts import token_counts
@@ -63,6 +63,22 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.transform("items", lambda x: x["item_id"]).alias("item_ids"), "coverage", "contaminated")
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_runs.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = orchard.cluster_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256).alias("centroid_sha256"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows, label=label)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
     "op2_pii": op2_pii,
@@ -74,6 +90,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_html": op9_html,
     "op10_decontaminate": op10_decontaminate,
+    "op11_line_dedup": op11_line_dedup,
+    "op12_clusters": op12_clusters,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 #: The others rest on trained models, tokenizers, tiling or packing, which SQL does not have.
-ORACLES: dict[str, str] = {"op4_quality": sql.QUALITY, "op5_jaccard": sql.JACCARD}
+ORACLES: dict[str, str] = {"op4_quality": sql.QUALITY, "op5_jaccard": sql.JACCARD, "op11_line_dedup": sql.LINES, "op12_clusters": sql.CLUSTERS, "op13_hard_negatives": sql.NEGATIVES}

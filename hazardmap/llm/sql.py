@@ -1,4 +1,4 @@
-"""SQL of the text queries that SQL can express, over the documents table."""
+"""SQL of the queries of this folder that SQL can express, over the documents and embeddings tables."""
 
 from __future__ import annotations
 
@@ -53,3 +53,51 @@ e AS (SELECT host, {", ".join(f"(f_{k} + m_{k} * a_{k}) / (n + a_{k}) AS rate_{k
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate_base < 0.8 AND NOT ({_STRICT} OR {_HARD}) AS kept
 FROM b JOIN e ON b.source IS NOT DISTINCT FROM e.host
 """
+
+LINES = r"""
+WITH l AS (
+  SELECT doc_id, i, ls[i] AS line, translate(trim(ls[i], chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))),
+r AS (SELECT k, max(doc_id) AS keeper FROM l WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5)
+SELECT doc_id, count(*) AS n_lines, count(CASE WHEN doc_id <> keeper THEN 1 END) AS n_dropped,
+  sha256(coalesce(string_agg(CASE WHEN keeper IS NULL OR keeper = doc_id THEN line END, chr(10) ORDER BY i), '')) AS kept_sha256
+FROM l LEFT JOIN r ON l.k = r.k GROUP BY doc_id
+"""
+
+
+def _clusters(k: int = 8, dims: int = 64, rounds: int = 10) -> str:
+    """The rounds as a chain of named steps."""
+    steps = [
+        f"v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims})",
+        f"c0 AS MATERIALIZED (SELECT n - 1 AS c, v FROM (SELECT v, row_number() OVER (ORDER BY sha256('3:' || vec_id)) AS n FROM v) WHERE n <= {k})",
+    ]
+    for r in range(rounds + 1):
+        steps += [
+            f"d{r} AS (SELECT vec_id, v.v, c, list_sum(list_transform(range(1, {dims + 1}), lambda i: (v.v[i] - c{r}.v[i]) * (v.v[i] - c{r}.v[i])))::BIGINT AS d FROM v, c{r})",
+            f"a{r} AS MATERIALIZED (SELECT vec_id, any_value(v) AS v, min(struct_pack(d := d, c := c)) AS m FROM d{r} GROUP BY vec_id)",
+            f"s{r} AS (SELECT c, i, sum(x) AS s, count(*) AS n FROM (SELECT m.c AS c, unnest(range(1, {dims + 1})) AS i, unnest(v) AS x FROM a{r}) GROUP BY c, i)",
+            f"m{r} AS (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS v FROM s{r} GROUP BY c)",
+            f"c{r + 1} AS MATERIALIZED (SELECT c{r}.c, coalesce(m{r}.v, c{r}.v) AS v FROM c{r} LEFT JOIN m{r} ON c{r}.c = m{r}.c)",
+        ]
+    return f"""WITH {", ".join(steps[:-3])}
+SELECT vec_id, m.c::INTEGER AS cluster, m.d AS distance, (sum(m.d) OVER (PARTITION BY m.c))::BIGINT AS cluster_inertia, (sum(m.d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c{rounds}.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON a{rounds}.m.c = c{rounds}.c
+"""
+
+
+CLUSTERS = _clusters()
+
+NEGATIVES = """
+WITH e AS MATERIALIZED (
+  SELECT vec_id, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END) AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i]))::BIGINT AS score
+  FROM e a, e b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS n FROM s WHERE same) WHERE n <= 5),
+n AS (
+  SELECT p.*, s.id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
