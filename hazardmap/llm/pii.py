@@ -32,13 +32,17 @@ KINDS = ("email", "ip", "card", "phone", "secret")
 LABELS = ("O", *KINDS)
 _EMAIL_LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")  # the same matches as without the look-behind, in linear time
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
 _HAS_DIGIT = re.compile(r"[0-9]")
 _SECRET = re.compile(rb"[A-Za-z0-9+/_-]+")
+_HOST = re.compile(rb"[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*")
+_PATH_SECRET = re.compile(rb"[A-Za-z0-9+_-]+")
+#: Written-out signs, which are words of their own even inside a word.
+_SIGN = re.compile(rb"[(\[](?:at|dot)[)\]]", re.I)
 
 #: Cue words of the shapes; any other word is known by its shape alone.
 CUES = ("at", "(at)", "[at]", "dot", "(dot)", "[dot]", "phone", "tel", "call", "fax", "mobile", "card", "visa", "mail", "email", "ip", "host", "contact", "token", "key", "secret", "password", "apikey", "api_key", "=", "commit", "version")
@@ -52,6 +56,9 @@ LABELLED = (
     "email{kim (at) lab dot edu} wrote this",
     "send it by email to email{info at shop dot co dot uk} please",
     "email email{a.b (at) example.org} now",
+    "email{jane.doe(at)example.com} is not found by a pattern",
+    "or email{info[at]lab[dot]edu}, they say",
+    "ask email{j_smith(at)shop(dot)de} for it",
     "you can reach email{mary at example dot org} all day and they will answer",
     "ask email{peter_p at club dot it} or the man at the door",
     "send word to email{ops at data-hub dot io} by noon",
@@ -96,6 +103,8 @@ LABELLED = (
     "an unbelievablylongwordwithoutanydigits stands here",
     "ERR_CONNECTION_REFUSED and misunderstandings everywhere",
     "build 20210405123456 passed in 3 min",
+    "see https://site.org/2021/04/a-long-title-of-words and more",
+    "(at) the end of it (dot) he stood",
     "host ip{10.1.2.3} was down",
     "ip ip{192.168[.]10[.]4} blocked",
     "from ip{70.123.182.155} came a call",
@@ -157,6 +166,18 @@ def _cue_hashes() -> tuple[np.ndarray, np.ndarray]:
     return h[order], order + 1
 
 
+def field_words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of the words that the field sees: as of tx.words, cut before and after written-out signs."""
+    starts, ends, row = tx.words(data, offs)
+    cuts = np.array([x for m in _SIGN.finditer(data.tobytes()) for x in m.span()], np.int64)
+    if not len(cuts) or not len(starts):
+        return starts, ends, row
+    at = np.searchsorted(starts, cuts, "right") - 1
+    cuts = np.unique(cuts[(at >= 0) & (starts[at] < cuts) & (cuts < ends[at])])
+    starts, ends = np.sort(np.concatenate([starts, cuts])), np.sort(np.concatenate([ends, cuts]))
+    return starts, ends, np.searchsorted(offs, starts, "right") - 1
+
+
 def _features(code: np.ndarray) -> np.ndarray:
     """Indexes of the features of each shape code: one per column and five joint ones."""
     columns, rest = [], code
@@ -178,17 +199,18 @@ _N_FEATURES = sum(_WIDTHS) + sum(_JOINT)
 
 def parse_labelled(lines: tuple[str, ...] = LABELLED) -> list[tuple[str, list[int]]]:
     """(text, label of each word) of marked lines."""
+    words = lambda x: len(field_words(*tx.buffers(pa.array([x])))[0])
     out = []
     for line in lines:
         plain, labels, at = "", [], 0
         for m in [*re.finditer(r"(email|ip|card|phone|secret)\{([^}]*)\}", line), None]:
             before = line[at : m.start() if m else None]
-            labels += [0] * len(before.split())
+            labels += [0] * words(before)
             plain += before + (m[2] if m else "")
             if m:
-                labels += [LABELS.index(m[1])] * len(m[2].split())
+                labels += [LABELS.index(m[1])] * words(m[2])
                 at = m.end()
-        out.append((plain, labels[: len(plain.split())]))
+        out.append((plain, labels[: words(plain)]))
     return out
 
 
@@ -200,7 +222,7 @@ def train(steps: int = 250, l2: float = 0.02) -> tuple[np.ndarray, np.ndarray]:
     codes, y, mask = np.zeros((n, t), np.int64), np.zeros((n, t), int), np.zeros((n, t), bool)
     for i, (line, labels) in enumerate(table):
         data, offs = tx.buffers(pa.array([line]))
-        s, e, _ = tx.words(data, offs)
+        s, e, _ = field_words(data, offs)
         codes[i, : len(s)], y[i, : len(s)], mask[i, : len(s)] = _shapes(data, s, e), labels, True
     f = _features(codes.ravel()).reshape(n, t, -1)
     weights, trans = np.zeros((3, _N_FEATURES, m)), np.zeros((m, m))
@@ -329,6 +351,7 @@ _AT = re.compile(r"\s*(?:[(\[]at[)\]]|\bat\b|@)\s*", re.I)
 def complete(kind: int, found: str) -> bool:
     """Does a span that the field found hold a whole item of its kind?"""
     if kind == 1:
+        found = " ".join(found.split())  # white space of any length is one space, so time stays linear
         parts = _AT.split(found)
         if len(parts) != 2 or not parts[0]:
             return False
@@ -351,7 +374,7 @@ def find_spans(column: pa.Array, model: tuple[np.ndarray, np.ndarray]) -> tuple[
     base: list[list] = []
     extra: list[list] = [[] for _ in range(len(column))]
     for lo, hi, part, at in tx.slices(data, offs):
-        starts, ends, row = tx.words(part, at)
+        starts, ends, row = field_words(part, at)
         lines = np.cumsum(part == 10)
         seq = row * (len(part) + 1) + (lines[starts] if len(starts) else 0)
         seq = np.cumsum(np.concatenate([[0], seq[1:] != seq[:-1]])) if len(seq) else seq
@@ -363,8 +386,11 @@ def find_spans(column: pa.Array, model: tuple[np.ndarray, np.ndarray]) -> tuple[
             i, j, r = int(starts[run[0]]), int(ends[run[-1]]), int(row[run[0]])
             raw = part[i:j].tobytes()
             left, right = len(raw) - len(raw.lstrip(b"\"'<,;:")), len(raw.rstrip(b"\"'>.,;:!?"))
-            if labels[run[0]] == 5 and (m := max(_SECRET.finditer(raw), key=lambda m: m.end() - m.start(), default=None)):
-                left, right = m.span()
+            if labels[run[0]] == 5:  # of a URL only what follows its host
+                host = _HOST.search(raw)
+                found = _PATH_SECRET.finditer(raw, host.end()) if host else _SECRET.finditer(raw)
+                m = max(found, key=lambda m: m.end() - m.start(), default=None)
+                left, right = m.span() if m else (0, 0)
             if left < right and complete(int(labels[run[0]]), raw[left:right].decode(errors="replace")):
                 zero = points[at[r]]
                 extra[lo + r].append((int(points[i + left] - zero), int(labels[run[0]]) - 1, int(points[i + right] - zero)))
