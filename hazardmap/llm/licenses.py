@@ -10,9 +10,10 @@ licences) and the share `some` of all licences together (well over that of any p
 * else is `unknown` if all licences together have at least `some`,
 * else is no licence.
 
-Paragraphs are single lines, three lines in a row, and blocks between empty lines of at most 400 words; line breaks
-and comment marks count as spaces, so wrapped notices are read whole.  Every line is classified; the paragraphs
-round a line are if its own share of licences reaches that which 99 in 100 variants reach somewhere when wrapped.
+Paragraphs are single lines, three lines in a row, blocks between empty lines, and windows of 25 to 400 words that
+slide over longer blocks; line breaks and comment marks count as spaces, so wrapped notices are read whole.  Every line
+and every 16 words of a block (each piece half over the one before) is looked at; the paragraphs round it are classified
+if its own share of licences reaches half of what the best piece of each variant reaches at least.
 
 A document's licence is that of its surest confirmed paragraph, else `unknown` if it has such a paragraph,
 else `none`.  Null, empty and wordless texts have `none`.  Repeated rows give repeated results.
@@ -125,7 +126,9 @@ CARRIERS = ("This project is distributed under the terms of {}.", "Licensed unde
 
 FAMILIES = (NONE, UNKNOWN, *sorted(TEMPLATES))
 KNOWN = 2  # families from here on
-MOST_WORDS = 400
+#: Words of the windows that slide over blocks; a block of up to the widest is read whole as well.
+WINDOWS = (25, 50, 100, 200, 400)
+LOOK = 16  # words of a piece of a block whose likeness to licences is looked at first
 
 
 class Model:
@@ -246,22 +249,42 @@ def train(steps: int = 80, l2: float = 1e-4, seed: int = 3) -> Model:
     sure = cut(p[own >= KNOWN, KNOWN:].max(1), p[own < KNOWN, KNOWN:].max(1))
     some = float(1 + (1 - p[own == 0, 0]).max()) / 2  # halfway from the likeliest piece of prose to certainty
     model = Model(spots, w, b, heat, sure, some)
-    # lines of eight words of each licence variant: the best one's share is what a line must have to be looked round
-    best = [float(model.licence_shares(t, np.arange(len(t)) // 8, -(-len(t) // 8)).max()) for t, k in zip(words, labels) if k]
-    model.least = float(np.quantile(best, 0.01))
+    # what a piece of a text must have to be looked round: half of what the best piece of each licence variant has at least
+    best = [float(model.licence_shares(t, np.arange(len(t)) // LOOK, -(-len(t) // LOOK)).max()) for t, k in zip(words, labels) if k]
+    model.least = min(best) / 2
     return model
 
 
 Found = tuple[str, float, bool, int]
 
 
-def paragraphs(first: np.ndarray, end: np.ndarray, block: np.ndarray, i: int) -> list[tuple[int, int]]:
-    """Word ranges of the paragraphs round line i: the line, three lines in a row, the block."""
-    same = np.flatnonzero(block == block[i]) if len(block) < 4096 else np.arange(np.searchsorted(block, block[i]), np.searchsorted(block, block[i], "right"))
-    lo, hi = int(same[0]), int(same[-1])
-    around = {(int(first[i]), int(end[i])), (int(first[max(lo, i - 1)]), int(end[min(hi, i + 1)]))}
-    whole = (int(first[lo]), int(end[hi]))
-    return sorted(x for x in {*around, whole} if x[1] - x[0] <= MOST_WORDS or x == (int(first[i]), int(end[i])))
+def pieces(starts: np.ndarray, ends: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Word ranges of `words` words in every block (starts, ends: its words), each half over the one before; shorter blocks whole."""
+    step = max(1, words // 2)
+    n = np.maximum(1, -(-(ends - starts - words) // step) + 1)
+    own = np.repeat(np.arange(len(starts)), n)
+    lo = starts[own] + (np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)) * step
+    return lo, np.minimum(lo + words, ends[own])
+
+
+def paragraphs(first: np.ndarray, end: np.ndarray, lines: tuple[int, int], lo: int, hi: int) -> set[tuple[int, int]]:
+    """Word ranges of the paragraphs round the words lo to hi of a block (lines: its first and last line).
+
+    The lines they stand in, those with a line more on each side, the whole block if the widest window holds it, and of
+    every width the windows, in steps of half of it, that have the middle of lo and hi in their middle half.
+    """
+    begin, over, mid = int(first[lines[0]]), int(end[lines[1]]), (lo + hi) // 2
+    a, b = int(np.searchsorted(end, lo, "right")), int(np.searchsorted(end, hi - 1, "right"))
+    found = {(int(first[max(lines[0], a - k)]), int(end[min(lines[1], b + k)])) for k in (0, 1)}
+    found = {x for x in found if x[1] - x[0] <= WINDOWS[-1]}
+    for w in WINDOWS:
+        if over - begin <= w:
+            found.add((begin, over))
+            break
+        at = begin + max(0, (mid - begin - w // 4) // (w // 2)) * (w // 2)
+        at = min(at, over - w)
+        found.add((at, at + w))
+    return found
 
 
 def scan(model: Model, column: pa.Array, confirm: float) -> list[Found]:
@@ -277,16 +300,22 @@ def scan(model: Model, column: pa.Array, confirm: float) -> list[Found]:
         first = np.flatnonzero(np.concatenate([[True], (breaks[1:] != breaks[:-1]) | (row[1:] != row[:-1])]))
         end = np.append(first[1:], len(h))
         block = np.cumsum(np.concatenate([[True], (np.diff(breaks[first]) > 1) | (np.diff(row[first]) != 0)]))
-        line = np.repeat(np.arange(len(first)), end - first)
-        shares = model.licence_shares(h, line, len(first))
+        opens = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))  # first line of each block
+        closes = np.append(opens[1:], len(first)) - 1
+        where = block - 1  # of each line
+        looked = [(first, end, where), (*(p := pieces(first[opens], end[closes], LOOK)), np.searchsorted(first[opens], p[0], "right") - 1)]
         found: list[tuple[int, float, int, int]] = []
         judged: dict[tuple[int, int], tuple[int, float]] = {}
-        for i in np.flatnonzero(shares >= model.least).tolist():
-            for r in paragraphs(first, end, block, i):
-                if r not in judged:
-                    judged[r] = model.judged(h[r[0] : r[1]], confirm)
-                    if judged[r][0]:
-                        found.append((*judged[r], *r))
+        for lows, highs, of in looked:  # every line, and every piece of a block whatever its lines
+            spots = np.arange(int((highs - lows).sum())) + np.repeat(lows - (np.cumsum(highs - lows) - (highs - lows)), highs - lows)
+            shares = model.licence_shares(h[spots], np.repeat(np.arange(len(lows)), highs - lows), len(lows))
+            for i in np.flatnonzero(shares >= model.least).tolist():
+                k = int(of[i])
+                for r in sorted(paragraphs(first, end, (int(opens[k]), int(closes[k])), int(lows[i]), int(highs[i]))):
+                    if r not in judged:
+                        judged[r] = model.judged(h[r[0] : r[1]], confirm)
+                        if judged[r][0]:
+                            found.append((*judged[r], *r))
         taken = np.zeros(len(h), bool)  # a word counts for one paragraph: the surest confirmed ones first
         for k, share, a, b in sorted(found, key=lambda x: (x[0] < KNOWN, -x[1], x[2], x[3])):
             if not taken[a:b].any():
