@@ -25,6 +25,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import text as tx
@@ -246,10 +247,11 @@ def fit(ids: np.ndarray, offs: np.ndarray, labels: np.ndarray, langs: np.ndarray
 BINS, WIDEST = 128, 64  # score bins a unit of the logit, and the largest logit that is told apart
 
 
-def calibrate(model: Model, docs: DataFrame, text: str, marked: DataFrame, fitted: DataFrame, threshold: float = 0.3) -> Model:
+def calibrate(model: Model, docs: DataFrame, text: str, marked: DataFrame, fitted: DataFrame, threshold: float = 0.3, prior: float = 20.0) -> Model:
     """Sets the shift of each language from the scores of all labelled rows (marked: doc_id, __label) that are not fitted (doc_id).
 
-    Scores meet labels, so no text is shuffled.  A language with fewer than 20 toxic rows gets the shift of all rows.
+    Scores meet labels, so no text is shuffled.  A language's own shift is drawn towards that of all rows as if `prior` of
+    its toxic rows had asked for the latter; one without toxic or without clean rows has only that.
     """
     rows = docs.where(F.col(text).isNotNull())
     shared = rows.sparkSession.sparkContext.broadcast(model)
@@ -275,17 +277,20 @@ def calibrate(model: Model, docs: DataFrame, text: str, marked: DataFrame, fitte
     model.shift[:] = _best_threshold(z, *weight) - goal
     for k in range(len(model.shift)):
         own = lang == k
-        if c[own & (y == 1)].sum() >= 20:
-            model.shift[k] = _best_threshold(z[own], weight[0][own], weight[1][own]) - goal
+        toxic, clean = (c[own & (y == v)].sum() for v in (1, 0))
+        if toxic and clean:
+            alone = _best_threshold(z[own], weight[0][own], weight[1][own]) - goal
+            model.shift[k] += (alone - model.shift[k]) * toxic / (toxic + prior)
     return model
 
 
-def learn(docs: DataFrame, labels: DataFrame, text: str = "text", lang: str = "lang", label: str = "toxic", rows_per_label: int = 2500, buckets: int = 1 << 16) -> Model | None:
+def learn(docs: DataFrame, labels: DataFrame, text: str = "text", lang: str = "lang", label: str = "toxic", rows_per_label: int = 2500, words_per_label: int = 2_000_000, buckets: int = 1 << 16) -> Model | None:
     """Fits on about `rows_per_label` rows of each label (a bounded sample chosen by a hash of the id) and calibrates on all others.
 
     A quarter of the ids, by another hash, is never fitted on, so that small tables have rows to calibrate on too.
 
-    The sampled rows are hashed to word buckets on the executors and learned from as whole texts.
+    The sampled rows are hashed to word buckets on the executors and learned from as whole texts; of each label as many,
+    in the order of the hash, as hold `words_per_label` words together, so the driver gets 32 MB at most.
     """
     small_batches(docs.sparkSession)
     marked = labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias("__label"))  # repeated rows: toxic once is toxic
@@ -297,14 +302,17 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", lang: str = "l
         ids, offs = word_ids(pa.array(column, pa.large_string(), from_pandas=True), buckets)
         return pd.Series([ids[a:b].tobytes() for a, b in zip(offs, offs[1:])])
 
-    got = sorted(rows.select("doc_id", F.col("__label").alias("y"), F.col(lang).alias("lang"), hashed(text).alias("ids")).collect(), key=lambda r: (r["doc_id"], bytes(r["ids"])))
+    held = keep(rows.select("doc_id", F.col("__label").alias("y"), F.col(lang).alias("lang"), hashed(text).alias("ids")), "hashed")
+    so_far = F.sum(F.octet_length("ids") / 8).over(W.partitionBy("y").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id", "ids"))  # some thousand rows
+    fitted = held.where(F.octet_length("ids") <= 8 * words_per_label).withColumn("so_far", so_far).where(F.col("so_far") <= words_per_label)
+    got = sorted(fitted.collect(), key=lambda r: (r["doc_id"], bytes(r["ids"])))
     if len({r["y"] for r in got}) < 2:
         return None
     names = sorted({r["lang"] for r in got if r["lang"] is not None})
     parts = [np.frombuffer(r["ids"], np.int32).reshape(-1, 2) for r in got]
     offs = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
     model = fit(np.concatenate(parts), offs, np.array([r["y"] for r in got]), np.array([names.index(r["lang"]) if r["lang"] is not None else -1 for r in got]), buckets)
-    return calibrate(model, docs, text, marked, chosen)
+    return calibrate(model, docs, text, marked, fitted.select("doc_id").distinct())
 
 
 def score_toxicity(docs: DataFrame, model: Model | None, text: str = "text", threshold: float = 0.3) -> DataFrame:
