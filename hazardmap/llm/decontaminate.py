@@ -7,8 +7,8 @@ with the window length falling from long to `least`).  The share of an item's wo
 its coverage; at `threshold` or more the document is contaminated.  Tiles need not stand in the item's
 order, so reordered passages count.
 
-Words are runs of letters, digits and non-ASCII characters, lower-cased.  Items of fewer than `least_words`
-words must stand in a document whole, as one run; those of fewer than `least` words must be all that it says.
+Words are runs of letters, digits and non-ASCII characters, lower-cased.  Short items, of fewer than `least_words`
+words, must stand in a document whole, as one run anywhere, and are reported as short.
 Null and empty texts match nothing.  An item_id that repeats with several texts has the coverage of the best one;
 items without an id count like others.  Repeated documents get repeated results.
 
@@ -132,10 +132,11 @@ class Index:
         self.least, self.least_words = least, least_words
         every = [(i, words[a:b]) for i, a, b in zip(ids, offs, offs[1:])]
         self.items = [(i, w) for i, w in every if len(w) >= least]
-        self.tiny: dict[bytes, list[int | None]] = {}  # items of fewer words than a seed, by their words
+        self.tiny: dict[int, dict[int, list[int | None]]] = {}  # items of fewer words than a seed, by their number of words and the hash of all
         for i, w in every:
             if 0 < len(w) < least:
-                self.tiny.setdefault(w.tobytes(), []).append(i)
+                whole = int(tx.word_ngrams(w, np.zeros(len(w), np.int8), len(w))[0][0])
+                self.tiny.setdefault(len(w), {}).setdefault(whole, []).append(i)
         self.sizes = np.array([len(w) for _, w in self.items], np.int64)
         grams = [tx.word_ngrams(w, np.zeros(len(w), np.int8), least)[0] for _, w in self.items]
         seed = np.concatenate([np.zeros(0, np.uint64), *grams])
@@ -160,9 +161,9 @@ class Index:
             own[np.repeat(np.arange(len(distinct)), hi - lo)[owners == o]] = True
             yield o, at[maybe[own[back]]]
 
-    def compare(self, column: pa.Array, threshold: float) -> list[list[tuple[int | None, float]]]:
-        """(item, coverage) of items at or over the threshold, for each text."""
-        found: list[list[tuple[int | None, float]]] = [[] for _ in range(len(column))]
+    def compare(self, column: pa.Array, threshold: float) -> list[list[tuple[int | None, float, bool]]]:
+        """(item, coverage, short) of items at or over the threshold, for each text; a short one stands whole somewhere in it."""
+        found: list[list[tuple[int | None, float, bool]]] = [[] for _ in range(len(column))]
         words, offs = word_hashes(column)
         row = np.repeat(np.arange(len(column)), np.diff(offs))
         grams, at = tx.word_ngrams(words, row, self.least)
@@ -175,7 +176,7 @@ class Index:
                 item_id, item = self.items[o]
                 if len(item) < self.least_words:
                     if _holds(text, item):
-                        found[r].append((item_id, 1.0))
+                        found[r].append((item_id, 1.0, True))
                     continue
                 # words that any tile can cover: those of shared seeds
                 near = np.unique(np.add.outer(places, np.arange(self.least)))
@@ -186,19 +187,22 @@ class Index:
                 doc = np.insert(text[near], cut, np.uint64(0))
                 covered = sum(n for _, _, n in tiles(item, doc, self.least)) / len(item)
                 if covered >= threshold:
-                    found[r].append((item_id, covered))
-        if self.tiny:
-            for r in np.flatnonzero((np.diff(offs) > 0) & (np.diff(offs) < self.least)).tolist():
-                found[r] += [(i, 1.0) for i in self.tiny.get(words[offs[r] : offs[r + 1]].tobytes(), ())]
+                    found[r].append((item_id, covered, False))
+        for n, items in self.tiny.items():
+            grams, at = tx.word_ngrams(words, row, n)
+            on = np.flatnonzero(np.isin(grams, np.array([*items], np.uint64)))
+            for gram, r in {*zip(grams[on].tolist(), row[at[on]].tolist())}:
+                found[r] += [(i, 1.0, True) for i in items[gram]]
         return [_best(x) for x in found]
 
 
-def _best(found: list[tuple[int | None, float]]) -> list[tuple[int | None, float]]:
-    """The highest coverage of each item, by id; those without an id last."""
-    out: dict[int | None, float] = {}
-    for i, c in found:
-        out[i] = max(c, out.get(i, 0.0))
-    return sorted(out.items(), key=lambda x: (x[0] is None, x[0] or 0))
+def _best(found: list[tuple[int | None, float, bool]]) -> list[tuple[int | None, float, bool]]:
+    """The highest coverage of each item, by id, and whether only short texts of it were found; those without an id last."""
+    out: dict[int | None, tuple[float, bool]] = {}
+    for i, c, short in found:
+        c0, s0 = out.get(i, (0.0, True))
+        out[i] = (max(c, c0), short and s0)
+    return sorted(((i, *x) for i, x in out.items()), key=lambda x: (x[0] is None, x[0] or 0))
 
 
 _indexes: dict[str, Index] = {}
@@ -212,7 +216,7 @@ def _index_for(key: str, shared, least: int, least_words: int) -> Index:
     return _indexes[key]
 
 
-FOUND = "array<struct<item_id:long,coverage:double>>"
+FOUND = "array<struct<item_id:long,coverage:double,short:boolean>>"
 
 
 def _comparison(key: str, shared, least: int, least_words: int, threshold: float):
@@ -223,14 +227,14 @@ def _comparison(key: str, shared, least: int, least_words: int, threshold: float
         index = _index_for(key, shared, least, least_words)
         for batch in batches:
             found = index.compare(pa.array(batch, pa.large_string(), from_pandas=True), threshold)
-            yield pd.Series([[{"item_id": i, "coverage": c} for i, c in x] for x in found])
+            yield pd.Series([[{"item_id": i, "coverage": c, "short": s} for i, c, s in x] for x in found])
         release()
 
     return run
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", least: int = 4, threshold: float = 0.6, least_words: int = 8, block_words: int = 2_000_000) -> DataFrame:
-    """docs with items (array of item_id and coverage, by item_id), coverage (the highest, 0 if none) and contaminated.
+    """docs with items (array of item_id, coverage and short, by item_id), coverage (the highest, 0 if none) and contaminated.
 
     benchmark needs item_id (integer) and text.  Columns of these names in docs are replaced.
     """
@@ -254,7 +258,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", lea
             parts.append(keep(docs.select(*name, F.col(text).alias("__t")).withColumn("__items", found).drop("__t").where(F.size("__items") > 0).distinct(), f"block{k}"))
             shared.destroy()
         every = reduce(DataFrame.unionByName, parts).groupBy("__h1", "__h2").agg(F.flatten(F.collect_list("__items")).alias("__items"))
-        best = F.transform(F.array_distinct(F.transform("__items", lambda x: x["item_id"])), lambda i: F.struct(i.alias("item_id"), F.array_max(F.transform(F.filter("__items", lambda x: x["item_id"].eqNullSafe(i)), lambda x: x["coverage"])).alias("coverage")))
+        of = lambda i: F.filter("__items", lambda x: x["item_id"].eqNullSafe(i))
+        best = F.transform(F.array_distinct(F.transform("__items", lambda x: x["item_id"])), lambda i: F.struct(i.alias("item_id"), F.array_max(F.transform(of(i), lambda x: x["coverage"])).alias("coverage"), F.forall(of(i), lambda x: x["short"]).alias("short")))
         every = every.withColumn("__items", F.array_sort(best, lambda a, b: F.when(a["item_id"].isNull(), 1).when(b["item_id"].isNull(), -1).when(a["item_id"] < b["item_id"], -1).otherwise(1)))
         out = docs.withColumns({"__h1": name[0], "__h2": name[1]}).join(every, ["__h1", "__h2"], "left").withColumn("items", F.coalesce("__items", F.array().cast(FOUND))).drop("__h1", "__h2", "__items")
     best = F.coalesce(F.array_max(F.transform("items", lambda x: x["coverage"])), F.lit(0.0))
