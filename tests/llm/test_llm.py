@@ -153,6 +153,39 @@ def test_pii_is_the_same_beside_any_text():
     assert sum(map(len, alone)) > 100
 
 
+def test_pii_patterns_equal_plain_ones_in_linear_time():
+    import time
+
+    rng, plain = random.Random(11), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    for _ in range(20_000):
+        t = "".join(rng.choices("0123.. a-+(@", k=rng.randrange(0, 40)))
+        assert [m.span() for m in pii._IP.finditer(t)] == [m.span() for m in plain.finditer(t)]
+    pii.train()
+    for bad in ("1" * 1_000_000, "1." * 500_000, "+" + "1 " * 500_000, "1-" * 500_000, "a@" * 500_000, "@" + "a." * 500_000, "+1" + " " * 1_000_000, "x (at)" + " " * 300_000 + "y (dot) org"):
+        began = time.time()
+        pii.base_spans(bad)
+        if " 1" not in bad:  # a line of half a million words is walked word by word
+            pii.find_spans(pa.array([bad]), pii.train())
+        assert time.time() - began < 5, bad[:10]
+
+
+def test_pii_signs_inside_words_and_addresses_of_pages():
+    find = lambda t: [(t[s:e], pii.KINDS[k]) for s, k, e in pii.find_spans(pa.array([t]), pii.train())[1][0]]
+    assert find("write to jane.roe(at)example.com today") == [("jane.roe(at)example.com", "email")]
+    assert find("write to bob[at]club[dot]it today") == [("bob[at]club[dot]it", "email")]
+    assert find("one (at) a time, two(dot)three of it") == []
+    for t in ("https://x.org/a1b2c3d4e5f60718293a4b5c6d7e8f90", "token = https://x.org/a1b2c3d4e5f60718293a4b5c6d7e8f90 was set"):
+        assert all("org" not in x for x, _ in find(t))
+
+
+def test_pii_words_of_the_field():
+    for t in ["", "a(at)b", "(at)", "x (at) y", "(at)(dot)", "é(at)日 z", "a\n(dot)b", "(at"]:
+        data, offs = tx.buffers(pa.array(["pre", t, None, t]))
+        s, e, row = pii.field_words(data, offs)
+        want = re.sub(r"[(\[](?:at|dot)[)\]]", lambda m: f" {m[0]} ", t).split()
+        assert [bytes(data[a:b]).decode() for a, b in zip(s, e)] == ["pre", *want, *want] and row.tolist() == [0] + [1] * len(want) + [3] * len(want)
+
+
 def test_pii_field_on_held_out_lines():
     """Written-out and split data in lines that the labelled table does not have: recall and precision of whole spans."""
     rng = random.Random(13)
@@ -591,9 +624,7 @@ def plain_decontaminate(text, items, least=4, threshold=0.6, least_words=8):
         w = words(t)
         if not w:
             continue
-        if len(w) < least:
-            c = float(doc == w)
-        elif len(w) < least_words:
+        if len(w) < least_words:
             c = float(any(doc[k : k + len(w)] == w for k in range(len(doc))))
         else:
             c = plain_tiles(w, doc, least) / len(w)
@@ -622,6 +653,7 @@ def test_decontamination_equals_brute_force(spark):
         for i, t in rows:
             want = plain_decontaminate(t, items)
             assert {x["item_id"]: round(x["coverage"], 9) for x in got[i]["items"]} == {k: round(v, 9) for k, v in want.items()}, t
+            assert all(x["short"] == all(len(b.split()) < 8 for a, b in items if a == x["item_id"]) for x in got[i]["items"] if x["item_id"] != 3)
             assert got[i]["contaminated"] == bool(want) and round(got[i]["coverage"], 9) == round(max(want.values(), default=0), 9)
     assert decontaminate.decontaminate(docs.limit(0), bench).count() == 0
 
@@ -660,21 +692,30 @@ def plain_licenses(model, text, confirm=0.5):
         return (1, 1 - p[0]) if 1 - p[0] >= model.some else (0, p[0])
 
     lines = [licenses._words(x) for x in (text or "").split("\n")]
-    found = set()
-    for i, h in enumerate(lines):
-        if not len(h) or 1 - shares(h, len(h))[0] < model.least:
-            continue
-        lo, hi = i, i
-        while lo and len(lines[lo - 1]):
-            lo -= 1
-        while hi + 1 < len(lines) and len(lines[hi + 1]):
-            hi += 1
-        for a, b in {(i, i), (max(lo, i - 1), min(hi, i + 1)), (lo, hi)}:
-            own = np.concatenate(lines[a : b + 1])
-            if (a, b) == (i, i) or len(own) <= licenses.MOST_WORDS:
-                k, share = judged(own)
+    found, blocks, base = set(), [[]], 0
+    for h in lines:
+        blocks[-1].append(h) if len(h) else blocks.append([])
+    for block in filter(None, blocks):
+        own, ends = np.concatenate(block), np.cumsum([len(h) for h in block]).tolist()
+        bounds, n = list(zip([0, *ends], ends)), ends[-1]
+        spots = bounds + [(i, min(n, i + 16)) for i in range(0, max(1, n - 8 if n > 16 else 1), 8)]
+        for lo, hi in spots:
+            if 1 - shares(own[lo:hi], hi - lo)[0] < model.least:
+                continue
+            a, b = (next(i for i, e in enumerate(ends) if e > x) for x in (lo, hi - 1))
+            ranges = {(bounds[max(0, a - k)][0], bounds[min(len(block) - 1, b + k)][1]) for k in (0, 1)}
+            ranges = {r for r in ranges if r[1] - r[0] <= 400}
+            for w in (25, 50, 100, 200, 400):
+                if n <= w:
+                    ranges.add((0, n))
+                    break
+                at = min(n - w, max(0, ((lo + hi) // 2 - w // 4) // (w // 2)) * (w // 2))
+                ranges.add((at, at + w))
+            for x, y in ranges:
+                k, share = judged(own[x:y])
                 if k:
-                    found.add((k < 2, -round(float(share), 9), sum(map(len, lines[:a])), sum(map(len, lines[: b + 1])), k))
+                    found.add((k < 2, -round(float(share), 9), base + x, base + y, k))
+        base += n
     taken, out, n = set(), ("none", 0.0, False), 0
     for loose, share, a, b, k in sorted(found):
         if not taken & set(range(a, b)):
@@ -695,7 +736,7 @@ def test_licenses_equal_brute_force(small):
             notice = rng.choice([*(t for ts in licenses.TEMPLATES.values() for t in ts), *licenses.OTHERS, *licenses.PROSE]).split()
             width = rng.choice([4, 7, 100])
             mark = rng.choice(["", "# ", " * ", "// "])
-            parts += [mark + " ".join(notice[i : i + width]) for i in range(0, len(notice), width)] + [rng.choice(["", "#", rng.choice(prose)[:200]])]
+            parts += [mark + " ".join(notice[i : i + width]) for i in range(0, len(notice), width)] + [rng.choice(["", "#", rng.choice(prose)[: rng.choice([200, 4000])]])]
         texts.append("\n".join(parts))
     got = licenses.scan(model, pa.array(texts, pa.large_string()), 0.5)
     for t, g in zip(texts, got):
@@ -704,6 +745,21 @@ def test_licenses_equal_brute_force(small):
     assert len({g[0] for g in got}) > 8
 
 
+def test_licenses_in_long_blocks():
+    """Notices wrapped at a few words a line, with no empty line between them and a thousand words of code."""
+    code = "\n".join(f"x{i} = call_{i}(a{i}, b{i}) + {i} if y{i} else other_{i}" for i in range(120))
+    texts, want = [], []
+    for family in ("bsd", "gpl", "lgpl", "isc", "mit"):
+        for t in licenses.TEMPLATES[family]:
+            for width in (2, 3, 5):
+                w = t.split()
+                notice = "\n".join(" ".join(w[i : i + width]) for i in range(0, len(w), width))
+                texts += [notice + "\n" + code, code + "\n" + notice + "\n" + code]
+                want += [family] * 2
+    got = licenses.scan(licenses.train(), pa.array([*texts, code], pa.large_string()), 0.5)
+    assert [g[0] for g in got] == [*want, "none"]
+
+
 def test_licenses(spark, small):
     cues = {"apache-2.0": "Apache License, Version 2.0", "gpl": "GNU General Public License", "mit": "MIT License", "cc-by-nc": "CC BY-NC 4.0"}
     for r in licenses.scan_licenses(clashing(small).unionByName(clashing(odd(spark)))).collect():
