@@ -91,7 +91,8 @@ def dedup_lines(docs: DataFrame, least_chars: int = 40, least_docs: int = 5, bat
     """docs with n_lines, n_dropped (long) and kept_text; columns of these names are replaced.  doc_id is a number."""
     spark = docs.sparkSession
     lines = keep(hashed_lines(docs, least_chars, doc_id, text), "lines")
-    held = in_batches(lines.join(repeated_keys(lines, least_docs), "key", "left_semi"), docs, batches, doc_id)
+    repeated = keep(repeated_keys(lines, least_docs), "repeated")  # two plain shuffles meet in the join, so a very common key can be split
+    held = in_batches(lines.join(repeated, "key", "left_semi"), docs, batches, doc_id)
     path = f"{shared_dir(spark)}/held-{uuid.uuid4().hex}"
     held.write.partitionBy("batch").parquet(path)
     held = spark.read.schema(held.schema).parquet(path)
