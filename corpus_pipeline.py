@@ -22,7 +22,7 @@ from hazardmap.llm.toxicity import learn, score_toxicity
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled rows among docs, does not call toxic."""
     model = learn(docs, table(spark, sf_dir, "labels").where(~held_out()))
-    return score_toxicity(docs, model).where("predicted = 0").select(docs.columns)
+    return score_toxicity(docs, model).where("text is null or predicted = 0").select(docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
