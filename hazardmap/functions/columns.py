@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..config import DANGER_MEANING, DANGER_NAMES, DEGREE_M, EARTH_M, PLANE_DEGREE_M, SPEED_KMH, WATER_DEPTH, WATER_LEVELS, Tuning
+from ..config import DANGER_MEANING, DANGER_NAMES, EARTH_M, PLANE_DEGREE_M, SPEED_KMH, WATER_DEPTH, WATER_LEVELS, Tuning
 
 
 def lookup(key: Column, table: dict, default=None) -> Column:
@@ -32,11 +30,6 @@ def segment_distance_m(alat: Column, alon: Column, blat: Column, blon: Column, l
     return F.when(length2 == 0, F.hypot(ax, ay)).otherwise(F.hypot(ax + t * dx, ay + t * dy))
 
 
-def lon_step(step_m: float, lat: float) -> float:
-    """Degrees of longitude that span step_m at a latitude."""
-    return step_m / (DEGREE_M * max(0.01, math.cos(math.radians(lat))))
-
-
 def _given(value: Column) -> Column:
     """A time of 0 is as good as none."""
     return F.when(value != 0, value)

@@ -1,9 +1,9 @@
 """Distance joins and single-link clusters of reports.
 
-Positions are put in cells at least as wide as the radius, so pairs within it lie in neighbouring cells and the
-join is an equi-join on cells with an exact test after it.  For clusters, cells with a diagonal under the radius
-are contracted first: all reports of one belong together, so a crowded place costs its distinct positions and not
-their pairs.
+Positions are put in cells of the sphere, and each asks for the cells that its circle reaches in its own row and north
+of it, so the join is an equi-join on cells with an exact test after it, over the date line and the poles too.  For
+clusters, cells without two points farther apart than the radius are contracted first: all reports of one belong
+together, so a crowded place costs its distinct positions and not their pairs.
 """
 
 from __future__ import annotations
@@ -11,49 +11,37 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import DEGREE_M
-from ..functions.columns import haversine_m, located, lon_step
+from ..config import EARTH_M
+from ..functions.columns import haversine_m, located
 from .components import components
-
-
-def _latitudes(points: DataFrame) -> tuple[float, float]:
-    """Least and largest distance from the equator."""
-    row = points.agg(F.min(F.abs("lat")), F.max(F.abs("lat"))).first()
-    return (row[0] or 0.0, row[1] or 0.0)
+from .sphere import SLACK, cell, cells_within, chord
 
 
 def near_pairs(points: DataFrame, radius_m: float) -> DataFrame:
     """(id_a, id_b, metres) of located points at most radius_m apart, each pair once with id_a < id_b."""
+    side = radius_m / EARTH_M
     points = points.where(located()).select("id", "lat", "lon")
-    step_lat, step_lon = radius_m / DEGREE_M, lon_step(radius_m, _latitudes(points)[1])
-    cells = points.withColumns({"y": F.floor(F.col("lat") / step_lat), "x": F.floor(F.col("lon") / step_lon)})
-    half = [(0, 0), (0, 1), (1, -1), (1, 0), (1, 1)]
-    ask = cells.withColumn("d", F.explode(F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in half))))
-    ask = ask.select(
-        F.col("id").alias("id1"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), (F.col("y") + F.col("d.dy")).alias("y"), (F.col("x") + F.col("d.dx")).alias("x"), ((F.col("d.dy") == 0) & (F.col("d.dx") == 0)).alias("home")
-    )
+    cells = points.withColumns(cell(F.col("lat"), F.col("lon"), side))
+    ask = cells.select(F.col("id").alias("id1"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), F.col("y").alias("home"), F.explode(cells_within(F.col("lat"), F.col("lon"), radius_m, side, upward=True)).alias("c"))
+    ask = ask.select("id1", "lat1", "lon1", "home", "c.y", "c.x")
     metres = haversine_m(F.col("lat1"), F.col("lon1"), F.col("lat"), F.col("lon"))
-    met = ask.join(cells, ["y", "x"]).where(~F.col("home") | (F.col("id1") < F.col("id"))).withColumn("metres", metres).where(F.col("metres") <= radius_m)
+    met = ask.join(cells, ["y", "x"]).where((F.col("y") > F.col("home")) | (F.col("id1") < F.col("id"))).withColumn("metres", metres).where(F.col("metres") <= radius_m)
     return met.select(F.least("id1", "id").alias("id_a"), F.greatest("id1", "id").alias("id_b"), "metres")
 
 
 def _crossing_links(points: DataFrame, radius_m: float) -> DataFrame:
     """Edges (a, b) between the least ids of contracted cells that hold two points within the radius."""
-    low, high = _latitudes(points)
-    side = radius_m / math.sqrt(2) * (1 - 1e-5)
-    step_lat, step_lon = side / (DEGREE_M + 2), lon_step(side, low) * DEGREE_M / (DEGREE_M + 2)
-    reach = max(2, math.ceil(math.sqrt(2) * math.cos(math.radians(low)) / max(0.01, math.cos(math.radians(high))) + 1e-4))
-    cells = points.withColumns({"y": F.floor(F.col("lat") / step_lat), "x": F.floor(F.col("lon") / step_lon)})
+    side = chord(radius_m) / math.sqrt(2) * (1 - SLACK)
+    cells = points.withColumns(cell(F.col("lat"), F.col("lon"), side))
     homes = cells.groupBy("y", "x").agg(F.min("id").alias("cell"))
     inside = cells.join(homes, ["y", "x"]).select(F.col("id").alias("a"), F.col("cell").alias("b"))
     spots = cells.select("y", "x", "lat", "lon").distinct().join(homes, ["y", "x"])
-    half = [(dy, dx) for dy in range(0, 3) for dx in range(-reach, reach + 1) if (dy, dx) > (0, 0)]
-    ask = spots.withColumn("d", F.explode(F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in half))))
-    ask = ask.select(F.col("cell").alias("cell1"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), (F.col("y") + F.col("d.dy")).alias("y"), (F.col("x") + F.col("d.dx")).alias("x"))
-    met = ask.join(spots, ["y", "x"]).where(haversine_m(F.col("lat1"), F.col("lon1"), F.col("lat"), F.col("lon")) <= radius_m)
+    ask = spots.select(F.col("cell").alias("cell1"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), F.explode(cells_within(F.col("lat"), F.col("lon"), radius_m, side, upward=True)).alias("c"))
+    ask = ask.select("cell1", "lat1", "lon1", "c.y", "c.x")
+    met = ask.join(spots, ["y", "x"]).where(F.col("cell1") != F.col("cell")).where(haversine_m(F.col("lat1"), F.col("lon1"), F.col("lat"), F.col("lon")) <= radius_m)
     across = met.select(F.col("cell1").alias("a"), F.col("cell").alias("b")).distinct()
     return inside.unionByName(across)
 
@@ -79,8 +67,3 @@ def clusters_by_radius(reports: DataFrame, radii: list[float]) -> DataFrame:
     every = points.select("id").crossJoin(each).withColumn("node", F.concat_ws("|", F.col("radius_m").cast("string"), F.col("id")))
     name = F.substring_index(F.coalesce("label", "node"), "|", -1)
     return every.join(labels, "node", "left").select("radius_m", "id", name.alias("cluster"))
-
-
-def sphere_cell(lat: Column, lon: Column, step_m: float, at_lat: float) -> dict[str, Column]:
-    """Cell columns y and x of a step in metres, wide enough everywhere up to at_lat."""
-    return {"y": F.floor(lat / (step_m / DEGREE_M)), "x": F.floor(lon / lon_step(step_m, at_lat))}
