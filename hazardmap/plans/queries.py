@@ -162,7 +162,13 @@ def zone_routing(spark, d):
 @query
 def danger_zones(spark, d):
     z = danger.danger_zones(fixtures.reports(spark, d), T)
-    return z.withColumns({"lat": F.round("lat", 9), "lon": F.round("lon", 9), "report_ids": F.concat_ws(",", "report_ids")})
+    return z.withColumns({"lat": F.round("lat", 9), "lon": F.round("lon", 9)})
+
+
+@query
+def zone_members(spark, d):
+    """Supporting reports of all zones, drawn or not."""
+    return danger.zone_members(_placed(spark, d), T)
 
 
 @query

@@ -182,8 +182,8 @@ def test_detour_trapped_and_last_resort(spark):
     eff = effects.edge_effects(nodes, edges, wet, T)
     assert {r["a"] for r in eff.collect()} | {r["b"] for r in eff.collect()} <= {"4,4", "3,4", "5,4", "4,3", "4,5"}
     pairs = spark.createDataFrame([("q", "4,0", "4,8")], "query_id string, start string, goal string")
-    naive = paths.route_pairs(pairs, nodes, edges, None, None, t=T).first()
-    aware = paths.route_pairs(pairs, nodes, edges, eff, wet, t=T).first()
+    naive = paths.route_pairs(pairs, nodes, edges, None, None, t=T, with_path=True).first()
+    aware = paths.route_pairs(pairs, nodes, edges, eff, wet, t=T, with_path=True).first()
     assert "4,4" in naive["path"] and "4,4" not in aware["path"] and aware["found"]
     assert aware["distance_m"] > naive["distance_m"] and aware["travel_seconds"] > naive["travel_seconds"]
     ring = zone(spark, [(f"z-{k}", *at[k], 90.0, "block", 4, 0.9, "red", 1.0) for k in ("0,1", "1,0")])
@@ -205,7 +205,7 @@ def test_full_shelters_are_no_goal(spark):
     none = zone(spark, [])
     origins = spark.createDataFrame([("me", *at["0,0"])], "id string, lat double, lon double")
     eff = effects.edge_effects(nodes, edges, none, T)
-    r = paths.routes_to_safety(origins, nodes, edges, none, eff, zones, t=T).first()
+    r = paths.routes_to_safety(origins, nodes, edges, none, eff, zones, t=T, with_path=True).first()
     assert r["found"] and r["shelter_id"] == "far" and r["snapped_m"] == 0.0 and r["path"][0] == "0,0" and r["path"][-1] == "3,3"
     full = zones.withColumn("occupied", F.col("capacity"))
     r = paths.routes_to_safety(origins, nodes, edges, none, eff, full, t=T).first()
