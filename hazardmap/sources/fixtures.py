@@ -14,7 +14,7 @@ SELECT
   cast(1 AS bigint) AS counter,
   CASE WHEN mod(event_id, 41) = 0 THEN 'aerial' WHEN mod(event_id, 5) = 0 THEN 'responder' ELSE 'volunteer' END AS source,
   CASE WHEN mod(event_id, 97) = 0 THEN NULL ELSE cast(26.0 AS double) + cast(floor(place / 100) AS double) * cast(0.005 AS double) + cast(mod(event_id * 31, 11) AS double) * cast(0.0001 AS double) END AS lat,
-  CASE WHEN mod(event_id, 97) = 0 THEN NULL ELSE cast(92.0 AS double) + (CASE WHEN mod(place, 100) < 20 THEN cast(mod(place, 100) AS double) * cast(0.0012 AS double) ELSE cast(0.1 AS double) + cast(mod(place, 100) AS double) * cast(0.006 AS double) END) + cast(mod(event_id * 17, 7) AS double) * cast(0.0001 AS double) END AS lon,
+  CASE WHEN mod(event_id, 97) = 0 THEN NULL ELSE cast(92.0 AS double) + (CASE WHEN mod(place, 100) < 20 THEN cast(mod(place, 100) AS double) * cast(0.0012 AS double) WHEN mod(place, 100) < 30 THEN cast(0.03 AS double) + cast(mod(place, 100) - 20 AS double) * cast(0.006 AS double) ELSE cast(0.1 AS double) + cast(mod(place, 100) AS double) * cast(0.006 AS double) END) + cast(mod(event_id * 17, 7) AS double) * cast(0.0001 AS double) END AS lon,
   CASE WHEN mod(event_id, 4) = 3 THEN cast(0.6 AS double) ELSE cast(1.0 AS double) END AS location_confidence,
   CASE WHEN event_type = 'view' THEN NULL ELSE cast(floor(value) AS int) END AS people_count,
   CASE WHEN mod(event_id, 19) = 0 THEN 1 ELSE 0 END AS injured,
@@ -69,7 +69,7 @@ FROM supplier
     "incidents": """
 SELECT cast(place AS string) AS incident_id,
   cast(26.0 AS double) + cast(floor(place / 100) AS double) * cast(0.005 AS double) + cast(0.0005 AS double) AS lat,
-  cast(92.0 AS double) + (CASE WHEN mod(place, 100) < 20 THEN cast(mod(place, 100) AS double) * cast(0.0012 AS double) ELSE cast(0.1 AS double) + cast(mod(place, 100) AS double) * cast(0.006 AS double) END) + cast(0.0003 AS double) AS lon,
+  cast(92.0 AS double) + (CASE WHEN mod(place, 100) < 20 THEN cast(mod(place, 100) AS double) * cast(0.0012 AS double) WHEN mod(place, 100) < 30 THEN cast(0.03 AS double) + cast(mod(place, 100) - 20 AS double) * cast(0.006 AS double) ELSE cast(0.1 AS double) + cast(mod(place, 100) AS double) * cast(0.006 AS double) END) + cast(0.0003 AS double) AS lon,
   CASE mod(place, 4) WHEN 0 THEN 'ankle' WHEN 1 THEN 'knee' WHEN 2 THEN 'waist' ELSE 'above' END AS true_water_level
 FROM (SELECT DISTINCT cast(floor(event_id / 8) AS bigint) AS place FROM events) p
 """,
