@@ -32,7 +32,7 @@ def near_pairs(points: DataFrame, radius_m: float) -> DataFrame:
     return met.select(F.least("id1", "id").alias("id_a"), F.greatest("id1", "id").alias("id_b"), "metres")
 
 
-def _crossing_links(points: DataFrame, radius_m: float) -> DataFrame:
+def crossing_links(points: DataFrame, radius_m: float) -> DataFrame:
     """Edges (a, b) between the least ids of contracted cells that hold two points within the radius."""
     side = chord(radius_m) / math.sqrt(2) * (1 - SLACK)
     cells = points.withColumns(cell(F.col("lat"), F.col("lon"), side))
@@ -52,7 +52,7 @@ def clusters(reports: DataFrame, radius_m: float = 150.0) -> DataFrame:
     A cluster is named by its least report id, so neither order nor partitioning changes it.
     """
     points = reports.where(located()).select("id", "lat", "lon")
-    labels = components(_crossing_links(points, radius_m))
+    labels = components(crossing_links(points, radius_m))
     return reports.select("id").join(labels, F.col("id") == F.col("node"), "left").select("id", F.coalesce("label", "id").alias("cluster"))
 
 
@@ -61,7 +61,7 @@ def clusters_by_radius(reports: DataFrame, radii: list[float]) -> DataFrame:
     spark = reports.sparkSession
     points = reports.where(located()).select("id", "lat", "lon")
     key = lambda r, c: F.concat_ws("|", F.lit(float(r)).cast("string"), F.col(c))
-    links = reduce(DataFrame.unionByName, (_crossing_links(points, r).select(key(r, "a").alias("a"), key(r, "b").alias("b")) for r in radii))
+    links = reduce(DataFrame.unionByName, (crossing_links(points, r).select(key(r, "a").alias("a"), key(r, "b").alias("b")) for r in radii))
     labels = components(links)
     each = F.broadcast(spark.createDataFrame([(float(r),) for r in radii], "radius_m double"))  # one row a radius
     every = points.select("id").crossJoin(each).withColumn("node", F.concat_ws("|", F.col("radius_m").cast("string"), F.col("id")))

@@ -233,6 +233,7 @@ _Q = {
     "held_unlocated": "SELECT id AS report_id, 'no usable location' AS reason FROM reports WHERE lat IS NULL OR lon IS NULL",
     "merge_reports": "SELECT * FROM merged",
     "stream_merge": "SELECT * FROM merged",
+    "stream_delta": "SELECT id, counter, updated_at FROM merged WHERE updated_at > 1735000500000",
     "merge_outcomes": "SELECT count(*) FILTER (outcome = 'created') AS created, count(*) FILTER (outcome = 'merged') AS merged, count(*) FILTER (outcome = 'ignored') AS ignored FROM judged",
     "edit_outcomes": "SELECT arrival_seq, id, outcome FROM judged",
     "delta_sync": "SELECT id, counter, updated_at FROM merged WHERE updated_at > 1735000500000 ORDER BY updated_at, id",
@@ -248,6 +249,7 @@ FROM (SELECT id, CASE WHEN substr(id, 2)::BIGINT % 5 = 0 THEN 'not json' ELSE '[
     "zone_routing": "SELECT cluster_id, danger, confidence, newest_age_hours, routing FROM all_zones",
     "zone_members": "SELECT 'z-' || cluster AS cluster_id, id AS report_id FROM kept",
     "danger_zones": "SELECT * EXCLUDE (report_ids) REPLACE (round(lat, 9) AS lat, round(lon, 9) AS lon) FROM zones ORDER BY danger DESC, confidence DESC, cluster_id",
+    "live_map": "SELECT * EXCLUDE (report_ids) REPLACE (round(lat, 9) AS lat, round(lon, 9) AS lon) FROM zones ORDER BY danger DESC, confidence DESC, cluster_id",
     "map_stats": """SELECT (SELECT count(*) FROM reports) AS reports, (SELECT count(DISTINCT cluster) FROM labels) + (SELECT count(*) FROM reports WHERE lat IS NULL OR lon IS NULL) AS clusters, count(*) AS zones_drawn,
 count(*) FILTER (routing = 'block') AS blocked, count(*) FILTER (routing = 'expensive') AS expensive, (SELECT count(*) FROM held) AS held_for_review FROM zones""",
     "decay_curve": "SELECT c.cluster, c.hours, c.confidence, coalesce(l.level, 0) AS danger FROM later_confidence c LEFT JOIN later_level l ON c.cluster = l.cluster AND c.hours = l.hours",

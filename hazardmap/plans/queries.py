@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +12,9 @@ from ..config import Tuning
 from ..functions import columns as c
 from ..operators import cluster, danger, effects, evaluate, merge, nearest, paths, roads
 from ..sources import fixtures
-from ..sources.shared import keep
+from ..sources.shared import keep, shared_dir
 from ..sources.tables import decode_json
+from ..streaming import ingest
 
 T = Tuning()
 FIELDS = ["people_count", "water_level", "road_passable"]
@@ -414,14 +416,46 @@ def route_crossings(spark, d):
     return entered.agg(*(F.count_if(c).alias(f"{k}_routes") for k, c in by.items()), *(F.coalesce(F.sum(F.when(c, F.col("steps"))), F.lit(0)).alias(f"{k}_steps") for k, c in by.items()))
 
 
+def _arrivals(spark: SparkSession, d: str, parts: int):
+    """Writes the events in order of their id to a folder, a file at a time, and yields after each."""
+    events = spark.read.parquet(f"{d}/events.parquet")
+    where = f"{shared_dir(spark)}/arrivals-{uuid.uuid4().hex}"
+    cuts = events.agg(F.percentile_approx("event_id", [i / parts for i in range(1, parts)])).first()[0]
+    for lo, hi in zip([None, *cuts], [*cuts, None]):
+        part = events.where((F.lit(lo).isNull() | (F.col("event_id") > lo)) & (F.lit(hi).isNull() | (F.col("event_id") <= hi)))
+        part.write.mode("append").parquet(f"{where}/events")
+        yield where, events.schema
+
+
+def _stream(spark: SparkSession, d: str, feed: bool) -> str:
+    """The edit log in three arrivals, each merged by a stream started anew (and passed on by a second one)."""
+    for where, schema in _arrivals(spark, d, 3):
+        log = ingest.stream_files(spark, f"{where}/events", schema, "edit_log", 1000)
+        ingest.start_merge(log, f"{where}/feed", f"{where}/merge-checkpoint", FIELDS, availableNow=True).awaitTermination()
+        if feed:
+            ingest.start_feed(spark, f"{where}/feed", f"{where}/out", f"{where}/feed-checkpoint", availableNow=True).awaitTermination()
+    return where
+
+
 @query
 def stream_merge(spark, d):
-    """The edit log streamed into snapshots; equal to merge_reports."""
-    import uuid
+    """The edit log streamed in several micro-batches over restarts; equal to merge_reports."""
+    return ingest.snapshot(spark, f"{_stream(spark, d, False)}/feed")
 
-    from ..sources.shared import shared_dir
-    from ..streaming import ingest
 
-    where = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    ingest.start_merge(ingest.stream_fixture_log(spark, d), f"{where}/reports", f"{where}/checkpoint", FIELDS, availableNow=True).awaitTermination()
-    return ingest.snapshot(spark, f"{where}/reports")
+@query
+def stream_delta(spark, d):
+    """What a second stream got from the first one's feed, after the cursor; equal to delta_sync."""
+    got = spark.read.parquet(f"{_stream(spark, d, True)}/out")
+    return merge.changes_since(ingest.newest(got), CURSOR).select("id", "counter", "updated_at")
+
+
+@query
+def live_map(spark, d):
+    """The map after ten ticks that each bring a tenth of the reports; equal to danger_zones."""
+    reports = fixtures.reports(spark, d)
+    where = f"{shared_dir(spark)}/live-{uuid.uuid4().hex}"
+    for n in range(10):
+        ingest.map_batch(spark, where, n, reports.where(F.pmod(F.xxhash64("id"), F.lit(10)) == n), T)
+    z = spark.read.parquet(f"{where}/zones/version=9")
+    return z.withColumns({"lat": F.round("lat", 9), "lon": F.round("lon", 9)})

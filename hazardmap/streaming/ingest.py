@@ -1,117 +1,191 @@
 """Uploads and the live map as streams.
 
-There is no table format with MERGE here, so the merged reports are versioned by bucket of their id: batch n reads
-the newest earlier version of the buckets that it touches and writes path/version=n/bucket=b for these only.  A
-batch that is run again overwrites its own version, so nothing is counted twice; of each bucket the version
-before the newest one stays for that, older ones are deleted.
+Uploads are merged by keyed state: the state store holds the merged row of each id, so every micro-batch touches only the ids
+that it brings, and a restart goes on where the checkpoint ends.  What moved is appended to a feed of files, written
+exactly once; the newest row of an id in the feed is its merged report, and further streams read the feed with
+checkpoints of their own.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import IntegralType, StructType
 
 from ..config import Tuning
 from ..functions.columns import severity
-from ..operators import danger, merge
+from ..operators import live
+from ..operators.merge import IDENTITY
 from ..sources.fixtures import VIEWS
-from ..sources.shared import keep
-
-
-BUCKETS = 64  # the same for all batches of a path
-
-
-def _folders(spark: SparkSession, path: str, kind: str) -> list[int]:
-    """Numbers of the folders kind=<number> at a path, read through Spark's own file system."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
-    return sorted(int(n.split("=")[1]) for n in names if n.startswith(f"{kind}="))
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+def merged_schema(log: DataFrame, fields: list[str]) -> StructType:
+    """Columns of merged reports, as of merge_reports()."""
+    kinds = {f.name: f.dataType.simpleString() for f in log.schema}
+    names = {"id": kinds["id"], **{f: kinds[f] for f in IDENTITY}, **{f: kinds[f] for f in fields}, "counter": "bigint", "reported_at": "bigint", "synced_at": "bigint", "updated_at": "bigint"}
+    return StructType.fromDDL(", ".join(f"`{n}` {k}" for n, k in names.items()))
+
+
+def _plain(value, whole: bool):
+    """A value of a pandas frame as a Python one; NaN is none."""
+    if value is None or isinstance(value, (float, np.floating)) and np.isnan(value):
+        return None
+    if isinstance(value, np.ndarray):
+        return [_plain(v, False) for v in value]
+    value = value.item() if isinstance(value, np.generic) else value
+    return int(value) if whole else value
+
+
+class Merge(StatefulProcessor):
+    """Per-field merge of the uploads of one id; the same rules as merge_reports()."""
+
+    def __init__(self, schema: StructType, fields: list[str], keep_ms: int | None) -> None:
+        self.schema, self.fields, self.keep_ms = schema, fields, keep_ms
+        self.names = schema.fieldNames()[1:]
+        self.whole = {f.name: isinstance(f.dataType, IntegralType) for f in schema}
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.row = handle.getValueState("row", StructType(self.schema.fields[1:]))
+
+    def _uploads(self, frames: Iterator[pd.DataFrame]) -> list[dict]:
+        """The first upload and the first one of each counter that changes something, in order of arrival; retries are held once."""
+        first, edits = None, {}
+        for frame in frames:
+            for up in frame.to_dict("records"):
+                given = [] if up["changed"] is None else list(up["changed"])
+                up = {k: v if k == "changed" else _plain(v, self.whole.get(k, k in ("arrival_seq", "arrival_ms"))) for k, v in up.items()}
+                up["sets"] = [f for f in self.fields if up[f] is not None and (not given or f in given)]
+                if first is None or up["arrival_seq"] < first["arrival_seq"]:
+                    first = up
+                if up["sets"] and (up["counter"] not in edits or up["arrival_seq"] < edits[up["counter"]]["arrival_seq"]):
+                    edits[up["counter"]] = up
+        seen = {u["arrival_seq"]: u for u in [first, *edits.values()]}
+        return [seen[k] for k in sorted(seen)]
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        row = dict(zip(self.names, self.row.get())) if self.row.exists() else None
+        moved = False
+        for up in self._uploads(rows):
+            if row is None:
+                row = {"device_id": up["device_id"], "phone_time": up["phone_time"], **{f: up[f] for f in self.fields}, "reported_at": up["phone_time"]}
+            elif up["sets"] and up["counter"] > row["counter"]:
+                row.update({f: up[f] for f in up["sets"]})
+            else:
+                continue
+            row.update(counter=up["counter"], synced_at=up["arrival_ms"], updated_at=up["arrival_ms"])
+            moved = True
+        if moved:
+            self.row.update(tuple(row[n] for n in self.names))
+            if self.keep_ms is not None:
+                for old in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(old)
+                self.handle.registerTimer(row["updated_at"] + self.keep_ms)
+            yield pd.DataFrame([[key[0], *(row[n] for n in self.names)]], columns=self.schema.fieldNames(), dtype=object)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.row.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def merged_stream(log: DataFrame, fields: list[str], keep_ms: int | None = None, delay: str = "1 hour") -> DataFrame:
+    """Merged rows of a streaming edit log, each time they move.
+
+    keep_ms: an id's state is dropped so long after its last accepted upload, by a timer on the watermark of server arrivals
+    (`delay` behind the newest); uploads that arrived before the watermark are dropped too, so a late retry can't make
+    a dropped report anew.  Without it nothing is ever dropped.
+    """
+    schema = merged_schema(log, fields)
+    log = log.select("id", "device_id", "counter", "arrival_seq", "arrival_ms", "phone_time", *fields, "changed")
+    if keep_ms is not None:
+        log = log.withColumn("arrived", F.timestamp_millis("arrival_ms")).withWatermark("arrived", delay)
+    return log.groupBy("id").transformWithStateInPandas(Merge(schema, fields, keep_ms), schema, "Append", "None" if keep_ms is None else "EventTime")
+
+
+def start_merge(log: DataFrame, path: str, checkpoint: str, fields: list[str], keep_ms: int | None = None, delay: str = "1 hour", **trigger) -> StreamingQuery:
+    """Streams an edit log (a streaming DataFrame) into the feed of merged rows at path."""
+    spark = log.sparkSession
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKSDB)  # read when the stream starts; keyed state with timers needs it
+    try:
+        writer = merged_stream(log, fields, keep_ms, delay).writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint)
+        return writer.trigger(**(trigger or {"processingTime": "5 seconds"})).start()
+    finally:
+        spark.conf.set(PROVIDER, before)
 
-def _complete(spark: SparkSession, path: str) -> bool:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
+def newest(feed: DataFrame) -> DataFrame:
+    """The newest row of each id in a feed."""
+    last = feed.groupBy("id").agg(F.max(F.struct("updated_at", "counter")).alias("m")).select("id", "m.*")
+    return feed.join(last, ["id", "updated_at", "counter"], "left_semi")
 
-def versions(spark: SparkSession, path: str, before: int | None = None) -> dict[int, list[int]]:
-    """The complete versions of each bucket, oldest first; only those before a number if one is given."""
-    out: dict[int, list[int]] = {}
-    for v in _folders(spark, path, "version"):
-        if (before is None or v < before) and _complete(spark, f"{path}/version={v}"):
-            for b in _folders(spark, f"{path}/version={v}", "bucket"):
-                out.setdefault(b, []).append(v)
-    return out
 
+def snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """The merged reports of a feed."""
+    return newest(spark.read.parquet(path))
 
-def snapshot(spark: SparkSession, path: str, before: int | None = None, buckets: list[int] | None = None) -> DataFrame | None:
-    """The newest merged reports, or the newest before a version; only some buckets if they are named."""
-    parts = [f"{path}/version={v[-1]}/bucket={b}" for b, v in versions(spark, path, before).items() if buckets is None or b in buckets]
-    return spark.read.parquet(*parts) if parts else None
 
+def start_feed(spark: SparkSession, path: str, out: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Passes the feed at path on to out as a stream of its own: rows once each, over restarts too."""
+    feed = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    writer = feed.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"processingTime": "5 seconds"})).start()
 
-def _state_as_log(state: DataFrame, fields: list[str]) -> DataFrame:
-    """Stored rows as the first arrivals of their ids."""
-    return state.select("id", "device_id", "counter", F.lit(-1).cast("long").alias("arrival_seq"), F.col("updated_at").alias("arrival_ms"), "phone_time", *fields, F.array().cast("array<string>").alias("changed"))
 
+def refresh_severity(reports: DataFrame, since: int, t: Tuning) -> DataFrame:
+    """Rows that moved at or after a cursor, with their urgency as of now."""
+    return reports.where(F.col("updated_at") >= since).withColumn("severity", severity(t))
 
-def merge_batch(spark: SparkSession, path: str, fields: list[str], batch: DataFrame, number: int) -> None:
-    """Merges one batch of uploads into the buckets that it touches and writes what moved to path-changes."""
-    log = keep(batch.select("id", "device_id", "counter", "arrival_seq", "arrival_ms", "phone_time", *fields, "changed"), "batch")
-    bucket = F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).cast("int").alias("bucket")
-    touched = [r["bucket"] for r in log.select(bucket).distinct().collect()]  # BUCKETS rows at most
-    stored = snapshot(spark, path, number, touched)
-    if stored is None:
-        new, moved = merge.merge_reports(log, fields), None
-    else:
-        ids = log.select("id").distinct()
-        own = stored.join(ids, "id", "left_semi")
-        merged = merge.merge_reports(_state_as_log(own, fields).unionByName(log), fields)
-        new = stored.join(ids, "id", "left_anti").unionByName(merged)
-        moved = own.select("id", F.col("updated_at").alias("was"))
-    new.select("*", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/version={number}")
-    now = spark.read.schema(new.schema).parquet(f"{path}/version={number}").join(log.select("id").distinct(), "id", "left_semi")
-    if moved is not None:
-        now = now.join(moved, "id", "left").where(F.col("was").isNull() | (F.col("updated_at") > F.col("was"))).drop("was")
-    now.write.mode("overwrite").parquet(f"{path}-changes/version={number}")
-    for b, old in versions(spark, path, number).items():
-        for v in old[:-1]:
-            _delete(spark, f"{path}/version={v}/bucket={b}")
 
+def map_batch(spark: SparkSession, path: str, number: int, changes: DataFrame, t: Tuning) -> None:
+    """One tick of the live map: takes up changed reports (whole rows, an id once) and writes reports, clusters and zones as version=number.
 
-def start_merge(log: DataFrame, path: str, checkpoint: str, fields: list[str], **trigger) -> StreamingQuery:
-    """Streams an edit log (a streaming DataFrame) into snapshots at path."""
-    spark = log.sparkSession
-    writer = log.writeStream.foreachBatch(lambda batch, n: merge_batch(spark, path, fields, batch, n)).option("checkpointLocation", checkpoint)
-    return writer.trigger(**(trigger or {"processingTime": "5 seconds"})).start()
+    It reads version number - 1 only, so a tick that is run again writes the same.
+    """
+    reports, state = changes, None
+    if number:
+        before = spark.read.parquet(f"{path}/reports/version={number - 1}")
+        reports = before.join(changes.select("id"), "id", "left_anti").unionByName(changes)
+        state = spark.read.parquet(f"{path}/clusters/version={number - 1}")
+    reports.write.mode("overwrite").parquet(f"{path}/reports/version={number}")
+    live.advance(state, changes, None, t.radius_m).write.mode("overwrite").parquet(f"{path}/clusters/version={number}")
+    refresh_map(spark, path, number, t)
 
 
-def refresh_severity(reports: DataFrame, since: int, t: Tuning) -> DataFrame:
-    """Rows that moved at or after a cursor, with their urgency as of now."""
-    return reports.where(F.col("updated_at") >= since).withColumn("severity", severity(t))
+def refresh_map(spark: SparkSession, path: str, number: int, t: Tuning) -> None:
+    """Writes the zones of a version as of t.now_ms; confidence decays even when nothing arrives."""
+    reports, state = (spark.read.parquet(f"{path}/{k}/version={number}") for k in ("reports", "clusters"))
+    live.zones_now(reports, state, t).write.mode("overwrite").parquet(f"{path}/zones/version={number}")
 
 
-def map_batch(reports: DataFrame, path: str, number: int, t: Tuning) -> None:
-    """Writes the zones as of t.now_ms for one tick of the live map; confidence decays even when nothing arrives."""
-    danger.danger_zones(reports, t).write.mode("overwrite").parquet(f"{path}/version={number}")
+def start_live_map(changes: DataFrame, path: str, checkpoint: str, clock, **trigger) -> StreamingQuery:
+    """A tick of the map for every micro-batch of changed reports (streaming); clock() gives the time in ms."""
+    spark = changes.sparkSession
 
+    def tick(batch: DataFrame, number: int) -> None:
+        last = batch.groupBy("id").agg(F.max("synced_at").alias("synced_at"))
+        map_batch(spark, path, number, batch.join(last, ["id", "synced_at"], "left_semi").dropDuplicates(["id"]).select(batch.columns), Tuning(now_ms=clock()))
 
-def start_live_map(ticks: DataFrame, reports, path: str, checkpoint: str, clock, **trigger) -> StreamingQuery:
-    """Rebuilds the map on every tick of a stream: reports() gives the rows, clock() the time in ms."""
-    writer = ticks.writeStream.foreachBatch(lambda _, n: map_batch(reports(), path, n, Tuning(now_ms=clock()))).option("checkpointLocation", checkpoint)
+    writer = changes.writeStream.foreachBatch(tick).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"processingTime": "5 seconds"})).start()
 
 
-def stream_fixture_log(spark: SparkSession, sf_dir: str, files_per_batch: int = 1) -> DataFrame:
-    """The edit log of the events table as a stream."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").option("maxFilesPerTrigger", files_per_batch).parquet(sf_dir)
-    log = spark.sql(VIEWS["edit_log"].replace("FROM events", "FROM {events}"), events=events)
+def stream_files(spark: SparkSession, path: str, schema: StructType, view: str, files_per_batch: int = 1) -> DataFrame:
+    """A view over files of events that arrive in a folder, as a stream."""
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    rows = spark.sql(VIEWS[view].replace("FROM events", "FROM {events}"), events=events)
+    if view != "edit_log":
+        return rows
     changed = F.when(F.col("changed_csv") == "", F.array().cast("array<string>")).otherwise(F.split("changed_csv", ","))
-    return log.withColumn("changed", changed).drop("changed_csv")
+    return rows.withColumn("changed", changed).drop("changed_csv")
