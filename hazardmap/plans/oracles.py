@@ -228,6 +228,12 @@ _Q = {
     "severity": f"SELECT id, {_SEVERITY} AS severity, round({_WAIT}::DOUBLE, 6) AS hours FROM reports",
     "why": f"SELECT id, {_WHY} AS why FROM reports",
     "triage": f"SELECT id, {_SEVERITY} AS severity, reported_at FROM reports ORDER BY severity DESC, reported_at, id",
+    "upload_json": "SELECT id, device_id, counter, phone_time, people_count, water_level, road_passable, changed_csv FROM edit_log",
+    "upload_quarantine": """SELECT '{"reports": [{"id": "' || id AS value FROM edit_log WHERE arrival_seq % 10 = 0 UNION ALL SELECT 'no upload ' || id FROM edit_log WHERE arrival_seq % 10 = 0""",
+    "osm_json": """SELECT highway, count(DISTINCT way_id) AS ways, count(*) AS members, (SELECT count(*) FROM road_nodes) AS nodes, (SELECT round(sum(lat), 6) FROM road_nodes) AS lats,
+(SELECT count(*) FROM road_nodes WHERE CAST(node_id AS INTEGER) % 100 = 0) AS bad_lines FROM way_members GROUP BY highway""",
+    "report_lookup": f"SELECT id, device_id, reported_at FROM reports WHERE id IN (SELECT id FROM (SELECT id FROM reports ORDER BY {_SEVERITY} DESC, reported_at, id LIMIT 100))",
+    "map_instants": "SELECT c.cluster, c.hours, c.confidence, coalesce(l.level, 0) AS danger FROM later_confidence c LEFT JOIN later_level l ON c.cluster = l.cluster AND c.hours = l.hours WHERE c.hours IN (0.0, 3.0)",
     "triage_top": f"SELECT id, {_SEVERITY} AS severity, reported_at FROM reports ORDER BY severity DESC, reported_at, id LIMIT 100",
     "weights": f"SELECT id, round({_weight()}, 9) AS weight FROM reports",
     "held_unlocated": "SELECT id AS report_id, 'no usable location' AS reason FROM reports WHERE lat IS NULL OR lon IS NULL",

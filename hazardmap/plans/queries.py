@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from ..config import Tuning
 from ..functions import columns as c
-from ..operators import cluster, danger, effects, evaluate, merge, nearest, paths, roads
+from ..operators import cluster, danger, effects, evaluate, live, merge, nearest, paths, roads
 from ..sources import fixtures
 from ..sources.shared import keep, shared_dir
+from ..sources import tables
 from ..sources.tables import decode_json
 from ..streaming import ingest
 
@@ -453,9 +454,59 @@ def stream_delta(spark, d):
 @query
 def live_map(spark, d):
     """The map after ten ticks that each bring a tenth of the reports; equal to danger_zones."""
-    reports = fixtures.reports(spark, d)
-    where = f"{shared_dir(spark)}/live-{uuid.uuid4().hex}"
+    reports, state = fixtures.reports(spark, d), None
     for n in range(10):
-        ingest.map_batch(spark, where, n, reports.where(F.pmod(F.xxhash64("id"), F.lit(10)) == n), T)
-    z = spark.read.parquet(f"{where}/zones/version=9")
+        state = live.advance(state, reports.where(F.pmod(F.xxhash64("id"), F.lit(10)) == n), None, T.radius_m)
+    z = live.zones_now(reports, state, T)
     return z.withColumns({"lat": F.round("lat", 9), "lon": F.round("lon", 9)})
+
+
+def _uploads(spark: SparkSession, d: str) -> str:
+    """The edit log as uploads of at most four reports, one JSON line each, with a cut line and a line of another kind after every tenth."""
+    where = f"{shared_dir(spark)}/uploads-{uuid.uuid4().hex}"
+    log = fixtures.edit_log(spark, d).withColumn("upload", F.concat_ws("-", "device_id", F.floor(F.col("arrival_seq") / 4).cast("string")))
+    lines = tables.encode_uploads(log)
+    bad = log.where("arrival_seq % 10 = 0").select(F.explode(F.array(F.concat(F.lit('{"reports": [{"id": "'), F.col("id")), F.concat(F.lit("no upload "), F.col("id")))).alias("value"))
+    lines.unionByName(bad).write.text(where)
+    return where
+
+
+@query
+def upload_json(spark, d):
+    """The edit log after it went through JSON."""
+    return tables.read_uploads(spark, _uploads(spark, d))[0].select("id", "device_id", "counter", "phone_time", "people_count", "water_level", "road_passable", F.array_join("changed", ",").alias("changed_csv"))
+
+
+@query
+def upload_quarantine(spark, d):
+    """Lines of the uploads that are none."""
+    return tables.read_uploads(spark, _uploads(spark, d))[1]
+
+
+@query
+def osm_json(spark, d):
+    """Segments of ways after nodes and ways went through JSON lines, with the number of lines that are no element."""
+    where = f"{shared_dir(spark)}/osm-{uuid.uuid4().hex}"
+    bad = _nodes(spark, d).where("cast(node_id AS int) % 100 = 0").select(F.concat(F.lit('{"type": "node", "id": '), F.col("node_id")).alias("value"))
+    tables.encode_osm(_nodes(spark, d), _members(spark, d)).unionByName(bad).write.text(where)
+    nodes, members, lost = tables.read_osm_lines(spark, where)
+    return members.groupBy("highway").agg(F.count_distinct("way_id").alias("ways"), F.count("*").alias("members")).crossJoin(nodes.agg(F.count("*").alias("nodes"), F.round(F.sum("lat"), 6).alias("lats"))).crossJoin(lost.agg(F.count("*").alias("bad_lines")))
+
+
+@query
+def report_lookup(spark, d):
+    """The reports of the hundred most urgent ids, from a snapshot sorted by id."""
+    where = f"{shared_dir(spark)}/by-id-{uuid.uuid4().hex}"
+    tables.write_by_id(fixtures.reports(spark, d), where)
+    ids = [r["id"] for r in triage_top(spark, d).select("id").collect()]  # a hundred
+    return tables.look_up(spark, where, ids).select("id", "device_id", "reported_at")
+
+
+@query
+def map_instants(spark, d):
+    """The decay curve at two instants, from a table by instant of which one was replaced."""
+    where = f"{shared_dir(spark)}/instants-{uuid.uuid4().hex}"
+    reports = fixtures.reports(spark, d)
+    tables.write_snapshot(danger.decay_curve(reports, [0.0, 3.0, 6.0], T), where, ["hours"])
+    tables.write_snapshot(danger.decay_curve(reports, [3.0], T), where, ["hours"])
+    return spark.read.parquet(where).where("hours in (0.0, 3.0)").select("cluster", F.col("hours").cast("double").alias("hours"), "confidence", "danger")
