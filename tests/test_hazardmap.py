@@ -326,33 +326,6 @@ def test_shared_folder_is_asked_for_on_a_cluster():
         shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077", getConf=lambda: conf)))
 
 
-def test_streamed_state_rewrites_touched_buckets_only(spark, tmp_path):
-    fields = ["people_count"]
-    schema = "id string, device_id string, counter long, arrival_seq long, arrival_ms long, phone_time long, people_count int, changed array<string>"
-    batches = [[(f"r{i}", "d", 1, i, i, i, i, []) for i in range(300)], [("r5", "d", 2, 400, 400, 400, 50, ["people_count"])], [("r5", "d", 2, 401, 401, 401, 70, []), ("r7", "d", 3, 402, 402, 402, 9, [])]]
-    path = str(tmp_path / "state")
-    for n, rows in enumerate(batches):
-        for _ in range(2):  # a batch that is run again changes nothing
-            ingest.merge_batch(spark, path, fields, spark.createDataFrame(rows, schema), n)
-    got = {r["id"]: r["people_count"] for r in ingest.snapshot(spark, path).collect()}
-    assert got == {f"r{i}": i for i in range(300)} | {"r5": 50, "r7": 9}
-    kept = ingest.versions(spark, path)
-    assert sum(2 in v for v in kept.values()) <= 2 and max(map(len, kept.values())) <= 2
-    feed = lambda n: {r["id"] for r in spark.read.parquet(f"{path}-changes/version={n}").collect()}
-    assert len(feed(0)) == 300 and feed(1) == {"r5"} and feed(2) == {"r7"}  # the delta feed: only what moved
-
-
-def test_live_map_and_severity_refresh(spark, tmp_path):
-    reports = fixtures.reports(spark, "/root/testdata/sf0.001")
-    later = Tuning(now_ms=T.now_ms + 6 * 3_600_000)
-    for n, t in enumerate((T, later)):
-        ingest.map_batch(reports, str(tmp_path / "map"), n, t)
-    first, second = (spark.read.parquet(str(tmp_path / f"map/version={n}")) for n in (0, 1))
-    assert first.count() >= second.count() and second.where("routing = 'block'").isEmpty()  # all of it is stale by then
-    fresh = ingest.refresh_severity(reports.withColumn("updated_at", F.col("synced_at")), T.now_ms - 3_600_000, T)
-    assert 0 < fresh.count() < reports.count() and fresh.where("severity is null").isEmpty()
-
-
 def test_json_columns_and_trimmed_network(spark):
     from hazardmap.sources.tables import decode_json, encode_json
 
@@ -362,5 +335,5 @@ def test_json_columns_and_trimmed_network(spark):
     back = decode_json(text).select("id", "photos", "outline").orderBy("id").collect()
     assert [tuple(r) for r in back] == [("a", ["p1", "p2"], [[1.0, 2.0]]), ("b", None, None)]
     members = danger.zone_members(danger.placed(fixtures.reports(spark, "/root/testdata/sf0.001"), T), T)
-    zones = danger.danger_zones(fixtures.reports(spark, "/root/testdata/sf0.001"), T).select("cluster_id", F.explode("report_ids").alias("report_id"))
+    zones = danger.danger_zones(fixtures.reports(spark, "/root/testdata/sf0.001"), T, with_ids=True).select("cluster_id", F.explode("report_ids").alias("report_id"))
     assert zones.join(members, ["cluster_id", "report_id"], "left_anti").isEmpty()
