@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..config import EARTH_M
 from ..functions.columns import haversine_m, located
 from .components import components
-from .sphere import SLACK, cell, cells_within, chord
+from .sphere import SLACK, cell, chord, with_cells
 
 
 def near_pairs(points: DataFrame, radius_m: float) -> DataFrame:
@@ -25,8 +25,7 @@ def near_pairs(points: DataFrame, radius_m: float) -> DataFrame:
     side = radius_m / EARTH_M
     points = points.where(located()).select("id", "lat", "lon")
     cells = points.withColumns(cell(F.col("lat"), F.col("lon"), side))
-    ask = cells.select(F.col("id").alias("id1"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), F.col("y").alias("home"), F.explode(cells_within(F.col("lat"), F.col("lon"), radius_m, side, upward=True)).alias("c"))
-    ask = ask.select("id1", "lat1", "lon1", "home", "c.y", "c.x")
+    ask = with_cells(cells.select(F.col("id").alias("id1"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), F.col("y").alias("home")), "lat1", "lon1", radius_m, side, upward=True)
     metres = haversine_m(F.col("lat1"), F.col("lon1"), F.col("lat"), F.col("lon"))
     met = ask.join(cells, ["y", "x"]).where((F.col("y") > F.col("home")) | (F.col("id1") < F.col("id"))).withColumn("metres", metres).where(F.col("metres") <= radius_m)
     return met.select(F.least("id1", "id").alias("id_a"), F.greatest("id1", "id").alias("id_b"), "metres")
@@ -39,8 +38,7 @@ def crossing_links(points: DataFrame, radius_m: float) -> DataFrame:
     homes = cells.groupBy("y", "x").agg(F.min("id").alias("cell"))
     inside = cells.join(homes, ["y", "x"]).select(F.col("id").alias("a"), F.col("cell").alias("b"))
     spots = cells.select("y", "x", "lat", "lon").distinct().join(homes, ["y", "x"])
-    ask = spots.select(F.col("cell").alias("cell1"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), F.explode(cells_within(F.col("lat"), F.col("lon"), radius_m, side, upward=True)).alias("c"))
-    ask = ask.select("cell1", "lat1", "lon1", "c.y", "c.x")
+    ask = with_cells(spots.select(F.col("cell").alias("cell1"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1")), "lat1", "lon1", radius_m, side, upward=True)
     met = ask.join(spots, ["y", "x"]).where(F.col("cell1") != F.col("cell")).where(haversine_m(F.col("lat1"), F.col("lon1"), F.col("lat"), F.col("lon")) <= radius_m)
     across = met.select(F.col("cell1").alias("a"), F.col("cell").alias("b")).distinct()
     return inside.unionByName(across)

@@ -17,7 +17,7 @@ from ..sources.shared import keep
 from .cluster import crossing_links
 from .components import components
 from .danger import all_zones, drawn, weighed
-from .sphere import SLACK, cell, cells_within, chord
+from .sphere import SLACK, cell, chord, with_cells
 
 STATE = ["id", "lat", "lon", "cluster"]
 
@@ -39,7 +39,7 @@ def advance(state: DataFrame | None, added: DataFrame, removed: DataFrame | None
     if stays is not None:
         side = chord(radius_m) / math.sqrt(2) * (1 - SLACK)
         spots = stays.select("lat", "lon", "cluster").distinct().withColumns(cell(F.col("lat"), F.col("lon"), side))
-        ask = loose.select("id", F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), F.explode(cells_within(F.col("lat"), F.col("lon"), radius_m, side)).alias("c")).select("id", "lat1", "lon1", "c.y", "c.x")
+        ask = with_cells(loose.select("id", F.col("lat").alias("lat1"), F.col("lon").alias("lon1")), "lat1", "lon1", radius_m, side)
         near = ask.join(spots, ["y", "x"]).where(haversine_m(F.col("lat1"), F.col("lon1"), F.col("lat"), F.col("lon")) <= radius_m)
         links = links.unionByName(near.select(F.col("id").alias("a"), F.col("cluster").alias("b")).distinct())
     labels = keep(components(links), "labels")

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import EARTH_M
@@ -46,21 +46,20 @@ def cell(lat: Column, lon: Column, side: float) -> dict[str, Column]:
     return {"y": y, "x": F.least(F.floor(_turn(lon) * n), n - 1)}
 
 
-def cells_within(lat: Column, lon: Column, radius_m: float, side: float, upward: bool = False) -> Column:
-    """Array of the cells (y, x) that may hold positions within radius_m; upward: of the own row and those north of it only."""
+def with_cells(rows: DataFrame, lat: str, lon: str, radius_m: float, side: float, upward: bool = False) -> DataFrame:
+    """A copy of each row for every cell (y, x) that may hold positions within radius_m of it; upward: of its own row of cells and those north of it only.
+
+    Rows first, then the columns of each: plain expressions, so all of it is compiled code.
+    """
     radius = radius_m / EARTH_M * (1 + SLACK) + 1e-12
     reach = math.ceil(radius / side)
     polar = F.abs(F.radians(lat)) + radius >= math.pi / 2
     span = F.when(polar, F.lit(1.0)).otherwise(F.asin(F.least(F.lit(1.0), F.sin(F.lit(min(radius, math.pi / 2))) / F.cos(F.radians(lat)))) / (2 * math.pi) * (1 + SLACK) + 1e-12)
-    top = F.floor(F.lit(math.pi / side))
-
-    def of_row(dy: int) -> Column:
-        y = _row(lat, side) + dy
-        n = _columns(y, side)
-        lo, hi = F.floor((_turn(lon) - span) * n), F.floor((_turn(lon) + span) * n)
-        all_round = hi - lo + 1 >= n
-        xs = F.sequence(F.when(all_round, F.lit(0)).otherwise(lo).cast("long"), F.when(all_round, n - 1).otherwise(hi).cast("long"))
-        here = F.transform(xs, lambda x: F.struct(y.alias("y"), F.pmod(x, n).alias("x")))
-        return F.when((y >= 0) & (y <= top), here).otherwise(F.array().cast("array<struct<y:bigint,x:bigint>>"))
-
-    return F.flatten(F.array(*(of_row(dy) for dy in range(0 if upward else -reach, reach + 1))))
+    own = [F.col(c) for c in rows.columns]
+    at = rows.select(*own, _row(F.col(lat), side).alias("__row"), span.alias("__span"), _turn(F.col(lon)).alias("__turn"), F.explode(F.array(*(F.lit(dy) for dy in range(0 if upward else -reach, reach + 1)))).alias("__dy"))
+    at = at.select(*own, "__span", "__turn", (F.col("__row") + F.col("__dy")).alias("y")).where(F.col("y").between(0, math.floor(math.pi / side)))
+    at = at.withColumn("__n", _columns(F.col("y"), side))
+    at = at.withColumns({"__lo": F.floor((F.col("__turn") - F.col("__span")) * F.col("__n")), "__hi": F.floor((F.col("__turn") + F.col("__span")) * F.col("__n"))})
+    all_round = F.col("__hi") - F.col("__lo") + 1 >= F.col("__n")
+    x = F.explode(F.sequence(F.when(all_round, F.lit(0).cast("long")).otherwise(F.col("__lo")), F.when(all_round, F.col("__n") - 1).otherwise(F.col("__hi"))))
+    return at.select(*own, "y", "__n", x.alias("__x")).select(*own, "y", F.pmod("__x", "__n").alias("x"))
