@@ -13,7 +13,7 @@ licences) and the share `some` of all licences together (well over that of any p
 Paragraphs are single lines, three lines in a row, blocks between empty lines, and windows of 25 to 400 words that
 slide over longer blocks; line breaks and comment marks count as spaces, so wrapped notices are read whole.  Every line
 and every 16 words of a block (each piece half over the one before) is looked at; the paragraphs round it are classified
-if its own share of licences reaches half of what the best piece of each variant reaches at least.
+if its own share of licences reaches what the best piece of each variant reaches at least.
 
 A document's licence is that of its surest confirmed paragraph, else `unknown` if it has such a paragraph,
 else `none`.  Null, empty and wordless texts have `none`.  Repeated rows give repeated results.
@@ -249,9 +249,9 @@ def train(steps: int = 80, l2: float = 1e-4, seed: int = 3) -> Model:
     sure = cut(p[own >= KNOWN, KNOWN:].max(1), p[own < KNOWN, KNOWN:].max(1))
     some = float(1 + (1 - p[own == 0, 0]).max()) / 2  # halfway from the likeliest piece of prose to certainty
     model = Model(spots, w, b, heat, sure, some)
-    # what a piece of a text must have to be looked round: half of what the best piece of each licence variant has at least
+    # what a piece of a text must have to be looked round: what the best piece of each licence variant has at least
     best = [float(model.licence_shares(t, np.arange(len(t)) // LOOK, -(-len(t) // LOOK)).max()) for t, k in zip(words, labels) if k]
-    model.least = min(best) / 2
+    model.least = min(best)
     return model
 
 
