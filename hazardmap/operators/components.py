@@ -52,8 +52,8 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
 
 def _is_forest(edges: DataFrame) -> bool:
     """Does every node but the roots hang on one root?"""
-    hung = edges.groupBy("a").agg(F.count("*").alias("n"))
-    return hung.where("n > 1").isEmpty() and edges.join(hung.select(F.col("a").alias("r")), F.col("b") == F.col("r"), "left_semi").isEmpty()
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("hangs"), F.lit(1).alias("root")))
+    return ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("root").alias("root")).where("hangs > 1 or hangs = 1 and root = 1").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
