@@ -8,7 +8,9 @@ import statistics
 import sys
 import time
 
-sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path.insert(0, HERE)
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, (HERE, os.environ.get("PYTHONPATH"))))  # for Spark's Python workers
 
 HEADLINE = ("triage", "merge_reports", "weights", "clusters", "danger_zones", "edge_effects", "evacuation")
 
