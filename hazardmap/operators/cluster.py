@@ -3,7 +3,8 @@
 Positions are put in cells of the sphere, and each asks for the cells that its circle reaches in its own row and north
 of it, so the join is an equi-join on cells with an exact test after it, over the date line and the poles too.  For
 clusters, cells without two points farther apart than the radius are contracted first: all reports of one belong
-together, so a crowded place costs its distinct positions and not their pairs.
+together, so a crowded place costs its distinct positions and not their pairs, and what is chained are numbered cells,
+not reports.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..config import EARTH_M
 from ..functions.columns import haversine_m, located
+from ..sources.shared import keep
 from .components import components
 from .sphere import SLACK, cell, chord, with_cells
 
@@ -31,37 +33,81 @@ def near_pairs(points: DataFrame, radius_m: float) -> DataFrame:
     return met.select(F.least("id1", "id").alias("id_a"), F.greatest("id1", "id").alias("id_b"), "metres")
 
 
+def _side(radius_m: float) -> float:
+    return chord(radius_m) / math.sqrt(2) * (1 - SLACK)
+
+
+def _met(spots: DataFrame, name: str, radius_m: float) -> DataFrame:
+    """Edges (a, b) between the names of different cells that hold two spots (y, x, lat, lon, name) within the radius."""
+    ask = with_cells(spots.select(F.col(name).alias("a"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1")), "lat1", "lon1", radius_m, _side(radius_m), upward=True)
+    met = ask.join(spots.withColumnRenamed(name, "b"), ["y", "x"]).where(F.col("a") != F.col("b"))
+    return met.where(haversine_m(F.col("lat1"), F.col("lon1"), F.col("lat"), F.col("lon")) <= radius_m).select("a", "b").distinct()
+
+
 def crossing_links(points: DataFrame, radius_m: float) -> DataFrame:
-    """Edges (a, b) between the least ids of contracted cells that hold two points within the radius."""
-    side = chord(radius_m) / math.sqrt(2) * (1 - SLACK)
-    cells = points.withColumns(cell(F.col("lat"), F.col("lon"), side))
+    """Edges (a, b) between reports: from each to the least id of its contracted cell, and between cells that hold two points within the radius."""
+    cells = points.withColumns(cell(F.col("lat"), F.col("lon"), _side(radius_m)))
     homes = cells.groupBy("y", "x").agg(F.min("id").alias("cell"))
     inside = cells.join(homes, ["y", "x"]).select(F.col("id").alias("a"), F.col("cell").alias("b"))
-    spots = cells.select("y", "x", "lat", "lon").distinct().join(homes, ["y", "x"])
-    ask = with_cells(spots.select(F.col("cell").alias("cell1"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1")), "lat1", "lon1", radius_m, side, upward=True)
-    met = ask.join(spots, ["y", "x"]).where(F.col("cell1") != F.col("cell")).where(haversine_m(F.col("lat1"), F.col("lon1"), F.col("lat"), F.col("lon")) <= radius_m)
-    across = met.select(F.col("cell1").alias("a"), F.col("cell").alias("b")).distinct()
-    return inside.unionByName(across)
+    return inside.unionByName(_met(cells.select("y", "x", "lat", "lon").distinct().join(homes, ["y", "x"]), "cell", radius_m))
 
 
-def clusters(reports: DataFrame, radius_m: float = 150.0) -> DataFrame:
-    """(id, cluster) of every report: located ones chained by links of at most radius_m, the others each alone.
+def _row_width(side: float) -> int:
+    return math.ceil(2 * math.pi / side) + 1
+
+
+def cell_numbers(radius_m: float) -> int:
+    """How many numbers the contracted cells of a radius take."""
+    side = _side(radius_m)
+    return (math.floor(math.pi / side) + 2) * _row_width(side)
+
+
+def _numbered(points: DataFrame, radius_m: float, first: int = 0) -> DataFrame:
+    """Located points with y and x of their contracted cell and its number, from first on."""
+    side = _side(radius_m)
+    return points.withColumns(cell(F.col("lat"), F.col("lon"), side)).withColumn("cell", F.col("y") * _row_width(side) + F.col("x") + first)
+
+
+def _cell_clusters(cells: DataFrame, links: DataFrame) -> DataFrame:
+    """(cell, cluster): links (a, b) chain cells, a cluster is named by the least id in all of its cells.
+
+    The graph is one of occupied cells, whose numbers are longs; reports meet it once, when each takes its cell's cluster.
+    """
+    homes = cells.groupBy("cell").agg(F.min("id").alias("least"))
+    parts = keep(homes.join(components(links), F.col("cell") == F.col("node"), "left").select("cell", "least", F.coalesce("label", "cell").alias("part")), "parts")
+    return parts.join(parts.groupBy("part").agg(F.min("least").alias("cluster")), "part").select("cell", "cluster")
+
+
+def _enough_numbers(n: int) -> None:
+    if n >= 2**63:
+        raise ValueError("radius too small: the earth has more cells than numbers")
+
+
+def labelled(reports: DataFrame, radius_m: float = 150.0) -> DataFrame:
+    """Located reports with their cluster, chained by links of at most radius_m.
 
     A cluster is named by its least report id, so neither order nor partitioning changes it.
     """
-    points = reports.where(located()).select("id", "lat", "lon")
-    labels = components(crossing_links(points, radius_m))
-    return reports.select("id").join(labels, F.col("id") == F.col("node"), "left").select("id", F.coalesce("label", "id").alias("cluster"))
+    _enough_numbers(cell_numbers(radius_m))
+    own = reports.where(located())
+    cells = keep(_numbered(own, radius_m), "numbered")  # read by each of the steps below, with the columns that it needs
+    links = _met(cells.select("y", "x", "cell", "lat", "lon").distinct(), "cell", radius_m)
+    return cells.join(_cell_clusters(cells, links), "cell").select(*own.columns, "cluster")
+
+
+def clusters(reports: DataFrame, radius_m: float = 150.0) -> DataFrame:
+    """(id, cluster) of every report: located ones as of labelled(), the others each alone."""
+    alone = reports.where(~located()).select("id", F.col("id").alias("cluster"))
+    return labelled(reports.select("id", "lat", "lon"), radius_m).select("id", "cluster").unionByName(alone)
 
 
 def clusters_by_radius(reports: DataFrame, radii: list[float]) -> DataFrame:
     """(radius_m, id, cluster) of located reports for several radii: crowded places are contracted for each, components are found once."""
-    spark = reports.sparkSession
     points = reports.where(located()).select("id", "lat", "lon")
-    key = lambda r, c: F.concat_ws("|", F.lit(float(r)).cast("string"), F.col(c))
-    links = reduce(DataFrame.unionByName, (crossing_links(points, r).select(key(r, "a").alias("a"), key(r, "b").alias("b")) for r in radii))
-    labels = components(links)
-    each = F.broadcast(spark.createDataFrame([(float(r),) for r in radii], "radius_m double"))  # one row a radius
-    every = points.select("id").crossJoin(each).withColumn("node", F.concat_ws("|", F.col("radius_m").cast("string"), F.col("id")))
-    name = F.substring_index(F.coalesce("label", "node"), "|", -1)
-    return every.join(labels, "node", "left").select("radius_m", "id", name.alias("cluster"))
+    radii = sorted({float(r) for r in radii})
+    sizes = [cell_numbers(r) for r in radii]
+    _enough_numbers(sum(sizes))
+    each = [_numbered(points, r, sum(sizes[:i])).withColumn("radius_m", F.lit(r)) for i, r in enumerate(radii)]
+    links = reduce(DataFrame.unionByName, (_met(cells.select("y", "x", "cell", "lat", "lon").distinct(), "cell", r) for r, cells in zip(radii, each)))
+    cells = reduce(DataFrame.unionByName, each).select("radius_m", "id", "cell")
+    return cells.join(_cell_clusters(cells, links), "cell").select("radius_m", "id", "cluster")

@@ -38,7 +38,10 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
-    """One round: each node links its neighbours (the larger ones, or the smaller ones and itself) to the least it knows."""
+    """One round: each node links its neighbours (the larger ones, or the smaller ones and itself) to the least it knows.
+
+    Large stars may hold a link twice, at most as many links as went in and one for each node; small ones hold each once.
+    """
     if small:
         pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     else:
@@ -47,13 +50,14 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
     joined = pairs.join(least, "u")
     joined = joined if small else joined.where(F.col("v") > F.col("u"))
     out = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return out.where("a <> b").distinct()
+    out = out.where("a <> b")
+    return out.distinct() if small else out
 
 
 def _is_forest(edges: DataFrame) -> bool:
-    """Does every node but the roots hang on one root?"""
-    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("hangs"), F.lit(1).alias("root")))
-    return ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("root").alias("root")).where("hangs > 1 or hangs = 1 and root = 1").isEmpty()
+    """Does every node but the roots, which hang on themselves here, hang on one root?"""
+    ends = edges.unionByName(edges.select(F.col("b").alias("a"), "b"))
+    return ends.groupBy("a").agg(F.min("b").alias("least"), F.max("b").alias("most")).where("least <> most").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -81,7 +85,7 @@ def components(edges: DataFrame) -> DataFrame:
             yield pd.DataFrame({"a": x, "b": y})
 
     edges = edges.select("a", "b").where("a <> b")
-    edges = keep(edges.mapInPandas(contract, f"a {kind}, b {kind}").distinct(), "edges")
+    edges = keep(edges.mapInPandas(contract, f"a {kind}, b {kind}"), "edges")
     while not _is_forest(edges):
         edges = keep(_star(_star(edges, False), True), "edges")
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("label"))).distinct()

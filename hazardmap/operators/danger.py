@@ -14,15 +14,18 @@ from pyspark.sql import functions as F
 from ..config import DANGER_NAMES, Tuning
 from ..functions import columns as c
 from ..sources.shared import keep
-from .cluster import clusters
+from .cluster import clusters, labelled
 
 LEVELS = range(len(DANGER_NAMES))
 
 
 def weighed(reports: DataFrame, labels: DataFrame, t: Tuning, now: Column | None = None) -> DataFrame:
     """Reports with their cluster, weight, claimed level and voter."""
-    joined = reports.join(labels, "id")
-    return joined.withColumns({"weight": c.report_weight(t, now), "claim": c.claimed_level(), "voter": c.voter(), "aerial": F.coalesce(F.col("source") == "aerial", F.lit(False))})
+    return _weighed(reports.join(labels, "id"), t, now)
+
+
+def _weighed(reports: DataFrame, t: Tuning, now: Column | None = None) -> DataFrame:
+    return reports.withColumns({"weight": c.report_weight(t, now), "claim": c.claimed_level(), "voter": c.voter(), "aerial": F.coalesce(F.col("source") == "aerial", F.lit(False))})
 
 
 def _voters(rows: DataFrame, t: Tuning, keys: list[str]) -> DataFrame:
@@ -126,11 +129,10 @@ def all_zones(rows: DataFrame, t: Tuning, with_ids: bool = False) -> DataFrame:
     of zone_members() has them for clusters of any size.
     """
     first, marked = _marked(rows, t)
-    marked = keep(marked.select(*rows.columns, "against", "far"), "marked")
     spread = keep(marked.groupBy("cluster").agg(F.max("far").alias("far"), F.count_if("against").alias("held_count")), "spread")
-    first = first.join(spread, "cluster")
     touched = spread.where(F.col("held_count") > 0).select("cluster")
     again = judged(marked.where(~F.col("against")).join(touched, "cluster", "left_semi"), t, ["cluster"])
+    first = first.join(spread, "cluster")
     changed = ["confidence", "level", "reports", "devices", "newest", "aerial"]
     second = again.select("cluster", *(F.col(k).alias(f"new_{k}") for k in changed), F.lit(True).alias("again"))
     # a held report never stands alone in its cluster, so every touched cluster comes again
@@ -176,12 +178,12 @@ def zone_members(rows: DataFrame, t: Tuning) -> DataFrame:
 def placed(reports: DataFrame, t: Tuning) -> DataFrame:
     """Located reports, weighed, with their clusters; written once, as many steps read them."""
     here = reports.where(c.located())
-    return keep(weighed(here, clusters(here, t.radius_m), t), "placed")
+    return keep(_weighed(labelled(here, t.radius_m), t), "placed")
 
 
 def danger_zones(reports: DataFrame, t: Tuning = Tuning(), with_ids: bool = False) -> DataFrame:
-    """The zones to draw, worst and surest first; with_ids as of all_zones()."""
-    return drawn(all_zones(placed(reports, t), t, with_ids), t).orderBy(F.desc("danger"), F.desc("confidence"), "cluster_id")
+    """The zones to draw, worst and surest first; with_ids as of all_zones().  Written before they are sorted: a sort reads its rows twice."""
+    return keep(drawn(all_zones(placed(reports, t), t, with_ids), t), "zones").orderBy(F.desc("danger"), F.desc("confidence"), "cluster_id")
 
 
 def map_stats(reports: DataFrame, t: Tuning = Tuning()) -> DataFrame:
