@@ -85,3 +85,25 @@ def test_nearest_node_over_the_date_line(spark):
     nodes = spark.createDataFrame([("far", 10.004, 179.99999), ("near", 10.0, -179.99999)], "node_id string, lat double, lon double")
     at = spark.createDataFrame([("x", 10.0, 179.99999)], "id string, lat double, lon double")
     assert nearest.nearest_node(at, nodes).first()["node_id"] == "near"
+
+
+def test_clusters_of_numbered_cells(spark):
+    """No reports, reports without a place, several at one spot; other columns stay; too small a radius is refused."""
+    schema = "id string, lat double, lon double, note string"
+    rows = [("a", 10.0, 20.0, "x"), ("b", 10.0, 20.0, None), ("c", 10.001, 20.0, "y"), ("d", 10.1, 20.0, "z"), ("e", None, 20.0, "n"), ("f", None, None, None)]
+    df = spark.createDataFrame(rows, schema)
+    assert {r["id"]: r["cluster"] for r in cluster.clusters(df).collect()} == {"a": "a", "b": "a", "c": "a", "d": "d", "e": "e", "f": "f"}
+    assert {(r["id"], r["note"], r["cluster"]) for r in cluster.labelled(df).collect()} == {("a", "x", "a"), ("b", None, "a"), ("c", "y", "a"), ("d", "z", "d")}
+    got = {(r["radius_m"], r["id"], r["cluster"]) for r in cluster.clusters_by_radius(df, [150.0, 50.0, 50.0]).collect()}
+    assert got == {(r, i, c) for r, own in ((50.0, "aacd"), (150.0, "aaad")) for i, c in zip("abcd", own)}
+    assert cluster.clusters(spark.createDataFrame([], schema)).count() == 0
+    with pytest.raises(ValueError):
+        cluster.labelled(df, 1e-4)
+
+
+def test_components_of_repeated_links(spark):
+    from hazardmap.operators.components import components
+
+    links = [(i, i + 1) for i in range(0, 60) if i % 10 != 9] * 2 + [(5, 5), (61, 60)]
+    df = spark.createDataFrame(links, "a long, b long").repartition(7)
+    assert {r["node"]: r["label"] for r in components(df).collect()} == {i: i // 10 * 10 for i in range(62)}
