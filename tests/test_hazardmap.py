@@ -337,3 +337,16 @@ def test_json_columns_and_trimmed_network(spark):
     members = danger.zone_members(danger.placed(fixtures.reports(spark, "/root/testdata/sf0.001"), T), T)
     zones = danger.danger_zones(fixtures.reports(spark, "/root/testdata/sf0.001"), T, with_ids=True).select("cluster_id", F.explode("report_ids").alias("report_id"))
     assert zones.join(members, ["cluster_id", "report_id"], "left_anti").isEmpty()
+
+
+def test_danger_zones_name_their_reports(spark):
+    import __spark_entry__ as entry
+
+    d = "/root/testdata/sf0.001"
+    zones = {r["cluster_id"]: r for r in entry.queries()["danger_zones"](spark, d).collect()}
+    members = {}
+    for r in entry.queries()["zone_members"](spark, d).collect():
+        members.setdefault(r["cluster_id"], []).append(r["report_id"])
+    assert zones and any(z["held_count"] > 0 for z in zones.values())
+    for k, z in zones.items():
+        assert z["report_ids"] == ",".join(sorted(members[k])) and z["report_count"] == len(members[k])
