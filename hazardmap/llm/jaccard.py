@@ -13,8 +13,8 @@ A-Z lower-cased; with fewer than 5 words the whole sequence is one shingle).  Tw
    The token-group matrix says which group holds which prefix shingle, and in members of which sizes.  With c
    prefix shingles of a class x in group g, no member y can share more than c + max(ceil(.75 |x|), ceil(.75 |y|)) - 1
    shingles with x; groups whose bound falls short for every size are left out.
-4. Shingles that many groups hold come from crowds.  As long as they would make the next step wide, their classes
-   are first linked inside groups only, in another order each time, and followed to components.  From then on a
+4. Shingles that many groups hold come from crowds.  As long as they would make the next step wide, and wider than
+   this one, their classes are first linked inside groups only, in another order each time, and followed to components.  From then on a
    shingle counts only if classes of two components hold it, so a crowd of near copies, which soon is one
    component, is not compared with itself over and over.
 5. Only classes with a group left bring their whole sets.  Each group gathers its members' sets, their union
@@ -52,6 +52,8 @@ from .store import keep, release, small_batches
 SHINGLE = 5
 HOT = 1 << 18
 NAMELESS = 1 << 62
+#: Bytes that a shuffle takes, as measured: a shingle of a set, a prefix shingle placed and counted again, a class that meets a group by a shingle.
+SET_BYTES, ROW_BYTES, PAIR_BYTES = 8, 48, 20
 _K1, _K2, _K3 = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -351,15 +353,27 @@ def token_groups(placed: DataFrame) -> DataFrame:
     return placed.groupBy("gram", "gid").agg(F.count("*").alias("c"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("comp").alias("ca"), F.max("comp").alias("cb"))
 
 
-def across_groups(placed: DataFrame, matrix: DataFrame, each: int = 256) -> DataFrame:
-    """(rep, k1, to) of classes that may link with a class of another component in any group.
+def may_meet(placed: DataFrame, matrix: DataFrame) -> DataFrame:
+    """rep, k1, n, gid and of: classes with the groups in which they may link with a class of another component.
 
-    placed: gram and a numbered class (rep, k1, n, gid, comp).  A class is a member of its own group (kind 0) and queries
-    the others of a lower number (kind 1); a group with many queries is tested `each` queries at a time.
+    placed: gram and a numbered class (rep, k1, n, gid, comp).
     """
     fits = "g.gram = p.gram and not (g.ca = p.comp and g.cb = p.comp) and g.hi >= (3 * p.n + 3) div 4 and g.lo <= (4 * p.n) div 3 and (g.of <> p.gid or g.c > 1)"
     met = placed.alias("p").join(matrix.withColumnRenamed("gid", "of").alias("g"), F.expr(fits)).groupBy("p.rep", "p.k1", "p.gid", "p.n", "g.of").agg(F.count("*").alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    chosen = keep(met.where(may_link()).select("rep", "k1", "gid", "of"), "chosen")
+    return keep(met.where(may_link()).select("rep", "k1", "n", "gid", "of"), "chosen")
+
+
+def sent_shingles(chosen: DataFrame) -> int:
+    """Shingles of all sets that the groups of may_meet() are sent: each class once as a member and once for each group that it queries."""
+    return chosen.groupBy("rep", "k1").agg((F.max("n") * (1 + F.count_if(F.col("of") < F.col("gid")))).alias("x")).agg(F.sum("x")).first()[0] or 0
+
+
+def targets_of(chosen: DataFrame, each: int = 256) -> DataFrame:
+    """rep, k1 and to: where the sets of may_meet() go.
+
+    A class is a member of its own group (kind 0) and queries the others of a lower number (kind 1); a group with many
+    queries is tested `each` queries at a time.
+    """
     asked = chosen.where("of < gid").select("rep", "k1", F.col("of").alias("gid"))
     salts = asked.groupBy("gid").agg(F.ceil(F.count("*") / each).cast("int").alias("salts"))
     asks = asked.join(salts, "gid").select("rep", "k1", F.lit(1).alias("kind"), "gid", F.pmod(F.xxhash64("rep", "k1"), F.col("salts")).cast("int").alias("salt"))
@@ -368,6 +382,11 @@ def across_groups(placed: DataFrame, matrix: DataFrame, each: int = 256) -> Data
     return asks.unionByName(homes).groupBy("rep", "k1").agg(F.collect_list(F.struct("kind", "gid", "salt")).alias("to"))
 
 
+def across_groups(placed: DataFrame, matrix: DataFrame, each: int = 256) -> DataFrame:
+    """(rep, k1, to) of classes that may link with a class of another component in any group."""
+    return targets_of(may_meet(placed, matrix), each)
+
+
 def link_groups(docs: DataFrame, targets: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:
     """Links (a, b) between classes, inside groups and across: enough of them to connect whatever is linked.
 
@@ -461,26 +480,34 @@ def connect(docs: DataFrame, postings: DataFrame, classes: DataFrame, rounds: in
     """(node, label) of linked classes; classes: rep, k1, n, s1, s2.
 
     A shingle of more than `wide` groups is wide.  While the wide ones make up most of the last step, their classes
-    are linked inside groups only, up to `rounds` times and as long as each time halves that step.
+    are linked inside groups only, up to `rounds` times and as long as each time halves that step.  Such a round sends
+    all sets of these classes and places the shingles again, so it is left out where the whole last step moves less.
     """
     numbered = keep(number_groups(classes, ["s1", "n", "rep", "k1"]).select("rep", "k1", "n", "gid"), "numbered")
-    comps, links, labels, pairs = numbered.withColumn("comp", F.col("rep")), None, None, float("inf")
+    comps, links, labels, chosen, pairs = numbered.withColumn("comp", F.col("rep")), None, None, None, float("inf")
     for step in range(rounds + 1):
         placed = keep(postings.join(comps, "k1"), "placed")
         matrix = keep(token_groups(placed), "matrix")
         crowds = matrix.groupBy("gram").agg(F.count("*").alias("g"), F.sum("c").alias("h"), F.min("ca").alias("ca"), F.max("cb").alias("cb"))
         crowds = keep(crowds.where((F.col("g") > wide) & (F.col("ca") < F.col("cb"))).select("gram", "g", "h"), "crowds")
         before, pairs = pairs, crowds.agg(F.sum(F.col("g") * F.col("h")).alias("x")).first()["x"] or 0
-        if step == rounds or pairs <= placed.count() or pairs > before / 2:
+        rows = placed.count()
+        if step == rounds or pairs <= rows or pairs > before / 2:
             break
-        crowd = placed.join(crowds.select("gram"), "gram").select("rep", "k1").distinct().join(classes, ["rep", "k1"])
+        crowd = keep(placed.join(crowds.select("gram"), "gram").select("rep", "k1").distinct().join(classes, ["rep", "k1"]), "crowd")
+        cost = SET_BYTES * (crowd.agg(F.sum("n")).first()[0] or 0) + ROW_BYTES * rows
+        if PAIR_BYTES * pairs <= cost:
+            chosen = may_meet(placed, matrix)
+            if SET_BYTES * sent_shingles(chosen) <= cost:
+                break
+            chosen = None
         mixed = crowd.withColumn("mixed", F.xxhash64("rep", "k1", F.lit(step)))
         home = number_groups(mixed, [("s1", "s2")[step % 2], "mixed"]).select("rep", "k1", F.array(F.struct(F.lit(0).alias("kind"), "gid", F.lit(0).alias("salt"))).alias("to"))
         found = keep(link_groups(docs, home), "links")
         links = found if links is None else links.unionByName(found)
         labels = keep(components(links), "labels")
         comps = numbered.join(labels, F.col("rep") == F.col("node"), "left").select("rep", "k1", "n", "gid", F.coalesce("label", "rep").alias("comp"))
-    found = keep(link_groups(docs, across_groups(placed, matrix)), "links")
+    found = keep(link_groups(docs, targets_of(may_meet(placed, matrix) if chosen is None else chosen)), "links")
     return components(found if labels is None else found.unionByName(labels.toDF("a", "b")))
 
 

@@ -382,6 +382,28 @@ def test_jaccard_crowds_are_linked_inside_groups_first(spark):
     assert {i: label.get(i, i) for i in reps} == {i: want[i] for i in reps}
 
 
+def test_jaccard_small_crowds_are_not_sent_twice(spark, monkeypatch):
+    """Near copies over three groups meet more groups than they have shingles, but to send their sets once more would cost more."""
+    rng = random.Random(43)
+    rows = []
+    for k in range(12):
+        base = [f"c{k}w{i}" for i in range(300)]
+        for _ in range(6):
+            w = base[:]
+            w[rng.randrange(300)] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    docs = jaccard.named_rows(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    hot = jaccard.hot_shingles(docs)
+    each = jaccard.keep(jaccard.document_sets(docs, hot).groupBy("k1").agg(F.min("row").alias("rep"), *(F.min(c).alias(c) for c in ("n", "s1", "s2"))), "classes")
+    sent, plain_groups, plain_links = [], jaccard.number_groups, jaccard.link_groups
+    monkeypatch.setattr(jaccard, "number_groups", lambda a, o: plain_groups(a, o, members=2))
+    monkeypatch.setattr(jaccard, "link_groups", lambda d, t: sent.append(1) or plain_links(d, t))
+    label = {r["node"]: r["label"] for r in jaccard.connect(docs, jaccard.keep(jaccard.shared_prefixes(docs, hot), "p"), each, wide=1).collect()}
+    want = {i: c for i, (_, c) in linked_components(rows).items()}
+    assert {i: label.get(i, i) for i in want} == want
+    assert len(sent) == 1
+
+
 def test_jaccard_rows_without_or_with_repeated_ids(spark):
     long = " ".join(f"t{i}" for i in range(40))
     near = long.replace("t39", "other")
