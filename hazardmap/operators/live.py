@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..config import Tuning
 from ..functions.columns import haversine_m, located
 from ..sources.shared import keep
-from .cluster import crossing_links
+from .cluster import cell_links
 from .components import components
 from .danger import all_zones, drawn, weighed
 from .sphere import SLACK, cell, chord, with_cells
@@ -33,17 +33,24 @@ def advance(state: DataFrame | None, added: DataFrame, removed: DataFrame | None
         loose, stays = keep(added, "loose"), None
     else:
         hurt = keep(state.join(gone, "id", "left_semi").select("cluster").distinct(), "hurt")
-        stays = keep(state.join(hurt, "cluster", "left_anti").select(*STATE), "stays")
-        loose = keep(state.join(hurt, "cluster", "left_semi").join(gone, "id", "left_anti").select("id", "lat", "lon").unionByName(added), "loose")
-    links = crossing_links(loose, radius_m)
+        if hurt.isEmpty():
+            loose, stays = keep(added, "loose"), state.select(*STATE)
+        else:
+            stays = keep(state.join(hurt, "cluster", "left_anti").select(*STATE), "stays")
+            loose = keep(state.join(hurt, "cluster", "left_semi").join(gone, "id", "left_anti").select("id", "lat", "lon").unionByName(added), "loose")
+    side = chord(radius_m) / math.sqrt(2) * (1 - SLACK)
+    cells = loose.withColumns(cell(F.col("lat"), F.col("lon"), side))
+    homes = keep(cells.groupBy("y", "x").agg(F.min("id").alias("home")), "homes")
+    spots = keep(cells.select("y", "x", "lat", "lon").distinct().join(homes, ["y", "x"]), "spots")  # reports of a place count once
+    links = cell_links(spots, "home", radius_m)
     if stays is not None:
-        side = chord(radius_m) / math.sqrt(2) * (1 - SLACK)
-        spots = stays.select("lat", "lon", "cluster").distinct().withColumns(cell(F.col("lat"), F.col("lon"), side))
-        ask = with_cells(loose.select("id", F.col("lat").alias("lat1"), F.col("lon").alias("lon1")), "lat1", "lon1", radius_m, side)
-        near = ask.join(spots, ["y", "x"]).where(haversine_m(F.col("lat1"), F.col("lon1"), F.col("lat"), F.col("lon")) <= radius_m)
-        links = links.unionByName(near.select(F.col("id").alias("a"), F.col("cluster").alias("b")).distinct())
+        old = stays.select("lat", "lon", "cluster").distinct().withColumns(cell(F.col("lat"), F.col("lon"), side))
+        ask = with_cells(spots.select("home", F.col("lat").alias("lat1"), F.col("lon").alias("lon1")), "lat1", "lon1", radius_m, side)
+        near = ask.join(old, ["y", "x"]).where(haversine_m(F.col("lat1"), F.col("lon1"), F.col("lat"), F.col("lon")) <= radius_m)
+        links = links.unionByName(near.select(F.col("home").alias("a"), F.col("cluster").alias("b")).distinct())
     labels = keep(components(links), "labels")
-    out = loose.join(labels, F.col("id") == F.col("node"), "left").select("id", "lat", "lon", F.coalesce("label", "id").alias("cluster"))
+    named = homes.join(labels, F.col("home") == F.col("node"), "left").select("y", "x", F.coalesce("label", "home").alias("cluster"))
+    out = cells.join(named, ["y", "x"]).select(*STATE)
     if stays is not None:
         out = out.unionByName(stays.join(labels, F.col("cluster") == F.col("node"), "left").select("id", "lat", "lon", F.coalesce("label", "cluster").alias("cluster")))
     return keep(out, "state")

@@ -171,3 +171,26 @@ def test_json_lines_with_bad_ones(spark, tmp_path):
     n, m, lost = tables.read_osm_lines(spark, str(tmp_path / "osm"))
     assert {tuple(r) for r in n.collect()} == {("1", 26.0, 92.0), ("2", 26.1, None)} and lost.count() == 1
     assert {(r["way_id"], r["node_id"], r["highway"]) for r in m.collect()} == {(9, "1", "track"), (9, "2", "track"), (8, "2", None)}
+
+
+def test_a_crowd_costs_its_places(spark, monkeypatch):
+    """Reports of one place are one node of a tick's graph, however many there are."""
+    sizes = []
+    found = live.components
+    monkeypatch.setattr(live, "components", lambda links: (sizes.append(links.count()), found(links))[1])
+    crowd = lambda a, b: spark.createDataFrame([(f"c{i:03}", 26.0 + i % 3 * 1e-5, 92.0 + i // 150 * 0.0012) for i in range(a, b)], "id string, lat double, lon double")
+    state = live.advance(live.advance(None, crowd(0, 200)), crowd(200, 300))
+    assert {r["cluster"] for r in state.collect()} == {"c000"} and state.count() == 300
+    assert max(sizes) <= 12
+
+
+def test_long_jobs_have_garbage_collected(spark, monkeypatch):
+    from hazardmap.sources import shared
+
+    asked = []
+    monkeypatch.setattr(shared.gc, "collect", lambda: asked.append(1))
+    for s in (3600.0, 0.0):
+        monkeypatch.setattr(shared, "TIDY_S", s)
+        monkeypatch.setattr(shared, "_tidied", shared.time.monotonic())
+        assert shared.keep(spark.range(3), "rows").count() == 3
+    assert len(asked) == 1
